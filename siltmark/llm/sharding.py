@@ -96,7 +96,7 @@ def disputed(sketch: Sketch, shards: int) -> tuple[int, np.ndarray]:
             first = int(np.searchsorted(ends, a, "right")) - 1
             last = int(np.searchsorted(ends, b, "right")) - 1
             mask[max(first, 0) : last + 1] = True
-        mask &= ~atomic
+        # what must be divided stays in at most one range for each cut: indivisible cells between are read again
     return sure, mask
 
 
@@ -136,7 +136,7 @@ def plan(sized: DataFrame, shards: int, cells: int = CELLS) -> tuple[list[int],
         return [], 0, []
     while True:
         capacity, mask = disputed(sketch, shards)
-        if not mask.any() or shift == 0:
+        if not (mask & ~sketch.atomic).any() or shift == 0:
             break
         step = min(shift, max(1, (cells // max(1, int(mask.sum()))).bit_length() - 1))
         shift -= step
