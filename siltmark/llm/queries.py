@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import scan
 from .mixing import mix_plan
+from .pii import BASE, find_pii, listed
 from .sharding import shard_documents
 
 
@@ -14,6 +15,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("pii", lambda x: x["rank"] < len(BASE))
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("pii", lambda x, n=k.name: x["kind"] == n)).cast("long").alias(f"n_{k.name}") for k in BASE],
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("pii")).alias("spans"),
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -30,6 +42,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pii": op2_pii,
     "op4_mixing": op4_mixing,
     "op6_decontamination": op6_decontamination,
     "op10_sharding": op10_sharding,
