@@ -18,9 +18,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = F.filter("pii", lambda x: x["rank"] < len(BASE))
+
+    def of_kind(name: str):
+        return lambda x: x["kind"] == name
+
     return found.select(
         "doc_id",
-        *[F.size(F.filter("pii", lambda x, n=k.name: x["kind"] == n)).cast("long").alias(f"n_{k.name}") for k in BASE],
+        *[F.size(F.filter("pii", of_kind(k.name))).cast("long").alias(f"n_{k.name}") for k in BASE],
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
         listed(F.col("pii")).alias("spans"),
     )
