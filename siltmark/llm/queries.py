@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language, quality
 from .decontamination import scan
 from .mixing import mix_plan
 from .pii import BASE, find_pii, listed
+from .secrets import N_BASE, find_secrets
 from .sharding import shard_documents
 
 
@@ -40,6 +42,37 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+    def count(rank: int):
+        return F.size(F.filter("secrets", lambda x: x["rank"] == rank)).cast("long")
+
+    base = F.filter("secrets", lambda x: x["rank"] < N_BASE)
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("secrets")).alias("spans"),
+    )
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    dictionaries = language.fit(docs.where(~language.held_out(docs)))
+    found = language.identify(docs.withColumn("held_out", language.held_out(docs)), dictionaries, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs.withColumn("held_out", quality.held_out()), model, keep=["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(_table(spark, sf_dir, "documents"), shards=40, keep=["doc_id"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -49,6 +82,9 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op4_mixing": op4_mixing,
     "op6_decontamination": op6_decontamination,
+    "op7_secrets": op7_secrets,
+    "op8_language": op8_language,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
 

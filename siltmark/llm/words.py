@@ -49,9 +49,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """A block of texts: first row, lower-cased bytes, where texts begin and end, and its words in order."""
+    """A block of texts: first row, bytes, lower-cased bytes, where texts begin and end, and its words in order."""
 
     row: int
+    raw: np.ndarray
     data: np.ndarray
     text_at: np.ndarray
     start: np.ndarray
@@ -103,7 +104,7 @@ def _words(raw: np.ndarray, at: np.ndarray, row: int) -> Words:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers(_room(n), _BASE)[:n], out=sums[1:])
     h = mixed((sums[end] - sums[start]) * _powers(_room(n), _INVERSE)[start])
-    return Words(row, low, at, start, end, h, np.searchsorted(start, at))
+    return Words(row, raw, low, at, start, end, h, np.searchsorted(start, at))
 
 
 def shingle_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
