@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import language, neighbours, quality
 from .decontamination import scan
 from .mixing import mix_plan
+from .nearduplicates import near_duplicates
 from .pii import BASE, find_pii, listed
 from .secrets import N_BASE, find_secrets
 from .sharding import shard_documents
@@ -41,6 +42,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
@@ -86,6 +91,7 @@ QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_pii": op2_pii,
     "op4_mixing": op4_mixing,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_decontamination": op6_decontamination,
     "op7_secrets": op7_secrets,
     "op8_language": op8_language,

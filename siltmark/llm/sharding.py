@@ -168,7 +168,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", order
     text counts as no bytes and is a group of its own; repeated rows are kept, each with a
     slot. An empty table gives an empty result. keep: columns to carry (default: all);
     columns of the input named as a result are replaced. Two texts that share a 64-bit
-    hash are held together as well. Fewer groups than shards leave shards empty.
+    hash are held together as well. Fewer groups than shards leave shards empty. docs is
+    read twice, so it should be a table or a result that comes out the same each time.
     """
     made = {"size", "text_crc32", "shard", "slot"}
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
@@ -179,8 +180,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", order
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(F.col(order), F.lit(7)).alias("__o"),
     )
-    sized = written(sized, "sharding")
-    bounds, _, numbers = plan(sized, shards)
+    narrow = written(sized.select("__h", "__size", "__o"), "sharding")
+    bounds, _, numbers = plan(narrow, shards)
     if bounds:
         index = F.lit(0)
         for b in bounds[:-1]:
@@ -188,16 +189,20 @@ def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", order
         number = F.element_at(F.array(*[F.lit(n) for n in numbers]), index + 1)
     else:
         number = F.lit(0)
-    fine = max(1, -(-sized.count() // (shards * slot_rows)))
-    placed = sized.withColumn("shard", number).withColumn("__fine", F.pmod("__o", F.lit(fine)).cast("int"))
+    fine = max(1, -(-narrow.count() // (shards * slot_rows)))
+
+    def place_in(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("shard", number).withColumn("__fine", F.pmod("__o", F.lit(fine)).cast("int"))
+
     before = (
-        placed.groupBy("shard", "__fine")
+        place_in(narrow)
+        .groupBy("shard", "__fine")
         .count()
         .withColumn("__before", F.sum("count").over(Window.partitionBy("shard").orderBy("__fine")) - F.col("count"))
         .select(F.col("shard").alias("__s"), F.col("__fine").alias("__f"), "__before")
     )
     place = Window.partitionBy("shard", "__fine").orderBy("__h", "__o", order)
-    numbered = placed.withColumn("__row", F.row_number().over(place))
+    numbered = place_in(sized).withColumn("__row", F.row_number().over(place))
     return numbered.join(before, (F.col("shard") == F.col("__s")) & (F.col("__fine") == F.col("__f"))).select(
         *[F.col(f"`{c}`") for c in kept], F.col("__size").alias("size"), "text_crc32", "shard", (F.col("__before") + F.col("__row") - 1).alias("slot")
     )
