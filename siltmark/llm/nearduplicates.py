@@ -7,13 +7,15 @@ probability of the weighted Jaccard similarity. Rows are banded; texts that shar
 are candidates, and a pair is linked if its weighted Jaccard similarity, computed from the
 texts, is at least the threshold. Classes are the connected components of links.
 
-Equal texts are one node. In a bucket (texts that share a band), each is compared with one
-leader first, which joins a bucket of copies at a cost linear in its size. What is left
-apart from the bucket's largest class is compared with all the bucket where these are at
-most PARTNERS texts. Where they are more, as with texts that only share a common passage,
-the bucket is divided by each further band, up to LEVELS bands together, and then worked
-off PARTNERS texts at a time. Pairs of one class aren't compared again. So no group emits all its pairs,
-and no candidates are dropped.
+Equal texts are one node. In a bucket (texts that share a band) each is first compared with
+one leader, the text that meets most others in all its buckets; that joins a bucket of
+copies at a cost linear in its size. Texts that stay outside the bucket's largest class are
+then compared with the bucket's texts of other classes. In buckets of more than PARTNERS
+texts, shingles that no second text of these buckets has bound what a pair can reach: with s
+the smaller of the two shared weights, at most s / (w1 + w2 - s). Pairs that can't reach the
+threshold are left out, and so are texts that can't with any other. The bound is exact, so no
+candidates are lost, and texts that only share a common passage, or are far copies of one
+text, don't meet in pairs. Pairs of one class aren't compared again.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +37,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 #: Pairs of which a smaller part of signature rows agrees aren't verified; at 0.8 that is a chance of one in a million.
 AGREE = 0.55
-#: Texts of a bucket that are compared with all of it at once, and bands that divide a large bucket together.
-PARTNERS, LEVELS = 32, 3
+#: Texts of a bucket up to which pairs aren't bounded by shared weights first.
+PARTNERS = 32
 #: Document frequencies are counted in 2 ** DF_BITS buckets of shingle hashes, sent in parts.
 DF_BITS, DF_PART = 18, 4096
 #: Entries of the tables of random variates, for each row of the signature.
@@ -231,9 +233,7 @@ class _Search:
         pair = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
         sides = [self.nodes.select(F.col("node").alias(s), F.col("signature").alias(f"s{s}")) for s in ("a", "b")]
         likely = written(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(agree, pair), "likely")
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = self.docs.select(F.xxhash64("text").alias("node"), "text").where("text is not null").join(self._hint(wanted), "node", "left_semi").dropDuplicates(["node"])
-        texts = written(texts, "texts")
+        texts = written(self.texts_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
         joined = likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
         sampler, threshold = self.sampler, self.threshold
 
@@ -247,6 +247,10 @@ class _Search:
 
         return joined.mapInArrow(compare, pair)
 
+    def texts_of(self, ids: DataFrame) -> DataFrame:
+        """(node, text) of some nodes."""
+        return self.docs.select(F.xxhash64("text").alias("node"), "text").where("text is not null").join(self._hint(ids), "node", "left_semi").dropDuplicates(["node"])
+
     @staticmethod
     def _hint(ids: DataFrame) -> DataFrame:
         """Broadcast up to BROADCAST_IDS rows, of 8 bytes each."""
@@ -263,49 +267,64 @@ class _Search:
         """members (key, node, ...) with their class."""
         return members.join(self.classes, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
 
-    @staticmethod
-    def crowded(members: DataFrame) -> DataFrame:
-        n = members.groupBy("key").count().where("count > 1").select("key")
-        return written(members.join(n, "key", "left_semi"), "buckets")
+    def crowded(self) -> DataFrame:
+        """(key, node, n): members of the bands that several nodes share."""
+        members = self.nodes.select(F.explode("bands").alias("key"), "node")
+        n = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return written(members.join(n, "key"), "buckets")
 
     def mixed_buckets(self, members: DataFrame) -> DataFrame:
-        """Members of buckets with several classes: their class, and how many are outside the bucket's largest class; outside: a number for each of those."""
+        """Members of buckets with several classes: their class, and the bucket's largest class as top."""
         of = self.classed(members)
-        by = of.groupBy("key", "class").count()
-        top = by.groupBy("key").agg(F.max_by("class", F.struct("count", "class")).alias("top"), (F.sum("count") - F.max("count")).alias("others")).where("others > 0")
+        by = of.groupBy("key", "class").agg(F.count(F.lit(1)).alias("c"))
+        top = by.groupBy("key").agg(F.max_by("class", F.struct("c", "class")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
         return written(of.join(top, "key"), "mixed")
 
-    def compare_others(self, members: DataFrame, lot: int = 0) -> None:
-        """Compares the others of each bucket, or one lot of PARTNERS of them, with all members of different class."""
-        place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        others = members.where(F.col("class") != F.col("top")).withColumn("n", place).where((F.col("n") > lot * PARTNERS) & (F.col("n") <= (lot + 1) * PARTNERS))
-        asks = others.select("key", F.col("node").alias("a"), F.col("class").alias("ca"))
-        self.link(members.join(asks, "key").where(F.col("class") != F.col("ca")).select("a", F.col("node").alias("b")))
+    def shared_weights(self, ids: DataFrame) -> DataFrame:
+        """(node, w, s): a node's whole weight, and that of its shingles that another of these nodes has."""
+        sampler = self.sampler
+
+        def shingles(batches):
+            for batch in batches:
+                for k in range(0, batch.num_rows, 256):
+                    part = batch.slice(k, 256)
+                    sets = _sets(part.column(1), sampler.value)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.view(np.int64) for h, _ in sets], pa.list_(pa.int64())), pa.array([w for _, w in sets], pa.list_(pa.float64()))], ["node", "h", "w"])
+
+        schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("h", T.ArrayType(T.LongType())), T.StructField("w", T.ArrayType(T.DoubleType()))])
+        sets = written(self.texts_of(ids).mapInArrow(shingles, schema), "shingles")
+        flat = sets.select("node", F.inline(F.arrays_zip("h", "w")))
+        several = flat.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+        s = flat.join(several, "h", "left_semi").groupBy("node").agg(F.sum("w").alias("s"))
+        w = sets.select("node", F.aggregate("w", F.lit(0.0), lambda a, x: a + x).alias("w"))
+        return written(w.join(s, "node", "left").select("node", "w", F.coalesce("s", F.lit(0.0)).alias("s")), "weights")
+
+    def pairs_of(self, members: DataFrame, bound: Column | None = None) -> DataFrame:
+        """Of each bucket: its members outside the largest class with its members of other classes."""
+        extra = [c for c in ("w", "s") if c in members.columns]
+        asks = members.where(F.col("class") != F.col("top")).select("key", F.col("node").alias("a"), F.col("class").alias("ca"), *[F.col(c).alias(f"{c}a") for c in extra])
+        rows = members.select("key", F.col("node").alias("b"), F.col("class").alias("cb"), *[F.col(c).alias(f"{c}b") for c in extra])
+        met = asks.join(rows, (asks["key"] == rows["key"]) & (F.col("ca") != F.col("cb")) & (bound if bound is not None else F.lit(True)))
+        return met.select("a", "b")
 
     def run(self) -> DataFrame:
         """(node, root) of all nodes with a link."""
-        members = self.crowded(self.nodes.select(F.explode("bands").alias("key"), "node"))
-        bands = self.nodes.select("node", "bands")
-        for level in range(1, LEVELS + 1):
-            leader = members.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("a"))
-            self.link(members.join(leader, "key").select("a", F.col("node").alias("b")))
-            mixed_ = self.mixed_buckets(members)
-            few = mixed_.where(F.col("others") <= PARTNERS)
-            if not few.isEmpty():
-                self.compare_others(few)
-            many = mixed_.where(F.col("others") > PARTNERS)
-            if many.isEmpty():
-                break
-            if level == LEVELS:
-                left = self.mixed_buckets(many.select("key", "node"))
-                lots = -(-(left.agg(F.max("others")).first()[0] or 0) // PARTNERS)
-                for lot in range(lots):
-                    self.compare_others(left, lot)
-                break
-            finer = many.select("key", "node").join(bands, "node").select("node", F.col("key").alias("k"), F.explode("bands").alias("band"))
-            members = self.crowded(finer.where("k != band").select(F.xxhash64("k", "band").alias("key"), "node"))
-            if members.isEmpty():
-                break
+        members = self.crowded()
+        met = members.groupBy("node").agg(F.sum("n").alias("met"))
+        leader = members.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("a"))
+        self.link(members.join(leader, "key").select("a", F.col("node").alias("b")))
+        mixed_ = self.mixed_buckets(members)
+        if mixed_.isEmpty():
+            return self.classes
+        pairs = self.pairs_of(mixed_.where(F.col("n") <= PARTNERS))
+        large = mixed_.where(F.col("n") > PARTNERS)
+        if not large.isEmpty():
+            weights = self.shared_weights(large.select("node").distinct())
+            t = self.threshold - 1e-9
+            able = large.join(weights.where(F.col("s") >= t * F.col("w")), "node")
+            s = F.least("sa", "sb")
+            pairs = pairs.unionByName(self.pairs_of(able, s >= t * (F.col("wa") + F.col("wb") - s)))
+        self.link(pairs)
         return self.classes
 
 
