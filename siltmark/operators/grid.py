@@ -122,33 +122,35 @@ def distance_to_source(cells: DataFrame, is_source: str, size: float = 1.0) -> D
     """
     up = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
-    mark = F.when(F.col(is_source), F.col("row"))
-    near = F.least(F.col("row") - F.last(mark, ignorenulls=True).over(up), F.first(mark, ignorenulls=True).over(down) - F.col("row"))
-    first = cells.select(*KEY, near.cast("double").alias("g"))
+    source = cells.where(F.col(is_source)).select(*KEY).distinct()
+    bounds = F.broadcast(cells.agg(F.min("row").alias("__a"), F.max("row").alias("__b")))
+    # every row counts for a source's column, whether or not the table has the cell
+    lines = source.select("col").distinct().crossJoin(bounds).select("col", F.explode(F.sequence("__a", "__b")).alias("row"))
+    marked = lines.join(source.withColumn("mark", F.col("row")), KEY, "left")
+    near = F.least(F.col("row") - F.last("mark", ignorenulls=True).over(up), F.first("mark", ignorenulls=True).over(down) - F.col("row"))
+    steps = marked.select(*KEY, near.cast("double").alias("g"), F.lit(False).alias("asked"))
+    first = steps.unionByName(cells.select(*KEY, F.lit(None).cast("double").alias("g"), F.lit(True).alias("asked")))
 
     def envelope(row: pd.DataFrame) -> pd.DataFrame:
-        row = row.sort_values("col")
-        has = row[row["g"].notna()]
+        asked = row[row["asked"]]
+        has = row[row["g"].notna()].sort_values("col")
         if has.empty:
-            return row.assign(distance=np.nan)[["row", "col", "distance"]]
+            return asked.assign(distance=np.nan)[["row", "col", "distance"]]
         c, h = has["col"].to_numpy(float), has["g"].to_numpy(float) ** 2
         keep, bound = [0], [-np.inf]
         for i in range(1, len(c)):
             while True:
                 j = keep[-1]
                 s = ((h[i] + c[i] ** 2) - (h[j] + c[j] ** 2)) / (2 * (c[i] - c[j]))
-                if s > bound[-1] or len(keep) == 1:
+                if s > bound[-1]:
                     break
                 keep.pop()
                 bound.pop()
-            if s <= bound[-1]:
-                keep, bound = [i], [-np.inf]
-            else:
-                keep.append(i)
-                bound.append(s)
-        at = row["col"].to_numpy(float)
+            keep.append(i)
+            bound.append(s)
+        at = asked["col"].to_numpy(float)
         best = np.array(keep)[np.searchsorted(np.array(bound), at, "right") - 1]
-        return row.assign(distance=np.sqrt((at - c[best]) ** 2 + h[best]))[["row", "col", "distance"]]
+        return asked.assign(distance=np.sqrt((at - c[best]) ** 2 + h[best]))[["row", "col", "distance"]]
 
     types = dict(cells.dtypes)
     out = first.groupBy("row").applyInPandas(envelope, f"row {types['row']}, col {types['col']}, distance double")
@@ -197,37 +199,24 @@ def flow_direction(cells: DataFrame, value: str = "value") -> DataFrame:
     return neighbourhood(cells, value).withColumn("s", best).select(*KEY, (F.col("row") + F.col("s.a")).alias("to_row"), (F.col("col") + F.col("s.b")).alias("to_col"))
 
 
-def flow_accumulation(cells: DataFrame, value: str = "value", most_rounds: int = 10_000) -> DataFrame:
+def flow_accumulation(cells: DataFrame, value: str = "value", most_rounds: int = 40) -> DataFrame:
     """(row, col, accumulation): cells that drain through each, itself included.
 
-    Frontiers: in round k, what started k steps upstream has arrived and is added; a round is
-    one join on the cell's key. Depressions keep what flows in; fill them first.
+    Pointers double: after round k a cell knows its 2**k-th cell downstream and how many cells
+    lie less than 2**k steps upstream; what the cells 2**k steps up know is added. So the
+    rounds are the logarithm of the longest path. Depressions keep what flows in; fill them first.
     """
-    spark = cells.sparkSession
-    durable = bool(spark.sparkContext.getCheckpointDir())
-    to = flow_direction(cells, value)
-    to = to.checkpoint() if durable else to.cache()
-    step = to.where("to_row is not null")
-    total = to.select(*KEY, F.lit(1).cast("long").alias("n"))
-    front, parts, rounds = step.select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.lit(1).cast("long").alias("n")).groupBy(*KEY).agg(F.sum("n").alias("n")), [total], 0
-    while rounds < most_rounds:
-        front = front.checkpoint() if durable else front.cache()
-        if front.isEmpty():
+    durable = bool(cells.sparkSession.sparkContext.getCheckpointDir())
+    at = flow_direction(cells, value).withColumn("n", F.lit(1).cast("long"))
+    for _ in range(most_rounds):
+        at = at.checkpoint() if durable else at.cache()
+        if at.where("to_row is not null").isEmpty():
             break
-        parts.append(front)
-        front = front.join(step, KEY).groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("n").alias("n"))
-        rounds += 1
-        if len(parts) > 20:
-            merged = _added(parts)
-            parts = [merged.checkpoint() if durable else merged.cache()]
-    return _added(parts).withColumnRenamed("n", "accumulation")
-
-
-def _added(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(*KEY).agg(F.sum("n").alias("n"))
+        arrived = at.where("to_row is not null").groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("n").alias("more"))
+        onward = at.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("r2"), F.col("to_col").alias("c2"))
+        far = at.join(onward, ["to_row", "to_col"], "left").select(*KEY, F.col("r2").alias("to_row"), F.col("c2").alias("to_col"), "n")
+        at = far.join(arrived, KEY, "left").select(*KEY, "to_row", "to_col", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+    return at.select(*KEY, F.col("n").alias("accumulation"))
 
 
 def height_above_stream(cells: DataFrame, is_stream: str, value: str = "value", most_rounds: int = 40) -> DataFrame:

@@ -151,7 +151,7 @@ def morans_i(spark, d):
     return rounded(stats.morans_i(p, stats.neighbours(p, "id", "x", "y", 8, 3.0), "id", "z"))
 
 
-@query(f"""WITH {_PTS}, z AS (SELECT *, z - avg(z) OVER () AS c FROM p), k AS (SELECT CAST(ceil(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 0.5) AS BIGINT) AS band, a.c * b.c AS m FROM z a JOIN z b ON a.id <> b.id AND b.x BETWEEN a.x - 3 AND a.x + 3 AND b.y BETWEEN a.y - 3 AND a.y + 3 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 3 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) > 0)
+@query(f"""WITH {_PTS}, z AS (SELECT *, z - avg(z) OVER () AS c FROM p), k AS (SELECT CAST(ceil(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 0.5) AS BIGINT) AS band, a.c * b.c AS m FROM z a JOIN z b ON a.id <> b.id AND b.x BETWEEN a.x - 3.1 AND a.x + 3.1 AND b.y BETWEEN a.y - 3.1 AND a.y + 3.1 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 3 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) > 0)
 SELECT band, CAST(count(*) AS BIGINT) AS pairs, round(CASE WHEN count(*) >= 30 THEN avg(m) / (SELECT var_pop(z) FROM p) END, 6) AS morans_i FROM k GROUP BY band""")
 def residual_correlogram(spark, d):
     return rounded(stats.correlogram(_points(spark, d), "id", "x", "y", "z", 0.5, 3.0))
