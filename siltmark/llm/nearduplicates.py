@@ -11,11 +11,12 @@ Equal texts are one node. In a bucket (texts that share a band) each is first co
 one leader, the text that meets most others in all its buckets; that joins a bucket of
 copies at a cost linear in its size. Texts that stay outside the bucket's largest class are
 then compared with the bucket's texts of other classes. In buckets of more than PARTNERS
-texts, shingles that no second text of these buckets has bound what a pair can reach: with s
-the smaller of the two shared weights, at most s / (w1 + w2 - s). Pairs that can't reach the
-threshold are left out, and so are texts that can't with any other. The bound is exact, so no
-candidates are lost, and texts that only share a common passage, or are far copies of one
-text, don't meet in pairs. Pairs of one class aren't compared again.
+texts, shared weights bound what a pair can reach: shingles that no second text of these
+buckets has don't count, the others are divided into GROUPS by hash, and with s the sum of
+the smaller of the two shared weights by group, the similarity is at most s / (w1 + w2 - s).
+Pairs that can't reach the threshold are left out, and so are texts that can't with any other.
+The bound is exact, so no candidates are lost, and texts that only share a common passage, or
+are far copies of one text, don't meet in pairs. Pairs of one class aren't compared again.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ BANDS, ROWS = 16, 4
 AGREE = 0.55
 #: Texts of a bucket up to which pairs aren't bounded by shared weights first.
 PARTNERS = 32
+#: Groups of shingles whose shared weights are compared.
+GROUPS = 48
 #: Document frequencies are counted in 2 ** DF_BITS buckets of shingle hashes, sent in parts.
 DF_BITS, DF_PART = 18, 4096
 #: Entries of the tables of random variates, for each row of the signature.
@@ -281,7 +284,7 @@ class _Search:
         return written(of.join(top, "key"), "mixed")
 
     def shared_weights(self, ids: DataFrame) -> DataFrame:
-        """(node, w, s): a node's whole weight, and that of its shingles that another of these nodes has."""
+        """(node, w, s, g): a node's whole weight, that of its shingles that another of these nodes has, and this by group."""
         sampler = self.sampler
 
         def shingles(batches):
@@ -295,16 +298,19 @@ class _Search:
         sets = written(self.texts_of(ids).mapInArrow(shingles, schema), "shingles")
         flat = sets.select("node", F.inline(F.arrays_zip("h", "w")))
         several = flat.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-        s = flat.join(several, "h", "left_semi").groupBy("node").agg(F.sum("w").alias("s"))
+        by = flat.join(several, "h", "left_semi").groupBy("node", F.pmod("h", F.lit(GROUPS)).cast("int").alias("k")).agg(F.sum("w").alias("w"))
+        # at most GROUPS entries for a node
+        s = by.groupBy("node").agg(F.sum("w").alias("s"), F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("m"))
+        g = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0)))
         w = sets.select("node", F.aggregate("w", F.lit(0.0), lambda a, x: a + x).alias("w"))
-        return written(w.join(s, "node", "left").select("node", "w", F.coalesce("s", F.lit(0.0)).alias("s")), "weights")
+        return written(w.join(s.select("node", "s", g.alias("g")), "node").select("node", "w", "s", "g"), "weights")
 
     def pairs_of(self, members: DataFrame, bound: Column | None = None) -> DataFrame:
         """Of each bucket: its members outside the largest class with its members of other classes."""
-        extra = [c for c in ("w", "s") if c in members.columns]
-        asks = members.where(F.col("class") != F.col("top")).select("key", F.col("node").alias("a"), F.col("class").alias("ca"), *[F.col(c).alias(f"{c}a") for c in extra])
+        extra = [c for c in ("w", "s", "g", "bands") if c in members.columns]
+        asks = members.where(F.col("class") != F.col("top")).select(F.col("key").alias("ka"), F.col("node").alias("a"), F.col("class").alias("ca"), *[F.col(c).alias(f"{c}a") for c in extra])
         rows = members.select("key", F.col("node").alias("b"), F.col("class").alias("cb"), *[F.col(c).alias(f"{c}b") for c in extra])
-        met = asks.join(rows, (asks["key"] == rows["key"]) & (F.col("ca") != F.col("cb")) & (bound if bound is not None else F.lit(True)))
+        met = asks.join(rows, (F.col("ka") == F.col("key")) & (F.col("ca") != F.col("cb")) & (bound if bound is not None else F.lit(True)))
         return met.select("a", "b")
 
     def run(self) -> DataFrame:
@@ -322,8 +328,15 @@ class _Search:
             weights = self.shared_weights(large.select("node").distinct())
             t = self.threshold - 1e-9
             able = large.join(weights.where(F.col("s") >= t * F.col("w")), "node")
+            able = able.join(self.nodes.select("node", "bands"), "node")
             s = F.least("sa", "sb")
-            pairs = pairs.unionByName(self.pairs_of(able, s >= t * (F.col("wa") + F.col("wb") - s)))
+            # written out term by term, these are compiled
+            s_by_group = sum((F.least(F.get("ga", F.lit(k)), F.get("gb", F.lit(k))) for k in range(GROUPS)), F.lit(0.0))
+            # of the buckets that a pair shares, that of the first band counts
+            both = [(F.get("bandsa", F.lit(k)), F.get("bandsb", F.lit(k))) for k in range(BANDS)]
+            first = F.coalesce(*[F.when(x == y, x) for x, y in both]) == F.col("key")
+            every = F.col("wa") + F.col("wb")
+            pairs = pairs.unionByName(self.pairs_of(able, (s >= t * (every - s)) & (s_by_group >= t * (every - s_by_group)) & first))
         self.link(pairs)
         return self.classes
 
