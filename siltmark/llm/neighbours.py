@@ -180,20 +180,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
                 part = b.slice(a, 1024)
                 u = unit(_matrix(part.column(1), d)).astype(np.float32)
                 order = np.argsort(-(u @ m.centroids.T), axis=1)
-                row, where = [], []
+                row, where, early = [], [], []
                 for i, lists in enumerate(order):
                     found = 0
                     for j, l in enumerate(lists.tolist()):
                         if j >= m.visits and found > rerank:
                             break
+                        first = found < rerank
                         found += sizes.get(l, 0)
                         for c in range(chunks.get(l, 0)):
                             row.append(i)
                             where.append((l, c))
+                            early.append(first)
                 where = np.array(where, np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(where[:, 0]), pa.array(where[:, 1]), pa.array(list(u[row]), pa.list_(pa.float32()))], ["q", "list", "chunk", "u"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(where[:, 0]), pa.array(where[:, 1]), pa.array(list(u[row]), pa.list_(pa.float32())), pa.array(early, pa.bool_())], ["q", "list", "chunk", "u", "early"])
 
-    visits = queries.select("q", "v").mapInArrow(visit, T.StructType([T.StructField("q", id_type), T.StructField("list", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("u", T.ArrayType(T.FloatType()))]))
+    visits = queries.select("q", "v").mapInArrow(visit, T.StructType([T.StructField("q", id_type), T.StructField("list", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("u", T.ArrayType(T.FloatType())), T.StructField("early", T.BooleanType())]))
+    visits = written(visits, "ann-visits")
 
     def compare(key_, left, right):
         if not left.num_rows or not right.num_rows:
@@ -210,15 +213,28 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
             for s in range(codes.shape[1]):
                 near += table[:, s, :][:, codes[:, s]]
             best = np.argpartition(-near, min(rerank, len(codes)) - 1, axis=1)[:, :rerank]
-            qs.append(np.repeat(np.arange(a, a + len(u)), best.shape[1]))
-            reps.append(best.ravel())
-            nears.append(np.take_along_axis(near, best, 1).ravel())
+            value = np.take_along_axis(near, best, 1)
+            over = value >= np.asarray(part.column("least"))[:, None]
+            qs.append(np.repeat(np.arange(a, a + len(u)), best.shape[1])[over.ravel()])
+            reps.append(best[over])
+            nears.append(value[over])
         take = lambda c, i: c.take(pa.array(np.concatenate(i)))
         return pa.table({"q": take(left.column("q"), qs), "rep": take(right.column("rep"), reps), "near": pa.array(np.concatenate(nears), pa.float32())})
 
     near_schema = T.StructType([T.StructField("q", id_type), T.StructField("rep", id_type), T.StructField("near", T.FloatType())])
-    found = visits.groupBy("list", "chunk").cogroup(index.groupBy("list", "chunk")).applyInArrow(compare, near_schema)
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "rep"))).where(F.col("n") <= rerank)
+
+    def compared(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("list", "chunk").cogroup(index.groupBy("list", "chunk")).applyInArrow(compare, near_schema)
+
+    def best_of(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "rep"))).where(F.col("n") <= rerank).drop("n")
+
+    # the nearest lists first: what the last of their best reaches, others must reach as well
+    never = F.lit(float("-inf")).cast("float")
+    first = written(best_of(compared(visits.where("early").drop("early").withColumn("least", never))), "ann-first")
+    least = first.groupBy("q").agg(F.when(F.count(F.lit(1)) >= rerank, F.min("near")).otherwise(never).alias("least"))
+    rest = compared(visits.where("not early").drop("early").join(least, "q", "left").select("q", "list", "chunk", "u", F.coalesce("least", never).alias("least")))
+    best = best_of(first.unionByName(rest))
     pairs = best.join(queries.withColumnRenamed("v", "qv"), "q").join(distinct, "rep").select("q", "qv", "v", "ids")
 
     def exact(batches):
