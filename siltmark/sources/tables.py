@@ -68,7 +68,9 @@ def text_grid_header(rows: int, cols: int, x0: float, y0: float, size: float, no
 
 def grid_lines(cells: DataFrame, value: str, cols: int, nodata: float = -9999) -> DataFrame:
     """(row, line): a text grid's lines, six significant digits, from the top row; a row of cells is one line."""
-    word = F.coalesce(F.format_string("%.6g", F.col(value).cast("double")), F.lit(f"{nodata:g}"))
+    v = F.col(value).cast("double")
+    scale = F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.abs(F.when(v != 0, v)))))
+    word = F.coalesce(F.regexp_replace(F.when(v == 0, v).otherwise(F.rint(v * scale) / scale).cast("string"), "[.]0$", ""), F.lit(f"{nodata:g}"))
     held = cells.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col").cast("int"), word))).alias("m"))
     words = F.transform(F.sequence(F.lit(0), F.lit(cols - 1)), lambda c: F.coalesce(F.element_at("m", c), F.lit(f"{nodata:g}")))
     return held.select("row", F.array_join(words, " ").alias("line"))
