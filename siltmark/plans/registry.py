@@ -42,9 +42,9 @@ SCORES = "s AS (SELECT d.doc_id, d.lang, d.source, l.quality AS y_true, CAST(d.n
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a grid of 50 by 50 cells with the mean value of each."""
+    """Events as a grid of 50 by 50 cells with the largest value of each."""
     e = table(spark, sf_dir, "events")
-    return e.groupBy((F.col("user_id") % 50).alias("row"), (F.col("event_id") % 50).alias("col")).agg(F.round(F.avg("value"), 2).alias("value"))
+    return e.groupBy((F.col("user_id") % 50).alias("row"), (F.col("event_id") % 50).alias("col")).agg(F.max("value").alias("value"))
 
 
-CELLS = "c AS (SELECT user_id % 50 AS \"row\", event_id % 50 AS col, round(avg(value), 2) AS value FROM events GROUP BY ALL)"
+CELLS = "c AS (SELECT user_id % 50 AS \"row\", event_id % 50 AS col, max(value) AS value FROM events GROUP BY ALL)"
