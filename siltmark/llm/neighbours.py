@@ -7,8 +7,9 @@ approximate cosine of each vector there (asymmetric: the query isn't quantised).
 are reranked by the exact cosine of the original vectors in double precision.
 
 Equal vectors are indexed once, with their k + 1 smallest ids: others can't be among any
-row's k nearest. Lists are divided into chunks of bounded size, so a crowded list is spread
-over tasks. Centroids and code words are fitted on a bounded sample; every row is indexed.
+row's k nearest. Lists near each other form groups of about CHUNK vectors, which a task
+compares with all queries that visit any of its lists, so that it returns a query's best once;
+a larger group is divided into chunks. Centroids and code words are fitted on a bounded sample; every row is indexed.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ SAMPLE = 20_000
 #: Lists for each root of the number of vectors, and at most.
 LISTS_PER_ROOT, LISTS = 2.0, 4096
 CODES = 256
-#: Distinct vectors of a list in one chunk, about.
+#: Distinct vectors of a group, and of a chunk of it, about.
 CHUNK = 4096
 #: Distinct vectors that are reranked for each query.
 RERANK = 256
@@ -87,6 +88,8 @@ class Quantiser:
     #: columns of each subspace
     parts: list[slice]
     visits: int = 1
+    #: group of each list
+    group: np.ndarray | None = None
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near = nearest(x, self.centroids)
@@ -117,6 +120,8 @@ def fit(sample: np.ndarray, rows: int, subspaces: int = 16, k: int = 5) -> Quant
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(order.shape[1])[None].repeat(len(order), 0), 1)
     needed = np.sort(np.take_along_axis(place, nearest(x, centroids)[best], 1).ravel()) if best.size else np.zeros(1, int)
+    groups = max(1, min(lists, -(-rows // CHUNK)))
+    q.group = nearest(centroids, _k_means(centroids, groups, rng)).astype(np.int32)
     q.visits = int(needed[min(len(needed) - 1, int(TARGET * len(needed)))]) + 1
     return q
 
@@ -158,14 +163,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
         for b in batches:
             if b.num_rows:
                 near, codes = model.value.encode(unit(_matrix(b.column(1), d)).astype(np.float32))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["rep", "list", "codes"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.value.group[near]), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["rep", "group", "list", "codes"])
 
-    encoded = distinct.select("rep", "v").mapInArrow(encode, T.StructType([T.StructField("rep", id_type), T.StructField("list", T.IntegerType()), T.StructField("codes", T.BinaryType())]))
+    encoded = distinct.select("rep", "v").mapInArrow(encode, T.StructType([T.StructField("rep", id_type), T.StructField("group", T.IntegerType()), T.StructField("list", T.IntegerType()), T.StructField("codes", T.BinaryType())]))
     encoded = written(encoded, "ann-index")
-    held = {r[0]: r[1] for r in encoded.groupBy("list").count().collect()}  # at most LISTS rows
-    chunks = {l: -(-c // CHUNK) for l, c in held.items()}
+    held, in_group = {}, {}  # at most LISTS rows
+    for l, g, c in encoded.groupBy("list", "group").count().collect():
+        held[l] = c
+        in_group[g] = in_group.get(g, 0) + c
+    chunks = {g: -(-c // CHUNK) for g, c in in_group.items()}
     shared = spark.sparkContext.broadcast((held, chunks))
-    chunks_of = F.element_at(F.create_map(*[F.lit(y) for l, c in chunks.items() for y in (l, c)]), F.col("list"))
+    chunks_of = F.element_at(F.create_map(*[F.lit(y) for g, c in chunks.items() for y in (g, c)]), F.col("group"))
     index = encoded.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks_of.cast("long")).cast("int"))
 
     asking = rows.where("asks").select("v", "id").distinct()
@@ -180,22 +188,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
                 part = b.slice(a, 1024)
                 u = unit(_matrix(part.column(1), d)).astype(np.float32)
                 order = np.argsort(-(u @ m.centroids.T), axis=1)
-                row, where, early = [], [], []
+                row, where, wanted, early = [], [], [], []
                 for i, lists in enumerate(order):
-                    found = 0
+                    found, seen = 0, {}
                     for j, l in enumerate(lists.tolist()):
                         if j >= m.visits and found > rerank:
                             break
-                        first = found < rerank
                         found += sizes.get(l, 0)
-                        for c in range(chunks.get(l, 0)):
+                        if l in sizes:
+                            seen.setdefault(int(m.group[l]), []).append(l)
+                    for k, (g, visited) in enumerate(seen.items()):
+                        for c in range(chunks[g]):
                             row.append(i)
-                            where.append((l, c))
-                            early.append(first)
+                            where.append((g, c))
+                            wanted.append(visited)
+                            early.append(k == 0)
                 where = np.array(where, np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(where[:, 0]), pa.array(where[:, 1]), pa.array(list(u[row]), pa.list_(pa.float32())), pa.array(early, pa.bool_())], ["q", "list", "chunk", "u", "early"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(where[:, 0]), pa.array(where[:, 1]), pa.array(list(u[row]), pa.list_(pa.float32())), pa.array(wanted, pa.list_(pa.int32())), pa.array(early, pa.bool_())], ["q", "group", "chunk", "u", "lists", "early"])
 
-    visits = queries.select("q", "v").mapInArrow(visit, T.StructType([T.StructField("q", id_type), T.StructField("list", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("u", T.ArrayType(T.FloatType())), T.StructField("early", T.BooleanType())]))
+    visits = queries.select("q", "v").mapInArrow(visit, T.StructType([T.StructField("q", id_type), T.StructField("group", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("u", T.ArrayType(T.FloatType())), T.StructField("lists", T.ArrayType(T.IntegerType())), T.StructField("early", T.BooleanType())]))
     visits = written(visits, "ann-visits")
 
     def compare(key_, left, right):
@@ -203,18 +214,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
             return pa.table({"q": left.column("q").slice(0, 0), "rep": right.column("rep").slice(0, 0), "near": pa.array([], pa.float32())})
         m = model.value
         codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(right.num_rows, -1)
-        centroid = m.centroids[key_[0].as_py()]
+        lists, of = np.unique(np.asarray(right.column("list")), return_inverse=True)
+        centroids = m.centroids[lists]
         qs, reps, nears = [], [], []
         for a in range(0, left.num_rows, _QUERIES):
             part = left.slice(a, _QUERIES)
             u = np.concatenate([_matrix(c, d) for c in part.column("u").chunks])
             table = m.table(u)
-            near = np.repeat((u @ centroid)[:, None], len(codes), axis=1)
+            visited = np.stack([np.isin(lists, x) for x in part.column("lists").to_pylist()])
+            near = np.where(visited, u @ centroids.T, -np.inf).astype(np.float32)[:, of]
             for s in range(codes.shape[1]):
                 near += table[:, s, :][:, codes[:, s]]
             best = np.argpartition(-near, min(rerank, len(codes)) - 1, axis=1)[:, :rerank]
             value = np.take_along_axis(near, best, 1)
-            over = value >= np.asarray(part.column("least"))[:, None]
+            over = (value >= np.asarray(part.column("least"))[:, None]) & np.isfinite(value)
             qs.append(np.repeat(np.arange(a, a + len(u)), best.shape[1])[over.ravel()])
             reps.append(best[over])
             nears.append(value[over])
@@ -224,16 +237,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     near_schema = T.StructType([T.StructField("q", id_type), T.StructField("rep", id_type), T.StructField("near", T.FloatType())])
 
     def compared(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("list", "chunk").cogroup(index.groupBy("list", "chunk")).applyInArrow(compare, near_schema)
+        return rows.groupBy("group", "chunk").cogroup(index.groupBy("group", "chunk")).applyInArrow(compare, near_schema)
 
     def best_of(rows: DataFrame) -> DataFrame:
         return rows.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "rep"))).where(F.col("n") <= rerank).drop("n")
 
-    # the nearest lists first: what the last of their best reaches, others must reach as well
+    # the group of the nearest list first: what the last of their best reaches, others must reach as well
     never = F.lit(float("-inf")).cast("float")
     first = written(best_of(compared(visits.where("early").drop("early").withColumn("least", never))), "ann-first")
     least = first.groupBy("q").agg(F.when(F.count(F.lit(1)) >= rerank, F.min("near")).otherwise(never).alias("least"))
-    rest = compared(visits.where("not early").drop("early").join(least, "q", "left").select("q", "list", "chunk", "u", F.coalesce("least", never).alias("least")))
+    rest = compared(visits.where("not early").drop("early").join(least, "q", "left").select("q", "group", "chunk", "u", "lists", F.coalesce("least", never).alias("least")))
     best = best_of(first.unionByName(rest))
     pairs = best.join(queries.withColumnRenamed("v", "qv"), "q").join(distinct, "rep").select("q", "qv", "v", "ids")
 
