@@ -55,7 +55,7 @@ def class_of(s: str) -> str | None:
 def high_windows(s: str, bits: float, width: int = WIDTH) -> list[tuple[int, int]]:
     """Unions of the windows of s with that many bits a character; each step updates two counts."""
     n = min(width, len(s))
-    log = [0.0] + [k * math.log2(k) for k in range(1, n + 1)]
+    log = [0.0] + [k * math.log2(k) for k in range(1, n + 2)]
     count: dict[str, int] = {}
     total, out = 0.0, []
     for i, c in enumerate(s):
