@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neighbours, quality
+from . import language, licences, neighbours, quality
 from .decontamination import scan
 from .mixing import mix_plan
 from .nearduplicates import near_duplicates
@@ -37,6 +37,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = licences.find_licences(docs, licences.fit(docs), keep=["doc_id"])
+    families = F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["family"])))
+    notices = F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x["paragraph"].cast("string"), x["family"])), ",")
+    return found.select("doc_id", F.size("licences").cast("long").alias("n_notices"), F.array_join(families, ",").alias("families"), notices.alias("notices"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -90,6 +98,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_pii": op2_pii,
+    "op3_licences": op3_licences,
     "op4_mixing": op4_mixing,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_decontamination": op6_decontamination,
