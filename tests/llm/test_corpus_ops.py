@@ -274,3 +274,30 @@ def test_quality_votes(spark):
     empty = quality.score_quality(df, quality.fit(df, labels.limit(0)))
     assert {r.score for r in empty.collect()} == {0.5}
     assert quality.score_quality(docs(spark, []), model).count() == 0
+
+
+# --- licences
+
+
+def test_notices_match_the_plain_classifier(spark):
+    from siltmark.llm import licences
+
+    rng = random.Random(6)
+    words = ["the", "work", "of", "law", "general", "driver", "software", "license", "fee"]
+    rows = []
+    for i in range(40):
+        lines = [prose(rng, 12, words) for _ in range(3)]
+        if i % 2:
+            family = rng.choice(list(licences.TEMPLATES))
+            lines.insert(rng.randrange(4), rng.choice(licences.TEMPLATES[family]))
+        rows.append((i, "\n".join(lines), "en", "s"))
+    rows += [(40, None, "en", "s"), (41, "", "en", "s"), (42, "\n\n1 2\n" + "word " * 30000, "en", "s"), (1, rows[1][1], "en", "s"), (43, "The driver lost her license after the accident.", "en", "s")]
+    df = docs(spark, rows)
+    model = licences.fit(df.limit(0))
+    got = licences.find_licences(df.withColumn("licences", F.lit("clash")), model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = [(i, f) for i, line in enumerate((r.text or "").split("\n")) if (f := model.predict(line)[0]) != licences.UNKNOWN]
+        assert [(x.paragraph, x.family) for x in r.licences] == want, r.text
+    assert model.predict("Released under the MIT License.")[0] == "mit" and model.predict("Licensed under CC BY-NC 3.0.")[0] == "cc_by_nc"
+    assert licences.find_licences(docs(spark, []), model).count() == 0
