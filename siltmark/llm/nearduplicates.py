@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,8 @@ AGREE = 0.55
 PARTNERS = 32
 #: Groups of shingles whose shared weights are compared.
 GROUPS = 48
+#: Members of a large bucket in one block, about.
+BLOCK_NODES = 512
 #: Document frequencies are counted in 2 ** DF_BITS buckets of shingle hashes, sent in parts.
 DF_BITS, DF_PART = 18, 4096
 #: Entries of the tables of random variates, for each row of the signature.
@@ -305,13 +307,52 @@ class _Search:
         w = sets.select("node", F.aggregate("w", F.lit(0.0), lambda a, x: a + x).alias("w"))
         return written(w.join(s.select("node", "s", g.alias("g")), "node").select("node", "w", "s", "g"), "weights")
 
-    def pairs_of(self, members: DataFrame, bound: Column | None = None) -> DataFrame:
+    @staticmethod
+    def pairs_of(members: DataFrame) -> DataFrame:
         """Of each bucket: its members outside the largest class with its members of other classes."""
-        extra = [c for c in ("w", "s", "g", "bands") if c in members.columns]
-        asks = members.where(F.col("class") != F.col("top")).select(F.col("key").alias("ka"), F.col("node").alias("a"), F.col("class").alias("ca"), *[F.col(c).alias(f"{c}a") for c in extra])
-        rows = members.select("key", F.col("node").alias("b"), F.col("class").alias("cb"), *[F.col(c).alias(f"{c}b") for c in extra])
-        met = asks.join(rows, (F.col("ka") == F.col("key")) & (F.col("ca") != F.col("cb")) & (bound if bound is not None else F.lit(True)))
-        return met.select("a", "b")
+        asks = members.where(F.col("class") != F.col("top")).select(F.col("key").alias("ka"), F.col("node").alias("a"), F.col("class").alias("ca"))
+        rows = members.select("key", F.col("node").alias("b"), F.col("class").alias("cb"))
+        return asks.join(rows, (F.col("ka") == F.col("key")) & (F.col("ca") != F.col("cb"))).select("a", "b")
+
+    def bounded_pairs(self, members: DataFrame) -> DataFrame:
+        """The same, of pairs that can reach the threshold, each in the bucket of the first band that it shares.
+
+        A bucket's members are packed in blocks of about BLOCK_NODES; blocks of those that
+        ask meet blocks of all members, and a task compares a pair of blocks at a time.
+        """
+        t = self.threshold - 1e-9
+        blocks = members.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK_NODES).cast("long")))
+        packed = F.collect_list(F.struct("node", "class", "w", "s", "g", "bands"))
+        asks = blocks.where(F.col("class") != F.col("top")).groupBy("key", "block").agg(packed.alias("x")).select("key", "x")
+        rows = blocks.groupBy("key", "block").agg(packed.alias("y")).select("key", "y")
+
+        def unpacked(column) -> tuple[np.ndarray, ...]:
+            v = column.flatten()
+            n = len(v)
+            g, bands = (v.field(k).flatten() for k in ("g", "bands"))
+            return *(np.asarray(v.field(k)) for k in ("node", "class", "w", "s")), np.asarray(g).reshape(n, -1), np.asarray(bands).reshape(n, -1)
+
+        def compare(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    key = batch.column(0)[i].as_py()
+                    (na, ca, wa, sa, ga, ba), (nb, cb, wb, sb, gb, bb) = (unpacked(batch.column(k).slice(i, 1)) for k in (1, 2))
+                    every = wa[:, None] + wb[None]
+                    least = np.minimum(sa[:, None], sb[None])
+                    x, y = np.nonzero((ca[:, None] != cb[None]) & (least >= t * (every - least)))
+                    found = []
+                    for part in np.array_split(np.arange(len(x)), max(1, len(x) // 20_000)):
+                        p, q = x[part], y[part]
+                        same = ba[p] == bb[q]
+                        mine = ba[p, same.argmax(axis=1)] == key
+                        p, q = p[mine], q[mine]
+                        total = np.minimum(ga[p], gb[q]).sum(axis=1)
+                        can = total >= t * (wa[p] + wb[q] - total)
+                        found.append((na[p[can]], nb[q[can]]))
+                    a, b = (np.concatenate(z) for z in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        return asks.join(rows, "key").select("key", "x", "y").mapInArrow(compare, "a long, b long")
 
     def run(self) -> DataFrame:
         """(node, root) of all nodes with a link."""
@@ -329,14 +370,7 @@ class _Search:
             t = self.threshold - 1e-9
             able = large.join(weights.where(F.col("s") >= t * F.col("w")), "node")
             able = able.join(self.nodes.select("node", "bands"), "node")
-            s = F.least("sa", "sb")
-            # written out term by term, these are compiled
-            s_by_group = sum((F.least(F.get("ga", F.lit(k)), F.get("gb", F.lit(k))) for k in range(GROUPS)), F.lit(0.0))
-            # of the buckets that a pair shares, that of the first band counts
-            both = [(F.get("bandsa", F.lit(k)), F.get("bandsb", F.lit(k))) for k in range(BANDS)]
-            first = F.coalesce(*[F.when(x == y, x) for x, y in both]) == F.col("key")
-            every = F.col("wa") + F.col("wb")
-            pairs = pairs.unionByName(self.pairs_of(able, (s >= t * (every - s)) & (s_by_group >= t * (every - s_by_group)) & first))
+            pairs = pairs.unionByName(self.bounded_pairs(able))
         self.link(pairs)
         return self.classes
 
