@@ -248,6 +248,23 @@ def burn_lines(segments: DataFrame, size: float) -> DataFrame:
     return steps.select(F.floor(y / size).cast("long").alias("row"), F.floor(x / size).cast("long").alias("col")).distinct()
 
 
+def near_segments(cells: DataFrame, segments: DataFrame, size: float, reach: float) -> DataFrame:
+    """Cells whose centre is within reach of a segment (x0, y0, x1, y1); distinct.
+
+    Segments are spread over the tiles of side ``reach`` that their bounding box, widened by
+    reach, touches; cells meet the segments of their tile only.
+    """
+    low, high = lambda a, b: F.floor((F.least(a, b) - reach) / reach), lambda a, b: F.floor((F.greatest(a, b) + reach) / reach)
+    wide = segments.withColumn("tx", F.explode(F.sequence(low("x0", "x1"), high("x0", "x1")))).withColumn("ty", F.explode(F.sequence(low("y0", "y1"), high("y0", "y1"))))
+    x, y = (F.col("col") + 0.5) * size, (F.col("row") + 0.5) * size
+    placed = cells.select(*KEY, x.alias("x"), y.alias("y")).withColumn("tx", F.floor(F.col("x") / reach)).withColumn("ty", F.floor(F.col("y") / reach))
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    t = F.coalesce(F.try_divide((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy, dx * dx + dy * dy), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    d2 = F.pow(F.col("x") - F.col("x0") - t * dx, F.lit(2)) + F.pow(F.col("y") - F.col("y0") - t * dy, F.lit(2))
+    return placed.join(wide, ["tx", "ty"]).where(d2 <= reach * reach).select(*KEY).distinct()
+
+
 def in_polygon(x: Column, y: Column, ring: Column) -> Column:
     """Whether a point is inside a ring (array of structs x, y, first not repeated), by crossings of a ray; strictly, but for points on an edge, which may fall either way."""
     n = F.size(ring)

@@ -169,3 +169,13 @@ def polygon_cells(spark, d):
 def burned_lines(spark, d):
     e = table(spark, d, "events").select(F.col("value").alias("x0"), F.col("user_id").cast("double").alias("y0"), (F.col("value") + F.col("event_id") % 5).alias("x1"), (F.col("user_id") + F.col("event_id") % 3).cast("double").alias("y1"))
     return grid.burn_lines(e, 1.0)
+
+
+@query(f"""WITH {CELLS}, g AS (SELECT n_nationkey * 2.03 AS x0, (n_nationkey * 7) % 50 + 0.01 AS y0, n_nationkey * 2.03 + n_nationkey % 4 AS x1, (n_nationkey * 7) % 50 + 0.01 + n_nationkey % 3 AS y1 FROM nation),
+k AS (SELECT "row", col, col + 0.5 AS x, "row" + 0.5 AS y, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy FROM c, g), t AS (SELECT *, greatest(0, least(1, coalesce(((x - x0) * dx + (y - y0) * dy) / nullif(dx * dx + dy * dy, 0), 0))) AS t FROM k)
+SELECT DISTINCT "row", col FROM t WHERE pow(x - x0 - t * dx, 2) + pow(y - y0 - t * dy, 2) <= 2.25""")
+def line_buffer_mask(spark, d):
+    n = F.col("n_nationkey")
+    x0, y0 = (n * 2.03).cast("double"), ((n * 7) % 50 + 0.01).cast("double")
+    g = table(spark, d, "nation").select(x0.alias("x0"), y0.alias("y0"), (x0 + n % 4).alias("x1"), (y0 + n % 3).alias("y1"))
+    return grid.near_segments(cells(spark, d), g, 1.0, 1.5)
