@@ -82,7 +82,8 @@ def _tokens(text: str) -> list[str]:
 
 def _grams(text: str) -> set[str]:
     t = _tokens(text)
-    return {x for x in t if x not in _STOP and x != "0"} | {f"{a} {b}" for a, b in zip(t, t[1:], strict=False)}
+    plain = _STOP | {"0"}
+    return {x for x in t if x not in plain} | {f"{a} {b}" for a, b in zip(t, t[1:], strict=False) if not (a in plain and b in plain)}
 
 
 class Model:
@@ -198,10 +199,11 @@ def find_licences(docs: DataFrame, model: Model, text: str = "text", keep: list[
     p = paragraphs(rows.select("__h", "__text"), "__text", ["__h"])
     pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     grams = p.select("__h", "paragraph", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
-    met = grams.join(F.broadcast(model.table(docs.sparkSession)), "gram")
+    vocabulary = F.broadcast(model.table(docs.sparkSession))
     n, m = len(model.families), len(model.templates)
-    # equal texts give the same n-grams, so a paragraph's are counted once, by the distinct n-gram
-    once = met.groupBy("__h", "paragraph", "gram").agg(F.first("w").alias("w"), F.first("t").alias("t"))
+    # equal texts give the same n-grams, so a paragraph's are counted once
+    met = grams.join(vocabulary.select("gram"), "gram", "left_semi").distinct()
+    once = met.join(vocabulary, "gram")
     sums = [F.sum(F.get("w", F.lit(k))).alias(f"w{k}") for k in range(n)] + [F.count_if(F.array_contains("t", k)).alias(f"t{k}") for k in range(m)]
     scored = once.groupBy("__h", "paragraph").agg(*sums)
     chance = scored.select("__h", "paragraph", *[f"t{k}" for k in range(m)], _softmax(F.array(*[F.col(f"w{k}") for k in range(n)]), model.bias.tolist(), model.temperature).alias("p"))
