@@ -301,3 +301,21 @@ def test_notices_match_the_plain_classifier(spark):
         assert [(x.paragraph, x.family) for x in r.licences] == want, r.text
     assert model.predict("Released under the MIT License.")[0] == "mit" and model.predict("Licensed under CC BY-NC 3.0.")[0] == "cc_by_nc"
     assert licences.find_licences(docs(spark, []), model).count() == 0
+
+
+def test_unlearned_languages_are_rejected_at_all_lengths(spark):
+    rng = random.Random(12)
+
+    def language_of(letters):
+        return ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+
+    words = {"en": language_of("etaoinshrdlu"), "de": language_of("enirsatdhuäß"), "es": language_of("eaosrnidlcóñ")}
+    rows = [(i, prose(rng, 120, words[l]), l, "s") for i, l in enumerate(list(words) * 150)]
+    model = language.Model(language.fit(docs(spark, rows)))
+    for other in (language_of("zwiaoyeckłżś"), language_of("abcdefghijklmnopqrstuvwxyz")):
+        for n in (20, 100, 400, 2000):
+            assert all(model.predict(prose(rng, n, other))[1] <= language.MARGIN for _ in range(20)), n
+    for l, own in words.items():
+        for n in (20, 100, 400, 2000):
+            found = [model.predict(prose(rng, n, own)) for _ in range(20)]
+            assert sum(f == l and s > language.MARGIN for f, s in found) >= 19, (l, n)
