@@ -319,3 +319,28 @@ def test_unlearned_languages_are_rejected_at_all_lengths(spark):
         for n in (20, 100, 400, 2000):
             found = [model.predict(prose(rng, n, own)) for _ in range(20)]
             assert sum(f == l and s > language.MARGIN for f, s in found) >= 19, (l, n)
+
+
+def test_licences_over_several_lines_and_several_in_one(spark):
+    import textwrap
+
+    from siltmark.llm import licences
+
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish and distribute copies of the Software.'
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    prose_ = " ".join(["The river ran past the old mill and nobody knew who had built it."] * 12)
+    rows, want = [], {}
+    for k, (family, notice) in enumerate({"mit": mit, "gpl": gpl, "bsd": bsd}.items()):
+        for j, width in enumerate((40, 72, 80)):
+            lines = textwrap.wrap(notice, width)
+            rows.append((10 * k + j, "\n".join(["int x;", "", *("# " + x for x in lines), "", prose_]), "en", "s"))
+            want[10 * k + j] = [(2, family)]
+        rows.append((10 * k + 8, "\n".join([*textwrap.wrap(prose_, 72), *textwrap.wrap(notice, 72), *textwrap.wrap(prose_, 72)]), "en", "s"))
+        want[10 * k + 8] = [(len(textwrap.wrap(prose_, 72)), family)]
+    rows.append((50, "Licensed under the MIT license or the Apache License, Version 2.0.", "en", "s"))
+    rows.append((51, f"{prose_} {gpl} {prose_} {bsd} {prose_}", "en", "s"))
+    rows.append((52, textwrap.fill(prose_, 72) + "\n\n" + "The general public was free to\nmodify the terms of the license.", "en", "s"))
+    got = {r.doc_id: [(x.paragraph, x.family) for x in r.licences] for r in licences.find_licences(docs(spark, rows), licences.fit(docs(spark, []))).collect()}
+    assert {k: got[k] for k in want} == want
+    assert sorted(f for _, f in got[50]) == ["apache", "mit"] and sorted(f for _, f in got[51]) == ["bsd", "gpl"] and got[52] == []
