@@ -1,7 +1,8 @@
 """Near-duplicates by improved consistent weighted sampling over tf-idf shingles.
 
 Texts become weighted sets of five-word shingles: the weight is the shingle's count times
-an idf between 1 and 2, from document frequencies of hashed shingles over the whole corpus.
+an idf between 1 and 2, from the number of texts that hold the shingle in the whole corpus:
+frequencies are counted for every distinct hash of a shingle, and those over 1 joined to the texts.
 Improved consistent weighted sampling gives signatures whose rows agree with the
 probability of the weighted Jaccard similarity. Rows are banded; texts that share a band
 are candidates, and a pair is linked if its weighted Jaccard similarity, computed from the
@@ -44,8 +45,8 @@ PARTNERS = 32
 GROUPS = 48
 #: Members of a large bucket in one block, about.
 BLOCK_NODES = 512
-#: Document frequencies are counted in 2 ** DF_BITS buckets of shingle hashes, sent in parts.
-DF_BITS, DF_PART = 18, 4096
+#: A sampler's table of idf, where one is given, has 2 ** DF_BITS entries, by the first bits of the hash.
+DF_BITS = 18
 #: Entries of the tables of random variates, for each row of the signature.
 _POOL_BITS = 14
 #: Ids that are broadcast at most where copies are left out.
@@ -65,59 +66,82 @@ def weighted_shingles(block: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return h[at], np.diff(np.append(at, len(h))), np.searchsorted(of[at], np.arange(texts + 1))
 
 
-def _df_bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - DF_BITS)).astype(np.int64)
+def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
+    """(node, text, copies): each text once, and its rows."""
+    rows = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text")).where("text is not null")
+    return rows.groupBy("node").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
 
-_PART_SCHEMA = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("branch", T.IntegerType()), T.StructField("n", T.ArrayType(T.LongType()))])
+class Frequencies:
+    """table (h, n): texts of each shingle hash that several have."""
 
+    def __init__(self, table: DataFrame):
+        self.table = table
 
-def document_frequencies(docs: DataFrame, text: str) -> np.ndarray:
-    """Texts by bucket of shingle hashes, over all rows. Parts are added up in two levels of groups."""
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Looked up on the driver, for tables that fit it."""
+        rows = self.table.orderBy("h").toArrow()
+        return looked_up(h, np.asarray(rows.column("h").combine_chunks()), np.asarray(rows.column("n").combine_chunks()))
+
+
+def looked_up(h: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n of each hash, 1 for those that hashes (sorted as signed) doesn't have."""
+    if not len(hashes):
+        return np.ones(len(h), np.int64)
+    at = np.minimum(np.searchsorted(hashes, h.view(np.int64)), len(hashes) - 1)
+    return np.where(hashes[at] == h.view(np.int64), n[at], 1)
+
+
+def frequencies_of(texts: DataFrame) -> Frequencies:
+    """Of (node, text, copies): counts are added up within blocks of texts, then by hash."""
 
     def count(batches):
-        total = np.zeros(1 << DF_BITS, np.int64)
         for b in batches:
+            copies = np.asarray(b.column(1))
             for block in words_of(b.column(0)):
                 h, _, at = weighted_shingles(block)
-                # a bucket counts once for each text
-                key = np.unique(_df_bucket(h) + (np.repeat(np.arange(len(at) - 1), np.diff(at)) << DF_BITS))
-                total += np.bincount(key & ((1 << DF_BITS) - 1), minlength=1 << DF_BITS)
-        from pyspark import TaskContext
-
-        branch = TaskContext.get().partitionId() % 64
-        for k, p in enumerate(total.reshape(-1, DF_PART)):
-            if p.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([branch], pa.int32()), pa.array([p])], ["part", "branch", "n"])
-
-    def add(key, rows: Iterator[pa.RecordBatch]):
-        total = np.zeros(DF_PART, np.int64)
-        for b in rows:
-            total += np.asarray(b.column("n").flatten()).reshape(-1, DF_PART).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([total])], ["part", "branch", "n"])
-
-    def add_batches(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return add(key, rows)
-
-    parts = docs.select(text).mapInArrow(count, _PART_SCHEMA)
-    for keys in (["part", "branch"], ["part"]):
-        parts = parts.groupBy(*keys).applyInArrow(add_batches, _PART_SCHEMA)
-    out = np.zeros((1 << DF_BITS) // DF_PART * DF_PART, np.int64).reshape(-1, DF_PART)
-    for r in parts.toArrow().to_pylist():
-        out[r["part"]] = r["n"]
-    return out.ravel()
-
-
-def idf_of(frequencies: np.ndarray, documents: int) -> np.ndarray:
-    """1 for a shingle of all texts to 2 for one of a single text, by the logarithm."""
+                each = np.repeat(copies[block.row : block.row + len(at) - 1], np.diff(at))
+                distinct, inverse = np.unique(h, return_inverse=True)
+                n = np.bincount(inverse, weights=each, minlength=len(distinct)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    counted = texts.select("text", "copies").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return Frequencies(written(counted.where("n > 1"), "frequencies"))
+
+
+def document_frequencies(docs: DataFrame, text: str) -> Frequencies:
+    """Texts by distinct shingle hash, over all rows."""
+    return frequencies_of(distinct_texts(docs, text))
+
+
+def common_shingles(texts: DataFrame, frequencies: Frequencies) -> DataFrame:
+    """(node, dh, dn): a text's shingle hashes that several rows have, sorted, and their frequencies."""
+
+    def shingles(batches):
+        for b in batches:
+            node = np.asarray(b.column(0))
+            for block in words_of(b.column(1)):
+                h, _, at = weighted_shingles(block)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[block.row : block.row + len(at) - 1], np.diff(at))), pa.array(h.view(np.int64))], ["node", "h"])
+
+    flat = texts.select("node", "text").mapInArrow(shingles, "node long, h long")
+    # at most a text's shingles in a row
+    by = flat.join(frequencies.table, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("h", "n"))).alias("d"))
+    return by.select("node", F.col("d.h").alias("dh"), F.col("d.n").alias("dn"))
+
+
+def idf_of(frequencies: np.ndarray | Frequencies, documents: int):
+    """1 for a shingle of all texts to 2 for one of a single text, by the logarithm; of Frequencies, a function of hashes."""
     n = max(documents, 2)
+    if isinstance(frequencies, Frequencies):
+        return lambda h: idf_of(frequencies.of(h), documents)
     return 1 + np.log(n / np.clip(frequencies, 1, n)) / np.log(n)
 
 
 class Sampler:
     """Improved consistent weighted sampling: for a shingle and a row, gamma variates r and c and a uniform b are drawn from tables by the shingle's hash."""
 
-    def __init__(self, idf: np.ndarray, rows: int = BANDS * ROWS, bands: int = BANDS):
+    def __init__(self, idf=None, rows: int = BANDS * ROWS, bands: int = BANDS):
         rng = np.random.default_rng(20)
         n = 1 << _POOL_BITS
         self.idf, self.rows, self.bands = idf, rows, bands
@@ -127,9 +151,9 @@ class Sampler:
         self.b = rng.random((rows, n)).astype(np.float32)
 
     def weights(self, h: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return count * self.idf[_df_bucket(h)]
+        return count * (self.idf(h) if callable(self.idf) else self.idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)])
 
-    def sign(self, h: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def sign(self, h: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Signatures (uint32) of the texts that have shingles, in order."""
         size = np.diff(at)
         start = at[:-1][size > 0]
@@ -137,7 +161,7 @@ class Sampler:
         out = np.zeros((len(start), self.rows), np.uint32)
         if not len(start):
             return out
-        s = np.log(self.weights(h, count)).astype(np.float32)
+        s = np.log(weights).astype(np.float32)
         for k in range(self.rows):
             place = (h * self.multiplier[k]) >> np.uint64(64 - _POOL_BITS)
             r, b = self.r[k][place], self.b[k][place]
@@ -178,6 +202,22 @@ def _sets(column: pa.Array, sampler: Sampler) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
+def _known_sets(column: pa.Array, dh: pa.Array, dn: pa.Array, documents: int) -> Iterator[tuple[Words, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of texts with their shingles' hashes, weights, and where each text's begin; dh and dn are those of common_shingles."""
+    for block in words_of(column):
+        h, count, at = weighted_shingles(block)
+        n = np.ones(len(h), np.int64)
+        for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            d = dh[block.row + i]
+            if d.is_valid:
+                n[a:b] = looked_up(h[a:b], np.asarray(d.values), np.asarray(dn[block.row + i].values))
+        yield block, h, count * idf_of(n, documents), at
+
+
+def _weighted(column: pa.Array, dh: pa.Array, dn: pa.Array, documents: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(h[a:b], w[a:b]) for _, h, w, at in _known_sets(column, dh, dn, documents) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for all nodes of links (a, b): root is the smallest node that can be reached.
 
@@ -200,19 +240,17 @@ def components(links: DataFrame) -> DataFrame:
 
 class _Search:
     def __init__(self, docs: DataFrame, text: str, threshold: float):
-        self.docs = docs.select(F.col(text).alias("text"))
         self.threshold = threshold
-        n = self.docs.count()
-        frequencies = document_frequencies(self.docs, "text")
-        self.sampler = docs.sparkSession.sparkContext.broadcast(Sampler(idf_of(frequencies, n)))
-        sampler = self.sampler
+        self.n = n = docs.count()
+        self.texts = written(distinct_texts(docs, text), "distinct")
+        self.common = written(common_shingles(self.texts, frequencies_of(self.texts)), "common")
+        sampler = docs.sparkSession.sparkContext.broadcast(Sampler())
 
         def sign(batches):
             for batch in batches:
                 node = np.asarray(batch.column(0))
-                for block in words_of(batch.column(1)):
-                    h, count, at = weighted_shingles(block)
-                    signature = sampler.value.sign(h, count, at)
+                for block, h, w, at in _known_sets(*batch.columns[1:], n):
+                    signature = sampler.value.sign(h, w, at)
                     has = block.row + np.flatnonzero(np.diff(at) > 0)
                     keys = sampler.value.keys(signature)
                     if len(has):
@@ -220,8 +258,8 @@ class _Search:
                         yield pa.RecordBatch.from_arrays([pa.array(node[has]), pa.FixedSizeBinaryArray.from_buffers(pa.binary(width * 4), len(has), [None, pa.py_buffer(np.ascontiguousarray(signature))]).cast(pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))], ["node", "signature", "bands"])
 
         schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("signature", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-        signed = self.docs.select(F.xxhash64("text").alias("node"), "text").where("text is not null").mapInArrow(sign, schema)
-        self.nodes = written(signed.groupBy("node").agg(F.first("signature").alias("signature"), F.first("bands").alias("bands")), "signatures")
+        rows = self.texts.join(self.common, "node", "left").select("node", "text", "dh", "dn")
+        self.nodes = written(rows.mapInArrow(sign, schema), "signatures")
         self.links: DataFrame | None = None
         self.classes: DataFrame | None = None
 
@@ -239,22 +277,25 @@ class _Search:
         sides = [self.nodes.select(F.col("node").alias(s), F.col("signature").alias(f"s{s}")) for s in ("a", "b")]
         likely = written(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(agree, pair), "likely")
         texts = written(self.texts_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
-        joined = likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        sampler, threshold = self.sampler, self.threshold
+        ends = [texts.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("text", "dh", "dn")]) for s in ("a", "b")]
+        joined = likely.join(ends[0], "a").join(ends[1], "b").select("a", "b", *[f"{c}_{s}" for s in ("a", "b") for c in ("text", "dh", "dn")])
+        n, threshold = self.n, self.threshold
 
         def compare(batches):
             for batch in batches:
                 for k in range(0, batch.num_rows, 256):
                     part = batch.slice(k, 256)
-                    left, right = _sets(part.column(2), sampler.value), _sets(part.column(3), sampler.value)
+                    left, right = _weighted(*part.columns[2:5], n), _weighted(*part.columns[5:8], n)
                     keep = [i for i, (x, y) in enumerate(zip(left, right, strict=True)) if similarity(*x, *y) >= threshold - 1e-9]
                     yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], ["a", "b"])
 
         return joined.mapInArrow(compare, pair)
 
     def texts_of(self, ids: DataFrame) -> DataFrame:
-        """(node, text) of some nodes."""
-        return self.docs.select(F.xxhash64("text").alias("node"), "text").where("text is not null").join(self._hint(ids), "node", "left_semi").dropDuplicates(["node"])
+        """(node, text, dh, dn) of some nodes."""
+        ids = self._hint(ids)
+        some = (t.join(ids, "node", "left_semi") for t in (self.texts.select("node", "text"), self.common))
+        return next(some).join(next(some), "node", "left")
 
     @staticmethod
     def _hint(ids: DataFrame) -> DataFrame:
@@ -287,13 +328,13 @@ class _Search:
 
     def shared_weights(self, ids: DataFrame) -> DataFrame:
         """(node, w, s, g): a node's whole weight, that of its shingles that another of these nodes has, and this by group."""
-        sampler = self.sampler
+        n = self.n
 
         def shingles(batches):
             for batch in batches:
                 for k in range(0, batch.num_rows, 256):
                     part = batch.slice(k, 256)
-                    sets = _sets(part.column(1), sampler.value)
+                    sets = _weighted(*part.columns[1:], n)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.view(np.int64) for h, _ in sets], pa.list_(pa.int64())), pa.array([w for _, w in sets], pa.list_(pa.float64()))], ["node", "h", "w"])
 
         schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("h", T.ArrayType(T.LongType())), T.StructField("w", T.ArrayType(T.DoubleType()))])

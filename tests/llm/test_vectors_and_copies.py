@@ -162,3 +162,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert text[5].text == rows[5][1]
     run = corpus_pipeline.run(spark, sf)
     assert sorted(r.doc_id for r in run.select("doc_id").collect()) == sorted(r.doc_id for r in at.select("doc_id").collect())
+
+
+def test_frequencies_are_of_distinct_shingles(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(2000)) for _ in range(300)]
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts += [f"{passage} {i}" for i in range(40)] + [texts[0]] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = near.idf_of(near.document_frequencies(df, "text"), len(texts))
+    sets = near._sets(pa.array([texts[1], texts[310], texts[0]], pa.string()), near.Sampler(idf))
+    n = len(texts)
+    assert np.allclose(sets[0][1], 2.0)
+    assert np.allclose(np.sort(sets[1][1])[:-1], 1 + np.log(n / 40) / np.log(n))
+    assert np.allclose(sets[2][1], 1 + np.log(n / 4) / np.log(n))
