@@ -109,21 +109,41 @@ def fit_presence_background(df: DataFrame, presence: str, layers: list[str], cat
     return out
 
 
+#: Columns that fit_comparator adds for estimators that ask for them, and the part of the training rows that only validate.
+WEIGHT, VALIDATION, VALIDATION_PART = "__weight", "__validation", 0.2
+
+
 def comparators(seed: int = 42):
-    """Estimators by name: logistic regression, random forest, boosted trees."""
+    """Estimators by name: logistic regression, random forest, boosted trees.
+
+    A tree is at most 30 levels deep in Spark. Boosting stops at the first round that doesn't lower the
+    loss on the rows of VALIDATION; fit_comparator sets them, and the weights.
+    """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 
     return {
         "logistic_regression": LogisticRegression(regParam=0.01, maxIter=100),
-        "random_forest": RandomForestClassifier(numTrees=50, featureSubsetStrategy="sqrt", minInstancesPerNode=5, maxDepth=8, seed=seed),
-        "boosted_trees": GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=seed),
+        "random_forest": RandomForestClassifier(numTrees=500, featureSubsetStrategy="sqrt", minInstancesPerNode=5, maxDepth=30, weightCol=WEIGHT, seed=seed),
+        "boosted_trees": GBTClassifier(maxIter=500, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, weightCol=WEIGHT, validationIndicatorCol=VALIDATION, validationTol=0.0, seed=seed),
     }
 
 
 def fit_comparator(train: DataFrame, label: str, layers: list[str], estimator):
+    """A fitted pipeline. Weights balance the classes of the rows that are fitted; rows that validate are drawn from train by a hash."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
+    asks = {p.name: v for p, v in estimator.extractParamMap().items()}
+    if asks.get("validationIndicatorCol") == VALIDATION:
+        train = train.withColumn(VALIDATION, F.pmod(F.xxhash64(*train.columns, F.lit("validation")), F.lit(1 << 30)) < int(VALIDATION_PART * (1 << 30)))
+    if asks.get("weightCol") == WEIGHT:
+        fitted = train.where(~F.col(VALIDATION)) if VALIDATION in train.columns else train
+        counts = {r[0]: r[1] for r in fitted.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("double")).count().collect()}
+        n = sum(counts.values())
+        weight = F.lit(1.0)
+        for value, c in counts.items():
+            weight = F.when(F.col(label).cast("double") == value, n / (len(counts) * c)).otherwise(weight)
+        train = train.withColumn(WEIGHT, weight)
     stages = [VectorAssembler(inputCols=layers, outputCol="raw_features", handleInvalid="skip"), StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)]
     estimator = estimator.copy({estimator.getParam("labelCol"): label})
     return Pipeline(stages=[*stages, estimator]).fit(train)
@@ -147,16 +167,16 @@ def permuted(df: DataFrame, column: str, key: str, seed: int) -> DataFrame:
     return df.withColumn("__v", F.coalesce(F.lead(column).over(w), F.first(column).over(whole))).drop(column).withColumnRenamed("__v", column)
 
 
-def permutation_importance(model, test: DataFrame, label: str, layers: list[str], key: str, seed: int = 42) -> DataFrame:
-    """(layer, drop): the AUC lost where the layer is permuted."""
+def permutation_importance(model, test: DataFrame, label: str, layers: list[str], key: str, seed: int = 42, repeats: int = 10) -> DataFrame:
+    """(layer, drop): the AUC lost where the layer is permuted, on average over repeats."""
     from .metrics import auc
 
     base = auc(probability(model, test), label, "y_score").select(F.col("auc").alias("base"))
     out = None
-    for i, c in enumerate(layers):
+    for i, c in enumerate(layers * repeats):
         one = auc(probability(model, permuted(test, c, key, seed + i)), label, "y_score").crossJoin(base).select(F.lit(c).alias("layer"), (F.col("base") - F.col("auc")).alias("drop"))
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.groupBy("layer").agg(F.avg("drop").alias("drop"))
 
 
 def response_curve(model: Additive, means: DataFrame, layer: str, low: float, high: float, steps: int = 50) -> DataFrame:

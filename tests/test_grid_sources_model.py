@@ -121,3 +121,28 @@ def test_stream_of_windows(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
     windows.run_to_table(windows.tumbling(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() >= 1
+
+
+def test_comparators_are_whole_and_balanced(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+
+    made = model.comparators()
+    forest, boosted = made["random_forest"], made["boosted_trees"]
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getWeightCol()) == (500, 30, model.WEIGHT)
+    assert (boosted.getMaxIter(), boosted.getStepSize(), boosted.getValidationIndicatorCol()) == (500, 0.05, model.VALIDATION)
+    df = spark.createDataFrame([(i, float(i % 50), float(i % 7), int(i % 50 > 46)) for i in range(1000)], "key long, a double, b double, y int")
+    seen = []
+    for cls, size in ((RandomForestClassifier, "numTrees"), (GBTClassifier, "maxIter")):
+        fit = cls._fit
+        monkeypatch.setattr(cls, "_fit", lambda self, rows, fit=fit: (seen.append(rows), fit(self, rows))[1])
+        small = {RandomForestClassifier: forest, GBTClassifier: boosted}[cls]
+        small = small.copy({small.getParam(size): 2})
+        fitted = model.fit_comparator(df, "y", ["a", "b"], small)
+        used = seen[-1].where(~F.col(model.VALIDATION)) if model.VALIDATION in seen[-1].columns else seen[-1]
+        of = {r.y: r.w for r in used.groupBy("y").agg(F.sum(model.WEIGHT).alias("w")).collect()}
+        assert of[0] == pytest.approx(of[1])
+    assert 80 < seen[-1].where(model.VALIDATION).count() < 220
+    dealt, permuted = [], model.permuted
+    monkeypatch.setattr(model, "permuted", lambda *a: (dealt.append(a[1:]), permuted(*a))[1])
+    model.permutation_importance(fitted, df, "y", ["a"], "key")
+    assert len(set(dealt)) == 10
