@@ -88,7 +88,7 @@ def jackknife_gains(spark, d):
     arms = {"all": layers} | {f"without_{c}": [x for x in layers if x != c] for c in layers} | {f"only_{c}": [c] for c in layers}
     train, test, out = rows.where("not is_test").select("presence", *layers).cache(), rows.where("is_test"), None
     for name, used in arms.items():
-        fitted = model.fit_presence_background(train, "presence", used, iterations=20)
+        fitted = model.fit_presence_background(train, "presence", used)
         one = metrics.auc(test.withColumn("eta", fitted.predictor(used)), "presence", "eta").select(F.lit(name).alias("arm"), "auc")
         out = one if out is None else out.unionByName(one)
     return rounded(out)
@@ -100,28 +100,28 @@ _FEATURES = ["l_quantity", "l_discount", "l_tax"]
 @query()
 def aicc_grid(spark, d):
     rows = _training(spark, d).where("not is_test").select("presence", *_FEATURES).cache()
-    return rounded(arms.aicc_grid(rows, "presence", _FEATURES, betas=(0.5, 2.0), classes=("L", "LQ"), iterations=15))
+    return rounded(arms.aicc_grid(rows, "presence", _FEATURES))
 
 
 @query()
 def leave_one_group_out(spark, d):
     rows = _training(spark, d)
     rows = rows.withColumn("key", F.xxhash64(*rows.columns)).select("key", "presence", "l_returnflag", *_FEATURES).cache()
-    return rounded(arms.fold_aucs(rows, "l_returnflag", "presence", _FEATURES, "key", iterations=15))
+    return rounded(arms.fold_aucs(rows, "l_returnflag", "presence", _FEATURES, "key"))
 
 
 @query()
 def ablation_groups(spark, d):
     rows = _training(spark, d).select("is_test", "presence", *_FEATURES).cache()
     groups = {"size": ["l_quantity"], "price": ["l_discount", "l_tax"]}
-    return rounded(arms.ablation(rows.where("not is_test"), rows.where("is_test"), "presence", groups, iterations=15))
+    return rounded(arms.ablation(rows.where("not is_test"), rows.where("is_test"), "presence", groups))
 
 
 @query()
 def masked_background_arm(spark, d):
     rows = _training(spark, d).select("is_test", "presence", "l_linenumber", *_FEATURES).cache()
     mask = rows.where("l_linenumber <= 3").select("l_linenumber").distinct()
-    return rounded(arms.masked_arm("first_lines", rows.where("not is_test"), rows.where("is_test"), mask, ["l_linenumber"], "presence", _FEATURES, iterations=15))
+    return rounded(arms.masked_arm("first_lines", rows.where("not is_test"), rows.where("is_test"), mask, ["l_linenumber"], "presence", _FEATURES))
 
 
 @query("""WITH a AS (SELECT o_orderpriority AS arm, round(avg(o_totalprice), 2) AS auc FROM orders GROUP BY ALL) SELECT arm, auc, round(auc - (SELECT auc FROM a WHERE arm = '1-URGENT'), 2) AS delta FROM a""")

@@ -146,3 +146,23 @@ def test_comparators_are_whole_and_balanced(spark, monkeypatch):
     monkeypatch.setattr(model, "permuted", lambda *a: (dealt.append(a[1:]), permuted(*a))[1])
     model.permutation_importance(fitted, df, "y", ["a"], "key")
     assert len(set(dealt)) == 10
+
+
+def test_study_arms_are_registered_whole(spark, monkeypatch):
+    from siltmark import plans
+    from siltmark.operators import arms
+
+    fits = []
+
+    def fit(df, presence, layers, categorical=(), beta=0.5, classes="LQ", background_weight=100.0, iterations=100):
+        fits.append((beta, classes, iterations))
+        return model.Additive(linear={c: (0.1, 0.0, 1.0) for c in layers})
+
+    monkeypatch.setattr(model, "fit_presence_background", fit)
+    assert arms.model is model
+    assert plans.QUERIES["aicc_grid"](spark, "/root/testdata/sf0.001").count() == 15
+    assert set(fits) == {(b, c, 50) for b in (0.25, 0.5, 1.0, 2.0, 4.0) for c in ("L", "Q", "LQ")}
+    for name in ("leave_one_group_out", "ablation_groups", "masked_background_arm", "jackknife_gains"):
+        fits.clear()
+        plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert fits and {f[2] for f in fits} == {100}, name
