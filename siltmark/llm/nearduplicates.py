@@ -424,25 +424,35 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     each has kept as their key says. A null key is the largest. Other columns are ignored.
     An empty table gives an empty result.
     """
+    rows, classes = _classes(docs, text, key, threshold)
+    return rows.join(classes, ["node", "none"]).select(F.col("key").alias(key), "class_id", F.col("key").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def _classes(docs: DataFrame, text: str, key: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, node, none), and for each node (node, none): class_id and of the texts with this key the one that is kept, as keeper."""
     rows = written(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("node"), F.col(text).isNull().alias("none")), "near-rows")
     search = _Search(docs, text, threshold)
     roots = search.run()
     least = rows.groupBy("node", "none").agg(F.min("key").alias("own"))
     rooted = least.join(roots.withColumn("none", F.lit(False)), ["node", "none"], "left").withColumn("root", F.coalesce("root", "node"))
-    classes = written(rooted.groupBy("root", "none").agg(F.min("own").alias("class_id")).join(rooted.select("node", "none", "root"), ["root", "none"]).select("node", "none", "class_id"), "near-classes")
-    return rows.join(classes, ["node", "none"]).select(F.col("key").alias(key), "class_id", F.col("key").eqNullSafe(F.col("class_id")).alias("kept"))
+    first = F.min(F.struct(F.col("own").isNull(), "own", "node")).alias("f")
+    by = rooted.groupBy("root", "none").agg(F.min("own").alias("class_id"), first).select("root", "none", "class_id", F.col("f.node").alias("keeper"))
+    return rows, written(by.join(rooted.select("node", "none", "root"), ["root", "none"]).select("node", "none", "class_id", "keeper"), "near-classes")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs without all near-duplicates but one of each class, that of the smallest key.
 
-    Of repeated rows of that key, one stays.
+    Of repeated rows of that key, one stays, and of several texts of it in the class one; null keys are
+    the largest. Rows to drop are told by key and text.
     """
-    found = written(near_duplicates(docs, text, key, threshold), "near-found")
-    if found.count() != found.select(key).distinct().count():
+    rows, classes = _classes(docs, text, key, threshold)
+    found = written(rows.join(classes, ["node", "none"]).select("key", "node", "none", (F.col("key").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("keeper"))).alias("kept")), "near-found")
+    if found.count() != found.select("key", "node", "none").distinct().count():
         docs = docs.dropDuplicates([key, text])
-    gone = found.where(~F.col("kept")).select(F.col(key).alias("__gone"), F.lit(True).alias("__is")).distinct()
+    gone = found.where(~F.col("kept")).select(F.col("key").alias("__gone"), F.col("node").alias("__node"), F.col("none").alias("__none")).distinct()
     gone = written(gone, "near-gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    same = F.col(key).eqNullSafe(F.col("__gone")) & (F.xxhash64(text) == F.col("__node")) & (F.col(text).isNull() == F.col("__none"))
+    return docs.join(gone, same, "left_anti")

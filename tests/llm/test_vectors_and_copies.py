@@ -176,3 +176,12 @@ def test_frequencies_are_of_distinct_shingles(spark):
     assert np.allclose(sets[0][1], 2.0)
     assert np.allclose(np.sort(sets[1][1])[:-1], 1 + np.log(n / 40) / np.log(n))
     assert np.allclose(sets[2][1], 1 + np.log(n / 4) / np.log(n))
+
+
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    rng = random.Random(10)
+    a, b, c = (" ".join(f"x{rng.randrange(9999)}" for _ in range(60)) for _ in range(3))
+    rows = [(7, a), (8, a), (3, b), (7, b), (None, c), (None, c + " end"), (None, None), (None, None)]
+    got = near.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.text)[:60]) for r in got if r.text is None or not r.text.startswith(c)) == sorted([("7", a[:60]), ("3", b[:60]), ("None", "None")])
+    assert len(got) == 4
