@@ -75,6 +75,10 @@ def output(df: DataFrame, eta: Column, kind: str = "cloglog", background: DataFr
     return df.crossJoin(z).withColumn("raw", raw).withColumn("suitability", value).drop("__z", "__ze", "__top", "__h")
 
 
+#: Codes of a categorical layer at most, a term each; more are an error.
+CODES = 1000
+
+
 def fit_presence_background(df: DataFrame, presence: str, layers: list[str], categorical: list[str] = (), beta: float = 0.5, classes: str = "LQ", background_weight: float = 100.0, iterations: int = 100) -> Additive:
     """A point-process fit by logistic regression with heavily weighted background and an L1 penalty scaled by beta."""
     from pyspark.ml.classification import LogisticRegression
@@ -82,7 +86,9 @@ def fit_presence_background(df: DataFrame, presence: str, layers: list[str], cat
 
     numeric = [c for c in layers if c not in categorical]
     ranges = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in numeric for n, f in (("lo", F.min), ("hi", F.max))], *[f(F.pow(F.col(c).cast("double"), F.lit(2))).alias(f"{n}2_{c}") for c in numeric for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    codes = {c: sorted(float(r[0]) for r in df.select(c).distinct().limit(1000).collect() if r[0] is not None) for c in categorical}
+    codes = {c: sorted(float(r[0]) for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(CODES + 1).collect()) for c in categorical}
+    if over := [c for c in categorical if len(codes[c]) > CODES]:
+        raise ValueError(f"over {CODES} codes: {over}")
     terms: list[tuple[str, str, float | None, Column]] = []
     for c in numeric:
         v = F.col(c).cast("double")

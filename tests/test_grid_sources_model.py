@@ -166,3 +166,9 @@ def test_study_arms_are_registered_whole(spark, monkeypatch):
         fits.clear()
         plans.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert fits and {f[2] for f in fits} == {100}, name
+
+
+def test_too_many_codes_are_an_error(spark):
+    df = spark.range(model.CODES + 1).select(F.col("id").alias("c"), (F.col("id") % 2).alias("y"))
+    with pytest.raises(ValueError):
+        model.fit_presence_background(df, "y", ["y", "c"], ["c"])
