@@ -1,8 +1,13 @@
 """Near-duplicates by improved consistent weighted sampling over tf-idf shingles.
 
 Texts become weighted sets of five-word shingles: the weight is the shingle's count times
-an idf between 1 and 2, from the number of texts that hold the shingle in the whole corpus:
-frequencies are counted for every distinct hash of a shingle, and those over 1 joined to the texts.
+an idf between 1 and 2, from the number of texts that hold the shingle in the whole corpus.
+Frequencies are exact: chunks of texts send each of their distinct shingle hashes once to the
+task of its range, which adds up the counts and returns those over 1 (see Exchange).
+A text's similarity to any other is at most the weight of its shingles that another row has, as
+a part of its whole weight. Texts for which that is below the threshold can have no link, and
+only the others are signed, banded and compared.
+
 Improved consistent weighted sampling gives signatures whose rows agree with the
 probability of the weighted Jaccard similarity. Rows are banded; texts that share a band
 are candidates, and a pair is linked if its weighted Jaccard similarity, computed from the
@@ -26,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import written
-from .words import Words, mixed, shingle_hashes, words_of
+from .words import BLOCK, Words, block_ends, buffers, mixed, shingle_hashes, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -45,21 +51,40 @@ PARTNERS = 32
 GROUPS = 48
 #: Members of a large bucket in one block, about.
 BLOCK_NODES = 512
-#: A sampler's table of idf, where one is given, has 2 ** DF_BITS entries, by the first bits of the hash.
-DF_BITS = 18
+#: Shingles and texts of a chunk of an Exchange, about, and shingles of a range.
+CHUNK_SHINGLES, CHUNK_TEXTS, RANGE_SHINGLES = 1 << 21, 50_000, 1 << 20
 #: Entries of the tables of random variates, for each row of the signature.
 _POOL_BITS = 14
 #: Ids that are broadcast at most where copies are left out.
 BROADCAST_IDS = 500_000
 
 
+def ordered(high: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Order by (high, h); high is sorted. Packed keys are sorted first, which is several times faster than lexsort."""
+    n = len(h)
+    if not n:
+        return np.zeros(0, np.int64)
+    place, top = max(1, (n - 1).bit_length()), int(high[-1]).bit_length()
+    if place + top < 40:
+        low = np.uint64(place)
+        key = (high.astype(np.uint64) << np.uint64(64 - top)) if top else np.zeros(n, np.uint64)
+        key |= (h >> np.uint64(top + place)) << low
+        key |= np.arange(n, dtype=np.uint64)
+        key.sort()
+        order = (key & np.uint64((1 << place) - 1)).astype(np.int64)
+        x, y = high[order], h[order]
+        if not ((x[1:] == x[:-1]) & (y[1:] < y[:-1])).any():
+            return order
+    return np.lexsort((h, high))
+
+
 def weighted_shingles(block: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of a block's texts, their counts, and where each text's begin (with the end)."""
     h, of = shingle_hashes(block, SHINGLE)
     texts = len(block.first) - 1
     if not len(h):
         return h, np.zeros(0), np.zeros(texts + 1, np.int64)
-    order = np.lexsort((h, of))
+    order = ordered(of, h)
     h, of = h[order], of[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
     at = np.flatnonzero(new)
@@ -67,92 +92,214 @@ def weighted_shingles(block: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
-    """(node, text, copies): each text once, and its rows."""
-    rows = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text")).where("text is not null")
-    return rows.groupBy("node").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-
-
-class Frequencies:
-    """table (h, n): texts of each shingle hash that several have."""
-
-    def __init__(self, table: DataFrame):
-        self.table = table
-
-    def of(self, h: np.ndarray) -> np.ndarray:
-        """Looked up on the driver, for tables that fit it."""
-        rows = self.table.orderBy("h").toArrow()
-        return looked_up(h, np.asarray(rows.column("h").combine_chunks()), np.asarray(rows.column("n").combine_chunks()))
+    """(node, text): each text once."""
+    return docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text")).where("text is not null").groupBy("node").agg(F.first("text").alias("text"))
 
 
 def looked_up(h: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """n of each hash, 1 for those that hashes (sorted as signed) doesn't have."""
+    """n of each hash, 1 for those that hashes (sorted) doesn't have."""
     if not len(hashes):
         return np.ones(len(h), np.int64)
-    at = np.minimum(np.searchsorted(hashes, h.view(np.int64)), len(hashes) - 1)
-    return np.where(hashes[at] == h.view(np.int64), n[at], 1)
+    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    return np.where(hashes[at] == h, n[at], 1)
 
 
-def frequencies_of(texts: DataFrame) -> Frequencies:
-    """Of (node, text, copies): counts are added up within blocks of texts, then by hash."""
+def _planes(h: np.ndarray) -> bytes:
+    """Bytes of sorted hashes, all first bytes first: the first planes then cost next to nothing when compressed."""
+    return np.ascontiguousarray(h.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
-    def count(batches):
-        for b in batches:
-            copies = np.asarray(b.column(1))
-            for block in words_of(b.column(0)):
-                h, _, at = weighted_shingles(block)
-                each = np.repeat(copies[block.row : block.row + len(at) - 1], np.diff(at))
-                distinct, inverse = np.unique(h, return_inverse=True)
-                n = np.bincount(inverse, weights=each, minlength=len(distinct)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    counted = texts.select("text", "copies").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return Frequencies(written(counted.where("n > 1"), "frequencies"))
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
 
-def document_frequencies(docs: DataFrame, text: str) -> Frequencies:
-    """Texts by distinct shingle hash, over all rows."""
-    return frequencies_of(distinct_texts(docs, text))
+def _small(x: np.ndarray) -> bytes:
+    """Of whole numbers; nothing where all are 1."""
+    return b"" if (x == 1).all() else x.astype(np.uint32).tobytes()
 
 
-def common_shingles(texts: DataFrame, frequencies: Frequencies) -> DataFrame:
-    """(node, dh, dn): a text's shingle hashes that several rows have, sorted, and their frequencies."""
+def _from_small(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint32).astype(np.int64) if raw else np.ones(n, np.int64)
 
-    def shingles(batches):
-        for b in batches:
-            node = np.asarray(b.column(0))
-            for block in words_of(b.column(1)):
-                h, _, at = weighted_shingles(block)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[block.row : block.row + len(at) - 1], np.diff(at))), pa.array(h.view(np.int64))], ["node", "h"])
 
-    flat = texts.select("node", "text").mapInArrow(shingles, "node long, h long")
-    # at most a text's shingles in a row
-    by = flat.join(frequencies.table, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("h", "n"))).alias("d"))
-    return by.select("node", F.col("d.h").alias("dh"), F.col("d.n").alias("dn"))
+class Exchange:
+    """Counts in how many rows each shingle occurs, and gives the counts over 1 back to the texts.
 
+    A chunk is some texts of one task. Its distinct shingle hashes, sorted, are divided into
+    ranges; each range is a row with the hashes, the text of each in the chunk (or MANY), its
+    count in that text and the number of the chunk's rows that have it. So even a shingle that
+    every row has is sent once a chunk. The task of a range adds up the rows and returns the
+    entries with more than one. Lists of the texts of MANY go by the chunk's own row, and both
+    meet by chunk. rows and size: of the table, its rows and bytes of text.
+    """
 
-def idf_of(frequencies: np.ndarray | Frequencies, documents: int):
-    """1 for a shingle of all texts to 2 for one of a single text, by the logarithm; of Frequencies, a function of hashes."""
+    MANY = 65535
+    FIELDS = ("h", "of", "c", "n", "nodes", "totals", "mh", "mof", "mc")
+
+    def __init__(self, rows: int, size: int, threshold: float):
+        self.rows, self.threshold = rows, threshold
+        #: bits of a hash that tell its range
+        self.bits = max(0, (size // 7 // RANGE_SHINGLES).bit_length())
+
+    @property
+    def schema(self) -> T.StructType:
+        return T.StructType([T.StructField("range", T.LongType()), T.StructField("chunk", T.LongType()), *[T.StructField(f, T.BinaryType()) for f in self.FIELDS]])
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        whole, raw = pa.int64(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(list(x), whole if k < 2 else raw) for k, x in enumerate(zip(*rows, strict=True))], ["range", "chunk", *self.FIELDS])
+
+    def ask(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From (node, text)."""
+        base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 28
+        at = 0
+        seen: dict[int, int] = {}
+        copies: list[int] = []
+        hashes: list[np.ndarray] = []
+        of: list[np.ndarray] = []
+        held = 0
+        for b in batches:
+            node = b.column(0).to_pylist()
+            texts = b.column(1)
+            # some MB at a time, so that a chunk can end between them
+            for a, end in block_ends(buffers(texts)[1], 4 * BLOCK):
+                fresh = []
+                for i in range(a, end):
+                    k = seen.setdefault(node[i], len(seen))
+                    if k == len(copies):
+                        copies.append(1)
+                        fresh.append(i)
+                    else:
+                        copies[k] += 1
+                first = len(seen) - len(fresh)
+                for block in words_of(texts.take(pa.array(fresh, pa.int64()))):
+                    h, text = shingle_hashes(block, SHINGLE)
+                    hashes.append(h)
+                    of.append((text + (first + block.row)).astype(np.uint16))
+                    held += len(h)
+                if held >= CHUNK_SHINGLES or len(seen) > CHUNK_TEXTS:
+                    yield from self._chunk(base + at, seen, copies, hashes, of)
+                    at, seen, copies, hashes, of, held = at + 1, {}, [], [], [], 0
+        if seen:
+            yield from self._chunk(base + at, seen, copies, hashes, of)
+
+    def _chunk(self, chunk: int, seen: dict[int, int], copies: list[int], hashes: list[np.ndarray], of: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        of = np.concatenate(of) if of else np.zeros(0, np.uint16)
+        rows_of = np.array(copies)
+        totals = np.bincount(of, minlength=len(copies))
+        order = ordered(np.zeros(len(h), np.int64), h)
+        h, of = h[order], of[order]
+        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        size = np.diff(np.append(at, len(h)))
+        each, text, c = h[at], of[at], np.ones(len(at), np.int64)
+        n = rows_of[text] if len(at) else np.zeros(0, np.int64)
+        # entries that occur several times, in one text or in several
+        several = size > 1
+        inside = np.repeat(several, size)
+        mh, mof = h[inside], of[inside]
+        by = np.lexsort((mof, mh))
+        mh, mof = mh[by], mof[by]
+        new = np.flatnonzero(np.concatenate([[True], (mh[1:] != mh[:-1]) | (mof[1:] != mof[:-1])])) if len(mh) else np.zeros(0, np.int64)
+        mc = np.diff(np.append(new, len(mh)))
+        mh, mof = mh[new], mof[new]
+        group = np.flatnonzero(np.concatenate([[True], mh[1:] != mh[:-1]])) if len(mh) else np.zeros(0, np.int64)
+        if len(group):
+            texts = np.diff(np.append(group, len(mh)))
+            n[several] = np.add.reduceat(rows_of[mof], group)
+            c[several] = np.where(texts == 1, mc[group], 1)
+            text[several] = np.where(texts == 1, mof[group], self.MANY)
+            many = np.repeat(texts > 1, texts)
+            mh, mof, mc = mh[many], mof[many], mc[many]
+        cut = np.searchsorted(each, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)) if self.bits else np.zeros(1, np.int64)
+        cut = np.append(cut, len(each))
+        out = [(chunk % (1 << self.bits), chunk, None, None, None, None, np.array(list(seen), np.int64).tobytes(), totals.astype(np.int64).tobytes(), _planes(mh), mof.tobytes(), _small(mc))]
+        for r in np.flatnonzero(np.diff(cut)).tolist():
+            x = slice(cut[r], cut[r + 1])
+            out.append((r, chunk, _planes(each[x]), text[x].tobytes(), _small(c[x]), _small(n[x]), None, None, None, None, None))
+        for k in range(0, len(out), 64):
+            yield self._batch(out[k : k + 64])
+
+    def count(self, table: pa.Table) -> pa.Table:
+        """Of one range: the entries that several rows have, with the number of rows as n; rows of chunks as they are."""
+        rows = table.to_pylist()
+        asks = [r for r in rows if r["h"] is not None]
+        out = [tuple(r.values()) for r in rows if r["h"] is None]
+        hashes = [_from_planes(r["h"]) for r in asks]
+        if asks:
+            h = np.concatenate(hashes)
+            n = np.concatenate([_from_small(r["n"], len(x)) for r, x in zip(asks, hashes, strict=True)])
+            order = ordered(np.zeros(len(h), np.int64), h)
+            at = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+            total = np.empty(len(h), np.int64)
+            total[order] = np.repeat(np.add.reduceat(n[order], at), np.diff(np.append(at, len(h))))
+            done = 0
+            for r, x in zip(asks, hashes, strict=True):
+                own = total[done : done + len(x)]
+                done += len(x)
+                keep = own > 1
+                if keep.any():
+                    of = np.frombuffer(r["of"], np.uint16)[keep]
+                    out.append((r["range"], r["chunk"], _planes(x[keep]), of.tobytes(), _small(_from_small(r["c"], len(x))[keep]), _small(own[keep]), None, None, None, None, None))
+        return pa.Table.from_batches([self._batch(out)]) if out else table.slice(0, 0)
+
+    def answer(self, table: pa.Table) -> pa.Table:
+        """Of one chunk: (node, dh, dn) of its texts that can be similar to another, with the hashes that several rows have, sorted, and their numbers of rows."""
+        rows = table.to_pylist()
+        own = next(r for r in rows if r["nodes"] is not None)
+        got = [r for r in rows if r["h"] is not None]
+        node, totals = (np.frombuffer(own[k], np.int64) for k in ("nodes", "totals"))
+        hashes = [_from_planes(r["h"]) for r in got]
+        h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        of = np.concatenate([*[np.frombuffer(r["of"], np.uint16) for r in got], np.zeros(0, np.uint16)]).astype(np.int64)
+        c, n = (np.concatenate([*[_from_small(r[k], len(x)) for r, x in zip(got, hashes, strict=True)], np.zeros(0, np.int64)]) for k in ("c", "n"))
+        many = of == self.MANY
+        mh = _from_planes(own["mh"])
+        if len(mh):
+            # ranges come in any order
+            by = np.argsort(h[many], kind="stable")
+            at = np.searchsorted(h[many][by], mh)
+            h, n = np.concatenate([h[~many], mh]), np.concatenate([n[~many], n[many][by][at]])
+            of = np.concatenate([of[~many], np.frombuffer(own["mof"], np.uint16).astype(np.int64)])
+            c = np.concatenate([c[~many], _from_small(own["mc"], len(mh))])
+        weight = np.bincount(of, weights=c * idf_of(n, self.rows), minlength=len(node))
+        alone = (totals - np.bincount(of, weights=c, minlength=len(node))) * idf_of(np.ones(1), self.rows)[0]
+        able = (weight > 0) & (weight >= (self.threshold - 1e-6) * (weight + alone))
+        keep = able[of] if len(of) else np.zeros(0, bool)
+        h, n, of = h[keep], n[keep], of[keep]
+        order = np.lexsort((h, of))
+        h, n, of = h[order], n[order], of[order]
+        which = np.flatnonzero(able)
+        at = pa.array(np.append(np.searchsorted(of, which), len(of)).astype(np.int32))
+        return pa.table({"node": pa.array(node[which]), "dh": pa.ListArray.from_arrays(at, pa.array(h.view(np.int64))), "dn": pa.ListArray.from_arrays(at, pa.array(n))})
+
+    def run(self, docs: DataFrame, text: str) -> DataFrame:
+        """(node, dh, dn) of the texts that can be similar to another."""
+        asked = docs.select(F.xxhash64(text).alias("node"), F.col(text).cast("string").alias("text")).where("text is not null").mapInArrow(self.ask, self.schema)
+        counted = asked.groupBy("range").applyInArrow(lambda t: self.count(t), self.schema)
+        answered = counted.groupBy("chunk").applyInArrow(lambda t: self.answer(t), "node long, dh array<long>, dn array<long>")
+        # a text has the same in all chunks
+        return answered.groupBy("node").agg(F.first("dh").alias("dh"), F.first("dn").alias("dn"))
+
+
+def idf_of(frequencies: np.ndarray, documents: int) -> np.ndarray:
+    """1 for a shingle of all texts to 2 for one of a single text, by the logarithm."""
     n = max(documents, 2)
-    if isinstance(frequencies, Frequencies):
-        return lambda h: idf_of(frequencies.of(h), documents)
     return 1 + np.log(n / np.clip(frequencies, 1, n)) / np.log(n)
 
 
 class Sampler:
     """Improved consistent weighted sampling: for a shingle and a row, gamma variates r and c and a uniform b are drawn from tables by the shingle's hash."""
 
-    def __init__(self, idf=None, rows: int = BANDS * ROWS, bands: int = BANDS):
+    def __init__(self, rows: int = BANDS * ROWS, bands: int = BANDS):
         rng = np.random.default_rng(20)
         n = 1 << _POOL_BITS
-        self.idf, self.rows, self.bands = idf, rows, bands
+        self.rows, self.bands = rows, bands
         self.multiplier = rng.integers(1 << 62, size=rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.r = rng.gamma(2, 1, (rows, n)).astype(np.float32)
         self.c = np.log(rng.gamma(2, 1, (rows, n))).astype(np.float32)
         self.b = rng.random((rows, n)).astype(np.float32)
 
-    def weights(self, h: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return count * (self.idf(h) if callable(self.idf) else self.idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)])
-
     def sign(self, h: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Signatures (uint32) of the texts that have shingles, in order."""
         size = np.diff(at)
@@ -193,24 +340,15 @@ def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -
     return both / every if every > 0 else 0.0
 
 
-def _sets(column: pa.Array, sampler: Sampler) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for block in words_of(column):
-        h, count, at = weighted_shingles(block)
-        w = sampler.weights(h, count)
-        out += [(h[a:b], w[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-    return out
-
-
 def _known_sets(column: pa.Array, dh: pa.Array, dn: pa.Array, documents: int) -> Iterator[tuple[Words, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of texts with their shingles' hashes, weights, and where each text's begin; dh and dn are those of common_shingles."""
+    """Blocks of texts with their shingles' hashes, weights, and where each text's begin; dh and dn are those of an Exchange."""
     for block in words_of(column):
         h, count, at = weighted_shingles(block)
         n = np.ones(len(h), np.int64)
         for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
             d = dh[block.row + i]
             if d.is_valid:
-                n[a:b] = looked_up(h[a:b], np.asarray(d.values), np.asarray(dn[block.row + i].values))
+                n[a:b] = looked_up(h[a:b], np.asarray(d.values).view(np.uint64), np.asarray(dn[block.row + i].values))
         yield block, h, count * idf_of(n, documents), at
 
 
@@ -241,9 +379,12 @@ def components(links: DataFrame) -> DataFrame:
 class _Search:
     def __init__(self, docs: DataFrame, text: str, threshold: float):
         self.threshold = threshold
-        self.n = n = docs.count()
-        self.texts = written(distinct_texts(docs, text), "distinct")
-        self.common = written(common_shingles(self.texts, frequencies_of(self.texts)), "common")
+        self.n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()
+        n = self.n
+        common = written(Exchange(n, size, threshold).run(docs, text), "common")
+        rows = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text"))
+        held = rows.join(self._hint(common.select("node")), "node", "left_semi")
+        self.texts = written(distinct_texts(held, "text").join(common, "node").select("node", "text", "dh", "dn"), "texts")
         sampler = docs.sparkSession.sparkContext.broadcast(Sampler())
 
         def sign(batches):
@@ -258,8 +399,7 @@ class _Search:
                         yield pa.RecordBatch.from_arrays([pa.array(node[has]), pa.FixedSizeBinaryArray.from_buffers(pa.binary(width * 4), len(has), [None, pa.py_buffer(np.ascontiguousarray(signature))]).cast(pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))], ["node", "signature", "bands"])
 
         schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("signature", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-        rows = self.texts.join(self.common, "node", "left").select("node", "text", "dh", "dn")
-        self.nodes = written(rows.mapInArrow(sign, schema), "signatures")
+        self.nodes = written(self.texts.mapInArrow(sign, schema), "signatures")
         self.links: DataFrame | None = None
         self.classes: DataFrame | None = None
 
@@ -293,9 +433,7 @@ class _Search:
 
     def texts_of(self, ids: DataFrame) -> DataFrame:
         """(node, text, dh, dn) of some nodes."""
-        ids = self._hint(ids)
-        some = (t.join(ids, "node", "left_semi") for t in (self.texts.select("node", "text"), self.common))
-        return next(some).join(next(some), "node", "left")
+        return self.texts.join(self._hint(ids), "node", "left_semi")
 
     @staticmethod
     def _hint(ids: DataFrame) -> DataFrame:
@@ -422,7 +560,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     Texts of fewer than five words, but some, are one shingle. Texts without words are
     copies of equal texts only, and so are nulls of each other. Repeated rows are copies;
     each has kept as their key says. A null key is the largest. Other columns are ignored.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Texts are told apart by a 64-bit hash: of n different
+    texts about n * n / 2 ** 65 pairs share one. docs is read several times, so it should be a
+    table or a result whose rows come out the same, and in the same order, each time.
     """
     rows, classes = _classes(docs, text, key, threshold)
     return rows.join(classes, ["node", "none"]).select(F.col("key").alias(key), "class_id", F.col("key").eqNullSafe(F.col("class_id")).alias("kept"))

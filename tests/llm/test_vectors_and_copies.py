@@ -1,9 +1,12 @@
 """Neighbours, near-duplicates and the pipeline against brute force."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
-import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -55,11 +58,26 @@ def edited(rng, words, n):
     return out
 
 
+def shingles(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return [tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))]
+
+
+def idf(rows, of):
+    return 1 + math.log(of / rows) / math.log(of)
+
+
+def alike(a, b):
+    both = sum(min(w, b[g]) for g, w in a.items() if g in b)
+    every = sum(a.values()) + sum(b.values()) - both
+    return both / every if every else 0.0
+
+
 def brute_classes(spark, df, threshold=near.THRESHOLD):
     rows = df.select("doc_id", "text").collect()
     texts = sorted({r.text for r in rows if r.text is not None})
-    sampler = near.Sampler(near.idf_of(near.document_frequencies(df.select("text"), "text"), len(rows)))
-    sets = near._sets(pa.array(texts, pa.string()), sampler)
+    held = Counter(g for r in rows if r.text is not None for g in set(shingles(r.text)))
+    sets = [{g: c * idf(held[g], len(rows)) for g, c in Counter(shingles(t)).items()} for t in texts]
     root = list(range(len(texts)))
 
     def find(i):
@@ -69,7 +87,7 @@ def brute_classes(spark, df, threshold=near.THRESHOLD):
 
     for i in range(len(texts)):
         for j in range(i):
-            if near.similarity(*sets[i], *sets[j]) >= threshold - 1e-9:
+            if alike(sets[i], sets[j]) >= threshold - 1e-9:
                 root[find(i)] = find(j)
     key = {t: find(i) for i, t in enumerate(texts)} | {None: "null"}
     least = {}
@@ -107,7 +125,7 @@ def test_classes_match_brute_force(spark):
 
 def test_signatures_agree_as_weighted_similarity():
     rng = np.random.default_rng(3)
-    sampler = near.Sampler(np.ones(1 << near.DF_BITS), rows=512, bands=128)
+    sampler = near.Sampler(rows=512, bands=128)
     h = np.sort(rng.integers(0, 1 << 63, 120, dtype=np.uint64))
     a = np.r_[np.full(60, 3.0), np.full(40, 1.0)]
     b = np.r_[np.full(60, 2.0), np.full(40, 1.0)]
@@ -164,18 +182,48 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in run.select("doc_id").collect()) == sorted(r.doc_id for r in at.select("doc_id").collect())
 
 
-def test_frequencies_are_of_distinct_shingles(spark):
+@pytest.mark.parametrize("chunk, span", [(1 << 21, 1 << 20), (700, 300)])
+def test_exchanged_frequencies_are_exact(spark, monkeypatch, chunk, span):
+    """Over all rows, whatever the chunks and ranges; and of the texts that hold enough of them, no others."""
+    monkeypatch.setattr(near, "CHUNK_SHINGLES", chunk)
+    monkeypatch.setattr(near, "RANGE_SHINGLES", span)
     rng = random.Random(6)
-    texts = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(2000)) for _ in range(300)]
+    texts = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(200)) for _ in range(30)]
     passage = " ".join(f"p{i}" for i in range(30))
-    texts += [f"{passage} {i}" for i in range(40)] + [texts[0]] * 3
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    idf = near.idf_of(near.document_frequencies(df, "text"), len(texts))
-    sets = near._sets(pa.array([texts[1], texts[310], texts[0]], pa.string()), near.Sampler(idf))
-    n = len(texts)
-    assert np.allclose(sets[0][1], 2.0)
-    assert np.allclose(np.sort(sets[1][1])[:-1], 1 + np.log(n / 40) / np.log(n))
-    assert np.allclose(sets[2][1], 1 + np.log(n / 4) / np.log(n))
+    texts += [f"{passage} {i}" for i in range(40)] + [texts[0]] * 3 + ["again and " * 20 + str(i % 7) for i in range(9)] + [f"{passage} {texts[1]}"]
+    held = Counter(g for t in texts for g in set(shingles(t)))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    exchange = near.Exchange(len(texts), sum(map(len, texts)), 0.8)
+
+    def asked(batches):  # many small batches
+        for b in batches:
+            for i in range(0, b.num_rows, 3):
+                yield b.slice(i, 3)
+
+    rows = docs.select(F.xxhash64("text").alias("node"), "text").mapInArrow(asked, "node long, text string").mapInArrow(exchange.ask, exchange.schema)
+    answers = rows.groupBy("range").applyInArrow(lambda t: exchange.count(t), exchange.schema).groupBy("chunk").applyInArrow(lambda t: exchange.answer(t), "node long, dh array<long>, dn array<long>")
+    of = {r.node: r.text for r in docs.select(F.xxhash64("text").alias("node"), "text").collect()}
+    got = {}
+    for r in answers.collect():
+        assert got.setdefault(of[r.node], (r.dh, r.dn)) == (r.dh, r.dn)
+    able = set()
+    for t in set(texts):
+        w = {g: c * idf(held[g], len(texts)) for g, c in Counter(shingles(t)).items()}
+        if sum(x for g, x in w.items() if held[g] > 1) >= 0.8 * sum(w.values()):
+            able.add(t)
+    assert got.keys() == able
+    for t, (_, dn) in got.items():
+        assert sorted(dn) == sorted(held[g] for g in set(shingles(t)) if held[g] > 1)
+
+
+def test_packed_order_is_that_of_both_keys():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 1), (1, 1), (5000, 7), (5000, 1), (3000, 1 << 40)):
+        high = np.sort(rng.integers(0, top, n))
+        h = rng.choice(np.r_[rng.integers(0, 1 << 63, 200, dtype=np.uint64), np.uint64(5) + np.arange(9, dtype=np.uint64)], n)
+        order = near.ordered(high, h)
+        assert sorted(order.tolist()) == list(range(n))
+        assert list(zip(high[order], h[order])) == sorted(zip(high.tolist(), h.tolist()))
 
 
 def test_one_of_each_with_repeated_and_null_ids(spark):
