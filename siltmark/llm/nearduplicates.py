@@ -31,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import written
+from .store import discard, written
 from .words import BLOCK, Words, block_ends, buffers, mixed, shingle_hashes, words_of
 
 SHINGLE = 5
@@ -52,30 +53,33 @@ GROUPS = 48
 #: Members of a large bucket in one block, about.
 BLOCK_NODES = 512
 #: Shingles and texts of a chunk of an Exchange, about, and shingles of a range.
-CHUNK_SHINGLES, CHUNK_TEXTS, RANGE_SHINGLES = 1 << 21, 50_000, 1 << 20
+CHUNK_SHINGLES, CHUNK_TEXTS, RANGE_SHINGLES = 1 << 20, 50_000, 1 << 19
 #: Entries of the tables of random variates, for each row of the signature.
 _POOL_BITS = 14
 #: Ids that are broadcast at most where copies are left out.
 BROADCAST_IDS = 500_000
 
 
-def ordered(high: np.ndarray, h: np.ndarray) -> np.ndarray:
+def ordered(h: np.ndarray, high: np.ndarray | None = None) -> np.ndarray:
     """Order by (high, h); high is sorted. Packed keys are sorted first, which is several times faster than lexsort."""
     n = len(h)
     if not n:
         return np.zeros(0, np.int64)
-    place, top = max(1, (n - 1).bit_length()), int(high[-1]).bit_length()
+    place, top = max(1, (n - 1).bit_length()), 0 if high is None else int(high[-1]).bit_length()
     if place + top < 40:
-        low = np.uint64(place)
-        key = (high.astype(np.uint64) << np.uint64(64 - top)) if top else np.zeros(n, np.uint64)
-        key |= (h >> np.uint64(top + place)) << low
+        key = h >> np.uint64(top + place)
+        key <<= np.uint64(place)
+        if top:
+            key |= high.astype(np.uint64) << np.uint64(64 - top)
         key |= np.arange(n, dtype=np.uint64)
         key.sort()
-        order = (key & np.uint64((1 << place) - 1)).astype(np.int64)
-        x, y = high[order], h[order]
-        if not ((x[1:] == x[:-1]) & (y[1:] < y[:-1])).any():
+        key &= np.uint64((1 << place) - 1)
+        order = key.view(np.int64)
+        y = h[order]
+        odd = y[1:] < y[:-1]
+        if not (odd if high is None else odd & (high[order[1:]] == high[order[:-1]])).any():
             return order
-    return np.lexsort((h, high))
+    return np.argsort(h) if high is None else np.lexsort((h, high))
 
 
 def weighted_shingles(block: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +88,7 @@ def weighted_shingles(block: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     texts = len(block.first) - 1
     if not len(h):
         return h, np.zeros(0), np.zeros(texts + 1, np.int64)
-    order = ordered(of, h)
+    order = ordered(h, of)
     h, of = h[order], of[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
     at = np.flatnonzero(new)
@@ -104,22 +108,16 @@ def looked_up(h: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(hashes[at] == h, n[at], 1)
 
 
-def _planes(h: np.ndarray) -> bytes:
-    """Bytes of sorted hashes, all first bytes first: the first planes then cost next to nothing when compressed."""
-    return np.ascontiguousarray(h.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def _packed(x: np.ndarray) -> bytes:
+    """Bytes of whole numbers, all first bytes first: of sorted hashes these cost next to nothing when compressed."""
+    raw = np.ascontiguousarray(x.astype(x.dtype.newbyteorder(">")).view(np.uint8).reshape(-1, x.dtype.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(raw.tobytes())
 
 
-def _from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
-
-
-def _small(x: np.ndarray) -> bytes:
-    """Of whole numbers; nothing where all are 1."""
-    return b"" if (x == 1).all() else x.astype(np.uint32).tobytes()
-
-
-def _from_small(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint32).astype(np.int64) if raw else np.ones(n, np.int64)
+def _unpacked(raw: bytes, kind=np.uint64) -> np.ndarray:
+    kind = np.dtype(kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind.newbyteorder(">")).ravel().astype(kind)
 
 
 class Exchange:
@@ -188,7 +186,7 @@ class Exchange:
         of = np.concatenate(of) if of else np.zeros(0, np.uint16)
         rows_of = np.array(copies)
         totals = np.bincount(of, minlength=len(copies))
-        order = ordered(np.zeros(len(h), np.int64), h)
+        order = ordered(h)
         h, of = h[order], of[order]
         at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         size = np.diff(np.append(at, len(h)))
@@ -213,10 +211,10 @@ class Exchange:
             mh, mof, mc = mh[many], mof[many], mc[many]
         cut = np.searchsorted(each, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)) if self.bits else np.zeros(1, np.int64)
         cut = np.append(cut, len(each))
-        out = [(chunk % (1 << self.bits), chunk, None, None, None, None, np.array(list(seen), np.int64).tobytes(), totals.astype(np.int64).tobytes(), _planes(mh), mof.tobytes(), _small(mc))]
+        out = [(chunk % (1 << self.bits), chunk, None, None, None, None, _packed(np.array(list(seen), np.int64)), _packed(totals.astype(np.uint32)), _packed(mh), _packed(mof), _packed(mc.astype(np.uint32)))]
         for r in np.flatnonzero(np.diff(cut)).tolist():
             x = slice(cut[r], cut[r + 1])
-            out.append((r, chunk, _planes(each[x]), text[x].tobytes(), _small(c[x]), _small(n[x]), None, None, None, None, None))
+            out.append((r, chunk, _packed(each[x]), _packed(text[x]), _packed(c[x].astype(np.uint32)), _packed(n[x].astype(np.uint32)), None, None, None, None, None))
         for k in range(0, len(out), 64):
             yield self._batch(out[k : k + 64])
 
@@ -225,13 +223,13 @@ class Exchange:
         rows = table.to_pylist()
         asks = [r for r in rows if r["h"] is not None]
         out = [tuple(r.values()) for r in rows if r["h"] is None]
-        hashes = [_from_planes(r["h"]) for r in asks]
+        hashes = [_unpacked(r["h"]) for r in asks]
         if asks:
             h = np.concatenate(hashes)
-            n = np.concatenate([_from_small(r["n"], len(x)) for r, x in zip(asks, hashes, strict=True)])
-            order = ordered(np.zeros(len(h), np.int64), h)
+            n = np.concatenate([_unpacked(r["n"], np.uint32) for r in asks])
+            order = ordered(h)
             at = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
-            total = np.empty(len(h), np.int64)
+            total = np.empty(len(h), np.uint32)
             total[order] = np.repeat(np.add.reduceat(n[order], at), np.diff(np.append(at, len(h))))
             done = 0
             for r, x in zip(asks, hashes, strict=True):
@@ -239,8 +237,8 @@ class Exchange:
                 done += len(x)
                 keep = own > 1
                 if keep.any():
-                    of = np.frombuffer(r["of"], np.uint16)[keep]
-                    out.append((r["range"], r["chunk"], _planes(x[keep]), of.tobytes(), _small(_from_small(r["c"], len(x))[keep]), _small(own[keep]), None, None, None, None, None))
+                    of, c = _unpacked(r["of"], np.uint16), _unpacked(r["c"], np.uint32)
+                    out.append((r["range"], r["chunk"], _packed(x[keep]), _packed(of[keep]), _packed(c[keep]), _packed(own[keep]), None, None, None, None, None))
         return pa.Table.from_batches([self._batch(out)]) if out else table.slice(0, 0)
 
     def answer(self, table: pa.Table) -> pa.Table:
@@ -248,20 +246,19 @@ class Exchange:
         rows = table.to_pylist()
         own = next(r for r in rows if r["nodes"] is not None)
         got = [r for r in rows if r["h"] is not None]
-        node, totals = (np.frombuffer(own[k], np.int64) for k in ("nodes", "totals"))
-        hashes = [_from_planes(r["h"]) for r in got]
-        h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        of = np.concatenate([*[np.frombuffer(r["of"], np.uint16) for r in got], np.zeros(0, np.uint16)]).astype(np.int64)
-        c, n = (np.concatenate([*[_from_small(r[k], len(x)) for r, x in zip(got, hashes, strict=True)], np.zeros(0, np.int64)]) for k in ("c", "n"))
+        node, totals = _unpacked(own["nodes"], np.int64), _unpacked(own["totals"], np.uint32).astype(np.int64)
+        kinds = {"h": np.uint64, "of": np.uint16, "c": np.uint32, "n": np.uint32}
+        h, of, c, n = (np.concatenate([*[_unpacked(r[k], kind) for r in got], np.zeros(0, kind)]) for k, kind in kinds.items())
+        of, c, n = (x.astype(np.int64) for x in (of, c, n))
         many = of == self.MANY
-        mh = _from_planes(own["mh"])
+        mh = _unpacked(own["mh"])
         if len(mh):
             # ranges come in any order
             by = np.argsort(h[many], kind="stable")
             at = np.searchsorted(h[many][by], mh)
             h, n = np.concatenate([h[~many], mh]), np.concatenate([n[~many], n[many][by][at]])
-            of = np.concatenate([of[~many], np.frombuffer(own["mof"], np.uint16).astype(np.int64)])
-            c = np.concatenate([c[~many], _from_small(own["mc"], len(mh))])
+            of = np.concatenate([of[~many], _unpacked(own["mof"], np.uint16).astype(np.int64)])
+            c = np.concatenate([c[~many], _unpacked(own["mc"], np.uint32).astype(np.int64)])
         weight = np.bincount(of, weights=c * idf_of(n, self.rows), minlength=len(node))
         alone = (totals - np.bincount(of, weights=c, minlength=len(node))) * idf_of(np.ones(1), self.rows)[0]
         able = (weight > 0) & (weight >= (self.threshold - 1e-6) * (weight + alone))
@@ -274,12 +271,10 @@ class Exchange:
         return pa.table({"node": pa.array(node[which]), "dh": pa.ListArray.from_arrays(at, pa.array(h.view(np.int64))), "dn": pa.ListArray.from_arrays(at, pa.array(n))})
 
     def run(self, docs: DataFrame, text: str) -> DataFrame:
-        """(node, dh, dn) of the texts that can be similar to another."""
+        """(node, dh, dn) of the texts that can be similar to another; a text that several chunks have comes several times."""
         asked = docs.select(F.xxhash64(text).alias("node"), F.col(text).cast("string").alias("text")).where("text is not null").mapInArrow(self.ask, self.schema)
         counted = asked.groupBy("range").applyInArrow(lambda t: self.count(t), self.schema)
-        answered = counted.groupBy("chunk").applyInArrow(lambda t: self.answer(t), "node long, dh array<long>, dn array<long>")
-        # a text has the same in all chunks
-        return answered.groupBy("node").agg(F.first("dh").alias("dh"), F.first("dn").alias("dn"))
+        return counted.groupBy("chunk").applyInArrow(lambda t: self.answer(t), "node long, dh array<long>, dn array<long>")
 
 
 def idf_of(frequencies: np.ndarray, documents: int) -> np.ndarray:
@@ -383,8 +378,10 @@ class _Search:
         n = self.n
         common = written(Exchange(n, size, threshold).run(docs, text), "common")
         rows = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text"))
-        held = rows.join(self._hint(common.select("node")), "node", "left_semi")
-        self.texts = written(distinct_texts(held, "text").join(common, "node").select("node", "text", "dh", "dn"), "texts")
+        held = rows.join(self._hint(common.select("node").distinct()), "node", "left_semi")
+        each = common.groupBy("node").agg(F.first("dh").alias("dh"), F.first("dn").alias("dn"))
+        self.texts = written(distinct_texts(held, "text").join(each, "node").select("node", "text", "dh", "dn"), "texts")
+        discard(common)
         sampler = docs.sparkSession.sparkContext.broadcast(Sampler())
 
         def sign(batches):

@@ -221,7 +221,7 @@ def test_packed_order_is_that_of_both_keys():
     for n, top in ((0, 1), (1, 1), (5000, 7), (5000, 1), (3000, 1 << 40)):
         high = np.sort(rng.integers(0, top, n))
         h = rng.choice(np.r_[rng.integers(0, 1 << 63, 200, dtype=np.uint64), np.uint64(5) + np.arange(9, dtype=np.uint64)], n)
-        order = near.ordered(high, h)
+        order = near.ordered(h, high)
         assert sorted(order.tolist()) == list(range(n))
         assert list(zip(high[order], h[order])) == sorted(zip(high.tolist(), h.tolist()))
 
