@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import written
@@ -276,5 +277,6 @@ def _scan_batch(batch: pa.RecordBatch, detector: Detector, text: str, columns: l
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, text: str = "text", **options) -> DataFrame:
     """docs with the same columns: hit spans are cut out, and documents covered by more than max_coverage are left out."""
-    out = scan(docs, benchmark, text=text, clean=True, **options).where(f"coverage <= {max_coverage}")
-    return out.select(*docs.columns)
+    names = [f"__in{k}" for k in range(len(docs.columns))]
+    out = scan(docs.toDF(*names), benchmark, text=names[docs.columns.index(text)], clean=True, **options).where(f"coverage <= {max_coverage}")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

@@ -89,11 +89,11 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     """One row for each row of docs: keep, source, size, source_size, target, virtual times __t0.., copies, taken.
 
     A null text has size 0, its row is in the mix at no cost. Null sources are one source, last in
-    order. Repeated rows count each. Ties of the shuffle are ordered by size. copies is
+    order. Repeated rows count each. Ties of the shuffle are ordered by size, then by text. copies is
     how often the mix holds the document (at most ``most``), taken is copies times size.
     """
     h = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":" + seed)))
-    sized = docs.select(*keep, *[c for c in ("source",) if c not in keep], word_count(F.col(text)).alias("size"), h.alias("__h"))
+    sized = docs.select(*keep, *[c for c in ("source",) if c not in keep], word_count(F.col(text)).alias("size"), h.alias("__h"), F.xxhash64(F.col(text)).alias("__text"))
     sized = written(sized, "mixing")
     epochs = int(-(-most // 1))
     n, words = sized.agg(F.count(F.lit(1)), F.sum("size")).first()
@@ -103,7 +103,7 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     sums = rows.groupBy("source", "__b").agg(F.sum("size").alias("__sum"))
     sums = sums.withColumn("__before", F.sum("__sum").over(Window.partitionBy("source").orderBy("__b")) - F.col("__sum"))
     sums = sums.join(goal, sums["source"].eqNullSafe(goal["source"])).select(sums["source"].alias("__src"), F.col("__b").alias("__bk"), "__before", "source_size", "target")
-    run = F.sum("size").over(Window.partitionBy("source", "__b").orderBy("__h", "size", *keep).rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum("size").over(Window.partitionBy("source", "__b").orderBy("__h", "size", *keep, "__text").rowsBetween(Window.unboundedPreceding, 0))
     timed = rows.withColumn("__run", run).join(sums, F.col("source").eqNullSafe(F.col("__src")) & (F.col("__b") == F.col("__bk")))
     served = F.col("__before") + F.col("__run")
     for e in range(epochs):
@@ -119,18 +119,33 @@ def mix_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", seed
 
     What a source gives to the mix is, in each round over its documents, a prefix of their
     shuffled order. One bound for each source and round therefore decides, and texts are not
-    shuffled. The bounds are one row for each source; they are broadcast up to
+    shuffled; only of repeated rows at a bound it is counted how many are in. The bounds are one row for each source; they are broadcast up to
     BROADCAST_SOURCES of them and joined otherwise.
     """
     plan = mix_plan(docs, text=text, key=key, seed=seed, keep=(key,), **options)
-    rounds = sorted(c for c in plan.columns if c.startswith("__t"))
-    place = F.struct(F.col("__h"), F.col("size"))
-    bounds = plan.groupBy(F.col("source").alias("__src")).agg(*[F.max(F.when(F.col("copies") > e, place)).alias(f"__bound{e}") for e in range(len(rounds))])
-    bounds = written(bounds, "mixing-bounds")
+    rounds = range(sum(c.startswith("__t") and c[3:].isdigit() for c in plan.columns))
+    place = F.struct("__h", "size", "__text")
+    by = plan.groupBy(F.col("source").alias("__src")).agg(*[F.max(F.when(F.col("copies") > e, place)).alias(f"__bound{e}") for e in rounds])
+    # rows equal to a bound: how many there are, and how many the plan takes
+    ends = plan.join(F.broadcast(by) if by.count() <= BROADCAST_SOURCES else by, F.col("source").eqNullSafe(F.col("__src")))
+    ends = ends.groupBy("__src").agg(*[F.first(f"__bound{e}").alias(f"__bound{e}") for e in rounds], *[F.sum(((place == F.col(f"__bound{e}")) & (F.col("copies") > e)).cast("long")).alias(f"__in{e}") for e in rounds], *[F.sum((place == F.col(f"__bound{e}")).cast("long")).alias(f"__at{e}") for e in rounds])
+    bounds = written(ends, "mixing-bounds")
     if bounds.count() <= BROADCAST_SOURCES:
         bounds = F.broadcast(bounds)
     h = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":" + seed)))
-    own = F.struct(h.alias("__h"), word_count(F.col(text)).alias("size"))
-    copies = sum((F.coalesce(own <= F.col(f"__bound{e}"), F.lit(False)).cast("int") for e in range(len(rounds))), F.lit(0))
-    joined = docs.join(bounds, F.col("source").eqNullSafe(F.col("__src"))).withColumn("__copies", copies).where(F.col("__copies") > 0)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    own = F.struct(h.alias("__h"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("__text"))
+    joined = docs.join(bounds, F.col("source").eqNullSafe(F.col("__src")))
+    columns = [docs[c] for c in docs.columns]
+
+    def under(e: int) -> Column:
+        return F.coalesce((own < F.col(f"__bound{e}")) | ((own == F.col(f"__bound{e}")) & (F.col(f"__in{e}") == F.col(f"__at{e}"))), F.lit(False))
+
+    copies = sum((under(e).cast("int") for e in rounds), F.lit(0))
+    out = joined.withColumn("__copies", copies).where(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    for e in rounds:
+        # rows of one key and text of which the plan takes some only: for each source one such group at most
+        if not bounds.where(F.col(f"__in{e}") < F.col(f"__at{e}")).isEmpty():
+            tied = joined.where((own == F.col(f"__bound{e}")) & (F.col(f"__in{e}") < F.col(f"__at{e}")))
+            tied = tied.withColumn("__n", F.row_number().over(Window.partitionBy("__src").orderBy(F.col(f"__bound{e}"))))
+            out = out.unionByName(tied.where(F.col("__n") <= F.col(f"__in{e}")).select(*columns))
+    return out

@@ -18,15 +18,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .store import written
+from .store import discard, written
 
 #: Cells of the sketch, and so rows that the driver collects at once.
 CELLS = 1 << 16
-#: Rows that one task numbers at most, about.
-SLOT_ROWS = 20_000
+#: Pairs of shard and task whose first slots are broadcast at most (24 bytes each).
+BROADCAST_ROWS = 1_000_000
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
 
@@ -161,27 +164,28 @@ def plan(sized: DataFrame, shards: int, cells: int = CELLS) -> tuple[list[int],
     return bounds, capacity, numbers
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", order: str = "doc_id", keep: list[str] | None = None, slot_rows: int = SLOT_ROWS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds size (UTF-8 bytes of the text and ROW_BYTES), text_crc32, shard and slot to the rows.
 
-    Rows of equal text share a shard. Slots run from 0 without gaps in each shard. A null
-    text counts as no bytes and is a group of its own; repeated rows are kept, each with a
-    slot. An empty table gives an empty result. keep: columns to carry (default: all);
-    columns of the input named as a result are replaced. Two texts that share a 64-bit
-    hash are held together as well. Fewer groups than shards leave shards empty. docs is
-    read twice, so it should be a table or a result that comes out the same each time.
+    Rows of equal text share a shard. Slots run from 0 without gaps in each shard: a task numbers its
+    own rows of each shard as they pass, and starts after the rows that tasks before it have there, so
+    that rows are neither shuffled nor sorted. A null text counts as no bytes and is a group of its own;
+    repeated rows are kept, each with a slot. An empty table gives an empty result. keep: columns to
+    carry (default: all); columns of the input named as a result are replaced. Two texts that share a
+    64-bit hash are held together as well. Fewer groups than shards leave shards empty. docs is read
+    twice, so it should be a table or a result that comes out the same each time.
     """
-    made = {"size", "text_crc32", "shard", "slot"}
+    made = ("size", "text_crc32", "shard", "slot")
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     sized = docs.select(
         *[F.col(f"`{c}`") for c in kept],
         F.xxhash64(F.col(text)).alias("__h"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("__size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.col(order), F.lit(7)).alias("__o"),
     )
-    narrow = written(sized.select("__h", "__size", "__o"), "sharding")
+    narrow = written(sized.select("__h", "__size"), "sharding")
     bounds, _, numbers = plan(narrow, shards)
+    discard(narrow)
     if bounds:
         index = F.lit(0)
         for b in bounds[:-1]:
@@ -189,20 +193,27 @@ def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", order
         number = F.element_at(F.array(*[F.lit(n) for n in numbers]), index + 1)
     else:
         number = F.lit(0)
-    fine = max(1, -(-narrow.count() // (shards * slot_rows)))
-
-    def place_in(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("shard", number).withColumn("__fine", F.pmod("__o", F.lit(fine)).cast("int"))
-
-    before = (
-        place_in(narrow)
-        .groupBy("shard", "__fine")
-        .count()
-        .withColumn("__before", F.sum("count").over(Window.partitionBy("shard").orderBy("__fine")) - F.col("count"))
-        .select(F.col("shard").alias("__s"), F.col("__fine").alias("__f"), "__before")
-    )
-    place = Window.partitionBy("shard", "__fine").orderBy("__h", "__o", order)
-    numbered = place_in(sized).withColumn("__row", F.row_number().over(place))
-    return numbered.join(before, (F.col("shard") == F.col("__s")) & (F.col("__fine") == F.col("__f"))).select(
-        *[F.col(f"`{c}`") for c in kept], F.col("__size").alias("size"), "text_crc32", "shard", (F.col("__before") + F.col("__row") - 1).alias("slot")
-    )
+    placed = sized.select(*[F.col(f"`{c}`") for c in kept], F.col("__size").alias("size"), "text_crc32", number.alias("shard"))
+    schema = T.StructType([*placed.schema, T.StructField("__part", T.LongType()), T.StructField("__place", T.LongType())])
+
+    def numbered(batches):
+        part = TaskContext.get().partitionId()
+        seen = np.zeros(shards, np.int64)
+        for b in batches:
+            shard = np.asarray(b.column(b.num_columns - 1))
+            order = np.argsort(shard, kind="stable")
+            n = np.bincount(shard, minlength=shards)
+            place = np.empty(len(shard), np.int64)
+            place[order] = np.arange(len(shard)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(seen, n)
+            seen += n
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(shard), part)), pa.array(place)], schema.names)
+
+    rows = written(placed.mapInArrow(numbered, schema), "sharded")
+    before = rows.groupBy(F.col("shard").alias("__shard"), F.col("__part").alias("__task")).agg(F.count(F.lit(1)).alias("__n"))
+    # one row for each shard and task
+    before = before.select("__shard", "__task", (F.sum("__n").over(Window.partitionBy("__shard").orderBy("__task")) - F.col("__n")).alias("__before"))
+    before = written(before, "sharding-before")
+    if before.count() <= BROADCAST_ROWS:
+        before = F.broadcast(before)
+    joined = rows.join(before, (F.col("shard") == F.col("__shard")) & (F.col("__part") == F.col("__task")))
+    return joined.select(*[F.col(f"`{c}`") for c in kept], "size", "text_crc32", "shard", (F.col("__before") + F.col("__place")).alias("slot"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +59,16 @@ def discard(*tables: DataFrame) -> None:
             _MADE.remove((t.sparkSession, path))
 
 
+def swept(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """written(make()), after which the tables that make() wrote are removed."""
+    before = len(_MADE)
+    out = written(make(), name)
+    for spark, path in _MADE[before:-1]:
+        _delete(spark, path)
+    del _MADE[before:-1]
+    return out
+
+
 def _clean() -> None:
     for spark, path in _MADE:
         try:

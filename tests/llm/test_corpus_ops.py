@@ -68,6 +68,19 @@ def test_mix_of_nothing(spark):
     assert mixing.mix_documents(docs(spark, [])).count() == 0
 
 
+def test_repeated_rows_are_in_the_mix_as_often_as_planned(spark):
+    rng = random.Random(5)
+    rows = [(k % 3 if k < 9 else None, prose(rng, 4, ["a", "b"]) if k % 2 else "same words here", "en", f"s{k % 2}") for k in range(12)]
+    rows += [(5, "one two three", "en", "s3")] * 7 + [(20 + k, "word " * 9, "en", "s4") for k in range(3)]
+    df = docs(spark, rows).withColumn("size", F.lit("clash"))
+    plan = mixing.mix_plan(df).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()
+    got = mixing.mix_documents(df)
+    assert got.columns == df.columns
+    assert {r.doc_id: r.n for r in plan if r.n} == {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
+    spent = sum(len((r.text or "").split()) for r in got.collect())
+    assert spent <= 1.5 * sum(len((r[1] or "").split()) for r in rows)
+
+
 # --- sharding
 
 
@@ -82,7 +95,7 @@ def least_capacity(sizes, k):
 
 
 def test_shards_are_minimal_whole_and_gapless(spark, corpus):
-    got = sharding.shard_documents(docs(spark, corpus), shards=7, keep=["doc_id", "text"], slot_rows=3).collect()
+    got = sharding.shard_documents(docs(spark, corpus), shards=7, keep=["doc_id", "text"]).collect()
     assert len(got) == len(corpus)
     of, slots = {}, {}
     for r in got:
@@ -166,6 +179,14 @@ def test_spans_are_cut_and_clean_texts_stay(spark):
     assert decontamination.scan(docs(spark, rows), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_columns_named_as_results_stay(spark):
+    bench = spark.createDataFrame([(None, "a b c d e f g h i j"), (2, None)], "item_id long, text string")
+    rows = [(1, "x y z " * 9 + "a b c d e f g h i j", "en", "s"), (None, "a b", "en", "s")]
+    df = docs(spark, rows).select(F.lit("x").alias("n_words"), "doc_id", F.lit(7).alias("coverage"), "text", F.lit(None).cast("int").alias("items"))
+    got = decontamination.decontaminate(df, bench)
+    assert got.columns == df.columns and {(r.n_words, r.coverage, r["items"]) for r in got.collect()} == {("x", 7, None)}
+
+
 # --- personal data and secrets
 
 
