@@ -112,7 +112,7 @@ class SuffixAutomaton:
 class Detector:
     """An automaton, and tables of hashes of the words and neighbours that may belong to a window."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], window: int = WINDOW):
+    def __init__(self, ids: list[str | None], texts: list[str | None], window: int = WINDOW):
         self.ids = ids
         items: list[list[bytes]] = [[] for _ in texts]
         self.pair = np.zeros(1 << _BITS, bool)
@@ -150,9 +150,9 @@ class Detector:
         text = np.searchsorted(words.first, [a for a, _ in found], "right") - 1
         return [(int(t), a, b) for t, (a, b) in zip(text, found, strict=True)]
 
-    def hits(self, words: Words) -> dict[int, tuple[set[int], set[str]]]:
+    def hits(self, words: Words) -> dict[int, tuple[set[int], set[str | None]]]:
         """By text of the block: hit words (counted in the block) and items."""
-        out: dict[int, tuple[set[int], set[str]]] = {}
+        out: dict[int, tuple[set[int], set[str | None]]] = {}
         for text, a, b in self.runs(words):
             for first, last, items in self.automaton.stream([words.word(k) for k in range(a, b + 1)]):
                 hit, names = out.setdefault(text, (set(), set()))
@@ -179,39 +179,31 @@ RESULT = T.StructType(
 )
 
 
-def _chunks(rows: list, words: int) -> list[list]:
-    out, now = [[]], 0
-    for r in rows:
-        n = len(r[1] or "") // 2 + 1
-        if out[-1] and now + n > words:
-            out.append([])
-            now = 0
-        out[-1].append(r)
-        now += n
-    return out
-
-
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None, clean: bool = False, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """Adds n_words, n_hit, items (sorted as strings), items_sha256 and coverage (n_hit / n_words) to each row.
 
     clean: the text loses its hit spans, from the first hit word to the last of each run,
     before it is returned; keep must hold it then. A null or empty text has no words. Items
     without words never occur; items of equal text are each found. Repeated rows each get
-    a row. Columns of docs named as a result are replaced. The benchmark is divided into
-    automata of at most automaton_words words, and a lone longer item is an automaton of
-    its own. Each automaton but the last is a pass whose finds are written before the next.
+    a row. Columns of docs named as a result are replaced. An item without an id is found as
+    null, which has no part in items_sha256. The benchmark is divided by hash into automata of
+    about automaton_words words. Each automaton but the last is a pass whose finds are
+    written before the next.
     """
     spark = docs.sparkSession
     made = [f.name for f in RESULT]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made and c != "__hit"]
-    items = benchmark.select(benchmark[item].cast("string"), item_text).where(f"`{item_text}` is not null")
-    chunks = _chunks(sorted(items.toLocalIterator(), key=lambda r: (r[0] or "", r[1])), automaton_words)
+    items = benchmark.select(benchmark[item].cast("string").alias("id"), benchmark[item_text].alias("t")).where("t is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t") / 2 + 1), F.lit(0.0))).first()[0]
+    passes = max(1, -(-int(size) // automaton_words))
     columns = keep if text in keep else [*keep, text]
     found = T.StructType([T.StructField("__hit", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))])
     out = docs.select(*columns)
-    for n, chunk in enumerate(chunks):
-        shared = spark.sparkContext.broadcast(([str(r[0]) for r in chunk], [r[1] for r in chunk]))
-        last = n == len(chunks) - 1
+    for n in range(passes):
+        # the driver holds the items of one pass at a time
+        chunk = sorted(items.where(F.pmod(F.xxhash64("id", "t"), F.lit(passes)) == n).collect(), key=lambda r: (r[0] or "", r[1]))
+        shared = spark.sparkContext.broadcast(([r[0] for r in chunk], [r[1] for r in chunk]))
+        last = n == passes - 1
         schema = T.StructType([*[out.schema[c] for c in (keep if last else columns)], *(RESULT if last else found)])
         names = [f.name for f in schema]
 
@@ -246,7 +238,7 @@ def _scan_batch(batch: pa.RecordBatch, detector: Detector, text: str, columns: l
                 names_.update(before[1][row] or ())
             hits.append(sorted(hit) if not last else [])
             n_hit.append(len(hit))
-            items.append(sorted(names_))
+            items.append(sorted(names_, key=lambda x: (x is None, x or "")))
             if last and clean and hit:
                 raw, parts, done = column[row].as_py().encode(), [], 0
                 for a, b in _spans(hit):
@@ -267,7 +259,7 @@ def _scan_batch(batch: pa.RecordBatch, detector: Detector, text: str, columns: l
             "n_words": pa.array(total.astype(np.int64)),
             "n_hit": pa.array(hit),
             "items": pa.array(items, pa.list_(pa.string())),
-            "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+            "items_sha256": pa.array([hashlib.sha256(",".join(k for k in x if k is not None).encode()).hexdigest() for x in items], pa.string()),
             "coverage": pa.array(hit / np.maximum(total, 1)),
         }
     else:

@@ -43,8 +43,11 @@ _AT = np.log(LENGTHS)
 
 
 def normal(text: str | None) -> str:
-    """Lower case, letters only; other characters are single spaces."""
-    return _OTHER.sub(" ", (text or "").lower()).strip()
+    """Lower case, letters only; other characters, numerals such as those of powers and fractions among them, are single spaces."""
+    clean = _OTHER.sub(" ", (text or "").lower())
+    if not clean.isascii() and not clean.replace(" ", "").isalpha():
+        clean = _OTHER.sub(" ", "".join(c if c.isalpha() else " " for c in clean))
+    return clean.strip()
 
 
 class Dictionaries(dict):

@@ -9,7 +9,9 @@ are reranked by the exact cosine of the original vectors in double precision.
 Equal vectors are indexed once, with their k + 1 smallest ids: others can't be among any
 row's k nearest. Lists near each other form groups of about CHUNK vectors, which a task
 compares with all queries that visit any of its lists, so that it returns a query's best once;
-a larger group is divided into chunks. Centroids and code words are fitted on a bounded sample; every row is indexed.
+a larger group is divided into chunks. It returns what can be among the nearest only: a query's
+k + 1 nearest of the fitting sample bound what others must reach, less what an approximate product
+falls short of the exact one by. Centroids and code words are fitted on a bounded sample; every row is indexed.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ CHUNK = 4096
 RERANK = 256
 #: Recall that the number of visited lists is chosen for, on the sample.
 TARGET = 0.99
+#: Part of the sample's nearest pairs whose approximate product falls short of the exact one by no more than is allowed for.
+SHORT = 0.998
 _QUERIES = 128
 
 
@@ -90,6 +94,9 @@ class Quantiser:
     visits: int = 1
     #: group of each list
     group: np.ndarray | None = None
+    #: unit vectors of the sample, and what an approximate product can fall short of the exact one by
+    sample: np.ndarray | None = None
+    short: float = 0.0
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near = nearest(x, self.centroids)
@@ -103,6 +110,20 @@ class Quantiser:
             out[:, k, : len(w)] = q[:, p] @ w.T
         return out
 
+    def product(self, q: np.ndarray, near: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Approximate products of queries with the vectors of lists near and codes, row by row."""
+        out = np.einsum("ij,ij->i", q, self.centroids[near])
+        for k, (p, w) in enumerate(zip(self.parts, self.words, strict=True)):
+            out = out + np.einsum("ij,ij->i", q[:, p], w[codes[:, k]])
+        return out
+
+    def least(self, q: np.ndarray, k: int) -> np.ndarray:
+        """Approximate products that a query's k nearest reach: the sample has k as near as this, so no farther vector is among them."""
+        if len(self.sample) < k:
+            return np.full(len(q), -np.inf, np.float32)
+        parts = (np.partition(p @ self.sample.T, -k, axis=1)[:, -k] for p in np.array_split(q, max(1, len(q) // 128)))
+        return (np.concatenate(list(parts)) - self.short - 1e-6).astype(np.float32)
+
 
 def fit(sample: np.ndarray, rows: int, subspaces: int = 16, k: int = 5) -> Quantiser:
     """From unit vectors of a sample; rows: how many vectors there are. Visits are set by the recall on the sample."""
@@ -123,6 +144,11 @@ def fit(sample: np.ndarray, rows: int, subspaces: int = 16, k: int = 5) -> Quant
     groups = max(1, min(lists, -(-rows // CHUNK)))
     q.group = nearest(centroids, _k_means(centroids, groups, rng)).astype(np.int32)
     q.visits = int(needed[min(len(needed) - 1, int(TARGET * len(needed)))]) + 1
+    q.sample = x
+    if best.size:
+        near, codes = q.encode(x[best.ravel()])
+        asker = np.repeat(asked, best.shape[1], axis=0)
+        q.short = max(0.0, float(np.quantile(np.einsum("ij,ij->i", asker, x[best.ravel()]) - q.product(asker, near, codes), SHORT)))
     return q
 
 
@@ -188,6 +214,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
                 part = b.slice(a, 1024)
                 u = unit(_matrix(part.column(1), d)).astype(np.float32)
                 order = np.argsort(-(u @ m.centroids.T), axis=1)
+                least = m.least(u, k + 1)
                 row, where, wanted, early = [], [], [], []
                 for i, lists in enumerate(order):
                     found, seen = 0, {}
@@ -197,16 +224,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
                         found += sizes.get(l, 0)
                         if l in sizes:
                             seen.setdefault(int(m.group[l]), []).append(l)
-                    for k, (g, visited) in enumerate(seen.items()):
+                    for place, (g, visited) in enumerate(seen.items()):
                         for c in range(chunks[g]):
                             row.append(i)
                             where.append((g, c))
                             wanted.append(visited)
-                            early.append(k == 0)
+                            early.append(place == 0)
                 where = np.array(where, np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(where[:, 0]), pa.array(where[:, 1]), pa.array(list(u[row]), pa.list_(pa.float32())), pa.array(wanted, pa.list_(pa.int32())), pa.array(early, pa.bool_())], ["q", "group", "chunk", "u", "lists", "early"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(where[:, 0]), pa.array(where[:, 1]), pa.array(list(u[row]), pa.list_(pa.float32())), pa.array(wanted, pa.list_(pa.int32())), pa.array(early, pa.bool_()), pa.array(least[row])], ["q", "group", "chunk", "u", "lists", "early", "reach"])
 
-    visits = queries.select("q", "v").mapInArrow(visit, T.StructType([T.StructField("q", id_type), T.StructField("group", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("u", T.ArrayType(T.FloatType())), T.StructField("lists", T.ArrayType(T.IntegerType())), T.StructField("early", T.BooleanType())]))
+    visits = queries.select("q", "v").mapInArrow(visit, T.StructType([T.StructField("q", id_type), T.StructField("group", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("u", T.ArrayType(T.FloatType())), T.StructField("lists", T.ArrayType(T.IntegerType())), T.StructField("early", T.BooleanType()), T.StructField("reach", T.FloatType())]))
     visits = written(visits, "ann-visits")
 
     def compare(key_, left, right):
@@ -244,9 +271,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
 
     # the group of the nearest list first: what the last of their best reaches, others must reach as well
     never = F.lit(float("-inf")).cast("float")
-    first = written(best_of(compared(visits.where("early").drop("early").withColumn("least", never))), "ann-first")
-    least = first.groupBy("q").agg(F.when(F.count(F.lit(1)) >= rerank, F.min("near")).otherwise(never).alias("least"))
-    rest = compared(visits.where("not early").drop("early").join(least, "q", "left").select("q", "group", "chunk", "u", "lists", F.coalesce("least", never).alias("least")))
+    first = written(best_of(compared(visits.where("early").select("q", "group", "chunk", "u", "lists", F.col("reach").alias("least")))), "ann-first")
+    last = first.groupBy("q").agg(F.when(F.count(F.lit(1)) >= rerank, F.min("near")).otherwise(never).alias("last"))
+    rest = compared(visits.where("not early").join(last, "q", "left").select("q", "group", "chunk", "u", "lists", F.greatest("reach", F.coalesce("last", never)).alias("least")))
     best = best_of(first.unionByName(rest))
     pairs = best.join(queries.withColumnRenamed("v", "qv"), "q").join(distinct, "rep").select("q", "qv", "v", "ids")
 

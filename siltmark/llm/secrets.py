@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +32,25 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE, WIDTH = 20, 20
 #: Bits a character, by class of the candidate, from which a window counts.
 BITS = {"hex": 3.0, "mixed": 3.6}
-ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),  # UUIDs
-    re.compile(r"(?i).*(?:example|sample|dummy|placeholder|xxxx|0123456789|abcdefgh).*"),
-    re.compile(r"[A-Za-z_/=+-]*"),  # words, paths, rulers
-    re.compile(r"[0-9_/=+-]*"),  # numbers, dates, card numbers
-    re.compile(r"(?:[A-Za-z]*[a-z]{3,}[0-9]{0,4}[-_/+=]+)+[A-Za-z]*[0-9]{0,4}"),  # slugs
-)
+UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+SHOWN = ("example", "sample", "dummy", "placeholder", "xxxx", "0123456789", "abcdefgh")
+WORDS = re.compile(r"[A-Za-z_/=+-]*")  # words, paths, rulers
+NUMBERS = re.compile(r"[0-9_/=+-]*")  # numbers, dates, card numbers
+_SEPARATORS, _PART = re.compile(r"[-_/+=]+"), re.compile(r"([A-Za-z]*+)[0-9]{0,4}")
+
+
+def _slug(s: str) -> bool:
+    """Parts that end in three lower-case letters and up to four digits, divided by separators; the last may be any letters."""
+    *parts, last = _SEPARATORS.split(s)
+    found = [_PART.fullmatch(p) for p in parts]
+    return bool(parts) and all(m and len(m[1]) > 2 and m[1][-3:].islower() for m in found) and _PART.fullmatch(last) is not None
+
+
+def allowed(s: str) -> bool:
+    """Whether a run is random by design but public, or no random run. Linear in its length."""
+    low = s.lower()
+    return any(w in low for w in SHOWN) or any(p.fullmatch(s) for p in (UUID, WORDS, NUMBERS)) or _slug(s)
+
 
 _TOKEN_BYTE = np.zeros(256, bool)
 _TOKEN_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_=-"]] = True
@@ -85,13 +98,17 @@ def find_in(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = sorted(out)
+    # ends of the base spans so far, by start: a window overlaps one if the largest end before its own end is after its start
+    starts, ends = [x for x, _, _ in sorted(out)], []
+    for _, _, y in sorted(out):
+        ends.append(max(y, ends[-1]) if ends else y)
     for m in TOKEN.finditer(text):
         kind = class_of(m[0])
-        if kind and not any(a.fullmatch(m[0]) for a in ALLOWED):
+        if kind and not allowed(m[0]):
             for a, b in high_windows(m[0], BITS[kind]):
                 a, b = a + m.start(), b + m.start()
-                if not any(x < b and a < y for x, _, y in base):
+                before = bisect_left(starts, b)
+                if not before or ends[before - 1] <= a:
                     out.append((a, 3, b))
     return sorted(out)
 

@@ -247,6 +247,17 @@ def test_secret_base_spans_match_brute_force(spark):
     assert secrets.find_secrets(docs(spark, [])).count() == 0
 
 
+def test_long_tokens_take_linear_time():
+    import time
+
+    began = time.time()
+    for token in ("abcDefg1" * 130_000, "a" * 10**6 + "12345", "abc-" * 250_000 + "A1B2"):
+        secrets.allowed(token)
+    secrets.find_in("Ab1" * 300_000)
+    assert time.time() - began < 10
+    assert secrets.allowed("some-long-slug12_with-parts/X9") and not secrets.allowed("some-lonG-slug12") and not secrets.allowed("some-long12345-x")
+
+
 def test_entropy_windows():
     s = "Zx9Qm3Lp7Ks2Vt8Bn4Wd6Rf1"
     assert secrets.find_in(f"see {s} here") == [(4, 3, 4 + len(s))]
@@ -267,14 +278,14 @@ def test_languages_are_told_apart(spark):
     rng = random.Random(9)
     words = {"en": ["the", "thing", "shore", "with", "other"], "de": ["und", "schön", "nicht", "auch", "eine"], "es": ["que", "año", "los", "ción", "pero"]}
     rows = [(i, prose(rng, 30, words[l]), l, "s") for i, l in enumerate(list(words) * 40)]
-    rows += [(900, None, "en", "s"), (901, "", "en", "s"), (902, "1234 !!!", "de", "s"), (903, "THE THING WITH OTHER SHORE!!", "es", "s"), (0, rows[0][1], "en", "s"), (904, "nicht auch " * 30000, "en", "s")]
+    rows += [(900, None, "en", "s"), (901, "", "en", "s"), (902, "1234 !!!", "de", "s"), (903, "THE THING WITH OTHER SHORE!!", "es", "s"), (0, rows[0][1], "en", "s"), (904, "nicht auch " * 30000, "en", "s"), (905, "x\u00b2"[1:] + " \u00bd \u2167", "en", "s")]
     df = docs(spark, rows)
     model = language.fit(df.where(~language.held_out(df) & (F.col("doc_id") < 900)))
     got = language.identify(df.withColumn("score", F.lit("clash")), model).collect()
     assert len(got) == len(rows)
     of = {r.doc_id: r for r in got}
     assert all(of[i].lang_pred == l for i, _, l, _ in rows[:120])
-    assert [of[i].lang_pred for i in (900, 901, 902, 903, 904)] == ["und", "und", "und", "en", "de"]
+    assert [of[i].lang_pred for i in (900, 901, 902, 903, 904, 905)] == ["und", "und", "und", "en", "de", "und"]
     assert all(0 <= r.score <= 1 for r in got) and of[900].rejected and not of[903].rejected
     assert {r.lang_pred for r in language.identify(df, language.fit(df.limit(0))).collect()} == {"und"}
     assert language.identify(docs(spark, []), model).count() == 0
