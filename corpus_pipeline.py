@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.llm import decontamination, language, mixing, nearduplicates, sharding
-from siltmark.llm.store import written
+from siltmark.llm.store import discard, swept
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a margin."""
     dictionaries = language.fit(docs.where(~language.held_out(docs)))
-    return language.identify(docs, dictionaries, keep=docs.columns).where(~F.col("rejected")).select(*docs.columns)
+    # columns of docs may be named as those that are found
+    names = [f"__in{k}" for k in range(len(docs.columns))]
+    found = language.identify(docs.toDF(*names), dictionaries, text=names[docs.columns.index("text")])
+    return found.where(~F.col("rejected")).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, swept(partial(stage, spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
