@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import written
-from .words import Words, words_of
+from .words import Words, tidy, words_of
 
 #: Words of a window.
 WINDOW = 10
@@ -207,6 +207,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
         schema = T.StructType([*[out.schema[c] for c in (keep if last else columns)], *(RESULT if last else found)])
         names = [f.name for f in schema]
 
+        @tidy
         def run(batches, shared=shared, last=last, names=names, columns=columns):
             detector = Detector(*shared.value, window)
             for batch in batches:

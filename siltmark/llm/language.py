@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import tidy
+
 #: Texts sampled for each language (about), and characters taken of each.
 SAMPLE_TEXTS, SAMPLE_CHARS = 256, 512
 #: Bytes of a dictionary at most.
@@ -170,6 +172,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
     index = columns.index(text)
 
+    @tidy
     def run(batches):
         model = Model(shared.value)
         for batch in batches:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import discard, written
-from .words import BLOCK, Words, block_ends, buffers, mixed, shingle_hashes, words_of
+from .words import BLOCK, Words, block_ends, buffers, mixed, release, shingle_hashes, tidy, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -147,6 +147,7 @@ class Exchange:
         whole, raw = pa.int64(), pa.binary()
         return pa.RecordBatch.from_arrays([pa.array(list(x), whole if k < 2 else raw) for k, x in enumerate(zip(*rows, strict=True))], ["range", "chunk", *self.FIELDS])
 
+    @tidy
     def ask(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """From (node, text)."""
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 28
@@ -178,6 +179,7 @@ class Exchange:
                 if held >= CHUNK_SHINGLES or len(seen) > CHUNK_TEXTS:
                     yield from self._chunk(base + at, seen, copies, hashes, of)
                     at, seen, copies, hashes, of, held = at + 1, {}, [], [], [], 0
+                    release()
         if seen:
             yield from self._chunk(base + at, seen, copies, hashes, of)
 
@@ -239,6 +241,7 @@ class Exchange:
                 if keep.any():
                     of, c = _unpacked(r["of"], np.uint16), _unpacked(r["c"], np.uint32)
                     out.append((r["range"], r["chunk"], _packed(x[keep]), _packed(of[keep]), _packed(c[keep]), _packed(own[keep]), None, None, None, None, None))
+        release()
         return pa.Table.from_batches([self._batch(out)]) if out else table.slice(0, 0)
 
     def answer(self, table: pa.Table) -> pa.Table:
@@ -384,6 +387,7 @@ class _Search:
         discard(common)
         sampler = docs.sparkSession.sparkContext.broadcast(Sampler())
 
+        @tidy
         def sign(batches):
             for batch in batches:
                 node = np.asarray(batch.column(0))
@@ -404,6 +408,7 @@ class _Search:
         """Of distinct pairs (a, b) of nodes those that are similar."""
         width = BANDS * ROWS
 
+        @tidy
         def agree(batches):
             for b in batches:
                 x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, width) for k in (2, 3))
@@ -418,6 +423,7 @@ class _Search:
         joined = likely.join(ends[0], "a").join(ends[1], "b").select("a", "b", *[f"{c}_{s}" for s in ("a", "b") for c in ("text", "dh", "dn")])
         n, threshold = self.n, self.threshold
 
+        @tidy
         def compare(batches):
             for batch in batches:
                 for k in range(0, batch.num_rows, 256):
@@ -465,6 +471,7 @@ class _Search:
         """(node, w, s, g): a node's whole weight, that of its shingles that another of these nodes has, and this by group."""
         n = self.n
 
+        @tidy
         def shingles(batches):
             for batch in batches:
                 for k in range(0, batch.num_rows, 256):
@@ -508,6 +515,7 @@ class _Search:
             g, bands = (v.field(k).flatten() for k in ("g", "bands"))
             return *(np.asarray(v.field(k)) for k in ("node", "class", "w", "s")), np.asarray(g).reshape(n, -1), np.asarray(bands).reshape(n, -1)
 
+        @tidy
         def compare(batches):
             for batch in batches:
                 for i in range(batch.num_rows):

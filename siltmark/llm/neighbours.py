@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import written
+from .words import tidy
 
 #: Rows of the sample that centroids and code words are fitted on, at most (about).
 SAMPLE = 20_000
@@ -185,6 +186,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     x = unit(np.concatenate([_matrix(b.column(1), d) for b in picked.to_batches()]))
     model = spark.sparkContext.broadcast(fit(x, n, k=k))
 
+    @tidy
     def encode(batches):
         for b in batches:
             if b.num_rows:
@@ -206,6 +208,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     queries = written(asking.groupBy(F.xxhash64("v").alias("h"), "v").agg(F.min("id").alias("q")).drop("h"), "ann-queries")
     asking = asking.join(queries, "v").select("id", "q")
 
+    @tidy
     def visit(batches):
         m = model.value
         sizes, chunks = shared.value
@@ -277,6 +280,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     best = best_of(first.unionByName(rest))
     pairs = best.join(queries.withColumnRenamed("v", "qv"), "q").join(distinct, "rep").select("q", "qv", "v", "ids")
 
+    @tidy
     def exact(batches):
         for b in batches:
             if b.num_rows:

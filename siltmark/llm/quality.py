@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import Words, words_of
+from .words import Words, tidy, words_of
 
 #: Labelled texts that vote, about (the rate of the sample is set by a count).
 SAMPLE = 3000
@@ -166,6 +166,7 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text", keep: list[
     shared = docs.sparkSession.sparkContext.broadcast(model)
     index = columns.index(text)
 
+    @tidy
     def run(batches):
         for batch in batches:
             scores = [shared.value.score(c) for c in _blocks(batch.column(index))]

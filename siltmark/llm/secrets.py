@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .words import buffers
+from .words import buffers, tidy
 
 KINDS = ("assign", "access", "hex", "entropy")
 N_BASE = 3
@@ -169,6 +169,7 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     schema = T.StructType([*[source.schema[c] for c in keep], T.StructField(into, RESULT[0].dataType)])
     index = columns.index(text)
 
+    @tidy
     def run(batches):
         for batch in batches:
             yield from _batch(batch, index, keep, into)

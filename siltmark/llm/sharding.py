@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import discard, written
+from .words import tidy
 
 #: Cells of the sketch, and so rows that the driver collects at once.
 CELLS = 1 << 16
@@ -196,6 +197,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", keep:
     placed = sized.select(*[F.col(f"`{c}`") for c in kept], F.col("__size").alias("size"), "text_crc32", number.alias("shard"))
     schema = T.StructType([*placed.schema, T.StructField("__part", T.LongType()), T.StructField("__place", T.LongType())])
 
+    @tidy
     def numbered(batches):
         part = TaskContext.get().partitionId()
         seen = np.zeros(shards, np.int64)

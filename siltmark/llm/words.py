@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,7 @@ import pyarrow.compute as pc
 #: Bytes of text worked on at once; a longer text is worked on alone.
 BLOCK = 1 << 20
 
+_LIBC = ctypes.CDLL(None) if sys.platform.startswith("linux") else None
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -36,6 +39,26 @@ def _powers(n: int, base: int) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def tidy(run):
+    """run, a generator over batches, after which freed memory goes back: Python workers live on and would keep it."""
+
+    @wraps(run)
+    def inner(*args):
+        try:
+            yield from run(*args)
+        finally:
+            release()
+
+    return inner
+
+
 def _room(n: int) -> int:
     return max(BLOCK * 2, 1 << (n - 1).bit_length())
 
