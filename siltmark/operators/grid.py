@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import quantiles
+
 KEY = ["row", "col"]
 
 
@@ -108,7 +110,7 @@ def classify(cells: DataFrame, value: str, edges: Column) -> Column:
 
 def quantile_classes(cells: DataFrame, value: str = "value", classes: int = 5) -> DataFrame:
     """(class, low, high, n) by exact linear quantiles."""
-    edges = F.broadcast(cells.agg(F.percentile(value, F.array(*[F.lit(k / classes) for k in range(classes + 1)])).alias("edges")))
+    edges = F.broadcast(quantiles(cells, value, [k / classes for k in range(classes + 1)], into="edges"))
     put = cells.where(F.col(value).isNotNull()).crossJoin(edges).withColumn("class", classify(cells, value, F.col("edges")))
     n = put.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.first("edges").alias("e"))
     return n.select("class", F.get("e", F.col("class").cast("int")).alias("low"), F.get("e", (F.col("class") + 1).cast("int")).alias("high"), "n")

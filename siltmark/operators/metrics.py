@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .running import running_sums
+from .running import count_below, running_sums
 
 
 def by_score(df: DataFrame, y: str = "y_true", score: str = "y_score", within: list[str] | None = None) -> DataFrame:
@@ -30,7 +30,8 @@ def roc_points(df: DataFrame, y: str = "y_true", score: str = "y_score", within:
     grouped = by_score(df, y, score, within)
     run = running_sums(grouped.withColumn("neg", F.col("n") - F.col("pos")), "score", {"tp": "pos", "fp": "neg"}, descending=True, within=within)
     total = grouped.groupBy(*within).agg(F.sum("pos").alias("n_pos"), (F.sum("n") - F.sum("pos")).alias("n_neg"))
-    joined = run.join(F.broadcast(total), within) if within else run.crossJoin(F.broadcast(total))
+    # one row without groups; with groups the size of their table decides whether it is broadcast
+    joined = run.join(total, within) if within else run.crossJoin(F.broadcast(total))
     return joined.select(*within, F.col("score").alias("threshold"), "tp", "fp", "n_pos", "n_neg")
 
 
@@ -112,7 +113,7 @@ def rates_at(df: DataFrame, thresholds: DataFrame, value: str, is_presence: str)
     """
     t = thresholds.select(F.col("t").cast("double")).distinct()
     ladder = t.agg(F.array_sort(F.collect_list("t")).alias("__ladder"))
-    stepped = df.crossJoin(F.broadcast(ladder)).select(F.size(F.filter("__ladder", lambda x: x <= F.col(value))).alias("step"), F.col(is_presence).alias("p"))
+    stepped = df.crossJoin(F.broadcast(ladder)).select(count_below(F.col("__ladder"), F.col(value), or_equal=True).alias("step"), F.col(is_presence).alias("p"))
     counts = stepped.groupBy("step").agg(F.count_if("p").alias("presence"), F.count_if(~F.col("p")).alias("area"))
     rungs = ladder.select(F.posexplode("__ladder").alias("k", "t"))
     total = counts.agg(F.sum("presence").alias("np"), F.sum("area").alias("na"))

@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that the order is divided into.
-PARTS = 64
+#: Rows of a range, about, and ranges of a group at least where it has so many rows.
+ROWS, PARTS = 100_000, 64
+#: Entries that are compared at a time in a sorted array.
+STEP = 16
 
 
-def running_sums(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False, within: list[str] | None = None, parts: int = PARTS) -> DataFrame:
+def count_below(sorted_: Column, value: Column, or_equal: bool = False) -> Column:
+    """Number of entries of a sorted array that are less than value (or equal): first by every STEP-th entry, then within one step."""
+    under = (lambda c: c <= value) if or_equal else (lambda c: c < value)
+    whole = F.size(F.filter(sorted_, lambda c, i: (i % STEP == STEP - 1) & under(c))) * STEP
+    return whole + F.size(F.filter(F.slice(sorted_, whole + 1, STEP), under))
+
+
+def running_sums(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False, within: list[str] | None = None, parts: int | None = None, rows: int = ROWS) -> DataFrame:
     """Adds for each (name: column) of sums the total up to and including the row in the order.
 
     The order must be numeric and distinct within each group of ``within``, so group equal
-    values first. Approximate quantiles divide the order into ranges; totals of ranges are
-    added to the totals within a range, which are windows partitioned by range.
+    values first. Approximate quantiles of each group divide its order into ranges of about
+    ``rows`` rows, of which there are at most as many as shuffle partitions (``parts``); totals of
+    ranges are added to the totals within a range, which are windows partitioned by range.
     """
     within = within or []
-    cuts = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 1000).alias("__cuts"))
+    parts = parts or max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = F.percentile_approx(order, [k / parts for k in range(1, parts)], 20 * parts).alias("__cuts")
+    cuts = df.groupBy(*within).agg(F.count(F.lit(1)).alias("__n"), cut)
+    # of a group of n rows every k-th quantile is enough
+    each = F.greatest(F.lit(1), F.floor(F.lit(parts) / F.ceil(F.col("__n") / F.lit(rows))).cast("int"))
+    cuts = cuts.select(*[F.col(w).alias(f"__w{i}") for i, w in enumerate(within)], F.filter("__cuts", lambda _, i: i % each == each - 1).alias("__cuts"))
+    same = [F.col(w).eqNullSafe(F.col(f"__w{i}")) for i, w in enumerate(within)]
+    if within:
+        ranged = df.join(cuts, same).drop(*[f"__w{i}" for i in range(len(within))])
+    else:
+        ranged = df.crossJoin(F.broadcast(cuts))  # one row
     sign = -1 if descending else 1
-    ranged = df.crossJoin(F.broadcast(cuts)).withColumn("__range", sign * F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
+    ranged = ranged.withColumn("__range", sign * count_below(F.col("__cuts"), F.col(order))).drop("__cuts")
     earlier = Window.partitionBy(*within).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(*within, "__range").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
     totals = totals.select(*within, "__range", *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in sums])
@@ -27,7 +47,11 @@ def running_sums(df: DataFrame, order: str, sums: dict[str, str], descending: bo
     inside = Window.partitionBy(*within, "__range").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
     out = ranged.select("*", *[F.sum(c).over(inside).alias(n) for n, c in sums.items()])
     # one row for each group and range
-    out = out.join(totals, [*within, "__range"])
+    if within:
+        totals = totals.select(*[F.col(w).alias(f"__w{i}") for i, w in enumerate(within)], F.col("__range").alias("__r"), *[f"__{n}" for n in sums])
+        out = out.join(totals, [*same, F.col("__range") == F.col("__r")]).drop("__r", *[f"__w{i}" for i in range(len(within))])
+    else:
+        out = out.join(totals, "__range")
     for n in sums:
         out = out.withColumn(n, F.col(n) + F.col(f"__{n}"))
     return out.drop("__range", *[f"__{n}" for n in sums])
@@ -38,3 +62,33 @@ def average_ranks(df: DataFrame, value: str, within: list[str] | None = None, in
     within = within or []
     n = df.groupBy(*within, value).agg(F.count(F.lit(1)).alias("n"))
     return running_sums(n, value, {"upto": "n"}, within=within).select(*within, value, "n", (F.col("upto") - (F.col("n") - 1) / 2.0).alias(into))
+
+
+def quantiles(df: DataFrame, value: str, probabilities: list[float], within: list[str] | None = None, into: str = "quantiles") -> DataFrame:
+    """(within, into): exact linear quantiles of each group, as an array.
+
+    Values are counted, ranked by running totals, and only those at the needed ranks are gathered,
+    so no task holds a group's values. Nulls don't count; a table without values gives nulls.
+    """
+    within = within or []
+    n = df.where(F.col(value).isNotNull()).groupBy(*within, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    run = running_sums(n, "__v", {"__upto": "__n"}, within=within)
+    asked = F.array(*[F.lit(float(p)) for p in probabilities])
+    whole = F.sum("__n").alias("__total")
+    ranks = F.array_distinct(F.flatten(F.transform(asked, lambda p: F.array(F.floor(p * (F.col("__total") - 1)), F.ceil(p * (F.col("__total") - 1)))))).alias("__ranks")
+    if within:
+        total = n.groupBy(*[F.col(w).alias(f"__w{i}") for i, w in enumerate(within)]).agg(whole).select("*", ranks)
+        joined = run.join(total, [F.col(w).eqNullSafe(F.col(f"__w{i}")) for i, w in enumerate(within)]).drop(*[f"__w{i}" for i in range(len(within))])
+    else:
+        joined = run.crossJoin(F.broadcast(n.agg(whole).select("*", ranks)))  # one row
+    held = F.filter("__ranks", lambda r: (r >= F.col("__upto") - F.col("__n")) & (r < F.col("__upto")))
+    found = joined.select(*within, "__total", "__v", F.explode(held).alias("__r"))
+    # two entries for each probability
+    by = found.groupBy(*within).agg(F.map_from_entries(F.collect_list(F.struct("__r", "__v"))).alias("__m"), F.first("__total").alias("__total"))
+
+    def between(p: Column) -> Column:
+        x = p * (F.col("__total") - 1)
+        a, b = F.try_element_at("__m", F.floor(x)), F.try_element_at("__m", F.ceil(x))
+        return F.when(a == b, a).otherwise((F.ceil(x) - x) * a + (x - F.floor(x)) * b)
+
+    return by.select(*within, F.transform(asked, between).alias(into))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import running_sums
+from .running import quantiles, running_sums
 
 
 def draw(key: Column, seed: int | str = 42) -> Column:
@@ -82,7 +82,7 @@ def merge_small_blocks(df: DataFrame, x: str, y: str, block: str, least: int = 3
 
 def quantile_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
     """One row: edges, the distinct linear quantiles at k / bins."""
-    return df.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).alias("edges"))
+    return quantiles(df, value, [k / bins for k in range(bins + 1)], into="edges").select(F.array_distinct("edges").alias("edges"))
 
 
 def bin_left(edges: Column, value: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import quantiles
 from .sampling import bin_right, quantile_edges
 from .stats import adjusted_p, spearman
 
@@ -42,7 +43,8 @@ def quantile_groups(df: DataFrame, by: str, value: str, groups: int = 5) -> Data
     rows = df.where(F.col(by).isNotNull() & F.col(value).isNotNull())
     edges = F.broadcast(quantile_edges(rows, by, groups))
     put = rows.crossJoin(edges).withColumn("bin", bin_right(F.col("edges"), F.col(by)))
-    return put.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.25).alias("q25"), F.percentile(value, 0.75).alias("q75"))
+    quartiles = quantiles(put, value, [0.25, 0.75], ["bin"]).select("bin", F.col("quantiles")[0].alias("q25"), F.col("quantiles")[1].alias("q75"))
+    return put.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).join(quartiles, "bin")
 
 
 def rank_correlations(df: DataFrame, target: str, families: dict[str, str], least: int = 5) -> DataFrame:

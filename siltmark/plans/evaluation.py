@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics
+from ..operators.running import quantiles
 from .registry import CELLS, SCORES, cells, query, rounded, scores, table
 
 _RANKED = "r AS (SELECT *, rank() OVER (ORDER BY y_score) + (count(*) OVER (PARTITION BY y_score) - 1) / 2.0 AS rk FROM s)"
@@ -95,7 +96,7 @@ SELECT label, round(threshold, 6) AS threshold, {_DERIVED} FROM m""")
 def internal_validation_table(spark, d):
     s = scores(spark, d)
     best = metrics.youden_threshold(s).select(F.lit("maxss").alias("label"), "threshold")
-    p10 = s.where("y_true = 1").agg(F.percentile("y_score", 0.1).alias("threshold")).select(F.lit("p10").alias("label"), "threshold")
+    p10 = quantiles(s.where("y_true = 1"), "y_score", [0.1]).select(F.lit("p10").alias("label"), F.col("quantiles")[0].alias("threshold"))
     rows = s.crossJoin(F.broadcast(best.unionByName(p10)))
     return rounded(metrics.threshold_metrics(rows, F.col("threshold"), within=["label", "threshold"]))
 
@@ -123,7 +124,7 @@ SELECT CAST(k AS BIGINT) AS k, round(threshold, 4) AS threshold, round((SELECT c
 def quantile_sweep(spark, d):
     li = table(spark, d, "lineitem").select("l_extendedprice")
     qs = [1 - (1 + k * 98.0 / 39) / 100.0 for k in range(40)]
-    cuts = li.agg(F.percentile("l_extendedprice", F.array(*[F.lit(q) for q in qs])).alias("qs")).select(F.posexplode("qs").alias("k", "t"))
+    cuts = quantiles(li, "l_extendedprice", qs).select(F.posexplode("quantiles").alias("k", "t"))
     rates = metrics.rates_at(li.withColumn("p", F.lit(False)), cuts.select("t"), "l_extendedprice", "p")
     return cuts.join(rates, "t").select(F.col("k").cast("long").alias("k"), F.round("t", 4).alias("threshold"), F.round("area_rate", 6).alias("area"))
 
