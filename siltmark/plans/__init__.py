@@ -1,4 +1,4 @@
 """Queries over the driver's tables, one for each operator."""
 
-from . import association, evaluation, grids, models, sampling, tables  # noqa: F401
+from . import association, evaluation, grids, models, protocols, sampling, tables  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

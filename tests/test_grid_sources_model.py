@@ -24,9 +24,14 @@ def test_focal_density_pads_with_zero(spark):
 
 
 def test_quantile_classes(spark):
-    df = spark.createDataFrame([(0, c, float(c)) for c in range(10)], "row long, col long, value double")
-    got = grid.quantile_classes(df).orderBy("class").collect()
-    assert [r.low for r in got] + [got[-1].high] == pytest.approx([0, 1.8, 3.6, 5.4, 7.2, 9]) and [r.n for r in got] == [2] * 5
+    import numpy as np
+
+    values = [float(k * k % 23) for k in range(37)]
+    df = spark.createDataFrame([(0, c, v) for c, v in enumerate(values)], "row long, col long, value double")
+    got = grid.quantile_classes(df, classes=4).orderBy("class").collect()
+    edges = np.quantile(values, [0, 0.25, 0.5, 0.75, 1])
+    assert [r.low for r in got] + [got[-1].high] == pytest.approx(list(edges))
+    assert [r.n for r in got] == np.histogram(values, edges)[0].tolist()
 
 
 def test_distance_without_sources_is_null(spark):

@@ -1,28 +1,43 @@
 import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from siltmark.functions import scalars, tails
-from siltmark.operators import guards, metrics, sampling, stats
+from siltmark.operators import guards, metrics, running, sampling, stats
 
 
 def scored(spark, y, s):
     return spark.createDataFrame(list(zip(y, s, strict=True)), "y_true int, y_score double")
 
 
-def test_confusion_toy(spark):
-    df = scored(spark, [1, 1, 1, 0, 0, 0, 0, 0, 0, 0], [0.9, 0.8, 0.3, 0.7, 0.6, 0.2, 0.1, 0.05, 0.4, 0.5])
-    r = metrics.threshold_metrics(df, 0.5).first()
-    assert (r.tp, r.tn, r.fp, r.fn) == (2, 4, 3, 1)
-    assert r.sensitivity == pytest.approx(2 / 3) and r.specificity == pytest.approx(4 / 7) and r.tss == pytest.approx(5 / 21)
-    assert r.precision == pytest.approx(0.4) and r.f1 == pytest.approx(0.5) and r.kappa == pytest.approx(0.2) and r.hss == pytest.approx(0.2)
-    assert r.pred_frac == pytest.approx(0.5)
+def drawn(n, seed, steps=40):
+    """Labels, and scores with ties that lean to the labels."""
+    rng = random.Random(seed)
+    y = [int(rng.random() < 0.3) for _ in range(n)]
+    return y, [(rng.randrange(steps) + 8 * v) / steps for v in y]
 
 
-def test_youden_toy(spark):
-    r = metrics.youden_threshold(scored(spark, [1, 1, 0, 0], [0.9, 0.8, 0.2, 0.1])).first()
-    assert r.tss == pytest.approx(1.0) and r.threshold == 0.8
+def test_threshold_metrics_follow_from_counts(spark):
+    y, s = drawn(400, 3)
+    r = metrics.threshold_metrics(scored(spark, y, s), 0.55).first()
+    tp, fp = (sum(v == k and x >= 0.55 for v, x in zip(y, s, strict=True)) for k in (1, 0))
+    fn, tn = y.count(1) - tp, y.count(0) - fp
+    assert (r.tp, r.tn, r.fp, r.fn) == (tp, tn, fp, fn)
+    sens, spec, prec = tp / (tp + fn), tn / (tn + fp), tp / (tp + fp)
+    chance = ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / 400**2
+    want = {"sensitivity": sens, "specificity": spec, "tss": sens + spec - 1, "precision": prec, "f1": 2 * tp / (2 * tp + fp + fn), "kappa": ((tp + tn) / 400 - chance) / (1 - chance), "pred_frac": (tp + fp) / 400}
+    assert {k: r[k] for k in want} == pytest.approx(want)
+    assert r.hss == pytest.approx(2 * (tp * tn - fp * fn) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)))
+
+
+def test_youden_is_the_best_of_all_thresholds(spark):
+    y, s = drawn(300, 4)
+    j = {t: sum(v for v, x in zip(y, s, strict=True) if x >= t) / sum(y) - sum(1 - v for v, x in zip(y, s, strict=True) if x >= t) / (len(y) - sum(y)) for t in s}
+    r = metrics.youden_threshold(scored(spark, y, s)).first()
+    assert r.tss == pytest.approx(max(j.values())) and r.threshold == max(t for t, v in j.items() if v > max(j.values()) - 1e-12)
 
 
 def test_auc_ties_empty_and_one_class(spark):
@@ -40,55 +55,70 @@ def test_auc_over_many_ranges(spark):
 
 
 def test_success_and_prediction_rate(spark):
-    rows = [(float(v), False) for v in range(10)] + [(float(v), True) for v in (2, 5, 8)]
+    rng = random.Random(7)
+    rows = [(float(rng.randrange(60)), rng.random() < 0.2) for _ in range(500)]
     df = spark.createDataFrame(rows, "v double, p boolean")
-    t = spark.createDataFrame([(float(x),) for x in (0, 3, 6, 9, 10)], "t double")
-    got = metrics.rates_at(df, t, "v", "p").orderBy("t").collect()
-    assert [r.success_rate for r in got] == pytest.approx([1, 2 / 3, 1 / 3, 0, 0])
-    assert [r.area_rate for r in got] == pytest.approx([1, 0.7, 0.4, 0.1, 0])
-
-
-def test_mask_overlap_toy(spark):
-    pred = {(0, 0), (0, 1), (1, 0), (1, 1)}
-    ref = {(0, 0), (0, 1), (1, 0), (2, 2)}
-    rows = [(r, c, (r, c) in pred, (r, c) in ref, (r, c) != (0, 0)) for r in range(3) for c in range(3)]
-    df = spark.createDataFrame(rows, "r int, c int, p boolean, q boolean, v boolean")
-    a = metrics.overlap(df, "p", "q").first()
-    assert (a.tp, a.fp, a.fn, a.tn) == (3, 1, 1, 4) and a.iou == pytest.approx(0.6) and a.f1 == pytest.approx(0.75)
-    b = metrics.overlap(df, "p", "q", "v").first()
-    assert (b.tp, b.fp, b.fn, b.tn) == (2, 1, 1, 4)
+    ladder = sorted({float(rng.randrange(-3, 64)) for _ in range(45)})
+    got = metrics.rates_at(df, spark.createDataFrame([(x,) for x in ladder], "t double"), "v", "p").orderBy("t").collect()
+    for kind, name in ((True, "success_rate"), (False, "area_rate")):
+        own = [v for v, p in rows if p is kind]
+        assert [r[name] for r in got] == pytest.approx([sum(v >= t for v in own) / len(own) for t in ladder])
+
+
+def test_mask_overlap_counts_cells(spark):
+    rng = random.Random(8)
+    cells = [(r, c, rng.random() < 0.5, rng.random() < 0.4, rng.random() < 0.9) for r in range(7) for c in range(5)]
+    df = spark.createDataFrame(cells, "r int, c int, p boolean, q boolean, v boolean")
+    for valid in (None, "v"):
+        own = [x for x in cells if valid is None or x[4]]
+        tp, fp, fn = (sum(x[2] is a and x[3] is b for x in own) for a, b in ((True, True), (True, False), (False, True)))
+        r = metrics.overlap(df, "p", "q", valid).first()
+        assert (r.tp, r.fp, r.fn, r.tn) == (tp, fp, fn, len(own) - tp - fp - fn)
+        assert r.iou == pytest.approx(tp / (tp + fp + fn)) and r.f1 == pytest.approx(2 * tp / (2 * tp + fp + fn))
     empty = metrics.overlap(df.withColumn("p", F.lit(False)).withColumn("q", F.lit(False)), "p", "q").first()
     assert empty.iou is None and empty.hit_rate is None
 
 
 def test_aicc(spark):
-    raw = [0.10, 0.20, 0.05, 0.30, 0.15]
+    rng = random.Random(9)
+    raw = [rng.uniform(0.01, 0.4) for _ in range(12)]
     df = spark.createDataFrame([(x,) for x in raw], "raw double").agg(F.sum(F.ln("raw")).alias("ll"), F.count("raw").alias("n"))
-    r = df.select(scalars.aicc(F.col("ll"), F.lit(2), F.col("n")).alias("a"), scalars.aicc(F.col("ll"), F.lit(4), F.col("n")).alias("b")).first()
-    assert r.a == pytest.approx(30.017696347449302) and math.isinf(r.b)
+    r = df.select(scalars.aicc(F.col("ll"), F.lit(3), F.col("n")).alias("a"), scalars.aicc(F.col("ll"), F.lit(11), F.col("n")).alias("b")).first()
+    assert r.a == pytest.approx(2 * 3 - 2 * sum(map(math.log, raw)) + 2 * 3 * 4 / (12 - 3 - 1)) and math.isinf(r.b)
 
 
-def test_corrected_t_toy(spark):
-    df = spark.createDataFrame([(x,) for x in (0.05, 0.04, 0.06, 0.05, 0.03)], "d double")
-    r = stats.corrected_t(df, "d", 250, 27).first()
-    assert r.mean_diff == pytest.approx(0.046) and r.sd_diff == pytest.approx(0.0114017543) and r.t == pytest.approx(7.2696047243)
-    assert tails.t_two_sided(r.t, 4) == pytest.approx(0.0019020225, rel=1e-6)
-    assert stats.corrected_t(spark.createDataFrame([(0.0,), (0.0,)], "d double"), "d", 250, 27).first().t == 0
+def test_corrected_t(spark):
+    rng = random.Random(10)
+    diffs = [rng.gauss(0.02, 0.03) for _ in range(7)]
+    r = stats.corrected_t(spark.createDataFrame([(x,) for x in diffs], "d double"), "d", 90, 15).first()
+    mean, sd = statistics.mean(diffs), statistics.stdev(diffs)
+    assert (r.mean_diff, r.sd_diff, r.t) == pytest.approx((mean, sd, mean / math.sqrt((1 / 7 + 15 / 90) * sd * sd)))
+    assert stats.corrected_t(spark.createDataFrame([(0.0,), (0.0,)], "d double"), "d", 90, 15).first().t == 0
 
 
-def test_mcnemar_toy(spark):
-    y = [1, 1, 1, 1, 0, 0, 0, 0]
-    s = [0.9, 0.4, 0.35, 0.3, 0.2, 0.02, 0.01, 0.04]
-    rows = [(m, i, a, b, t) for m, t in (("a", 0.5), ("b", 0.03)) for i, (a, b) in enumerate(zip(y, s, strict=True))]
+def test_mcnemar_counts_where_models_differ(spark):
+    y, s = drawn(200, 11)
+    rows = [(m, i, a, b, t) for m, t in (("a", 0.7), ("b", 0.25)) for i, (a, b) in enumerate(zip(y, s, strict=True))]
     r = stats.mcnemar(spark.createDataFrame(rows, "m string, k int, y int, s double, t double"), "m", "k", "y", "s", "t").first()
-    assert (r.b, r.c) == (2, 3) and r.chi2 == pytest.approx(0.0)
+    right = [((x >= 0.7) == v, (x >= 0.25) == v) for v, x in zip(y, s, strict=True)]
+    b, c = right.count((True, False)), right.count((False, True))
+    assert (r.b, r.c) == (b, c) and r.chi2 == pytest.approx((abs(b - c) - 1) ** 2 / (b + c))
 
 
-def test_tails():
-    assert tails.chi2_sf(12.901, 5) == pytest.approx(0.0243, abs=1e-4)
-    assert tails.normal_two_sided(1.959963984540054) == pytest.approx(0.05)
-    assert tails.t_two_sided(-1.2841, 10) == pytest.approx(0.2281, abs=1e-4)
-    assert tails.t_quantile(0.975, 10) == pytest.approx(2.228138852, rel=1e-8)
+def test_tails_are_integrals_of_their_densities():
+    def integral(f, a, b, n=20_000):
+        h = (b - a) / n
+        return h / 3 * sum((1 if k in (0, n) else 4 if k % 2 else 2) * f(a + k * h) for k in range(n + 1))
+
+    for x, df in ((3.7, 3), (9.4, 6)):
+        density = lambda v, k=df: v ** (k / 2 - 1) * math.exp(-v / 2) / 2 ** (k / 2) / math.gamma(k / 2)
+        assert tails.chi2_sf(x, df) == pytest.approx(integral(density, x, x + 120), rel=1e-6)
+    for t, df in ((-1.7, 7), (0.4, 12)):
+        scale = math.gamma((df + 1) / 2) / math.sqrt(df * math.pi) / math.gamma(df / 2)
+        middle = integral(lambda v, d=df, s=scale: s * (1 + v * v / d) ** (-(d + 1) / 2), -abs(t), abs(t))
+        assert tails.t_two_sided(t, df) == pytest.approx(1 - middle, rel=1e-6)
+        assert tails.t_two_sided(tails.t_quantile(0.9, df), df) == pytest.approx(0.2, rel=1e-6)
+    assert tails.normal_two_sided(1.3) == pytest.approx(2 * (1 - statistics.NormalDist().cdf(1.3)))
 
 
 def test_guards(spark):
@@ -101,24 +131,24 @@ def test_guards(spark):
 
 
 def test_split_sizes_and_reruns(spark):
-    df = spark.range(277)
-    one = sampling.holdout_split(df, "id").where("is_test").select("id").collect()
-    two = sampling.holdout_split(df.repartition(7), "id").where("is_test").select("id").collect()
-    assert len(one) == 83 and sorted(one) == sorted(two)
+    df = spark.range(450)
+    one = sampling.holdout_split(df, "id", 0.2).where("is_test").select("id").collect()
+    two = sampling.holdout_split(df.repartition(7), "id", 0.2).where("is_test").select("id").collect()
+    assert len(one) == 90 and sorted(one) == sorted(two)
 
 
 def test_top_groups(spark):
-    rows = [(g,) for g, n in (("A", 10), ("B", 8), ("C", 5), ("D", 2), ("E", 1)) for _ in range(n)]
-    assert [r.e for r in sampling.top_groups(spark.createDataFrame(rows, "e string"), "e", 3).collect()] == ["A", "B", "C"]
-    rows = [(g,) for g, n in (("Z", 5), ("A", 5), ("M", 1)) for _ in range(n)]
-    assert [r.e for r in sampling.top_groups(spark.createDataFrame(rows, "e string"), "e", 2).collect()] == ["A", "Z"]
+    rows = [(g,) for g, n in (("river", 3), ("brook", 7), ("lake", 3), ("mere", 1)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "e string")
+    assert [r.e for r in sampling.top_groups(df, "e", 2).collect()] == ["brook", "lake"] and sampling.top_groups(df, "e", 9).count() == 4
 
 
 def test_small_blocks_merge(spark):
-    rows = [(0, 0.0, 0.0, 0), (1, 1.0, 0.0, 0), (2, 0.0, 1.0, 0), (3, 100.0, 0.0, 1), (4, 101.0, 0.0, 1), (5, 100.0, 1.0, 1), (6, 5.0, 5.0, 2)]
-    df = spark.createDataFrame(rows, "id int, x double, y double, b int")
-    got = {r.id: r.b for r in sampling.merge_small_blocks(df, "x", "y", "b", 3).collect()}
-    assert got[6] == 0 and got[3] == 1
+    at = {4: (0, 0, 5), 7: (40, 0, 4), 9: (0, 90, 2), 12: (33, 5, 1)}
+    rows = [(i, x + i * 0.1, float(y), b) for b, (x, y, n) in at.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, b int").withColumn("was", F.col("b"))
+    got = {r.was: r.b for r in sampling.merge_small_blocks(df, "x", "y", "b", 3).collect()}
+    assert got == {4: 4, 7: 7, 9: 4, 12: 7}
     assert all(r.b is None for r in sampling.merge_small_blocks(df, "x", "y", "b", 10).collect())
 
 
@@ -130,21 +160,45 @@ def test_cramers_v_and_ranks(spark):
     assert r.r == pytest.approx(1.0) and r.direction == "higher"
 
 
-def test_morans_i_clusters(spark):
-    rows = [(i, (i % 10) * 1.0, (i // 10 % 4) * 1.0, 1.0) for i in range(40)] + [(40 + i, 1000 + (i % 10) * 1.0, (i // 10 % 4) * 1.0, -1.0) for i in range(40)]
+def test_morans_i_of_halves(spark):
+    rows = [(i, float(i % 9), float(i // 9), 2.0 if i // 9 < 4 else 0.5) for i in range(72)]
     df = spark.createDataFrame(rows, "id int, x double, y double, z double")
-    assert stats.morans_i(df, stats.neighbours(df, "id", "x", "y", 8, 5.0), "id", "z").first().morans_i > 0.5
+    links = stats.neighbours(df, "id", "x", "y", 4, 1.0)
+    assert stats.morans_i(df, links, "id", "z").first().morans_i > 0.7
+    mixed = df.withColumn("z", F.pmod(F.xxhash64("id"), F.lit(97)).cast("double"))
+    assert abs(stats.morans_i(mixed, links, "id", "z").first().morans_i) < 0.3
 
 
 def test_screen_choices():
     import numpy as np
 
-    m = np.array([[1, 0.9, 0.6, 0.6], [0.9, 1, 0.1, 0.1], [0.6, 0.1, 1, 0], [0.6, 0.1, 0, 1]])
-    assert stats.choose_of_pair("x", "y", ["x", "y", "u", "v"], m) == "x"
-    assert stats.choose_of_pair("x", "y", ["x", "y", "u", "v"], m, {frozenset(("x", "y")): "y"}) == "y"
+    m = np.array([[1, 0.85, 0.2, 0.3, 0.1], [0.85, 1, 0.5, 0.55, 0.4], [0.2, 0.5, 1, 0, 0], [0.3, 0.55, 0, 1, 0], [0.1, 0.4, 0, 0, 1]])
+    names = ["slope", "rough", "wet", "clay", "road"]
+    assert stats.choose_of_pair("slope", "rough", names, m) == "rough"
+    assert stats.choose_of_pair("slope", "rough", names, m, {frozenset(("slope", "rough")): "slope"}) == "slope"
 
 
 def test_bootstrap_brackets_auc(spark):
     df = spark.createDataFrame([("a", int(i % 3 == 0), float((i * 37) % 100 + 40 * (i % 3 == 0))) for i in range(300)], "m string, y int, s double")
     r = stats.bootstrap_auc(df, "y", "s", ["m"], replicates=200).first()
     assert r.low < metrics.auc(df, "y", "s").first().auc < r.high and r.replicates == 200
+
+
+def test_quantiles_over_many_ranges(spark):
+    import numpy as np
+
+    rng = random.Random(12)
+    rows = [(g, float(rng.randrange(400))) for g in ("a", "b", None) for _ in range({"a": 3000, "b": 40, None: 7}[g])]
+    df = spark.createDataFrame([*rows, ("a", None), ("c", None)], "g string, v double")
+    ps = [0.0, 0.1, 0.37, 0.5, 0.9, 1.0]
+    got = {r.g: r.quantiles for r in running.quantiles(df, "v", ps, ["g"]).collect()}
+    assert got.keys() == {"a", "b", None}
+    for g, found in got.items():
+        assert found == pytest.approx(list(np.quantile([v for h, v in rows if h == g], ps)))
+    assert running.quantiles(df, "v", ps).first().quantiles == pytest.approx(list(np.quantile([v for _, v in rows], ps)))
+    distinct = df.where("v is not null").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    for r in running.running_sums(distinct, "v", {"upto": "n"}, descending=True, within=["g"], parts=50, rows=9).collect():
+        assert r.upto == sum(v >= r.v for g, v in rows if g == r.g)
+    cuts = sorted(rng.choice(range(60)) for _ in range(75))
+    probe = spark.range(-2, 63).select("id", running.count_below(F.array(*[F.lit(c).cast("long") for c in cuts]), F.col("id")).alias("under"), running.count_below(F.array(*[F.lit(c).cast("long") for c in cuts]), F.col("id"), True).alias("upto"))
+    assert all((r.under, r.upto) == (sum(c < r.id for c in cuts), sum(c <= r.id for c in cuts)) for r in probe.collect())
