@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.5
 #: Code points before and after a span in which context words count.
 BEFORE, AFTER = 48, 24
+#: Spans of a text whose places are summed in one go.
+RUN = 256
 
 
 @dataclass(frozen=True)
@@ -75,30 +77,80 @@ def _always(m: Column) -> Column:
 
 
 BASE = (
-    Kind("email", "@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", _always, 0.9, r"(?i)\b(e-?mail|mail|contact|write to|reply)\b", 0.1),
-    Kind("ip", ".", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _parts_to_255, 0.7, r"(?i)\b(ip|address|host|server|client|login)\b", 0.2),
-    Kind("card", None, r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])", luhn, 0.8, r"(?i)\b(card|visa|mastercard|amex|credit|debit|carte|karte|tarjeta)\b", 0.2),
-    Kind("phone", "+", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), 0.7, r"(?i)\b(phone|tel|mobile|cell|call|fax|téléphone|telefon|teléfono)\b", 0.2),
+    Kind("email", "@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", _always, 0.9, r"(?iu)\b(e-?mail|mail|contact|write to|reply)\b", 0.1),
+    Kind("ip", ".", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _parts_to_255, 0.7, r"(?iu)\b(ip|address|host|server|client|login)\b", 0.2),
+    Kind("card", None, r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])", luhn, 0.8, r"(?iu)\b(card|visa|mastercard|amex|credit|debit|carte|karte|tarjeta)\b", 0.2),
+    Kind("phone", "+", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), 0.7, r"(?iu)\b(phone|tel|mobile|cell|call|fax|téléphone|telefon|teléfono)\b", 0.2),
 )
 ADDED = (
-    Kind("iban", None, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod97, 0.8, r"(?i)\b(iban|account|konto|compte|cuenta)\b", 0.2),
-    Kind("ssn", "-", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", _always, 0.3, r"(?i)\b(ssn|social security)\b", 0.5),
-    Kind("birth", None, r"(?<![0-9./-])(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|[12][0-9]|3[01])[./-](?:19|20)[0-9]{2}(?![0-9])", _always, 0.2, r"(?i)(\b(born|birth|dob|geboren|geburtsdatum)\b|\bnée? le\b|\bnacid[oa]\b|\bnacimiento\b)", 0.5),
-    Kind("local_phone", "-", r"(?<![0-9+)(.-])(?<![0-9)] )(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}-[0-9]{4}(?![0-9-])", _always, 0.2, r"(?i)\b(phone|tel|mobile|cell|call|fax)\b", 0.5),
+    Kind("iban", None, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod97, 0.8, r"(?iu)\b(iban|account|konto|compte|cuenta)\b", 0.2),
+    Kind("ssn", "-", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", _always, 0.3, r"(?iu)\b(ssn|social security)\b", 0.5),
+    Kind("birth", None, r"(?<![0-9./-])(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|[12][0-9]|3[01])[./-](?:19|20)[0-9]{2}(?![0-9])", _always, 0.2, r"(?iu)(\b(born|birth|dob|geboren|geburtsdatum)\b|\bnée? le\b|\bnacid[oa]\b|\bnacimiento\b)", 0.5),
+    Kind("local_phone", "-", r"(?<![0-9+)(.-])(?<![0-9)] )(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}-[0-9]{4}(?![0-9-])", _always, 0.2, r"(?iu)\b(phone|tel|mobile|cell|call|fax)\b", 0.5),
 )
 
 
+def _running(values: Column, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """add over each element of an array of long and all before it.
+
+    Appending copies an array, so elements are taken in chunks: first each chunk for itself, then what
+    the chunks before it come to.
+    """
+
+    def run(chunk: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            at = add(acc["at"], x)
+            return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+        return F.aggregate(chunk, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")), step, lambda acc: acc["out"])
+
+    def joined(chunks: Column) -> Column:
+        # bound once: what the chunks before come to isn't computed again for each chunk
+        totals = run(F.transform(chunks, lambda c: F.element_at(c, -1)))
+        both = F.struct(chunks.alias("chunks"), F.concat(F.array(zero), totals).alias("before"))
+        return F.element_at(F.transform(F.array(both), lambda b: F.flatten(F.zip_with(b["chunks"], F.slice(b["before"], 1, F.size(b["chunks"])), lambda c, z: F.transform(c, lambda x: add(x, z))))), 1)
+
+    def bound(all_: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")), lambda c: run(F.slice(all_, c * RUN + 1, F.lit(RUN))))
+        return F.element_at(F.transform(F.array(chunks), joined), 1)
+
+    return F.when(F.size(values) > 0, F.element_at(F.transform(F.array(values), bound), 1)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _apart(added: Column, base: Column) -> Column:
+    """The added spans that overlap no base span: of the base spans that start before its end, found by halving, none ends after its start."""
+
+    def bound(b: Column, starts: Column, ends: Column, a: Column) -> Column:
+        def before(x: Column) -> Column:
+            def halve(acc: Column, _: Column) -> Column:
+                mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+                less = F.get(starts, mid) < x["end"]
+                open_ = acc["low"] < acc["high"]
+                return F.struct(F.when(open_ & less, mid + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~less, mid).otherwise(acc["high"]).alias("high"))
+
+            return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(b) + 1)).cast("int")), F.struct(F.lit(0).alias("low"), F.size(b).alias("high")), halve, lambda acc: acc["low"])
+
+        return F.filter(a, lambda x: F.coalesce(F.get(ends, before(x) - 1) <= x["start"], F.lit(True)))
+
+    def with_ends(s: Column) -> Column:
+        starts = F.transform(s["b"], lambda x: x["start"])
+        ends = _running(F.transform(s["b"], lambda x: x["end"]), F.lit(0).cast("long"), lambda p, q: F.greatest(p, q))
+        both = F.struct(s["b"].alias("b"), s["a"].alias("a"), starts.alias("starts"), ends.alias("ends"))
+        return F.element_at(F.transform(F.array(both), lambda t: bound(t["b"], t["starts"], t["ends"], t["a"])), 1)
+
+    whole = F.struct(F.array_sort(base).alias("b"), added.alias("a"))
+    return F.when((F.size(added) > 0) & (F.size(base) > 0), F.element_at(F.transform(F.array(whole), with_ends), 1)).otherwise(added)
+
+
 def _spans(text: Column, kind: Kind, rank: int) -> Column:
     """All confirmed spans of a kind as array<struct<start, rank, end, kind, score, value>>."""
     pattern = F.lit(kind.pattern)
 
     def placed(m: Column, g: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            at = acc["at"] + F.length(F.get(g, i)).cast("long")
-            return F.struct((at + F.length(F.get(m, i))).alias("at"), F.concat(acc["starts"], F.array(at)).alias("starts"))
-
         every = F.sequence(F.lit(0), F.size(m) - 1)
-        start = F.aggregate(every, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts")), step, lambda acc: acc["starts"])
+        lengths = F.transform(every, lambda i: F.length(F.get(g, i)).cast("long") + F.length(F.get(m, i)))
+        # where each match ends, less its length
+        start = F.zip_with(_running(lengths, F.lit(0).cast("long"), lambda a, b: a + b), F.transform(m, lambda x: F.length(x)), lambda e, n: e - n)
 
         def row(value: Column, i: Column) -> Column:
             near = F.right(F.get(g, i), F.lit(BEFORE)).rlike(kind.context) | F.left(F.get(g, i + 1), F.lit(AFTER)).rlike(kind.context)
@@ -133,7 +185,7 @@ def find_pii(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     added = F.flatten(F.array(*[_spans(t, k, len(BASE) + i) for i, k in enumerate(ADDED)]))
 
     def join(b: Column, a: Column) -> Column:
-        return F.array_sort(F.concat(b, F.filter(a, lambda x: ~F.exists(b, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))))
+        return F.array_sort(F.concat(b, _apart(a, b)))
 
     whole = F.element_at(F.transform(F.array(F.struct(base.alias("b"), added.alias("a"))), lambda s: join(s["b"], s["a"])), 1)
     return docs.select(*[F.col(f"`{c}`") for c in keep], whole.alias(into))

@@ -222,6 +222,26 @@ def test_base_spans_match_brute_force(spark):
     assert pii.find_pii(docs(spark, [])).count() == 0
 
 
+def test_many_spans_of_one_text(spark):
+    """Over several chunks of running totals, against brute force; the time is near linear in the spans."""
+    import time
+
+    rng = random.Random(8)
+    parts = ["a@b.co ", "1.2.3.4 ", "ssn 123-45-6789 ", "+12 345 678 901 x ", "4111111111111111 x ", "é\U0001f600 ", "born 12/10/1980, ", "12.10.1980.1.2.3 "]
+    text = "".join(rng.choice(parts) for _ in range(4000))
+    got = pii.find_pii(docs(spark, [(1, text, "en", "s")])).first().pii
+    base = brute(text, BASE)
+    assert [(s.start, s["rank"], s.end) for s in got if s["rank"] < 4] == base
+    added = [s for s in got if s["rank"] >= 4]
+    assert added and all(text[s.start : s.end] == s.value for s in added)
+    assert not any(s.start < e and b < s.end for s in added for b, _, e in base)
+    assert sum(s.kind == "ssn" for s in added) == text.count("ssn ")
+    began = time.time()
+    many = pii.find_pii(docs(spark, [(1, "1.2.3.4 123-45-6789 ssn\n" * 100_000, "en", "s")]))
+    assert many.select(F.size("pii")).first()[0] == 200_000
+    assert time.time() - began < 60
+
+
 def test_checksums_and_context_decide(spark):
     texts = ["GB82 WEST 1234 5698 7654 32", "GB83 WEST 1234 5698 7654 32", "ssn 123-45-6789", "code 123-45-6789", "born 12/10/1980", "on 12/10/1980"]
     got = {r.text: [s.kind for s in r.pii] for r in pii.find_pii(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
