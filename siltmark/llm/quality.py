@@ -1,9 +1,10 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are three-grams of character classes (lower, upper, digit, white space,
-each punctuation mark), which tell prose from shouting, tables and mark-up, and counts of
-repeated words. Weighted by tf-idf they are projected on the leading singular vectors of a
-bounded sample of labelled texts. The sample's vectors are broadcast; for every document
+A text's terms are its words, hashed, and its shapes: three-grams of character classes (lower,
+upper, digit, white space, each punctuation mark), which tell prose from shouting, tables and
+mark-up, and counts of repeated words. Weighted by tf-idf, words and shapes each to a fixed part
+of the length, they are projected on the leading singular vectors of a bounded sample of
+labelled texts. The sample's vectors are broadcast; for every document
 the cosine to each of them is computed, in blocks, and the most similar vote with weights
 by similarity.
 """
@@ -20,8 +21,9 @@ from .words import Words, tidy, words_of
 
 #: Labelled texts that vote, about (the rate of the sample is set by a count).
 SAMPLE = 3000
-#: Terms, latent dimensions, neighbours that vote.
-TERMS, DIMENSIONS, NEIGHBOURS = 4096, 32, 25
+#: Terms of shapes and of words, the part of words in a vector's squared length, latent dimensions, neighbours that vote.
+SHAPES, WORDS, WORD_PART, DIMENSIONS, NEIGHBOURS = 4096, 4096, 0.3, 64, 25
+TERMS = SHAPES + WORDS
 #: Documents of one block of cosines.
 BLOCK_ROWS = 256
 PREDICTED_FROM = 0.3
@@ -35,7 +37,7 @@ _CLASS[[32, 9, 11, 12, 13]] = 5
 _CLASS[10] = 6
 for _k, _c in enumerate(b".,;:!?'\"-()[]{}|#*%&$@/\\_=+<>~^`"):
     _CLASS[_c] = 7 + _k % (_CLASSES - 7)
-#: The last terms count words equal to the one before, to the one before that, to any before, and others.
+#: The last terms of shapes count words equal to the one before, to the one before that, to any before, and others.
 _WORD_TERMS = 8
 
 
@@ -47,7 +49,7 @@ def term_counts(block: Words) -> np.ndarray:
     text = np.repeat(np.arange(texts), np.diff(block.text_at))
     if len(c) > 2:
         gram = ((c[:-2] * np.uint64(_CLASSES) + c[1:-1]) * np.uint64(_CLASSES) + c[2:]) * np.uint64(0x9E3779B97F4A7C15)
-        term = ((gram >> np.uint64(32)) % np.uint64(TERMS - _WORD_TERMS)).astype(np.int64)
+        term = ((gram >> np.uint64(32)) % np.uint64(SHAPES - _WORD_TERMS)).astype(np.int64)
         same = text[:-2] == text[2:]
         flat = text[:-2][same] * TERMS + term[same]
         out += np.bincount(flat, minlength=texts * TERMS).reshape(texts, TERMS)
@@ -56,12 +58,14 @@ def term_counts(block: Words) -> np.ndarray:
         for k in (1, 2):
             if len(h) > k:
                 again = (h[k:] == h[:-k]) & (of[k:] == of[:-k])
-                out[:, TERMS - k] = np.bincount(of[k:][again], minlength=texts)
+                out[:, SHAPES - k] = np.bincount(of[k:][again], minlength=texts)
         _, first = np.unique(h + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
         fresh = np.zeros(len(h), bool)
         fresh[first] = True
-        out[:, TERMS - 3] = np.bincount(of[~fresh], minlength=texts)
-        out[:, TERMS - 4] = np.bincount(of[fresh], minlength=texts)
+        out[:, SHAPES - 3] = np.bincount(of[~fresh], minlength=texts)
+        out[:, SHAPES - 4] = np.bincount(of[fresh], minlength=texts)
+        word = SHAPES + (h % np.uint64(WORDS)).astype(np.int64)
+        out += np.bincount(of * TERMS + word, minlength=texts * TERMS).reshape(texts, TERMS)
     return out
 
 
@@ -73,10 +77,13 @@ def _blocks(column: pa.Array):
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Log frequencies relative to the text's length, times idf, of unit length."""
-    total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
-    x = np.log1p(counts * (1000.0 / total)).astype(np.float32) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    """Log frequencies relative to the text's length, times idf; shapes and words have their parts of the unit length."""
+    out = np.empty(counts.shape, np.float32)
+    for of, part in ((slice(0, SHAPES), 1 - WORD_PART), (slice(SHAPES, TERMS), WORD_PART)):
+        c = counts[:, of]
+        x = np.log1p(c * (1000.0 / np.maximum(c.sum(axis=1, keepdims=True), 1))).astype(np.float32) * idf[of]
+        out[:, of] = x * (part**0.5 / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9))
+    return out
 
 
 class Model:

@@ -1,10 +1,12 @@
 """Corpus operators against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -328,6 +330,49 @@ def test_quality_votes(spark):
     assert quality.score_quality(docs(spark, []), model).count() == 0
 
 
+def test_quality_sees_words(spark):
+    """Texts of one shape whose words alone tell the label."""
+    rng = random.Random(2)
+    good, bad = ["stone", "water", "shore", "field", "cloud", "river"], ["cheap", "click", "money", "prize", "promo", "sales"]
+    df = docs(spark, [(i, prose(rng, 40, good if i % 3 else bad), "en", "s") for i in range(300)])
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = quality.score_quality(df, quality.fit(df, labels)).collect()
+    held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert held and all(r.predicted == int(r.doc_id % 3 > 0) for r in held)
+
+
+def test_votes_match_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["aa", "B!", "c1", "dd", "12"]) for _ in range(rng.choice([0, 1, 9, 30, 40, 50]))), "en", "s") for i in range(120)]
+    df = docs(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = quality.fit(df, labels)
+
+    def plain(text):
+        counts = quality.term_counts(next(quality.words_of(quality.pa.array([text]))))[0]
+        x = []
+        for of, part in ((range(quality.SHAPES), 1 - quality.WORD_PART), (range(quality.SHAPES, quality.TERMS), quality.WORD_PART)):
+            total = max(1, sum(float(counts[k]) for k in of))
+            w = [math.log1p(float(counts[k]) * 1000 / total) * float(model.idf[k]) if counts[k] else 0.0 for k in of]
+            norm = math.sqrt(sum(v * v for v in w))
+            x += [v * math.sqrt(part) / norm if norm else 0.0 for v in w]
+        y = np.array(x) @ model.axes
+        y = y / max(np.linalg.norm(y), 1e-9)
+        cosines = sorted(((float(y @ v), float(l)) for v, l in zip(model.vectors, model.labels, strict=True)), reverse=True)
+        kth = cosines[quality.NEIGHBOURS - 1][0]
+        tie = sum(abs(c - kth) < 1e-5 for c, _ in cosines) > 1
+        weights = [(max(c, 0) ** 8, l) for c, l in cosines[: quality.NEIGHBOURS]]
+        return tie, (sum(w * l for w, l in weights) + model.prior) / (sum(w for w, _ in weights) + 1)
+
+    checked = 0
+    for r in quality.score_quality(df, model).collect():
+        tie, want = plain(r.text)
+        if not tie:
+            checked += 1
+            assert abs(r.score - want) < 1e-4
+    assert checked > 20
+
+
 # --- licences
 
 
