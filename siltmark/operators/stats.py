@@ -170,19 +170,54 @@ def corrected_t(df: DataFrame, difference: str, n_train: float, n_test: float, w
     return s.select("*", t.alias("t"), F.try_divide(F.col("mean_diff"), F.col("sd_diff")).alias("cohens_d"))
 
 
-def neighbours(df: DataFrame, key: str, x: str, y: str, k: int, reach: float) -> DataFrame:
-    """(i, j, d, n): the k nearest other rows within reach, ties to the smaller key.
+def points(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(i, x, y) of the rows whose coordinates are finite."""
+    p = df.select(F.col(key).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return p.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+
+
+def pairs_within(asking: DataFrame, held: DataFrame, reach: float) -> DataFrame:
+    """(i, j, d): each of asking (i, x, y) with the rows of held (i, x, y) of another key within reach.
 
-    Cells of the size of reach: each row meets the rows of nine cells only. A row with fewer
-    than k rows in reach has fewer neighbours.
+    Cells of the size of reach: a row meets the rows of nine cells only.
     """
-    p = df.select(F.col(key).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    q = p.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.floor(F.col("x") / reach).alias("cx"), F.floor(F.col("y") / reach).alias("cy"))
+    q = held.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.floor(F.col("x") / reach).alias("cx"), F.floor(F.col("y") / reach).alias("cy"))
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    p = p.withColumn("o", around).select("i", "x", "y", (F.floor(F.col("x") / reach) + F.col("o.a")).alias("cx"), (F.floor(F.col("y") / reach) + F.col("o.b")).alias("cy"))
+    p = asking.withColumn("o", around).select("i", "x", "y", (F.floor(F.col("x") / reach) + F.col("o.a")).alias("cx"), (F.floor(F.col("y") / reach) + F.col("o.b")).alias("cy"))
     d = F.sqrt(F.pow(F.col("x") - F.col("xj"), F.lit(2)) + F.pow(F.col("y") - F.col("yj"), F.lit(2)))
-    near = p.join(q, ["cx", "cy"]).where("i <> j").select("i", "j", d.alias("d")).where(F.col("d") <= reach)
-    return near.withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("n") <= k)
+    return p.join(q, ["cx", "cy"]).where("i <> j").select("i", "j", d.alias("d")).where(F.col("d") <= reach)
+
+
+def _first(pairs: DataFrame, k: int) -> DataFrame:
+    return pairs.withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("n") <= k)
+
+
+def neighbours(df: DataFrame, key: str, x: str, y: str, k: int, reach: float) -> DataFrame:
+    """(i, j, d, n): the k nearest other rows within reach, ties to the smaller key; fewer where reach holds fewer."""
+    p = points(df, key, x, y)
+    return _first(pairs_within(p, p, reach), k)
+
+
+def nearest(df: DataFrame, key: str, x: str, y: str, k: int, reach: float) -> DataFrame:
+    """(i, j, d, n): the k nearest other rows wherever they are, ties to the smaller key; fewer only where the table has fewer.
+
+    Rows that have fewer than k within reach, and only these, search again within twice the reach.
+    Rows without finite coordinates take no part.
+    """
+    p = points(df, key, x, y)
+    durable = bool(df.sparkSession.sparkContext.getCheckpointDir())
+    wide, high, n = p.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
+    found, short = _first(pairs_within(p, p, reach), k), p
+    while n and reach < math.hypot(wide, high):
+        found = found.checkpoint() if durable else found.cache()
+        enough = found.groupBy("i").agg(F.max("n").alias("m")).where(F.col("m") >= min(k, n - 1)).select("i")
+        short = short.join(enough, "i", "left_anti")
+        short = short.checkpoint() if durable else short.cache()
+        if short.isEmpty():
+            break
+        reach *= 2
+        found = found.join(short.select("i"), "i", "left_anti").unionByName(_first(pairs_within(short, p, reach), k))
+    return found
 
 
 def morans_i(df: DataFrame, links: DataFrame, key: str, value: str) -> DataFrame:
@@ -199,7 +234,8 @@ def correlogram(df: DataFrame, key: str, x: str, y: str, value: str, band: float
     """Moran's I by distance band (lo, hi]; directed pairs count; a band of fewer than ``least`` is null."""
     mean = F.broadcast(df.agg(F.avg(value).alias("mean"), F.var_pop(value).alias("var")))
     z = df.crossJoin(mean).select(F.col(key).alias("k"), (F.col(value) - F.col("mean")).alias("z"), "var")
-    pairs = neighbours(df, key, x, y, 1 << 30, reach).where("d > 0").withColumn("band", F.ceil(F.col("d") / band).cast("long"))
+    p = points(df, key, x, y)
+    pairs = pairs_within(p, p, reach).where("d > 0").withColumn("band", F.ceil(F.col("d") / band).cast("long"))
     both = pairs.join(z.select(F.col("k").alias("i"), F.col("z").alias("zi"), "var"), "i").join(z.select(F.col("k").alias("j"), F.col("z").alias("zj")), "j")
     out = both.groupBy("band").agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.col("zi") * F.col("zj")).alias("c"), F.first("var").alias("var"))
     return out.select("band", "pairs", F.when(F.col("pairs") >= least, F.try_divide(F.col("c"), F.col("var"))).alias("morans_i"))

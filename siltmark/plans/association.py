@@ -143,6 +143,13 @@ def k_nearest(spark, d):
     return rounded(stats.neighbours(_points(spark, d), "id", "x", "y", 8, 3.0).select("i", "j", "d"))
 
 
+@query("""WITH p AS (SELECT CAST(s_suppkey AS BIGINT) AS id, s_acctbal AS x, CAST(s_nationkey * 40 AS DOUBLE) AS y FROM supplier), n AS (SELECT a.id AS i, b.id AS j, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM p a JOIN p b ON a.id <> b.id)
+SELECT i, j, round(d, 6) AS d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS n FROM n QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 8""")
+def nearest_anywhere(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_acctbal").alias("x"), (F.col("s_nationkey") * 40).cast("double").alias("y"))
+    return rounded(stats.nearest(s, "id", "x", "y", 8, 200.0).withColumn("n", F.col("n").cast("long")))
+
+
 @query(f"""WITH {_PTS}, n AS (SELECT a.id AS i, b.id AS j FROM p a JOIN p b ON a.id <> b.id AND b.x BETWEEN a.x - 3 AND a.x + 3 AND b.y BETWEEN a.y - 3 AND a.y + 3 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 9
 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.id) <= 8), z AS (SELECT id, z - avg(z) OVER () AS z FROM p), l AS (SELECT i, avg(z) AS lag FROM n JOIN z ON j = id GROUP BY i)
 SELECT CAST((SELECT count(*) FROM z) AS BIGINT) AS n, round((SELECT count(*) FROM z) * sum(z * lag) / (count(*) * (SELECT sum(z * z) FROM z)), 6) AS morans_i FROM z JOIN l ON id = i""")
@@ -161,7 +168,8 @@ def residual_correlogram(spark, d):
 SELECT fold, round(min(d), 6) AS nearest, round(median(d), 6) AS middle, round(max(d), 6) AS farthest, CAST(count_if(d > 0.5) AS BIGINT) AS beyond_buffer FROM n GROUP BY fold""")
 def fold_geometry(spark, d):
     p = _points(spark, d).withColumn("fold", F.col("id") % 5)
-    near = stats.neighbours(p, "id", "x", "y", 1 << 30, 4.0)
+    at = stats.points(p, "id", "x", "y")
+    near = stats.pairs_within(at, at, 4.0)
     folds = p.select(F.col("id").alias("i"), "fold"), p.select(F.col("id").alias("j"), F.col("fold").alias("fj"))
     least = near.join(folds[0], "i").join(folds[1], "j").where("fold <> fj").groupBy("i", "fold").agg(F.min("d").alias("d"))
     return rounded(least.groupBy("fold").agg(F.min("d").alias("nearest"), F.median("d").alias("middle"), F.max("d").alias("farthest"), F.count_if(F.col("d") > 0.5).alias("beyond_buffer")))
@@ -170,8 +178,9 @@ def fold_geometry(spark, d):
 @query(f"""WITH {_PTS}, t AS (SELECT * FROM p WHERE id % 5 = 0), r AS (SELECT * FROM p WHERE id % 5 <> 0) SELECT r.id FROM r WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.x BETWEEN r.x - 0.5 AND r.x + 0.5 AND t.y BETWEEN r.y - 0.5 AND r.y + 0.5 AND pow(t.x - r.x, 2) + pow(t.y - r.y, 2) <= 0.25)""")
 def buffer_exclusion(spark, d):
     p = _points(spark, d)
-    near = stats.neighbours(p, "id", "x", "y", 1 << 30, 0.5).where("i % 5 <> 0 and j % 5 = 0").select(F.col("i").alias("id")).distinct()
-    return p.where("id % 5 <> 0").select("id").join(near, "id", "left_anti")
+    train, test = p.where("id % 5 <> 0"), p.where("id % 5 = 0")
+    near = stats.pairs_within(stats.points(train, "id", "x", "y"), stats.points(test, "id", "x", "y"), 0.5).select(F.col("i").alias("id")).distinct()
+    return train.select("id").join(near, "id", "left_anti")
 
 
 @query("""WITH v AS (SELECT c_mktsegment AS model, n_name AS layer, avg(c_acctbal) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), r AS (SELECT layer, rank() OVER (PARTITION BY model ORDER BY v DESC) AS rk, greatest(v, 0) / sum(greatest(v, 0)) OVER (PARTITION BY model) AS share, v - min(v) OVER (PARTITION BY model) AS over FROM v)

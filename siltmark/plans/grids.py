@@ -165,7 +165,9 @@ def polygon_cells(spark, d):
     return grid.assign_zones(cells(spark, d).select("row", "col"), zones, "zone", "ring", 1.0, 10.0)
 
 
-@query()
+@query("""WITH s AS (SELECT value AS x0, CAST(user_id AS DOUBLE) AS y0, value + event_id % 5 AS x1, CAST(user_id + event_id % 3 AS DOUBLE) AS y1 FROM events),
+n AS (SELECT *, CAST(greatest(1, ceil(greatest(abs(x1 - x0), abs(y1 - y0)) / 0.5)) AS INTEGER) AS n FROM s), k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n)
+SELECT DISTINCT CAST(floor(y0 + (y1 - y0) * (k / CAST(n AS DOUBLE))) AS BIGINT) AS "row", CAST(floor(x0 + (x1 - x0) * (k / CAST(n AS DOUBLE))) AS BIGINT) AS col FROM k""")
 def burned_lines(spark, d):
     e = table(spark, d, "events").select(F.col("value").alias("x0"), F.col("user_id").cast("double").alias("y0"), (F.col("value") + F.col("event_id") % 5).alias("x1"), (F.col("user_id") + F.col("event_id") % 3).cast("double").alias("y1"))
     return grid.burn_lines(e, 1.0)

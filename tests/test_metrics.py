@@ -169,6 +169,21 @@ def test_morans_i_of_halves(spark):
     assert abs(stats.morans_i(mixed, links, "id", "z").first().morans_i) < 0.3
 
 
+def test_nearest_reaches_as_far_as_it_must(spark):
+    rng = np.random.default_rng(3)
+    at = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(0, 1, (60, 2)))] + [(60, 400.0, 0.0), (61, 400.0, 0.0), (62, None, 1.0), (63, float("nan"), 1.0)]
+    got = {(r.i, r.n): r.j for r in stats.nearest(spark.createDataFrame(at, "id long, x double, y double"), "id", "x", "y", 3, 0.25).collect()}
+    known = at[:62]
+    want = {}
+    for i, x, y in known:
+        others = sorted((np.sqrt((x - u) ** 2 + (y - v) ** 2), j) for j, u, v in known if j != i)
+        want |= {(i, n + 1): j for n, (_, j) in enumerate(others[:3])}
+    assert got == want
+    few = spark.createDataFrame(at[:2], "id long, x double, y double")
+    assert stats.nearest(few, "id", "x", "y", 3, 0.25).count() == 2
+    assert stats.nearest(few.limit(0), "id", "x", "y", 3, 0.25).count() == 0
+
+
 def test_screen_choices():
     import numpy as np
 
