@@ -2,6 +2,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,8 +186,6 @@ def test_nearest_reaches_as_far_as_it_must(spark):
 
 
 def test_screen_choices():
-    import numpy as np
-
     m = np.array([[1, 0.85, 0.2, 0.3, 0.1], [0.85, 1, 0.5, 0.55, 0.4], [0.2, 0.5, 1, 0, 0], [0.3, 0.55, 0, 1, 0], [0.1, 0.4, 0, 0, 1]])
     names = ["slope", "rough", "wet", "clay", "road"]
     assert stats.choose_of_pair("slope", "rough", names, m) == "rough"
@@ -200,8 +199,6 @@ def test_bootstrap_brackets_auc(spark):
 
 
 def test_quantiles_over_many_ranges(spark):
-    import numpy as np
-
     rng = random.Random(12)
     rows = [(g, float(rng.randrange(400))) for g in ("a", "b", None) for _ in range({"a": 3000, "b": 40, None: 7}[g])]
     df = spark.createDataFrame([*rows, ("a", None), ("c", None)], "g string, v double")
