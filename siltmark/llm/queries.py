@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licences, neighbours, quality
+from . import language, licences, neighbours, pieces, prefixtrie, quality, spelling
 from .decontamination import scan
 from .mixing import mix_plan
 from .nearduplicates import near_duplicates
@@ -95,6 +95,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefixtrie.rebuilt(_table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.lowered_runs(_table(spark, sf_dir, "documents"))
+    # of one run in 97 of a document, a letter is left out
+    h = F.crc32(F.concat(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    gone = (h % F.length("run")).cast("int")
+    less = F.concat(F.substring("run", F.lit(1), gone), F.substring("run", gone + 2, F.length("run")))
+    words = spelling.counted(runs.select(F.when(h % 97 == 0, less).otherwise(F.col("run")).alias("word")))
+    return spelling.spelling_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = pieces.Model.read(str(public_tokenizers.path("piece_bpe_32k.model")))
+    found = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), model, keep=["doc_id"]), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_pii": op2_pii,
@@ -106,8 +130,21 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_spelling": op12_spelling,
+    "op13_pieces": op13_pieces,
 }
 
+
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of a text's UTF-8: a byte is taken in and shifted out bit by bit."""
+    hexed = f"hex(encode({text}))"
+    byte = f"CAST(concat('0x', substring({hexed}, 2 * i + 1, 2)) AS BIGINT)"
+    steps = f"flatten(list_transform(range(0, CAST(octet_length(encode({text})) AS BIGINT)), lambda i: [{byte}, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END), CAST(4294967295 AS BIGINT))"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": r"""
 WITH d AS (
@@ -167,5 +204,56 @@ pos AS (
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items,
        sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
 FROM dw d LEFT JOIN hit h USING (doc_id) LEFT JOIN its t USING (doc_id)
+""",
+    "op11_prefix_trie": f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role) AS pos FROM conversations WHERE conv_id IS NOT NULL
+), h AS (
+  SELECT c, {_crc32("CAST(c AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT c FROM t)
+), r AS (
+  SELECT h.c, 1 AS part, t.pos, t.role, t.text FROM h JOIN t ON t.c = h.c - h.c % 20 AND t.pos <= h.h
+  UNION ALL SELECT h.c, 2, t.pos, t.role, t.text FROM h JOIN t ON t.c = h.c AND t.pos > h.h
+), s AS (
+  SELECT h.c, coalesce(list(md5(concat(md5(role), md5(text))) ORDER BY part, pos) FILTER (WHERE pos IS NOT NULL), []) AS turns,
+         coalesce(list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY part, pos) FILTER (WHERE pos IS NOT NULL), []) AS words
+  FROM h LEFT JOIN r ON r.c = h.c GROUP BY h.c
+), p AS (
+  SELECT c, d, turns[1:d] AS node, words[d] AS words, d = len(turns) AS ends FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM s)
+), n AS (
+  SELECT d, node, min(c) AS c, count(*) AS n, max(words) AS words, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '') AS ends FROM p GROUP BY d, node
+), k AS (
+  SELECT node[1:d - 1] AS node, count(*) AS k FROM n WHERE d > 0 GROUP BY 1
+), o AS (
+  SELECT n.*, coalesce(k.k, 0) AS k FROM n LEFT JOIN k USING (node)
+), u AS (
+  SELECT node[1:x] AS node, sum((n - 1) * words) AS saved, count_if(k = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS x FROM (SELECT node, d, n, coalesce(words, 0) AS words, k FROM o)) GROUP BY 1
+)
+SELECT o.c AS conv_id, CAST(o.d AS BIGINT) AS depth, a.c AS parent_conv_id, CAST(o.n AS BIGINT) AS n_convs, CAST(o.k AS BIGINT) AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(o.ends) AS ends_sha256
+FROM o JOIN u USING (node) LEFT JOIN n a ON o.d > 0 AND a.node = o.node[1:o.d - 1]
+""",
+    "op12_spelling": f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, translate(run, '{spelling.UPPER}', '{spelling.LOWER}') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{spelling.LETTERS}')) AS run FROM documents) GROUP BY ALL
+), h AS (
+  SELECT run, n, {_crc32("concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run)")} AS h FROM r
+), w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN concat(substring(run, 1, CAST(h % length(run) AS BIGINT)), substring(run, CAST(h % length(run) AS BIGINT) + 2)) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3
+), less AS (
+  SELECT word, n, i, concat(substring(word, 1, i), substring(word, i + 2)) AS rest FROM (SELECT *, unnest(range(0, length(word))) AS i FROM w)
+), near AS (
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS k FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT l.word, l.n, w.word, w.n FROM less l JOIN w ON w.word = l.rest
+  UNION SELECT w.word, w.n, l.word, l.n FROM less l JOIN w ON w.word = l.rest
+), best AS (
+  SELECT word, n, count(*) AS n_near, arg_min(other, (-k, other)) AS form, max(k) AS form_n FROM near GROUP BY word, n
+), f AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= 2 * w.n THEN b.form END AS form, CASE WHEN b.form_n >= 2 * w.n THEN b.form_n END AS form_n FROM w LEFT JOIN best b USING (word)
+), way AS (
+  SELECT word, word AS root, form AS next FROM f
+  UNION ALL SELECT way.word, way.next, f.form FROM way JOIN f ON f.word = way.next
+)
+SELECT f.word, f.form, way.root, f.n, f.n_near, f.form_n FROM f JOIN way ON way.word = f.word AND way.next IS NULL
 """,
 }
