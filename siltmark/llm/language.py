@@ -13,17 +13,18 @@ that language need. Both limits are learned from sampled texts that are in no di
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .words import tidy
 
-#: Texts sampled for each language (about), and characters taken of each.
+#: Texts sampled for each language, and characters taken of each.
 SAMPLE_TEXTS, SAMPLE_CHARS = 256, 512
 #: Bytes of a dictionary at most.
 DICTIONARY_BYTES = 96 * 1024
@@ -61,10 +62,11 @@ class Dictionaries(dict):
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> Dictionaries:
     """A dictionary for each language, the most frequent first, from rows with text and language.
 
-    One count of rows by language sets the rate of a hash sample; of each sampled text, chars
-    characters from a place set by the hash are taken. So at most about (texts + LIMIT_TEXTS) *
-    chars characters of each of LANGUAGES languages reach the driver. The texts for the limits,
-    set by the hash, are in no dictionary.
+    Texts are chosen by a hash of key and text, the first texts + LIMIT_TEXTS of each of at most
+    LANGUAGES languages, so rows that repeat, share a key or have none neither crowd out others nor
+    add to what reaches the driver; of each, chars characters from a place set by the hash are taken.
+    A count of rows by language lets most rows go before; where too few are left, all rows of that
+    language are looked at. The texts for the limits, set by the hash, are in no dictionary.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(LANGUAGES + 1).collect()}
@@ -72,15 +74,27 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         raise ValueError(f"over {LANGUAGES} languages")
     if not counts:
         return Dictionaries()
-    h = F.xxhash64(F.col(key).cast("string"), F.lit("language"))
-    rate = F.element_at(F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, (texts + LIMIT_TEXTS) / n))]), F.col(lang))
-    unit = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
+    most = texts + LIMIT_TEXTS
+    h = F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit("language"))
     room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
     place = F.pmod(F.xxhash64(h), room.cast("long")).cast("int") + 1
-    picked = rows.where(unit < rate).select(lang, h.alias("h"), F.substring(F.col(text), place, F.lit(chars)).alias("piece")).collect()
+    drawn = rows.select(F.col(lang).alias("lang"), h.alias("h"), F.substring(F.col(text), place, F.lit(chars)).alias("piece"))
+
+    def first(of: DataFrame) -> list[tuple]:
+        single = of.groupBy("lang", "h").agg(F.min("piece").alias("piece"))
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+        return [tuple(r) for r in single.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "h", "piece").collect()]
+
+    # the hashes' lower end: four times as many as are needed
+    reach = F.element_at(F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, int(min(1.0, 4 * most / n) * (1 << 62)))]), F.col("lang"))
+    picked = first(drawn.where(F.shiftrightunsigned("h", 2) < reach))
+    found = Counter(r[0] for r in picked)
+    few = [l for l, n in counts.items() if found[l] < min(n, most) and n > 4 * most]
+    if few:
+        picked = [r for r in picked if r[0] not in few] + first(drawn.where(F.col("lang").isin(few)))
     out: dict[str, list[str]] = {}
     apart: dict[str, list[str]] = {}
-    for l, h_, piece in sorted(picked, key=lambda r: (r[0], r[1], r[2])):
+    for l, h_, piece in sorted(picked):
         if clean := normal(piece):
             (apart if (h_ >> 32) % (texts + LIMIT_TEXTS) < LIMIT_TEXTS else out).setdefault(l, []).append(clean)
     for l in apart.keys() - out.keys():

@@ -131,7 +131,7 @@ class Exchange:
     meet by chunk. rows and size: of the table, its rows and bytes of text.
     """
 
-    MANY = 65535
+    MANY = (1 << 32) - 1
     FIELDS = ("h", "of", "c", "n", "nodes", "totals", "mh", "mof", "mc")
 
     def __init__(self, rows: int, size: int, threshold: float):
@@ -174,7 +174,7 @@ class Exchange:
                 for block in words_of(texts.take(pa.array(fresh, pa.int64()))):
                     h, text = shingle_hashes(block, SHINGLE)
                     hashes.append(h)
-                    of.append((text + (first + block.row)).astype(np.uint16))
+                    of.append((text + (first + block.row)).astype(np.uint32))
                     held += len(h)
                 if held >= CHUNK_SHINGLES or len(seen) > CHUNK_TEXTS:
                     yield from self._chunk(base + at, seen, copies, hashes, of)
@@ -185,7 +185,7 @@ class Exchange:
 
     def _chunk(self, chunk: int, seen: dict[int, int], copies: list[int], hashes: list[np.ndarray], of: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        of = np.concatenate(of) if of else np.zeros(0, np.uint16)
+        of = np.concatenate(of) if of else np.zeros(0, np.uint32)
         rows_of = np.array(copies)
         totals = np.bincount(of, minlength=len(copies))
         order = ordered(h)
@@ -239,7 +239,7 @@ class Exchange:
                 done += len(x)
                 keep = own > 1
                 if keep.any():
-                    of, c = _unpacked(r["of"], np.uint16), _unpacked(r["c"], np.uint32)
+                    of, c = _unpacked(r["of"], np.uint32), _unpacked(r["c"], np.uint32)
                     out.append((r["range"], r["chunk"], _packed(x[keep]), _packed(of[keep]), _packed(c[keep]), _packed(own[keep]), None, None, None, None, None))
         release()
         return pa.Table.from_batches([self._batch(out)]) if out else table.slice(0, 0)
@@ -250,7 +250,7 @@ class Exchange:
         own = next(r for r in rows if r["nodes"] is not None)
         got = [r for r in rows if r["h"] is not None]
         node, totals = _unpacked(own["nodes"], np.int64), _unpacked(own["totals"], np.uint32).astype(np.int64)
-        kinds = {"h": np.uint64, "of": np.uint16, "c": np.uint32, "n": np.uint32}
+        kinds = {"h": np.uint64, "of": np.uint32, "c": np.uint32, "n": np.uint32}
         h, of, c, n = (np.concatenate([*[_unpacked(r[k], kind) for r in got], np.zeros(0, kind)]) for k, kind in kinds.items())
         of, c, n = (x.astype(np.int64) for x in (of, c, n))
         many = of == self.MANY
@@ -260,7 +260,7 @@ class Exchange:
             by = np.argsort(h[many], kind="stable")
             at = np.searchsorted(h[many][by], mh)
             h, n = np.concatenate([h[~many], mh]), np.concatenate([n[~many], n[many][by][at]])
-            of = np.concatenate([of[~many], _unpacked(own["mof"], np.uint16).astype(np.int64)])
+            of = np.concatenate([of[~many], _unpacked(own["mof"], np.uint32).astype(np.int64)])
             c = np.concatenate([c[~many], _unpacked(own["mc"], np.uint32).astype(np.int64)])
         weight = np.bincount(of, weights=c * idf_of(n, self.rows), minlength=len(node))
         alone = (totals - np.bincount(of, weights=c, minlength=len(node))) * idf_of(np.ones(1), self.rows)[0]

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from .words import Words, tidy, words_of
 
-#: Labelled texts that vote, about (the rate of the sample is set by a count).
+#: Labelled texts that vote, at most.
 SAMPLE = 3000
 #: Terms of shapes and of words, the part of words in a vector's squared length, latent dimensions, neighbours that vote.
 SHAPES, WORDS, WORD_PART, DIMENSIONS, NEIGHBOURS = 4096, 4096, 0.3, 64, 25
@@ -125,24 +125,22 @@ def held_out(key: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model of about ``sample`` labelled rows, chosen by a hash of their ids; held-out rows and null labels don't count.
+    """A model of at most ``sample`` labelled rows, chosen by a hash; held-out rows and null labels don't count.
 
-    The sampled labels are at most a few more than ``sample``, so they are broadcast. A
-    document with several labels votes with each.
+    Labels are chosen by their ids' hash, equal rows of labels once. Of the documents that have these ids, equal
+    ones once, the first ``sample`` by a hash of id and text vote; one with several labels votes with each.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("__key"), F.col(label).cast("double").alias("__label"))
-    rate = min(1.0, sample / max(1, usable.count()))
-    picked = usable.where(F.pmod(F.xxhash64("__key", F.lit("quality")), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    picked = usable.distinct().orderBy(F.xxhash64("__key", F.lit("quality")), "__key", "__label").limit(sample)
     rows = docs.join(F.broadcast(picked), docs[key] == picked["__key"]).select("__key", "__label", F.col(text).alias("__text"))
+    by = F.xxhash64("__key", "__text", F.lit("quality")).alias("__hash")
+    rows = rows.groupBy("__key", "__label", by).agg(F.first("__text").alias("__text")).orderBy("__hash", "__key", "__label").limit(sample).drop("__hash")
 
     def terms(batches):
         for batch in batches:
-            at = 0
-            for counts in _blocks(batch.column(2)):
-                for row in counts:
-                    k = np.flatnonzero(row)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), batch.column(1).slice(at, 1), pa.array([k], pa.list_(pa.int32())), pa.array([row[k]], pa.list_(pa.float32()))], ["key", "label", "term", "count"])
-                    at += 1
+            found = [(k := np.flatnonzero(row), row[k]) for counts in _blocks(batch.column(2)) for row in counts]
+            of, n = pa.array([k for k, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), of, n], ["key", "label", "term", "count"])
 
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("label", T.DoubleType()), T.StructField("term", T.ArrayType(T.IntegerType())), T.StructField("count", T.ArrayType(T.FloatType()))])
     got = rows.mapInArrow(terms, schema).toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
