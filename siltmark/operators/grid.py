@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import settled
 from .running import quantiles
 
 KEY = ["row", "col"]
@@ -169,22 +170,19 @@ def connected_components(cells: DataFrame, least: int = 1) -> DataFrame:
     breaks = F.sum((F.coalesce(F.col("col") - F.lag("col").over(along), F.lit(2)) > 1).cast("int")).over(along)
     runs = cells.select(*KEY).distinct().withColumn("run", breaks)
     nodes = runs.groupBy("row", "run").agg(F.min("col").alias("a"), F.max("col").alias("b"))
-    nodes = nodes.withColumn("id", F.struct("row", "a")).checkpoint() if cells.sparkSession.sparkContext.getCheckpointDir() else nodes.withColumn("id", F.struct("row", "a")).cache()
+    nodes = settled(nodes.withColumn("id", F.struct("row", "a")))
     low = nodes.select(F.col("id").alias("u"), (F.col("row") + 1).alias("r"), F.col("a").alias("a1"), F.col("b").alias("b1"))
     touch = low.join(nodes, (F.col("r") == F.col("row")) & (F.col("a1") <= F.col("b")) & (F.col("a") <= F.col("b1"))).select("u", F.col("id").alias("v"))
-    edges = touch.unionByName(touch.select(F.col("v").alias("u"), F.col("u").alias("v"))).cache()
-    label = nodes.select("id", F.col("id").alias("label"))
-    before = None
+    edges = settled(touch.unionByName(touch.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    label = settled(nodes.select("id", F.col("id").alias("label")))
     while True:
         near = edges.join(label.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        stepped = label.join(near, F.col("id") == F.col("u"), "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
+        stepped = settled(label.join(near, F.col("id") == F.col("u"), "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("was")))
         jump = stepped.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        label = stepped.join(jump, "label").select("id", F.col("far").alias("label"))
-        label = label.checkpoint() if cells.sparkSession.sparkContext.getCheckpointDir() else label.cache()
-        now = label.agg(F.sum(F.hash("id", "label").cast("long"))).first()[0]
-        if now == before:
+        label = settled(stepped.join(jump, "label").select("id", F.col("far").alias("label"), (F.col("far") != F.col("was")).alias("moved")), label, stepped)
+        if label.where("moved").isEmpty():
+            label = label.drop("moved")
             break
-        before = now
     put = runs.join(nodes.select("row", "run", "id"), ["row", "run"]).join(label, "id")
     n = put.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return put.join(n, "label").select(*KEY, F.concat_ws("_", "label.row", "label.a").alias("component"), "n")
@@ -201,41 +199,38 @@ def flow_direction(cells: DataFrame, value: str = "value") -> DataFrame:
     return neighbourhood(cells, value).withColumn("s", best).select(*KEY, (F.col("row") + F.col("s.a")).alias("to_row"), (F.col("col") + F.col("s.b")).alias("to_col"))
 
 
-def flow_accumulation(cells: DataFrame, value: str = "value", most_rounds: int = 40) -> DataFrame:
+def flow_accumulation(cells: DataFrame, value: str = "value", directions: DataFrame | None = None, most_rounds: int = 62) -> DataFrame:
     """(row, col, accumulation): cells that drain through each, itself included.
 
     Pointers double: after round k a cell knows its 2**k-th cell downstream and how many cells
     lie less than 2**k steps upstream; what the cells 2**k steps up know is added. So the
-    rounds are the logarithm of the longest path. Depressions keep what flows in; fill them first.
+    rounds are the logarithm of the longest path. Depressions keep what flows in: cut through them
+    first, and give the surface, or its directions (row, col, to_row, to_col).
     """
-    durable = bool(cells.sparkSession.sparkContext.getCheckpointDir())
-    at = flow_direction(cells, value).withColumn("n", F.lit(1).cast("long"))
+    of = flow_direction(cells, value) if directions is None else directions.select(*KEY, "to_row", "to_col")
+    at = settled(of.withColumn("n", F.lit(1).cast("long")))
     for _ in range(most_rounds):
-        at = at.checkpoint() if durable else at.cache()
         if at.where("to_row is not null").isEmpty():
-            break
+            return at.select(*KEY, F.col("n").alias("accumulation"))
         arrived = at.where("to_row is not null").groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("n").alias("more"))
         onward = at.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("r2"), F.col("to_col").alias("c2"))
         far = at.join(onward, ["to_row", "to_col"], "left").select(*KEY, F.col("r2").alias("to_row"), F.col("c2").alias("to_col"), "n")
-        at = far.join(arrived, KEY, "left").select(*KEY, "to_row", "to_col", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
-    return at.select(*KEY, F.col("n").alias("accumulation"))
+        at = settled(far.join(arrived, KEY, "left").select(*KEY, "to_row", "to_col", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), at)
+    raise ValueError("directions lead in a circle")
 
 
-def height_above_stream(cells: DataFrame, is_stream: str, value: str = "value", most_rounds: int = 40) -> DataFrame:
-    """Height of each cell above the first stream cell downstream; null if none is reached. Pointers double each round, so paths of 2**rounds cells are followed."""
-    spark = cells.sparkSession
-    durable = bool(spark.sparkContext.getCheckpointDir())
+def height_above_stream(cells: DataFrame, is_stream: str, value: str = "value", most_rounds: int = 62) -> DataFrame:
+    """Height of each cell above the first stream cell downstream; null if none is reached. Pointers double each round."""
     to = flow_direction(cells, value).join(cells.select(*KEY, is_stream), KEY)
-    point = to.select(*KEY, F.when(F.col(is_stream) | F.col("to_row").isNull(), F.col("row")).otherwise(F.col("to_row")).alias("pr"), F.when(F.col(is_stream) | F.col("to_col").isNull(), F.col("col")).otherwise(F.col("to_col")).alias("pc"))
-    before = None
+    point = settled(to.select(*KEY, F.when(F.col(is_stream) | F.col("to_row").isNull(), F.col("row")).otherwise(F.col("to_row")).alias("pr"), F.when(F.col(is_stream) | F.col("to_col").isNull(), F.col("col")).otherwise(F.col("to_col")).alias("pc"), F.lit(True).alias("moved")))
     for _ in range(most_rounds):
-        point = point.checkpoint() if durable else point.cache()
-        now = point.agg(F.sum(F.hash("row", "col", "pr", "pc").cast("long"))).first()[0]
-        if now == before:
-            break
-        before = now
         nxt = point.select(F.col("row").alias("pr"), F.col("col").alias("pc"), F.col("pr").alias("qr"), F.col("pc").alias("qc"))
-        point = point.join(nxt, ["pr", "pc"]).select(*KEY, F.col("qr").alias("pr"), F.col("qc").alias("pc"))
+        moved = (F.col("qr") != F.col("pr")) | (F.col("qc") != F.col("pc"))
+        point = settled(point.join(nxt, ["pr", "pc"]).select(*KEY, F.col("qr").alias("pr"), F.col("qc").alias("pc"), moved.alias("moved")), point)
+        if point.where("moved").isEmpty():
+            break
+    else:
+        raise ValueError("directions lead in a circle")
     low = cells.select(F.col("row").alias("pr"), F.col("col").alias("pc"), F.col(value).alias("__low"), F.col(is_stream).alias("__s"))
     out = point.join(low, ["pr", "pc"]).join(cells.select(*KEY, value), KEY)
     return out.select(*KEY, F.when(F.col("__s"), F.col(value) - F.col("__low")).alias("hand"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import grid, zonal
+from ..operators import drainage, grid, zonal
 from .registry import CELLS, cells, query, rounded, table
 
 _N8 = " ".join(f"LEFT JOIN c n{i} ON n{i}.\"row\" = c.\"row\" + {a} AND n{i}.col = c.col + {b}" for i, (a, b) in enumerate([(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]))
@@ -39,10 +39,10 @@ def resample_mean(spark, d):
     return rounded(grid.resample_mean(cells(spark, d), 3))
 
 
-@query(f"""WITH {CELLS}, t AS (SELECT DISTINCT (event_id % 480) / 10.0 + 0.25 AS y, (event_id % 370) / 10.0 + 0.75 AS x FROM events WHERE event_id < 3000), k AS (SELECT t.y, t.x, c.value, (1 - abs(c."row" - t.y)) * (1 - abs(c.col - t.x)) AS w FROM t JOIN c ON c."row" BETWEEN floor(t.y) AND floor(t.y) + 1 AND c.col BETWEEN floor(t.x) AND floor(t.x) + 1)
+@query(f"""WITH {CELLS}, t AS (SELECT DISTINCT (event_id % 480) / 10.0 + 0.25 AS y, (event_id % 370) / 10.0 + 0.75 AS x FROM events), k AS (SELECT t.y, t.x, c.value, (1 - abs(c."row" - t.y)) * (1 - abs(c.col - t.x)) AS w FROM t JOIN c ON c."row" BETWEEN floor(t.y) AND floor(t.y) + 1 AND c.col BETWEEN floor(t.x) AND floor(t.x) + 1)
 SELECT CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x, round(sum(w * value) / sum(w), 6) AS value FROM k WHERE w > 0 GROUP BY ALL""")
 def resample_bilinear(spark, d):
-    t = table(spark, d, "events").where("event_id < 3000").select(((F.col("event_id") % 480) / 10.0 + 0.25).alias("y"), ((F.col("event_id") % 370) / 10.0 + 0.75).alias("x")).distinct()
+    t = table(spark, d, "events").select(((F.col("event_id") % 480) / 10.0 + 0.25).alias("y"), ((F.col("event_id") % 370) / 10.0 + 0.75).alias("x")).distinct()
     return rounded(grid.resample_bilinear(cells(spark, d), t))
 
 
@@ -98,6 +98,42 @@ def flow_accumulation(spark, d):
     return grid.flow_accumulation(_dem(spark, d))
 
 
+_EDGE = """n AS (SELECT c."row" AS r, c.col AS k, c.value AS v, (SELECT count(*) FROM c m WHERE abs(m."row" - c."row") <= 1 AND abs(m.col - c.col) <= 1) AS around FROM c)"""
+
+
+@query(f"""WITH RECURSIVE {CELLS}, {_EDGE}, f(r, k, level) USING KEY (r, k) AS (
+SELECT r, k, v FROM n WHERE around < 9
+UNION SELECT r, k, min(level) FROM (SELECT n.r, n.k, greatest(n.v, f.level) AS level FROM f JOIN n ON abs(n.r - f.r) <= 1 AND abs(n.k - f.k) <= 1 LEFT JOIN recurring.f g ON g.r = n.r AND g.k = n.k WHERE g.level IS NULL OR greatest(n.v, f.level) < g.level) GROUP BY r, k)
+SELECT r AS "row", k AS col, level AS filled FROM f""")
+def filled_surface(spark, d):
+    return drainage.filled_surface(cells(spark, d))
+
+
+@query()
+def breached_surface(spark, d):
+    return rounded(drainage.breached_surface(cells(spark, d)), 9)
+
+
+@query(f"""WITH {CELLS}, {_EDGE}, p AS (SELECT n.*, n.around = 9 AND NOT EXISTS (SELECT 1 FROM n m WHERE abs(m.r - n.r) <= 1 AND abs(m.k - n.k) <= 1 AND m.v < n.v) AS pit FROM n)
+SELECT CAST(count(*) AS BIGINT) AS cells, CAST(count_if(pit) AS BIGINT) AS pits, CAST(0 AS BIGINT) AS pits_left, CAST(count(*) AS BIGINT) AS drained, CAST(0 AS BIGINT) AS raised FROM p""")
+def routed_accumulation(spark, d):
+    """Cells, depressions before and after cutting, cells that drain outside by steepest descent over the cut surface, and cells that it raises."""
+    c = cells(spark, d)
+    cut = drainage.breached_surface(c)
+    surface = cut.select("row", "col", F.col("breached").alias("value"))
+    flows = grid.flow_direction(surface)
+    runs = grid.flow_accumulation(surface)
+
+    def pits(of, directions):
+        inner = drainage.basins(of).where("not edge").select(F.col("cell.row").alias("row"), F.col("cell.col").alias("col"))
+        return inner.join(directions.where("to_row is null"), ["row", "col"]).agg(F.count("*").alias("n"))
+
+    before, after = pits(c, grid.flow_direction(c)).select(F.col("n").alias("pits")), pits(surface, flows).select(F.col("n").alias("pits_left"))
+    drained = runs.join(flows.where("to_row is null"), ["row", "col"]).agg(F.sum("accumulation").alias("drained"))
+    both = c.join(surface.withColumnRenamed("value", "cut"), ["row", "col"]).agg(F.count("*").alias("cells"), F.count_if(F.col("cut") > F.col("value")).alias("raised"))
+    return both.crossJoin(before).crossJoin(after).crossJoin(drained).select("cells", "pits", "pits_left", "drained", "raised")
+
+
 @query(f"""WITH RECURSIVE {_DEM}, {_D8}, w(r0, k0, r, k) AS (SELECT r, k, r, k FROM z UNION ALL SELECT w.r0, w.k0, dir.tr, dir.tk FROM w JOIN dir ON dir.r = w.r AND dir.k = w.k WHERE (w.r + w.k) % 9 <> 0), s AS (SELECT r0, k0, r, k FROM w WHERE (r + k) % 9 = 0)
 SELECT z.r AS "row", z.k AS col, round(CAST(z.v - y.v AS DOUBLE), 6) AS hand FROM z LEFT JOIN s ON s.r0 = z.r AND s.k0 = z.k LEFT JOIN z y ON y.r = s.r AND y.k = s.k""")
 def height_above_stream(spark, d):

@@ -160,10 +160,10 @@ def zone_table(spark, d):
 
 
 @query("""SELECT n_name AS predictor, n_regionkey AS source, round(e.effect, 6) AS effect, CASE WHEN n_regionkey = 0 THEN 'kept' WHEN n_regionkey = 1 THEN 'dropped: vif' WHEN n_regionkey = 2 THEN 'dropped: screening' ELSE 'not screened' END AS status
-FROM nation LEFT JOIN (SELECT c_nationkey, avg(c_acctbal) AS effect FROM customer WHERE c_nationkey < 10 GROUP BY ALL) e ON c_nationkey = n_nationkey""")
+FROM nation LEFT JOIN (SELECT c_nationkey, avg(c_acctbal) AS effect FROM customer GROUP BY ALL) e ON c_nationkey = n_nationkey""")
 def predictor_table(spark, d):
     n = table(spark, d, "nation")
-    mean = table(spark, d, "customer").where("c_nationkey < 10").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("effect"))
+    mean = table(spark, d, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("effect"))
     effects = n.join(mean, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("predictor"), "effect")
     region = F.col("n_regionkey")
     screened = n.where(region < 3).select(F.col("n_name").alias("predictor"), (region == 0).alias("kept"), F.when(region == 1, "vif").alias("stage"))
