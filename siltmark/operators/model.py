@@ -17,6 +17,8 @@ class Additive:
     linear: dict[str, tuple[float, float, float]] = field(default_factory=dict)
     quadratic: dict[str, tuple[float, float, float]] = field(default_factory=dict)
     categorical: dict[str, dict[float, float]] = field(default_factory=dict)
+    #: what a fit tells of itself: presences, rows, objective, intercept, whether it converged
+    fitted: dict = field(default_factory=dict, compare=False)
 
     @property
     def layers(self) -> list[str]:
@@ -80,39 +82,10 @@ CODES = 1000
 
 
 def fit_presence_background(df: DataFrame, presence: str, layers: list[str], categorical: list[str] = (), beta: float = 0.5, classes: str = "LQ", background_weight: float = 100.0, iterations: int = 100) -> Additive:
-    """A point-process fit by logistic regression with heavily weighted background and an L1 penalty scaled by beta."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    numeric = [c for c in layers if c not in categorical]
-    ranges = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in numeric for n, f in (("lo", F.min), ("hi", F.max))], *[f(F.pow(F.col(c).cast("double"), F.lit(2))).alias(f"{n}2_{c}") for c in numeric for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    codes = {c: sorted(float(r[0]) for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(CODES + 1).collect()) for c in categorical}
-    if over := [c for c in categorical if len(codes[c]) > CODES]:
-        raise ValueError(f"over {CODES} codes: {over}")
-    terms: list[tuple[str, str, float | None, Column]] = []
-    for c in numeric:
-        v = F.col(c).cast("double")
-        if "L" in classes:
-            terms.append((c, "linear", None, clamp01(v, F.lit(ranges[f"lo_{c}"]), F.lit(ranges[f"hi_{c}"]))))
-        if "Q" in classes:
-            terms.append((c, "quadratic", None, clamp01(v * v, F.lit(ranges[f"lo2_{c}"]), F.lit(ranges[f"hi2_{c}"]))))
-    for c in categorical:
-        terms += [(c, "categorical", k, (F.col(c) == k).cast("double")) for k in codes[c]]
-    named = df.select(F.col(presence).cast("double").alias("label"), *[t[3].alias(f"f{i}") for i, t in enumerate(terms)]).dropna()
-    named = named.withColumn("weight", F.when(F.col("label") == 1, 1.0).otherwise(background_weight))
-    n = named.agg(F.sum("label")).first()[0] or 1.0
-    total = named.agg(F.sum("weight")).first()[0] or 1.0
-    ready = VectorAssembler(inputCols=[f"f{i}" for i in range(len(terms))], outputCol="features").transform(named)
-    lr = LogisticRegression(elasticNetParam=1.0, regParam=beta * n**0.5 / total, weightCol="weight", maxIter=iterations, standardization=False).fit(ready)
-    out = Additive()
-    for (c, kind, code, _), w in zip(terms, lr.coefficients.toArray().tolist(), strict=True):
-        if kind == "linear":
-            out.linear[c] = (w, ranges[f"lo_{c}"], ranges[f"hi_{c}"])
-        elif kind == "quadratic":
-            out.quadratic[c] = (w, ranges[f"lo2_{c}"], ranges[f"hi2_{c}"])
-        elif w:
-            out.categorical.setdefault(c, {})[code] = w
-    return out
+    """A point-process fit by logistic regression with heavily weighted background and an L1 penalty scaled by beta. For several fits of a table see fitting.fit_all."""
+    from .fitting import Fit, fit_all
+
+    return fit_all(df, presence, {"fit": Fit(tuple(layers), beta=beta, classes=classes)}, categorical=categorical, background_weight=background_weight, iterations=iterations)["fit"]
 
 
 #: Columns that fit_comparator adds for estimators that ask for them, and the part of the training rows that only validate.

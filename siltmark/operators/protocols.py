@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.projection import feet_to_grid
-from . import guards, metrics, model, stats
-from .arms import _all, _auc, aicc_grid, against_baseline
+from . import metrics, model, stats
+from .arms import TRAIN, _on_test, aicc_table, against_baseline, folds_of, grid_of, run_arms, train_and_test
+from .fitting import Fit, scored
 from .grid import connected_components
-from .sampling import matched_background, top_groups
+from .sampling import holdout_split, matched_background, top_groups
 from .zonal import zonal_mean
 
 #: Zones of the one-percent flood (fixed values).
@@ -63,41 +64,63 @@ def buffered_sizes(rows: DataFrame, fold: str, key: str, x: str, y: str, presenc
     return out
 
 
-def buffered_folds(rows: DataFrame, fold: str, key: str, x: str, y: str, presence: str, layers: list[str], buffers: Iterable[float] = (0.0, 500.0, 1000.0, 2000.0), least: int = 40, threads: int = 4, **options) -> DataFrame:
-    """(buffer, folds, skipped, mean, sd): for each buffer and fold a fit on the rows beyond it. Folds with fewer presences than ``least`` to train on are skipped."""
-    values = _values(rows, fold)
-
-    def one(b: float, v) -> tuple:
-        test = rows.where(F.col(fold) == F.lit(v))
-        train = beyond(rows.where(F.col(fold) != F.lit(v)), test.where(F.col(presence) == 1), x, y, b)
-        guards.assert_no_leakage(train, test, key)
-        if train.where(F.col(presence) == 1).count() < least:
-            return float(b), str(v), None
-        return float(b), str(v), _auc(test, model.fit_presence_background(train, presence, layers, **options), presence, layers)
-
-    done = rows.sparkSession.createDataFrame(_all([lambda b=b, v=v: one(b, v) for b in buffers for v in values], threads), "buffer double, fold string, auc double")
+def distances_to_folds(rows: DataFrame, fold: str, key: str, x: str, y: str, presence: str, folds: list, reach: float) -> DataFrame:
+    """rows with __d0, __d1, ..: the distance to the nearest presence of each fold, where it is within reach. One search for all folds."""
+    if reach <= 0:
+        return rows.withColumns({f"__d{k}": F.lit(None).cast("double") for k in range(len(folds))})
+    near = rows.join(_around(rows.where(F.col(presence) == 1), x, y, reach, fold), _within(x, y, reach))
+    d = F.sqrt(F.pow(F.col(x) - F.col("__x"), F.lit(2)) + F.pow(F.col(y) - F.col("__y"), F.lit(2)))
+    least = near.groupBy(key).agg(*[F.min(F.when(F.col(f"__{fold}") == F.lit(v), d)).alias(f"__d{k}") for k, v in enumerate(folds)])
+    return rows.join(least, key, "left")
+
+
+def buffered_folds(rows: DataFrame, fold: str, key: str, x: str, y: str, presence: str, layers: list[str], buffers: Iterable[float] = (0.0, 500.0, 1000.0, 2000.0), least: int = 40, **options) -> DataFrame:
+    """(buffer, folds, skipped, mean, sd): for each buffer and fold a fit on the rows beyond it. Folds with fewer presences than ``least`` to train on are skipped.
+
+    All fits share their scans. Keys must be distinct.
+    """
+    buffers = [float(b) for b in buffers]
+    rows = rows.persist()
+    folds = [v for v, _ in folds_of(rows, fold, key)]
+    wide = distances_to_folds(rows, fold, key, x, y, presence, folds, max([0.0, *buffers])).persist()
+    away = {(b, k): (F.col(fold) != F.lit(v)) & (F.lit(True) if b <= 0 else F.coalesce(F.col(f"__d{k}") > b, F.lit(True))) for b in buffers for k, v in enumerate(folds)}
+    here = F.col(presence) == 1
+    left = wide.agg(*[F.count_if(here & c).alias(f"n{i}") for i, c in enumerate(away.values())]).first()
+    kept = {bk: c for i, (bk, c) in enumerate(away.items()) if left[i] >= least}
+    fits = {f"{b}|{k}": Fit(tuple(layers), f"{b}|{k}") for b, k in kept}
+    auc = run_arms(wide, presence, fits, {f"{b}|{k}": c for (b, k), c in kept.items()}, {f"{b}|{k}": (f"{b}|{k}", F.col(fold) == F.lit(folds[k])) for b, k in kept}, **options)[1] if kept else {}
+    rows.unpersist()
+    done = rows.sparkSession.createDataFrame([(b, str(v), auc.get(f"{b}|{k}")) for b in buffers for k, v in enumerate(folds)], "buffer double, fold string, auc double")
     return done.groupBy("buffer").agg(F.count("auc").alias("folds"), F.count_if(F.col("auc").isNull()).alias("skipped"), F.avg("auc").alias("mean"), F.coalesce(F.stddev_samp("auc"), F.lit(0.0)).alias("sd"))
 
 
-def nested_tuning(rows: DataFrame, fold: str, key: str, presence: str, layers: list[str], betas: Iterable[float] = (0.25, 0.5, 1.0, 2.0, 4.0), classes: Iterable[str] = ("L", "Q", "LQ"), threads: int = 2, **options) -> DataFrame:
-    """(fold, beta, classes, auc): the grid is fitted within the other folds' rows, and the best of it scores the fold."""
-    betas, classes = list(betas), list(classes)
-
-    def one(v) -> tuple:
-        train, test = rows.where(F.col(fold) != F.lit(v)), rows.where(F.col(fold) == F.lit(v))
-        guards.assert_no_leakage(train, test, key)
-        best = aicc_grid(train, presence, layers, betas, classes, threads=2, **options).first()
-        fitted = model.fit_presence_background(train, presence, layers, beta=best["beta"], classes=best["classes"], **options)
-        return str(v), best["beta"], best["classes"], _auc(test, fitted, presence, layers)
-
-    return rows.sparkSession.createDataFrame(_all([lambda v=v: one(v) for v in _values(rows, fold)], threads), "fold string, beta double, classes string, auc double")
-
+def nested_tuning(rows: DataFrame, fold: str, key: str, presence: str, layers: list[str], betas: Iterable[float] = (0.25, 0.5, 1.0, 2.0, 4.0), classes: Iterable[str] = ("L", "Q", "LQ"), **options) -> DataFrame:
+    """(fold, beta, classes, aicc, auc): the grid is fitted within the other folds' rows, and the best of it scores the fold.
 
-def conditional_importance(train: DataFrame, test: DataFrame, presence: str, layers: list[str], focal: str, confounders: list[str], threads: int = 4, **options) -> DataFrame:
+    Every setting of every fold is fitted in the same scans; the best one is that of the least criterion, of equal ones the first in the grid.
+    """
+    betas, classes = list(betas), list(classes)
+    rows = rows.persist()
+    try:
+        inside = {str(v): F.col(fold) == F.lit(v) for v, _ in folds_of(rows, fold, key)}
+        table, models = aicc_table(rows, presence, layers, {v: ~c for v, c in inside.items()}, betas, classes, **options)
+        place = {s: k for k, s in enumerate(grid_of(betas, classes))}
+        best: dict[str, tuple] = {}
+        for r in table.collect():
+            mine = (r["aicc"], place[r["beta"], r["classes"]], r["beta"], r["classes"])
+            best[r["set"]] = min(best.get(r["set"], mine), mine)
+        found = scored(rows, presence, {v: (models[v, *best[v][2:]], layers, inside[v]) for v in inside})
+        auc = {r["arm"]: r["auc"] for r in found.collect()}
+    finally:
+        rows.unpersist()
+    return rows.sparkSession.createDataFrame([(v, best[v][2], best[v][3], float(best[v][0]), auc[v]) for v in inside], "fold string, beta double, classes string, aicc double, auc double")
+
+
+def conditional_importance(train: DataFrame, test: DataFrame, presence: str, layers: list[str], focal: str, confounders: list[str], **options) -> DataFrame:
     """(arm, against, auc, increment) of nested models: what the focal layer adds to its confounders, they to it, and what leaving it out costs."""
     arms = {"confounders": confounders, "focal": [focal], "confounders+focal": [*confounders, focal], "full": layers, "full-focal": [c for c in layers if c != focal]}
     pairs = [("confounders+focal", "confounders"), ("confounders+focal", "focal"), ("full", "full-focal")]
-    auc = dict(_all([lambda n=n, u=u: (n, _auc(test, model.fit_presence_background(train, presence, u, **options), presence, u)) for n, u in arms.items()], threads))
+    auc = _on_test(train, test, presence, arms, **options)
     rows = [(n, None, auc[n], None) for n in arms] + [(a, b, auc[a], None if None in (auc[a], auc[b]) else auc[a] - auc[b]) for a, b in pairs]
     return train.sparkSession.createDataFrame(rows, "arm string, against string, auc double, increment double")
 
@@ -108,28 +131,34 @@ def confounder_ranks(rows: DataFrame, presence: str, focal: str, confounders: li
     return stats.spearman(long, "x", "y", ["presence", "confounder"])
 
 
-def single_predictors(train: DataFrame, test: DataFrame, presence: str, layers: list[str], combinations: dict[str, list[str]] | None = None, threads: int = 4, **options) -> DataFrame:
+def single_predictors(train: DataFrame, test: DataFrame, presence: str, layers: list[str], combinations: dict[str, list[str]] | None = None, **options) -> DataFrame:
     """(arm, layers, auc, delta, pct_of_full): each layer alone and each combination, against all."""
     arms = {"baseline": layers} | {c: [c] for c in layers} | (combinations or {})
-    done = _all([lambda n=n, u=u: (n, len(u), _auc(test, model.fit_presence_background(train, presence, u, **options), presence, u)) for n, u in arms.items()], threads)
-    table = against_baseline(train.sparkSession.createDataFrame(done, "arm string, layers int, auc double"))
+    auc = _on_test(train, test, presence, arms, **options)
+    table = against_baseline(train.sparkSession.createDataFrame([(n, len(u), auc[n]) for n, u in arms.items()], "arm string, layers int, auc double"))
     return table.withColumn("pct_of_full", 100 * F.try_divide(F.col("auc"), F.col("auc") - F.col("delta")))
 
 
 def stratum_refit(name: str, train: DataFrame, test: DataFrame, inside: Column, presence: str, layers: list[str], **options) -> DataFrame:
     """(arm, n_train, n_test, auc, whole_auc): a fit on the stratum's rows, and the fit on all, scored on the stratum."""
-    t, e = train.where(inside), test.where(inside)
-    own, whole = (model.fit_presence_background(x, presence, layers, **options) for x in (t, train))
-    return train.sparkSession.createDataFrame([(name, t.count(), e.count(), _auc(e, own, presence, layers), _auc(e, whole, presence, layers))], "arm string, n_train long, n_test long, auc double, whole_auc double")
+    marked = [d.withColumn("__inside", F.coalesce(inside, F.lit(False))) for d in (train, test)]
+    both = train_and_test(*marked, [presence, *layers, "__inside"]).persist()
+    sets = {"stratum": F.col(TRAIN) & F.col("__inside"), "train": F.col(TRAIN)}
+    where = ~F.col(TRAIN) & F.col("__inside")
+    n = both.agg(F.count_if(sets["stratum"]), F.count_if(where)).first()
+    _, auc = run_arms(both, presence, {s: Fit(tuple(layers), s) for s in sets}, sets, {s: (s, where) for s in sets}, **options)
+    return train.sparkSession.createDataFrame([(name, n[0], n[1], auc["stratum"], auc["train"])], "arm string, n_train long, n_test long, auc double, whole_auc double")
 
 
 def pooled_groups_arm(rows: DataFrame, group: str, presence: str, layers: list[str], n: int = 4, **options) -> DataFrame:
     """(arm, n_train, n_test, auc): trained on the presences of the n most frequent groups, scored on those of the others; background rows train and score."""
-    top = F.broadcast(top_groups(rows.where(F.col(presence) == 1), group, n).select(group))
-    background = rows.where(F.col(presence) == 0)
-    train, test = (rows.where(F.col(presence) == 1).join(top, group, how).unionByName(background) for how in ("left_semi", "left_anti"))
-    auc = _auc(test, model.fit_presence_background(train, presence, layers, **options), presence, layers)
-    return rows.sparkSession.createDataFrame([("pooled_groups", train.count(), test.count(), auc)], "arm string, n_train long, n_test long, auc double")
+    top = F.broadcast(top_groups(rows.where(F.col(presence) == 1), group, n).select(group).withColumn("__top", F.lit(True)))
+    marked = rows.join(top, group, "left").withColumn("__top", F.coalesce("__top", F.lit(False))).persist()
+    background = F.col(presence) == 0
+    train, test = background | ((F.col(presence) == 1) & F.col("__top")), background | ((F.col(presence) == 1) & ~F.col("__top"))
+    sizes = marked.agg(F.count_if(train), F.count_if(test)).first()
+    _, auc = run_arms(marked, presence, {"pooled_groups": Fit(tuple(layers), "top")}, {"top": train}, {"pooled_groups": ("pooled_groups", test)}, **options)
+    return rows.sparkSession.createDataFrame([("pooled_groups", *sizes, auc["pooled_groups"])], "arm string, n_train long, n_test long, auc double")
 
 
 def coarse_rows(rows: DataFrame, row: str, col: str, factor: int, presence: str, layers: list[str]) -> DataFrame:
@@ -139,13 +168,58 @@ def coarse_rows(rows: DataFrame, row: str, col: str, factor: int, presence: str,
 
 def matched_refit(train: DataFrame, test: DataFrame, presence: str, layers: list[str], value: str, key: str, n: int, bins: int = 10, **options) -> DataFrame:
     """(arm, auc, delta): the fit on all background against the one on background matched to the presences' distribution of a value."""
-    own = train.where(F.col(presence) == 1)
-    matched = matched_background(own, train.where(F.col(presence) == 0), value, key, n, bins).select(*train.columns)
-    fitted = own.unionByName(matched).cache()
-    arms = {"baseline": train, "matched": fitted}
-    done = [(name, _auc(test, model.fit_presence_background(rows, presence, layers, **options), presence, layers)) for name, rows in arms.items()]
-    fitted.unpersist()
-    return against_baseline(train.sparkSession.createDataFrame(done, "arm string, auc double"))
+    rows, models, auc = _matched(train, test, presence, layers, value, key, n, bins, **options)
+    rows.unpersist()
+    return against_baseline(train.sparkSession.createDataFrame([(a, auc[a]) for a in ("baseline", "matched")], "arm string, auc double"))
+
+
+def _matched(train: DataFrame, test: DataFrame, presence: str, layers: list[str], value: str, key: str, n: int, bins: int, **options):
+    own, background = train.where(F.col(presence) == 1), train.where(F.col(presence) == 0)
+    matched = matched_background(own, background, value, key, n, bins).select(key).distinct().withColumn("__matched", F.lit(True))
+    both = train_and_test(train, test, [presence, key, *layers]).join(matched, key, "left").withColumn("__matched", F.coalesce("__matched", F.lit(False))).persist()
+    sets = {"baseline": F.col(TRAIN), "matched": F.col(TRAIN) & ((F.col(presence) == 1) | F.col("__matched"))}
+    models, auc = run_arms(both, presence, {s: Fit(tuple(layers), s) for s in sets}, sets, {s: (s, ~F.col(TRAIN)) for s in sets}, **options)
+    return both.persist(), models, auc
+
+
+def matched_importances(train: DataFrame, test: DataFrame, presence: str, layers: list[str], value: str, key: str, n: int, bins: int = 10, seed: int = 42, **options) -> DataFrame:
+    """(layer, baseline, matched, change, baseline_rank, matched_rank): the AUC each layer costs when it is dealt anew among the test rows, in both fits.
+
+    Ranks are 1 for the most important. Every permuted copy of the test rows is scored by both fits in one scan.
+    """
+    rows, models, auc = _matched(train, test, presence, layers, value, key, n, bins, **options)
+    held = rows.where(~F.col(TRAIN))
+    out = None
+    for i, c in enumerate(layers):
+        part = model.permuted(held, c, key, seed + i).withColumn("__layer", F.lit(c))
+        out = part if out is None else out.unionByName(part)
+    arms = {f"{a}|{c}": (m, layers, F.col("__layer") == c) for a, m in models.items() for c in layers}
+    lost = {r["arm"]: auc[r["arm"].split("|")[0]] - r["auc"] for r in scored(out, presence, arms).collect() if r["auc"] is not None}
+    rows.unpersist()
+
+    def rank(a: str, c: str) -> int:
+        return 1 + sum(lost.get(f"{a}|{o}", 0.0) > lost.get(f"{a}|{c}", 0.0) for o in layers)
+
+    table = [(c, lost.get(f"baseline|{c}"), lost.get(f"matched|{c}"), rank("baseline", c), rank("matched", c)) for c in layers]
+    done = train.sparkSession.createDataFrame(table, "layer string, baseline double, matched double, baseline_rank int, matched_rank int")
+    return done.withColumn("change", F.col("matched") - F.col("baseline"))
+
+
+def coarse_arm(rows: DataFrame, row: str, col: str, factor: int, presence: str, layers: list[str], key: str, fraction: float = 0.3, seed: int = 42, **options) -> DataFrame:
+    """(arm, n_train, n_test, auc, delta): fitted and scored on the grid as it is, and on one coarser by factor, each with its own held-out cells."""
+    coarse = coarse_rows(rows, row, col, factor, presence, layers)
+    parts = []
+    for name, of in (("baseline", rows.withColumn("__cell", F.col(key).cast("string"))), (f"coarse_{factor}", coarse.withColumn("__cell", F.concat_ws("_", row, col)))):
+        split = holdout_split(of.select("__cell", presence, *[F.col(c).cast("double").alias(c) for c in layers]), "__cell", fraction, seed)
+        parts.append(split.select(F.lit(name).alias("__grid"), presence, *layers, "is_test"))
+    both = parts[0].unionByName(parts[1]).persist()
+    names = ["baseline", f"coarse_{factor}"]
+    sets = {a: (F.col("__grid") == a) & ~F.col("is_test") for a in names}
+    tests = {a: (F.col("__grid") == a) & F.col("is_test") for a in names}
+    n = both.agg(*[F.count_if(c) for a in names for c in (sets[a], tests[a])]).first()
+    _, auc = run_arms(both, presence, {a: Fit(tuple(layers), a) for a in names}, sets, {a: (a, tests[a]) for a in names}, **options)
+    done = [(a, n[2 * k], n[2 * k + 1], auc[a]) for k, a in enumerate(names)]
+    return against_baseline(rows.sparkSession.createDataFrame(done, "arm string, n_train long, n_test long, auc double"))
 
 
 def models_by_fold(rows: DataFrame, fold: str, key: str, presence: str, layers: list[str], estimators: dict, threads: int = 2, **options) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import arms, metrics, model
+from ..operators import arms, fitting, metrics, model
 from ..operators.sampling import holdout_split
 from .registry import query, rounded, table
 
@@ -44,10 +44,14 @@ def response_curve(spark, d):
     return rounded(model.response_curve(only, means, "l_quantity", 1.0, 50.0, 20))
 
 
-def _training(spark, d):
+def _labelled(spark, d):
     li = table(spark, d, "lineitem").withColumn("key", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     y = ((F.col("l_quantity") > 30) & (F.col("l_discount") < 0.06) | (F.col("key") % 23 == 0)).cast("int")
-    return holdout_split(li.withColumn("presence", y), "key")
+    return li.withColumn("presence", y)
+
+
+def _training(spark, d):
+    return holdout_split(_labelled(spark, d), "key")
 
 
 @query()
@@ -84,42 +88,50 @@ def permutation_importance(spark, d):
 def jackknife_gains(spark, d):
     """AUC with all layers, without each, and with each alone."""
     rows = _training(spark, d)
-    layers = ["l_quantity", "l_discount", "l_tax"]
-    arms = {"all": layers} | {f"without_{c}": [x for x in layers if x != c] for c in layers} | {f"only_{c}": [c] for c in layers}
-    train, test, out = rows.where("not is_test").select("presence", *layers).cache(), rows.where("is_test"), None
-    for name, used in arms.items():
-        fitted = model.fit_presence_background(train, "presence", used)
-        one = metrics.auc(test.withColumn("eta", fitted.predictor(used)), "presence", "eta").select(F.lit(name).alias("arm"), "auc")
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    return rounded(arms.jackknife(rows.where("not is_test"), rows.where("is_test"), "presence", ["l_quantity", "l_discount", "l_tax"]))
 
 
 _FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
 
+@query("""WITH t AS (SELECT *, l_orderkey * 10 + l_linenumber AS key FROM lineitem), h AS (SELECT *, CAST((l_quantity > 30 AND l_discount < 0.06) OR key % 23 = 0 AS INT) AS presence FROM t WHERE key % 10 < 7),
+a AS (SELECT 'grid|' || b || '|' || c AS arm, 'all' AS part FROM (VALUES ('0.25'), ('0.5'), ('1.0'), ('2.0'), ('4.0')) x(b), (VALUES ('L'), ('Q'), ('LQ')) y(c) UNION ALL SELECT 'fold|' || f, f FROM (VALUES ('A'), ('N'), ('R')) z(f))
+SELECT a.arm, CAST(count(*) AS BIGINT) AS n, CAST(sum(presence) AS BIGINT) AS presences, true AS converged, true AS optimal FROM a JOIN h ON part = 'all' OR l_returnflag <> part GROUP BY a.arm""")
+def fitted_arms(spark, d):
+    """Every setting of the grid and a fit without each group, in the same scans: rows that train, and whether the gradient at the coefficients is that of an optimum."""
+    rows = _labelled(spark, d).where("key % 10 < 7").select("presence", "l_returnflag", *_FEATURES).persist()
+    sets = {"all": F.lit(True)} | {f: F.col("l_returnflag") != f for f in "ANR"}
+    fits = {f"grid|{b}|{c}": fitting.Fit(tuple(_FEATURES), "all", b, c) for b, c in arms.grid_of((0.25, 0.5, 1.0, 2.0, 4.0), ("L", "Q", "LQ"))}
+    fits |= {f"fold|{f}": fitting.Fit(tuple(_FEATURES), f) for f in "ANR"}
+    models = fitting.fit_all(rows, "presence", fits, sets)
+    found = fitting.gradients(rows, "presence", {n: (m, _FEATURES, sets[fits[n].rows]) for n, m in models.items()})
+    done = spark.createDataFrame([(n, m.fitted["converged"]) for n, m in models.items()], "arm string, converged boolean")
+    return found.join(done, "arm").select("arm", "n", "presences", "converged", (F.col("worst") < 0.02).alias("optimal"))
+
+
 @query()
 def aicc_grid(spark, d):
-    rows = _training(spark, d).where("not is_test").select("presence", *_FEATURES).cache()
+    rows = _training(spark, d).where("not is_test").select("presence", *_FEATURES)
     return rounded(arms.aicc_grid(rows, "presence", _FEATURES))
 
 
 @query()
 def leave_one_group_out(spark, d):
     rows = _training(spark, d)
-    rows = rows.withColumn("key", F.xxhash64(*rows.columns)).select("key", "presence", "l_returnflag", *_FEATURES).cache()
+    rows = rows.withColumn("key", F.xxhash64(*rows.columns)).select("key", "presence", "l_returnflag", *_FEATURES)
     return rounded(arms.fold_aucs(rows, "l_returnflag", "presence", _FEATURES, "key"))
 
 
 @query()
 def ablation_groups(spark, d):
-    rows = _training(spark, d).select("is_test", "presence", *_FEATURES).cache()
+    rows = _training(spark, d).select("is_test", "presence", *_FEATURES)
     groups = {"size": ["l_quantity"], "price": ["l_discount", "l_tax"]}
     return rounded(arms.ablation(rows.where("not is_test"), rows.where("is_test"), "presence", groups))
 
 
 @query()
 def masked_background_arm(spark, d):
-    rows = _training(spark, d).select("is_test", "presence", "l_linenumber", *_FEATURES).cache()
+    rows = _training(spark, d).select("is_test", "presence", "l_linenumber", *_FEATURES)
     mask = rows.where("l_linenumber <= 3").select("l_linenumber").distinct()
     return rounded(arms.masked_arm("first_lines", rows.where("not is_test"), rows.where("is_test"), mask, ["l_linenumber"], "presence", _FEATURES))
 

@@ -54,12 +54,18 @@ def buffered_sizes(spark, d):
 
 @query()
 def buffered_folds(spark, d):
-    return rounded(protocols.buffered_folds(_study(spark, d).cache(), "fold", "key", "x", "y", "presence", _LAYERS, (0.0, 0.5, 1.0, 2.0)))
+    return rounded(protocols.buffered_folds(_study(spark, d), "fold", "key", "x", "y", "presence", _LAYERS, (0.0, 0.5, 1.0, 2.0)))
+
+
+@query()
+def nested_tuning(spark, d):
+    """The whole grid of 15 settings within each of three folds, in shared scans."""
+    return rounded(protocols.nested_tuning(_study(spark, d), "fold", "key", "presence", _LAYERS))
 
 
 @query()
 def conditional_importance(spark, d):
-    return rounded(protocols.conditional_importance(*_halves(_study(spark, d).cache()), "presence", _LAYERS, "a", ["x"]))
+    return rounded(protocols.conditional_importance(*_halves(_study(spark, d)), "presence", _LAYERS, "a", ["x"]))
 
 
 @query(f"""WITH {_STUDY}, l AS (SELECT presence, 'b' AS confounder, a AS x, b AS y FROM p UNION ALL SELECT presence, 'x', a, x FROM p),
@@ -71,22 +77,33 @@ def confounder_ranks(spark, d):
 
 @query()
 def single_predictors(spark, d):
-    return rounded(protocols.single_predictors(*_halves(_study(spark, d).cache()), "presence", _LAYERS, {"a+x": ["a", "x"]}))
+    return rounded(protocols.single_predictors(*_halves(_study(spark, d)), "presence", _LAYERS, {"a+x": ["a", "x"]}))
 
 
 @query()
 def stratum_refit(spark, d):
-    return rounded(protocols.stratum_refit("outside", *_halves(_study(spark, d).cache()), F.col("b") > 5, "presence", _LAYERS))
+    return rounded(protocols.stratum_refit("outside", *_halves(_study(spark, d)), F.col("b") > 5, "presence", _LAYERS))
 
 
 @query()
 def pooled_groups_arm(spark, d):
-    return rounded(protocols.pooled_groups_arm(_study(spark, d).cache(), "kind", "presence", _LAYERS, 4))
+    return rounded(protocols.pooled_groups_arm(_study(spark, d), "kind", "presence", _LAYERS, 4))
 
 
 @query()
 def matched_refit(spark, d):
-    return rounded(protocols.matched_refit(*_halves(_study(spark, d).cache()), "presence", _LAYERS, "x", "key", 2000))
+    return rounded(protocols.matched_refit(*_halves(_study(spark, d)), "presence", _LAYERS, "x", "key", 2000))
+
+
+@query()
+def matched_importances(spark, d):
+    return rounded(protocols.matched_importances(*_halves(_study(spark, d)), "presence", _LAYERS, "x", "key", 2000))
+
+
+@query()
+def coarse_arm(spark, d):
+    rows = _study(spark, d).withColumns({"r": F.col("key") % 331, "c": F.col("key") % 13})
+    return rounded(protocols.coarse_arm(rows, "r", "c", 2, "presence", ["x", "y"], "key"))
 
 
 @query(f"""WITH {_STUDY} SELECT CAST(floor(a / 3.0) AS BIGINT) AS a, CAST(floor(b / 3.0) AS BIGINT) AS b, max(presence) AS presence, round(avg(x), 6) AS x FROM p GROUP BY 1, 2""")
@@ -98,7 +115,7 @@ def coarse_rows(spark, d):
 def models_by_fold(spark, d):
     from ..operators import model
 
-    return rounded(protocols.models_by_fold(_study(spark, d).cache(), "fold", "key", "presence", _LAYERS, {"logistic_regression": model.comparators()["logistic_regression"]}))
+    return rounded(protocols.models_by_fold(_study(spark, d), "fold", "key", "presence", _LAYERS, {"logistic_regression": model.comparators()["logistic_regression"]}))
 
 
 @query(f"""WITH {_FOLDS}, r AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY v DESC) + (count(*) OVER (PARTITION BY fold, v) - 1) / 2.0 AS rk FROM g), s AS (SELECT model, sum(rk) AS total FROM r GROUP BY model),
@@ -174,4 +191,4 @@ def predictor_table(spark, d):
 def encoding_comparison(spark, d):
     from pyspark.ml.classification import DecisionTreeClassifier
 
-    return rounded(protocols.encoding_comparison(*_halves(_study(spark, d).cache()), "presence", ["x"], ["a"], {"tree": DecisionTreeClassifier(maxDepth=6, seed=42)}))
+    return rounded(protocols.encoding_comparison(*_halves(_study(spark, d)), "presence", ["x"], ["a"], {"tree": DecisionTreeClassifier(maxDepth=6, seed=42)}))

@@ -157,20 +157,19 @@ def test_study_arms_are_registered_whole(spark, monkeypatch):
     from siltmark import plans
     from siltmark.operators import arms
 
-    fits = []
+    seen = []
 
-    def fit(df, presence, layers, categorical=(), beta=0.5, classes="LQ", background_weight=100.0, iterations=100):
-        fits.append((beta, classes, iterations))
-        return model.Additive(linear={c: (0.1, 0.0, 1.0) for c in layers})
+    def fit_all(df, presence, fits, sets=None, categorical=(), background_weight=100.0, iterations=100, tolerance=0.0):
+        seen.append(({(f.beta, f.classes) for f in fits.values()}, len(fits), iterations))
+        return {n: model.Additive(linear={c: (0.1, 0.0, 1.0) for c in f.layers}) for n, f in fits.items()}
 
-    monkeypatch.setattr(model, "fit_presence_background", fit)
-    assert arms.model is model
+    monkeypatch.setattr(arms, "fit_all", fit_all)
     assert plans.QUERIES["aicc_grid"](spark, "/root/testdata/sf0.001").count() == 15
-    assert set(fits) == {(b, c, 50) for b in (0.25, 0.5, 1.0, 2.0, 4.0) for c in ("L", "Q", "LQ")}
-    for name in ("leave_one_group_out", "ablation_groups", "masked_background_arm", "jackknife_gains"):
-        fits.clear()
+    assert seen == [({(b, c) for b in (0.25, 0.5, 1.0, 2.0, 4.0) for c in ("L", "Q", "LQ")}, 15, 50)]
+    for name, n in (("leave_one_group_out", 3), ("ablation_groups", 3), ("masked_background_arm", 2), ("jackknife_gains", 7)):
+        seen.clear()
         plans.QUERIES[name](spark, "/root/testdata/sf0.001")
-        assert fits and {f[2] for f in fits} == {100}, name
+        assert seen == [({(0.5, "LQ")}, n, 100)], name
 
 
 def test_too_many_codes_are_an_error(spark):

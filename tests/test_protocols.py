@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltmark.functions import projection
-from siltmark.operators import arms, protocols
+from siltmark.operators import arms, fitting, guards, protocols
 
 
 def conic_forward(lat, lon, c):
@@ -68,46 +68,62 @@ def test_buffers_leave_out_what_is_near(spark):
         assert {q.key for q in left.collect()} == {q.key for q in far}
 
 
-@pytest.fixture
-def stubbed(monkeypatch):
-    """Fits that are told apart by their training rows and settings, and scores that tell them."""
-    fits = []
-
-    class Fit:
-        linear = quadratic = {}
-
-        def predictor(self, layers):
-            return F.col("a") * 0 + len(layers)
-
-    def fit(rows, presence, layers, **options):
-        fits.append((rows.count(), tuple(layers), options))
-        return Fit()
-
-    for m in (protocols.model, arms.model):
-        monkeypatch.setattr(m, "fit_presence_background", fit)
-    monkeypatch.setattr(protocols, "_auc", lambda test, fitted, presence, layers: 0.5 + 0.1 * len(layers))
-    return fits
-
-
-def test_protocols_fit_what_they_should(spark, stubbed):
+def test_buffered_folds_train_on_what_is_beyond(spark):
+    df = rows_of(spark)
+    got = {r.buffer: r for r in protocols.buffered_folds(df, "fold", "key", "x", "y", "presence", ["a", "x"], (0.0, 1.5, 50.0), least=10).collect()}
+    assert [(r.folds, r.skipped) for r in (got[0.0], got[1.5], got[50.0])] == [(3, 0), (3, 0), (0, 3)]
+    for b in (0.0, 1.5):
+        auc = []
+        for v in range(3):
+            test = df.where(F.col("fold") == v)
+            train = protocols.beyond(df.where(F.col("fold") != v), test.where("presence = 1"), "x", "y", b)
+            fitted = fitting.fit_all(train, "presence", {"one": fitting.Fit(("a", "x"))})["one"]
+            auc.append(fitting.scored(test, "presence", {"one": (fitted, ["a", "x"], None)}).first()["auc"])
+        assert got[b]["mean"] == pytest.approx(sum(auc) / 3, abs=1e-6)
+
+
+def test_nested_tuning_takes_the_best_of_the_other_folds(spark):
+    df = rows_of(spark, 300)
+    got = protocols.nested_tuning(df, "fold", "key", "presence", ["a", "x"], betas=(0.5, 2.0), classes=("L", "LQ")).collect()
+    assert len(got) == 3
+    for r in got:
+        grid = arms.aicc_grid(df.where(F.col("fold") != int(r.fold)), "presence", ["a", "x"], (0.5, 2.0), ("L", "LQ")).collect()
+        assert r.aicc == pytest.approx(min(g.aicc for g in grid), rel=1e-6) and (r.beta, r.classes) in {(g.beta, g.classes) for g in grid if g.aicc < r.aicc + 1e-3}
+
+
+def test_nested_models_and_their_increments(spark):
     df = rows_of(spark)
-    got = {r.buffer: r for r in protocols.buffered_folds(df, "fold", "key", "x", "y", "presence", ["a", "x"], (0.0, 50.0), least=10).collect()}
-    assert (got[0.0].folds, got[0.0].skipped, got[0.0].mean) == (3, 0, pytest.approx(0.7)) and (got[50.0].folds, got[50.0].skipped) == (0, 3)
-    assert sorted(f[0] for f in stubbed) == [160] * 3
-    stubbed.clear()
-    found = {(r.arm, r.against): r.increment for r in protocols.conditional_importance(df, df, "presence", ["a", "x", "y"], "a", ["x"]).collect()}
-    assert found["confounders+focal", "focal"] == pytest.approx(0.1) and found["full", "full-focal"] == pytest.approx(0.1) and found["focal", None] is None
-    assert {f[1] for f in stubbed} == {("x",), ("a",), ("x", "a"), ("a", "x", "y"), ("x", "y")}
+    found = {(r.arm, r.against): (r.auc, r.increment) for r in protocols.conditional_importance(df, df, "presence", ["a", "x", "y"], "a", ["x"]).collect()}
+    assert {k[0] for k in found} == {"confounders", "focal", "confounders+focal", "full", "full-focal"}
+    for a, b in (("confounders+focal", "confounders"), ("confounders+focal", "focal"), ("full", "full-focal")):
+        assert found[a, b][1] == pytest.approx(found[a, None][0] - found[b, None][0])
     single = {r.arm: r for r in protocols.single_predictors(df, df, "presence", ["a", "x"], {"both": ["x", "a"]}).collect()}
-    assert single["a"].pct_of_full == pytest.approx(100 * 0.6 / 0.7) and single["both"].delta == pytest.approx(0) and single["baseline"].layers == 2
-    stubbed.clear()
+    assert single["both"].delta == pytest.approx(0, abs=1e-6) and single["baseline"].layers == 2 and single["a"].auc == pytest.approx(found["focal", None][0])
+    assert single["a"].pct_of_full == pytest.approx(100 * single["a"].auc / single["baseline"].auc)
     arm = protocols.pooled_groups_arm(df, "g", "presence", ["a"], 2).first()
     top = {r.g for r in protocols.top_groups(df.where("presence = 1"), "g", 2).collect()}
     background = df.where("presence = 0").count()
     assert arm.n_train == background + df.where(F.col("presence") == 1).where(F.col("g").isin(*top)).count() and arm.n_train + arm.n_test == 240 + background
-    stubbed.clear()
-    nested = protocols.nested_tuning(df, "fold", "key", "presence", ["a", "x"], betas=(0.5, 1.0), classes=("L",)).collect()
-    assert len(nested) == 3 and len(stubbed) == 9 and {f[0] for f in stubbed} == {160} and all(r.beta in (0.5, 1.0) for r in nested)
+
+
+def test_refits_on_parts_of_the_rows(spark):
+    df = rows_of(spark, 400)
+    train, test = df.where("key % 3 > 0"), df.where("key % 3 = 0")
+    one = protocols.stratum_refit("s", train, test, F.col("a") > 3, "presence", ["x", "y"]).first()
+    assert (one.n_train, one.n_test) == (train.where("a > 3").count(), test.where("a > 3").count())
+    own = fitting.fit_all(train.where("a > 3"), "presence", {"f": fitting.Fit(("x", "y"))})["f"]
+    assert one.auc == pytest.approx(fitting.scored(test.where("a > 3"), "presence", {"f": (own, ["x", "y"], None)}).first()["auc"], abs=1e-6)
+    coarse = {r.arm: r for r in protocols.coarse_arm(df.withColumns({"r": F.col("key") % 40, "c": F.col("key") % 7}), "r", "c", 2, "presence", ["x", "y"], "key").collect()}
+    assert coarse["baseline"].n_train + coarse["baseline"].n_test == 400 and coarse["baseline"].delta == 0 and coarse["coarse_2"].n_train == round(0.7 * (coarse["coarse_2"].n_train + coarse["coarse_2"].n_test))
+    train, test = (d.withColumn("presence", ((F.col("x") > 20) | (F.col("key") % 7 == 0) & (F.col("a") > 4)).cast("int")) for d in (train, test))
+    lost = protocols.matched_importances(train, test, "presence", ["a", "x"], "x", "key", 80).collect()
+    assert sorted(r.baseline_rank for r in lost) == [1, 2] and all(r.change == pytest.approx(r.matched - r.baseline) for r in lost)
+
+
+def test_a_key_in_two_folds_is_an_error(spark):
+    df = rows_of(spark).unionByName(rows_of(spark, 1).withColumn("fold", F.lit(2)))
+    with pytest.raises(guards.GuardError):
+        arms.fold_aucs(df, "fold", "presence", ["a"], "key")
 
 
 def test_detected_parts_and_summaries(spark):
