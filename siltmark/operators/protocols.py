@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.projection import feet_to_grid
-from . import metrics, model, stats
+from . import metrics, model, stats, trees
 from .arms import TRAIN, _on_test, aicc_table, against_baseline, folds_of, grid_of, run_arms, train_and_test
-from .fitting import Fit, scored
+from .fitting import Fit, fit_all, scored
 from .grid import connected_components
 from .sampling import holdout_split, matched_background, top_groups
 from .zonal import zonal_mean
@@ -222,20 +222,68 @@ def coarse_arm(rows: DataFrame, row: str, col: str, factor: int, presence: str,
     return against_baseline(rows.sparkSession.createDataFrame(done, "arm string, n_train long, n_test long, auc double"))
 
 
-def models_by_fold(rows: DataFrame, fold: str, key: str, presence: str, layers: list[str], estimators: dict, threads: int = 2, **options) -> DataFrame:
-    """(fold, model, auc): every estimator, and the presence-background model, fitted without each fold and scored on it."""
+#: Names of the models that aren't trees.
+PRESENCE_BACKGROUND, LOGISTIC = "presence_background", "logistic_regression"
 
-    def one(v) -> list[tuple]:
-        train, test = rows.where(F.col(fold) != F.lit(v)), rows.where(F.col(fold) == F.lit(v))
-        guards.assert_no_leakage(train, test, key)
-        out = [(str(v), "presence_background", _auc(test, model.fit_presence_background(train, presence, layers, **options), presence, layers))]
-        for name, estimator in estimators.items():
-            fitted = model.fit_comparator(train.select(key, presence, *layers), presence, layers, estimator)
-            out.append((str(v), name, metrics.auc(model.probability(fitted, test), presence, "y_score").first()["auc"]))
-        return out
 
-    done = _all([lambda v=v: one(v) for v in _values(rows, fold)], threads)
-    return rows.sparkSession.createDataFrame([r for part in done for r in part], "fold string, model string, auc double")
+def scored_models(rows: DataFrame, key: str, presence: str, layers: list[str], train: dict[str, Column], score: dict[str, Column], categorical: Iterable[str] = (), recipes: dict | None = None, estimators: dict | None = None, seed: int = 42) -> DataFrame:
+    """(set, model, key, y, y_score): every model fitted on each row set of train, over the rows that score names for the set.
+
+    The presence-background model and all tree ensembles are fitted for all sets together, the estimators of
+    pyspark.ml set by set. Scores of the presence-background model are its linear predictor. rows are kept while models are fitted.
+    """
+    recipes = trees.RECIPES if recipes is None else recipes
+    estimators = {LOGISTIC: model.comparators()[LOGISTIC]} if estimators is None else estimators
+    categorical = list(categorical)
+    rows = rows.persist()
+    fits = fit_all(rows, presence, {s: Fit(tuple(layers), s) for s in train}, train, categorical)
+    eta = F.array(*[F.struct(F.lit(s).alias("set"), F.when(score[s], m.predictor(layers)).alias("y_score")) for s, m in fits.items()])
+    out = rows.select(F.col(key).alias("key"), F.col(presence).alias("y"), F.inline(eta)).where("y_score is not null").select("set", F.lit(PRESENCE_BACKGROUND).alias("model"), "key", "y", "y_score")
+    if recipes:
+        made = trees.fit_trees(rows, presence, layers, key, recipes, train, categorical, seed=seed)
+        found = trees.scores(rows.select(F.col(key).alias("key"), F.col(presence).alias("y"), *layers, *[c.alias(f"__s{k}") for k, c in enumerate(score.values())]), {f"{s}|{n}": m for (s, n), m in made.items()}, {f"{s}|{n}": F.col(f"__s{list(score).index(s)}") for s, n in made})
+        of = F.split("model", r"\|")
+        out = out.unionByName(found.where("y_score is not null").select(of[0].alias("set"), of[1].alias("model"), "key", "y", "y_score"))
+    for name, estimator in (estimators or {}).items():
+        for s in train:
+            fitted = model.fit_comparator(rows.where(train[s]).select(key, presence, *layers), presence, layers, estimator)
+            one = model.probability(fitted, rows.where(score[s]).select(F.col(key).alias("key"), F.col(presence).alias("y"), *layers))
+            out = out.unionByName(one.select(F.lit(s).alias("set"), F.lit(name).alias("model"), "key", "y", "y_score"))
+    return out
+
+
+def comparator_table(rows: DataFrame, key: str, presence: str, layers: list[str], is_test: str, **options) -> DataFrame:
+    """(model, n_pos, n_neg, auc, threshold, counts and metrics) on the test rows, with the threshold that is best on the training rows."""
+    test = F.col(is_test)
+    both = scored_models(rows, key, presence, layers, {"train": ~test}, {"train": F.lit(True)}, **options)
+    both = both.join(rows.select(F.col(key).alias("key"), test.alias("__test")), "key").persist()
+    threshold = metrics.youden_threshold(both.where("not __test"), "y", "y_score", ["model"]).select("model", "threshold")
+    held = both.where("__test")
+    flagged = metrics.threshold_metrics(held.join(F.broadcast(threshold), "model"), F.col("threshold"), "y", "y_score", ["model", "threshold"])
+    return metrics.auc(held, "y", "y_score", ["model"]).join(flagged, "model")
+
+
+def models_by_fold(rows: DataFrame, fold: str, key: str, presence: str, layers: list[str], **options) -> DataFrame:
+    """(fold, model, n_test, auc): every model, fitted without each fold and scored on it. All folds' trees and presence-background fits are made together."""
+    found = folds_of(rows, fold, key)
+    inside = {str(v): F.col(fold) == F.lit(v) for v, _ in found}
+    of = scored_models(rows, key, presence, layers, {v: ~c for v, c in inside.items()}, inside, **options)
+    sizes = rows.sparkSession.createDataFrame([(str(v), n) for v, n in found], "set string, n_test long")
+    return metrics.auc(of, "y", "y_score", ["set", "model"]).join(sizes, "set").select(F.col("set").alias("fold"), "model", "n_test", "auc")
+
+
+def paired_significance(values: DataFrame, fold: str, model_: str, value: str, a: str, b: str, n_train: float, n_test: float, level: float = 0.05) -> DataFrame:
+    """(k, mean_diff, sd_diff, cohens_d, t, p, low, high, verdict) of two models' paired values by fold.
+
+    The test is corrected for training rows that folds share; low and high are the plain interval of the mean, which isn't, for
+    comparison. Folds that lack one of the two have no part.
+    """
+    one = values.groupBy(fold).agg(F.max(F.when(F.col(model_) == a, F.col(value))).alias("__a"), F.max(F.when(F.col(model_) == b, F.col(value))).alias("__b"))
+    t = stats.corrected_t(one.select((F.col("__a") - F.col("__b")).alias("diff")).where("diff is not null"), "diff", n_train, n_test).withColumn("__df", F.col("k") - 1)
+    tested = stats.with_tails(t, "t", "t", "__df", "p")
+    half = stats.with_quantiles(tested, 1 - level / 2, "__df", "__q").withColumn("__half", F.col("__q") * F.col("sd_diff") / F.sqrt("k"))
+    verdict = F.when(F.col("p") < level, "real_difference").otherwise("within_noise").alias("verdict")
+    return half.select("k", "mean_diff", "sd_diff", "cohens_d", "t", "p", (F.col("mean_diff") - F.col("__half")).alias("low"), (F.col("mean_diff") + F.col("__half")).alias("high"), verdict)
 
 
 def omnibus(values: DataFrame, fold: str, model_: str, value: str, n_train: float, n_test: float) -> DataFrame:
@@ -312,16 +360,20 @@ def survey_points(rows: DataFrame, easting: str = "easting_ft", northing: str =
     return out.where(F.col("x").between(bounds[0], bounds[2]) & F.col("y").between(bounds[1], bounds[3])) if bounds else out
 
 
-def encoding_comparison(train: DataFrame, test: DataFrame, label: str, layers: list[str], categorical: list[str], estimators: dict) -> DataFrame:
-    """(model, ordinal, nominal, delta): AUC with category codes as numbers, and as a column for each category of the training rows."""
-    codes = {c: _values(train, c) for c in categorical}
+def encoding_comparison(rows: DataFrame, key: str, label: str, layers: list[str], categorical: list[str], is_test: str, recipes: dict | None = None, seed: int = 42) -> DataFrame:
+    """(model, ordinal, nominal, delta): AUC on the test rows with category codes as numbers, and with a column for each category of the training rows.
+
+    By default the forest and the boosted trees that split codes by thresholds; those with ordered statistics see categories as such.
+    """
+    recipes = {n: r for n, r in trees.RECIPES.items() if not r.ordered} if recipes is None else recipes
+    test = F.col(is_test)
+    codes = {c: _values(rows.where(~test), c) for c in categorical}
     wide = {f"__{c}_{i}": (F.col(c) == F.lit(v)).cast("double") for c in categorical for i, v in enumerate(codes[c])}
-    done = []
-    for name, estimator in estimators.items():
-        auc = []
-        for own, made in ((layers + categorical, {}), (layers + list(wide), wide)):
-            a, b = ((d.withColumns(made) if made else d) for d in (train, test))
-            fitted = model.fit_comparator(a.select(label, *own), label, own, estimator)
-            auc.append(metrics.auc(model.probability(fitted, b.select(label, *own)), label, "y_score").first()["auc"])
-        done.append((name, *auc))
-    return train.sparkSession.createDataFrame(done, "model string, ordinal double, nominal double").withColumn("delta", F.col("nominal") - F.col("ordinal"))
+    of = rows.withColumns(wide).persist()
+    kinds = {"ordinal": [*layers, *categorical], "nominal": [*layers, *wide]}
+    models = {f"{kind}|{n}": m for kind, own in kinds.items() for (_, n), m in trees.fit_trees(of, label, own, key, recipes, {"train": ~test}, seed=seed).items()}
+    auc = metrics.auc(trees.scores(of.where(test), models), label, "y_score", ["model"]).collect()
+    of.unpersist()
+    found = {tuple(r["model"].split("|")): r["auc"] for r in auc}
+    table = rows.sparkSession.createDataFrame([(n, found.get(("ordinal", n)), found.get(("nominal", n))) for n in recipes], "model string, ordinal double, nominal double")
+    return table.withColumn("delta", F.col("nominal") - F.col("ordinal"))

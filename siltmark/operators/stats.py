@@ -133,6 +133,16 @@ def with_tails(table: DataFrame, kind: str, statistic: str, df: str | None = Non
     return table.withColumn(into, p(F.col(statistic).cast("double"), F.col(df).cast("double") if df else F.lit(0.0)))
 
 
+def with_quantiles(table: DataFrame, probability: float, df: str, into: str) -> DataFrame:
+    """Adds the value that Student's t with df degrees is under with the probability. A table of few rows."""
+
+    @F.pandas_udf("double")
+    def q(d: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or math.isnan(a) or a <= 0 else tails.t_quantile(probability, a) for a in d], dtype="float64")
+
+    return table.withColumn(into, q(F.col(df).cast("double")))
+
+
 def mcnemar(scores: DataFrame, model: str, key: str, y: str, score: str, threshold: str) -> DataFrame:
     """For each pair of models: the rows that only the first, only the second has right, and chi2 with continuity correction; null where none."""
     right = scores.select(F.col(model).alias("m"), F.col(key).alias("k"), ((F.col(score) >= F.col(threshold)).cast("int") == F.col(y).cast("int")).alias("ok"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import arms, fitting, metrics, model
+from ..operators import arms, fitting, metrics, model, protocols, trees
 from ..operators.sampling import holdout_split
 from .registry import query, rounded, table
+from .sampling import draw_sql
 
 _MODEL = model.Additive(linear={"l_quantity": (1.5, 1.0, 50.0), "l_tax": (-0.5, 0.0, 0.08)}, quadratic={"l_quantity": (-0.75, 1.0, 2500.0)}, categorical={"l_linenumber": {1.0: 0.25, 3.0: -0.5}})
 _LAYERS = ["l_quantity", "l_tax", "l_linenumber", "l_discount"]
@@ -44,6 +45,9 @@ def response_curve(spark, d):
     return rounded(model.response_curve(only, means, "l_quantity", 1.0, 50.0, 20))
 
 
+_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
 def _labelled(spark, d):
     li = table(spark, d, "lineitem").withColumn("key", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     y = ((F.col("l_quantity") > 30) & (F.col("l_discount") < 0.06) | (F.col("key") % 23 == 0)).cast("int")
@@ -63,17 +67,33 @@ def presence_background_fit(spark, d):
     return rounded(metrics.auc(scored, "presence", "eta"))
 
 
+def _keyed(spark, d):
+    """Rows with a key of their own (that of lineitem repeats) and a held-out part."""
+    rows = _labelled(spark, d)
+    return rows.withColumn("id", F.xxhash64(*rows.columns)).select("id", "presence", *_FEATURES, "l_linenumber", (F.col("key") % 10 >= 7).alias("is_test"))
+
+
 @query()
 def comparator_metrics(spark, d):
-    rows = _training(spark, d)
-    layers = ["l_quantity", "l_discount", "l_tax"]
-    train, test = rows.where("not is_test").select("key", "presence", *layers).cache(), rows.where("is_test").select("key", "presence", *layers)
-    out = None
-    for name, estimator in model.comparators().items():
-        fitted = model.fit_comparator(train, "presence", layers, estimator)
-        one = metrics.auc(model.probability(fitted, test), "presence", "y_score").select(F.lit(name).alias("model"), "n_pos", "n_neg", "auc")
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    """The presence-background model, logistic regression and four ensembles of 500 trees, each with its own best threshold."""
+    return rounded(protocols.comparator_table(_keyed(spark, d), "id", "presence", _FEATURES, "is_test"))
+
+
+@query()
+def tree_attributions(spark, d):
+    """Exact attributions of the held-out rows by the boosted ensembles: mean size, sign, share and direction by layer."""
+    rows = _keyed(spark, d)
+    boosted = {n: r for n, r in trees.RECIPES.items() if r.boosted}
+    made = trees.fit_trees(rows, "presence", _FEATURES, "id", boosted, {"train": ~F.col("is_test")})
+    phi = trees.attributions(rows.where("is_test"), {n: m for (_, n), m in made.items()}, "id")
+    return rounded(trees.attribution_summary(phi.persist()))
+
+
+@query("""WITH m AS (SELECT avg(CAST(o_orderstatus = 'F' AS DOUBLE)) AS mean FROM orders), r AS (SELECT o_orderkey, o_orderpriority, CAST(o_orderstatus = 'F' AS DOUBLE) AS y FROM orders)
+SELECT o_orderkey, round((coalesce(sum(y) OVER w, 0) + mean) / (coalesce(count(*) OVER w, 0) + 1), 6) AS statistic FROM r, m WINDOW w AS (PARTITION BY o_orderpriority ORDER BY """ + draw_sql("o_orderkey") + """ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def ordered_statistics(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    return rounded(trees.ordered_statistics(o, "o_orderpriority", "y", "o_orderkey").select("o_orderkey", "statistic"))
 
 
 @query()
@@ -91,9 +111,6 @@ def jackknife_gains(spark, d):
     return rounded(arms.jackknife(rows.where("not is_test"), rows.where("is_test"), "presence", ["l_quantity", "l_discount", "l_tax"]))
 
 
-_FEATURES = ["l_quantity", "l_discount", "l_tax"]
-
-
 @query("""WITH t AS (SELECT *, l_orderkey * 10 + l_linenumber AS key FROM lineitem), h AS (SELECT *, CAST((l_quantity > 30 AND l_discount < 0.06) OR key % 23 = 0 AS INT) AS presence FROM t WHERE key % 10 < 7),
 a AS (SELECT 'grid|' || b || '|' || c AS arm, 'all' AS part FROM (VALUES ('0.25'), ('0.5'), ('1.0'), ('2.0'), ('4.0')) x(b), (VALUES ('L'), ('Q'), ('LQ')) y(c) UNION ALL SELECT 'fold|' || f, f FROM (VALUES ('A'), ('N'), ('R')) z(f))
 SELECT a.arm, CAST(count(*) AS BIGINT) AS n, CAST(sum(presence) AS BIGINT) AS presences, true AS converged, true AS optimal FROM a JOIN h ON part = 'all' OR l_returnflag <> part GROUP BY a.arm""")

@@ -113,9 +113,16 @@ def coarse_rows(spark, d):
 
 @query()
 def models_by_fold(spark, d):
-    from ..operators import model
+    """All six models without each of three folds."""
+    return rounded(protocols.models_by_fold(_study(spark, d), "fold", "key", "presence", _LAYERS))
 
-    return rounded(protocols.models_by_fold(_study(spark, d), "fold", "key", "presence", _LAYERS, {"logistic_regression": model.comparators()["logistic_regression"]}))
+
+@query(f"""WITH {_FOLDS}, x AS (SELECT fold, max(CASE WHEN model = '1-URGENT' THEN v END) - max(CASE WHEN model = '5-LOW' THEN v END) AS diff FROM g GROUP BY fold), s AS (SELECT count(diff) AS k, avg(diff) AS m, stddev_samp(diff) AS sd FROM x WHERE diff IS NOT NULL),
+t AS (SELECT *, m / sqrt((1.0 / k + 27.0 / 250.0) * sd * sd) AS t FROM s), p AS (SELECT *, 1 - 2 * (3.0 / 8) * (abs(t) / sqrt(1 + t * t / 4)) * (1 - (t * t / (1 + t * t / 4)) / 12) AS p FROM t)
+SELECT CAST(k AS BIGINT) AS k, round(m, 6) AS mean_diff, round(sd, 6) AS sd_diff, round(m / sd, 6) AS cohens_d, round(t, 6) AS t, round(p, 6) AS p, round(m - 2.7764451051977987 * sd / sqrt(k), 4) AS low, round(m + 2.7764451051977987 * sd / sqrt(k), 4) AS high, CASE WHEN p < 0.05 THEN 'real_difference' ELSE 'within_noise' END AS verdict FROM p""")
+def paired_significance(spark, d):
+    out = protocols.paired_significance(_fold_values(spark, d), "fold", "model", "v", "1-URGENT", "5-LOW", 250.0, 27.0)
+    return rounded(out).withColumns({c: F.round(c, 4) for c in ("low", "high")})
 
 
 @query(f"""WITH {_FOLDS}, r AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY v DESC) + (count(*) OVER (PARTITION BY fold, v) - 1) / 2.0 AS rk FROM g), s AS (SELECT model, sum(rk) AS total FROM r GROUP BY model),
@@ -189,6 +196,5 @@ def predictor_table(spark, d):
 
 @query()
 def encoding_comparison(spark, d):
-    from pyspark.ml.classification import DecisionTreeClassifier
-
-    return rounded(protocols.encoding_comparison(*_halves(_study(spark, d)), "presence", ["x"], ["a"], {"tree": DecisionTreeClassifier(maxDepth=6, seed=42)}))
+    """A forest and boosted trees, depth-wise and leaf-wise, with category codes as numbers and as columns."""
+    return rounded(protocols.encoding_comparison(_study(spark, d).withColumn("is_test", F.col("key") % 10 >= 7), "key", "presence", ["x"], ["a"], "is_test"))
