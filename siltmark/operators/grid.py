@@ -7,15 +7,16 @@ separable range windows along rows, then columns.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.projection import UTM_14, System, with_changed
 from .rounds import settled
-from .running import quantiles
+from .running import count_below, cuts_of, quantiles
 
 KEY = ["row", "col"]
 
@@ -86,6 +87,48 @@ def resample_bilinear(cells: DataFrame, targets: DataFrame, value: str = "value"
     return joined.groupBy("y", "x").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias(value))
 
 
+@dataclass(frozen=True)
+class Frame:
+    """Where a table's cells lie: the corner of cell (0, 0), the size of cells, rows counted upwards, and the coordinate system."""
+
+    x0: float
+    y0: float
+    size: float
+    system: System = UTM_14
+
+    def centre(self, row: Column, col: Column) -> tuple[Column, Column]:
+        return (col + 0.5) * self.size + self.x0, (row + 0.5) * self.size + self.y0
+
+
+def frame_cells(spark: SparkSession, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
+    """(row, col) of all cells from the first to before the second of rows and cols."""
+    width = cols[1] - cols[0]
+    return spark.range(max(rows[1] - rows[0], 0) * max(width, 0)).select((F.floor(F.col("id") / max(width, 1)) + rows[0]).cast("long").alias("row"), (F.col("id") % max(width, 1) + cols[0]).alias("col"))
+
+
+def warp(cells: DataFrame, source: Frame, targets: DataFrame, target: Frame, value: str = "value", method: str = "bilinear") -> DataFrame:
+    """(row, col, value) of target cells: each looks where its centre lies among the source's cells, in the source's system.
+
+    "nearest" takes the cell that holds the centre; "bilinear" the four centres around it, of which those present share the weight. Target cells without
+    any are left out. So values are moved by joins on cells, whatever the systems.
+    """
+    x, y = target.centre(F.col("row"), F.col("col"))
+    centres = targets.select(F.col("row").cast("long").alias("to_row"), F.col("col").cast("long").alias("to_col"), x.alias("x"), y.alias("y"))
+    moved = with_changed(centres, "x", "y", target.system, source.system)
+    at = moved.select("to_row", "to_col", ((F.col("x") - source.x0) / source.size).alias("x"), ((F.col("y") - source.y0) / source.size).alias("y"))
+    held = cells.where(F.col(value).isNotNull()).select(*[F.col(k).cast("long").alias(k) for k in KEY], F.col(value).cast("double").alias("v"))
+    if method == "nearest":
+        found = at.select("to_row", "to_col", F.floor("y").cast("long").alias("row"), F.floor("x").cast("long").alias("col")).join(held, KEY)
+        return found.select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.col("v").alias(value))
+    if method != "bilinear":
+        raise ValueError(method)
+    # in units of centres
+    x, y = F.col("x") - 0.5, F.col("y") - 0.5
+    corners = F.array(*[F.struct((F.floor(y) + a).cast("long").alias("row"), (F.floor(x) + b).cast("long").alias("col"), (F.abs(1 - a - (y - F.floor(y))) * F.abs(1 - b - (x - F.floor(x)))).alias("w")) for a in (0, 1) for b in (0, 1)])
+    joined = at.select("to_row", "to_col", F.inline(corners)).where("w > 0").join(held, KEY)
+    return joined.groupBy(F.col("to_row"), F.col("to_col")).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias(value)).select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), value)
+
+
 def lookup(points: DataFrame, cells: DataFrame, x: str, y: str, size: float, columns: list[str]) -> DataFrame:
     """Each point with the layers of its cell; null outside, and in_bounds."""
     at = points.withColumn("__row", F.floor(F.col(y) / size).cast("long")).withColumn("__col", F.floor(F.col(x) / size).cast("long"))
@@ -294,30 +337,81 @@ def assign_zones(cells: DataFrame, zones: DataFrame, zone: str, ring: str, size:
     return met.groupBy(*[c for c in cells.columns]).agg(F.max(zone).alias(zone))
 
 
-def natural_breaks(values: Iterator[float], classes: int) -> list[float]:
-    """Edges that minimise the squares within classes (dynamic programme), of a bounded sample on the driver."""
-    v = np.sort(np.asarray(list(values), float))
-    n = len(v)
-    s, q = np.concatenate([[0], np.cumsum(v)]), np.concatenate([[0], np.cumsum(v * v)])
-
-    def cost(a: np.ndarray, b: int) -> np.ndarray:
-        m = b - a
-        t = s[b] - s[a]
-        return q[b] - q[a] - t * t / m
-
-    best = np.array([0.0] + [float(cost(np.array([0]), b)[0]) for b in range(1, n + 1)])
-    cuts = []
-    for _ in range(classes - 1):
-        nxt, cut = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        for b in range(1, n + 1):
-            a = np.arange(0, b)
-            c = best[:b] + cost(a, b)
-            cut[b] = int(np.argmin(c))
-            nxt[b] = c[cut[b]]
-        best = nxt
-        cuts.append(cut)
-    out, b = [v[-1]], n
-    for cut in reversed(cuts):
-        b = cut[b]
-        out.append(v[min(b, n - 1)])
-    return [float(x) for x in [v[0], *sorted(out)[-classes:]]] if len(out) == classes else [float(v[0]), *sorted(map(float, out))]
+#: Cells of equal numbers of values that breaks lie between, where a layer has more distinct values.
+CELLS = 4096
+
+
+def weighted_breaks(n: np.ndarray, total: np.ndarray, squares: np.ndarray, classes: int) -> tuple[list[int], float]:
+    """Where contiguous classes of ordered groups (rows, sum and sum of squares) begin, so that the squares within classes are least, and these. By the dynamic programme over ends of classes."""
+    n, s, q = (np.concatenate([[0.0], np.cumsum(x)]) for x in (n, total, squares))
+    size = len(n) - 1
+    classes = min(classes, size)
+    best = np.full(size + 1, np.inf)
+    best[0], came = 0.0, []
+    for _ in range(classes):
+        new, cut = np.full(size + 1, np.inf), np.zeros(size + 1, int)
+        for b in range(1, size + 1):
+            within = q[b] - q[:b] - (s[b] - s[:b]) ** 2 / (n[b] - n[:b])
+            cost = best[:b] + np.maximum(within, 0.0)
+            cut[b] = int(np.argmin(cost))
+            new[b] = cost[cut[b]]
+        best = new
+        came.append(cut)
+    starts, b = [], size
+    for cut in reversed(came):
+        b = int(cut[b])
+        starts.append(b)
+    return starts[::-1], float(best[size])
+
+
+def natural_breaks(cells: DataFrame, value: str = "value", classes: int = 5, most: int = CELLS) -> tuple[list[float], float]:
+    """Edges of classes of least squares within, and by how much the squares may be over the least.
+
+    Of up to ``most`` distinct values the edges are exact. Of more, a hash sample cuts the values into about so many ranges, which are
+    counted and summed in Spark, and breaks lie between ranges only; only these sums reach the driver. The bound: what
+    lies within ranges, and for each break the rows of the widest range times its width and the breadth of all values, twice. Fewer distinct values than classes give
+    fewer classes. Nulls don't count.
+    """
+    known = cells.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    each = known.groupBy("v").agg(F.count("*").alias("c"))
+    # no more than needed to tell
+    distinct = each.limit(most + 1).count()
+    if not distinct:
+        return [], 0.0
+    if distinct <= most:
+        groups = each.select("c", (F.col("c") * F.col("v")).alias("s"), (F.col("c") * F.col("v") * F.col("v")).alias("q"), F.col("v").alias("low"), F.col("v").alias("high"))
+    else:
+        cuts = cuts_of(known, "v", most)
+        at = count_below(F.col("cuts"), F.col("v"), or_equal=True)
+        put = known.crossJoin(F.broadcast(known.sparkSession.createDataFrame([(cuts,)], "cuts array<double>")))
+        groups = put.groupBy(at.alias("cell")).agg(F.count("*").alias("c"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.min("v").alias("low"), F.max("v").alias("high")).drop("cell")
+    rows = groups.orderBy("low").collect()
+    n, s, q, low, high = (np.array([float(r[k]) for r in rows]) for k in ("c", "s", "q", "low", "high"))
+    # about the middle, so that squares don't cancel
+    mid = float(s.sum() / n.sum())
+    starts, _ = weighted_breaks(n, s - n * mid, q - 2 * mid * s + n * mid * mid, classes)
+    inside = float(np.maximum(q - s * s / n, 0.0).sum()) if distinct > most else 0.0
+    moved = (len(starts) - 1) * float((n * (high - low)).max()) * 2 * float(high[-1] - low[0])
+    return [float(low[0]), *(float(high[b - 1]) for b in starts[1:]), float(high[-1])], inside + moved
+
+
+def natural_classes(cells: DataFrame, value: str = "value", classes: int = 5, most: int = CELLS) -> DataFrame:
+    """(class, low, high, n) by natural breaks; a value that is an edge is in the class above it."""
+    edges, _ = natural_breaks(cells, value, classes, most)
+    edge = F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<double>")
+    put = cells.where(F.col(value).isNotNull()).select(classify(cells, value, edge).alias("class"))
+    n = put.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("class", F.get(edge, F.col("class").cast("int")).alias("low"), F.get(edge, (F.col("class") + 1).cast("int")).alias("high"), "n")
+
+
+#: Names of five classes, lowest first (fixed values).
+CLASS_LABELS = ("Very Low", "Low", "Moderate", "High", "Very High")
+
+
+def classed_map(cells: DataFrame, value: str = "value", classes: int = 5, method: str = "quantile", labels: tuple[str, ...] | None = None) -> DataFrame:
+    """(class, label, low, high, n) of a layer by "quantile" or "natural_breaks"."""
+    if method not in ("quantile", "natural_breaks"):
+        raise ValueError(method)
+    found = quantile_classes(cells, value, classes) if method == "quantile" else natural_classes(cells, value, classes)
+    labels = labels or (CLASS_LABELS if classes == len(CLASS_LABELS) else tuple(f"Class {k + 1}" for k in range(classes)))
+    return found.select("class", F.get(F.array(*[F.lit(x) for x in labels]), F.col("class").cast("int")).alias("label"), "low", "high", "n")

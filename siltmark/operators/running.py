@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a range, about, and ranges of a group at least where it has so many rows.
-ROWS, PARTS = 100_000, 64
+#: Rows of a range, about, ranges that a table has at most where there are fewer shuffle partitions, and rows of the sample for each range.
+ROWS, PARTS, SAMPLE = 100_000, 64, 200
 #: Entries that are compared at a time in a sorted array.
 STEP = 16
 
@@ -18,32 +19,53 @@ def count_below(sorted_: Column, value: Column, or_equal: bool = False) -> Colum
     return whole + F.size(F.filter(F.slice(sorted_, whole + 1, STEP), under))
 
 
+def _cuts(df: DataFrame, order: str, within: list[str], n: int, parts: int) -> DataFrame:
+    """(within as __w0, .., __cuts): where ranges of a group begin, at about as many rows in every group, from a hash sample of SAMPLE rows for each range."""
+    rate = min(1.0, SAMPLE * parts / n)
+    h = F.pmod(F.xxhash64(*within, order, F.lit("cut")), F.lit(1 << 30))
+    drawn = df.where(h < int(rate * (1 << 30))).select(*[F.col(w).alias(f"__w{i}") for i, w in enumerate(within)], F.col(order).cast("double").alias("__at"))
+    found: dict[tuple, list[float]] = {}
+    for r in drawn.collect():
+        found.setdefault(tuple(r)[:-1], []).append(r[-1])
+    step = max(1, round(rate * n / parts))
+    cuts = [(*g, sorted(v)[step::step]) for g, v in found.items() if len(v) > step]
+    schema = T.StructType([*drawn.schema.fields[:-1], T.StructField("__cuts", T.ArrayType(T.DoubleType()))])
+    return df.sparkSession.createDataFrame(cuts, schema)
+
+
+def cuts_of(df: DataFrame, order: str, parts: int) -> list[float]:
+    """Values that cut a column into about so many ranges of about as many rows, from a hash sample of SAMPLE rows for each."""
+    n = df.count()
+    found = _cuts(df, order, [], n, parts).collect() if n else []
+    return sorted(set(found[0]["__cuts"])) if found else []
+
+
 def running_sums(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False, within: list[str] | None = None, parts: int | None = None, rows: int = ROWS) -> DataFrame:
     """Adds for each (name: column) of sums the total up to and including the row in the order.
 
     The order must be numeric and distinct within each group of ``within``, so group equal
-    values first. Approximate quantiles of each group divide its order into ranges of about
-    ``rows`` rows, of which there are at most as many as shuffle partitions (``parts``); totals of
-    ranges are added to the totals within a range, which are windows partitioned by range.
+    values first. One count tells how many ranges of about ``rows`` rows there are (at most ``parts``, by default
+    as many as shuffle partitions). A table of one range is a window for each group. Of others a sample
+    of SAMPLE rows for each range, which is all that reaches the driver, divides the groups; totals of
+    ranges are added to the totals within a range, which are windows partitioned by range, so no task holds a large group.
     """
     within = within or []
-    parts = parts or max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cut = F.percentile_approx(order, [k / parts for k in range(1, parts)], 20 * parts).alias("__cuts")
-    cuts = df.groupBy(*within).agg(F.count(F.lit(1)).alias("__n"), cut)
-    # of a group of n rows every k-th quantile is enough
-    each = F.greatest(F.lit(1), F.floor(F.lit(parts) / F.ceil(F.col("__n") / F.lit(rows))).cast("int"))
-    cuts = cuts.select(*[F.col(w).alias(f"__w{i}") for i, w in enumerate(within)], F.filter("__cuts", lambda _, i: i % each == each - 1).alias("__cuts"))
+    n = df.count()
+    parts = min(parts or max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-n // rows))
+    direction = F.col(order).desc() if descending else F.col(order).asc()
+    if parts <= 1:
+        whole = Window.partitionBy(*within).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(whole).alias(name) for name, c in sums.items()])
+    # at most as many cuts as ranges
+    cuts = F.broadcast(_cuts(df, order, within, n, parts))
     same = [F.col(w).eqNullSafe(F.col(f"__w{i}")) for i, w in enumerate(within)]
-    if within:
-        ranged = df.join(cuts, same).drop(*[f"__w{i}" for i in range(len(within))])
-    else:
-        ranged = df.crossJoin(F.broadcast(cuts))  # one row
+    ranged = df.join(cuts, same, "left").drop(*[f"__w{i}" for i in range(len(within))]) if within else df.join(cuts, F.lit(True), "left")
+    none = F.array().cast("array<double>")
     sign = -1 if descending else 1
-    ranged = ranged.withColumn("__range", sign * count_below(F.col("__cuts"), F.col(order))).drop("__cuts")
+    ranged = ranged.withColumn("__range", sign * count_below(F.coalesce("__cuts", none), F.col(order).cast("double"), or_equal=True)).drop("__cuts")
     earlier = Window.partitionBy(*within).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(*within, "__range").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
     totals = totals.select(*within, "__range", *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in sums])
-    direction = F.col(order).desc() if descending else F.col(order).asc()
     inside = Window.partitionBy(*within, "__range").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
     out = ranged.select("*", *[F.sum(c).over(inside).alias(n) for n, c in sums.items()])
     # one row for each group and range

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from .rounds import settled
 from .running import average_ranks
 
 
@@ -186,16 +189,25 @@ def points(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return p.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
 
 
-def pairs_within(asking: DataFrame, held: DataFrame, reach: float) -> DataFrame:
+#: Rows of a cell that are one key; a cell with more is divided.
+CELL = 4096
+
+
+def pairs_within(asking: DataFrame, held: DataFrame, reach: float, cell: int = CELL) -> DataFrame:
     """(i, j, d): each of asking (i, x, y) with the rows of held (i, x, y) of another key within reach.
 
-    Cells of the size of reach: a row meets the rows of nine cells only.
+    Cells of the size of reach: a row meets the rows of nine cells only. Rows of a cell with over ``cell`` of them are dealt to parts,
+    and those that ask meet each part on its own, so a dense cell isn't one task.
     """
     q = held.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.floor(F.col("x") / reach).alias("cx"), F.floor(F.col("y") / reach).alias("cy"))
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     p = asking.withColumn("o", around).select("i", "x", "y", (F.floor(F.col("x") / reach) + F.col("o.a")).alias("cx"), (F.floor(F.col("y") / reach) + F.col("o.b")).alias("cy"))
+    dense = q.groupBy("cx", "cy").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    q = q.join(dense, ["cx", "cy"], "left").withColumn("part", F.pmod(F.xxhash64("j"), parts).cast("int")).drop("parts")
+    p = p.join(dense, ["cx", "cy"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     d = F.sqrt(F.pow(F.col("x") - F.col("xj"), F.lit(2)) + F.pow(F.col("y") - F.col("yj"), F.lit(2)))
-    return p.join(q, ["cx", "cy"]).where("i <> j").select("i", "j", d.alias("d")).where(F.col("d") <= reach)
+    return p.join(q, ["cx", "cy", "part"]).where("i <> j").select("i", "j", d.alias("d")).where(F.col("d") <= reach)
 
 
 def _first(pairs: DataFrame, k: int) -> DataFrame:
@@ -215,14 +227,12 @@ def nearest(df: DataFrame, key: str, x: str, y: str, k: int, reach: float) -> Da
     Rows without finite coordinates take no part.
     """
     p = points(df, key, x, y)
-    durable = bool(df.sparkSession.sparkContext.getCheckpointDir())
     wide, high, n = p.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
     found, short = _first(pairs_within(p, p, reach), k), p
     while n and reach < math.hypot(wide, high):
-        found = found.checkpoint() if durable else found.cache()
+        found = settled(found, found)
         enough = found.groupBy("i").agg(F.max("n").alias("m")).where(F.col("m") >= min(k, n - 1)).select("i")
-        short = short.join(enough, "i", "left_anti")
-        short = short.checkpoint() if durable else short.cache()
+        short = settled(short.join(enough, "i", "left_anti"), short)
         if short.isEmpty():
             break
         reach *= 2
@@ -251,18 +261,63 @@ def correlogram(df: DataFrame, key: str, x: str, y: str, value: str, band: float
     return out.select("band", "pairs", F.when(F.col("pairs") >= least, F.try_divide(F.col("c"), F.col("var"))).alias("morans_i"))
 
 
-def permuted_p(values: pd.DataFrame, observed: float, permutations: int = 999, seed: int = 42) -> float:
-    """One-sided p of Moran's I from permutations of z over rows with arrays of neighbour positions; for a bounded set of rows on the driver."""
-    z = values["z"].to_numpy(float)
-    near = np.concatenate([np.asarray(n, int) for n in values["near"]])
-    at = np.repeat(np.arange(len(z)), [len(n) for n in values["near"]])
-    weight = np.repeat([1 / max(1, len(n)) for n in values["near"]], [len(n) for n in values["near"]])
-    rng = np.random.default_rng(seed)
-    over = 0
-    for _ in range(permutations):
-        q = rng.permutation(z)
-        over += (q[at] * q[near] * weight).sum() / (q * q).sum() * len(z) / max(1, sum(len(n) > 0 for n in values["near"])) >= observed
-    return (over + 1) / (permutations + 1)
+#: Points whose values every task may hold (8 bytes each), and permutations in one task.
+POINTS, BATCH = 1_000_000, 25
+
+
+def permutation_p(df: DataFrame, links: DataFrame, key: str, value: str, within: list[str] | None = None, permutations: int = 999, seed: int = 42, most: int = POINTS) -> DataFrame:
+    """(within, n, links, morans_i, expected, p, permutations, verdict): Moran's I with row-standardised weights of links (within, i, j), and how often values dealt anew reach it.
+
+    p counts permutations whose I is at least the observed one, the observed one among them. Values, in the order of the keys, are sent to all
+    tasks, of which there are at most ``most`` (more are an error); a task deals them anew for BATCH of the permutations and sums over its links, so what is shuffled
+    is a number for each task, permutation and group, and no replicate is a job. The permutation k is numpy's for the seed (seed, k).
+    Links whose ends have no value take no part.
+    """
+    within = within or []
+    known = df.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).cast("double").alias("v"))
+    n = known.count()
+    if n > most:
+        raise ValueError(f"over {most} points")
+    rows = known.toArrow().sort_by("key")
+    z = rows.column("v").to_numpy()
+    z = z - z.mean() if n else z
+    spark = df.sparkSession
+    place = spark.createDataFrame(pa.table({"key": rows.column("key"), "place": pa.array(np.arange(n))}))
+    at = links.select(*within, "i", "j").join(place.select(F.col("key").alias("i"), F.col("place").alias("a")), "i").join(place.select(F.col("key").alias("j"), F.col("place").alias("b")), "j")
+    degree = at.groupBy(*within, "a").agg(F.count("*").alias("d"))
+    weighted = at.join(degree, [*within, "a"]).select(F.struct(*within, F.lit(0)).alias("g"), "a", "b", (1.0 / F.col("d")).alias("w"))
+    groups = weighted.groupBy("g").agg(F.count("*").alias("links"), F.sum("w").alias("s0"))
+    shared = spark.sparkContext.broadcast(z)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # those of one block at a time
+        dealt: dict[int, np.ndarray] = {}
+        for batch in batches:
+            g, a, b, w, first = (batch.column(k) for k in range(5))
+            code = g.dictionary_encode()
+            of, places = code.indices.to_numpy(), [x.to_numpy() for x in (a, b, w)]
+            for block in np.unique(first.to_numpy()):
+                m = first.to_numpy() == block
+                i, j, weight, at_ = (x[m] for x in (*places, of))
+                if int(block) not in dealt:
+                    dealt.clear()
+                    # 0 is the order as it is
+                    dealt |= {k: shared.value if k == 0 else np.random.default_rng([seed, k]).permutation(shared.value) for k in range(int(block), min(int(block) + BATCH, permutations + 1))}
+                for k, q in dealt.items():
+                    top = np.bincount(at_, q[i] * q[j] * weight, len(code.dictionary))
+                    yield pa.RecordBatch.from_arrays([code.dictionary, pa.array(np.full(len(top), k)), pa.array(top)], names=["g", "k", "top"])
+
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(permutations), F.lit(BATCH)))
+    dealt = weighted.select(F.to_json("g").alias("g"), "a", "b", "w", blocks.alias("first")).repartition("first").sortWithinPartitions("first")
+    tops = dealt.mapInArrow(run, "g string, k long, top double").groupBy("g", "k").agg(F.sum("top").alias("top"))
+    seen = tops.groupBy("g").agg(F.max(F.when(F.col("k") == 0, F.col("top"))).alias("observed"), F.collect_list(F.when(F.col("k") > 0, F.col("top"))).alias("others"))
+    over = F.size(F.filter("others", lambda t: t >= F.col("observed") - F.abs("observed") * 1e-12))
+    p = ((over + 1) / (permutations + 1)).alias("p")
+    out = groups.withColumn("json", F.to_json("g")).join(seen.withColumnRenamed("g", "json"), "json")
+    below = float(z @ z) if n else 0.0
+    value_ = F.try_divide(F.lit(float(n)) * F.col("observed"), F.col("s0") * F.lit(below)).alias("morans_i")
+    found = out.select(*[F.col(f"g.{w}") for w in within], F.lit(n).cast("long").alias("n"), "links", value_, F.lit(-1.0 / (n - 1) if n > 1 else None).cast("double").alias("expected"), p, F.lit(permutations).alias("permutations"))
+    return found.withColumn("verdict", F.when(F.col("p") < 0.05, "clustered").otherwise("spatially_random"))
 
 
 def bootstrap_auc(df: DataFrame, y: str, score: str, within: list[str], replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import stats, zonal
+from ..operators import disclosures, stats, zonal
 from .registry import SCORES, query, rounded, scores, table
 
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -158,6 +158,15 @@ def morans_i(spark, d):
     return rounded(stats.morans_i(p, stats.neighbours(p, "id", "x", "y", 8, 3.0), "id", "z"))
 
 
+@query()
+def morans_significance(spark, d):
+    """Moran's I of eight neighbours and how often 999 permutations reach it, of values that follow their place, and of others."""
+    p = _points(spark, d).withColumn("near", F.floor(F.col("x") / 8) + F.floor(F.col("y") / 8))
+    links = stats.neighbours(p, "id", "x", "y", 8, 3.0)
+    parts = [stats.permutation_p(p, links, "id", c).select(F.lit(c).alias("value"), "n", "links", "morans_i", "expected", "p", "verdict") for c in ("z", "near")]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
 @query(f"""WITH {_PTS}, z AS (SELECT *, z - avg(z) OVER () AS c FROM p), k AS (SELECT CAST(ceil(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 0.5) AS BIGINT) AS band, a.c * b.c AS m FROM z a JOIN z b ON a.id <> b.id AND b.x BETWEEN a.x - 3.1 AND a.x + 3.1 AND b.y BETWEEN a.y - 3.1 AND a.y + 3.1 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 3 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) > 0)
 SELECT band, CAST(count(*) AS BIGINT) AS pairs, round(CASE WHEN count(*) >= 30 THEN avg(m) / (SELECT var_pop(z) FROM p) END, 6) AS morans_i FROM k GROUP BY band""")
 def residual_correlogram(spark, d):
@@ -221,3 +230,34 @@ def _zones(spark, d):
 @query()
 def corrected_correlations(spark, d):
     return rounded(zonal.corrected_correlations(_zones(spark, d), "susc", {"n": "a", "share": "a", "region": "b"}))
+
+
+@query("""WITH s AS (SELECT count(c_acctbal) AS n FROM customer) SELECT i AS "index", c AS indicator, CAST(s.s AS INT) AS sign, CAST(CASE WHEN c = 'c_acctbal' THEN n ELSE 0 END AS BIGINT) AS known, c = 'c_acctbal' AS used, CASE c WHEN 'c_acctbal' THEN NULL WHEN 'none' THEN 'known for no row' ELSE 'not in the table' END AS reason
+FROM s AS t(n), (VALUES ('wealth', 'c_acctbal', 1), ('wealth', 'c_income', 1), ('need', 'c_acctbal', -1), ('need', 'none', 1)) s(i, c, s)""")
+def index_composition(spark, d):
+    c = table(spark, d, "customer").withColumn("none", F.lit(None).cast("double"))
+    return disclosures.index_composition(c, {"wealth": {"c_acctbal": 1, "c_income": 1}, "need": {"c_acctbal": -1, "none": 1}})
+
+
+@query("""WITH z AS (SELECT c_nationkey, avg(CAST(c_mktsegment = 'BUILDING' AS INT)) AS building FROM customer GROUP BY ALL), n AS (SELECT count_if(building >= 0.2) AS flagged, count(building) AS known FROM z)
+SELECT CAST(flagged AS BIGINT) AS flagged, CAST(known AS BIGINT) AS known, 0.2::DOUBLE AS threshold, concat(flagged, ' of ', known, ' zones have a share of building of at least 20%; their incomes and tenures say less about hardship. Nothing is corrected for it.') AS note FROM n""")
+def confound_note(spark, d):
+    z = table(spark, d, "customer").groupBy("c_nationkey").agg(F.avg((F.col("c_mktsegment") == "BUILDING").cast("int")).alias("building"))
+    return disclosures.confound_note(z, "building", 0.2)
+
+
+@query("""WITH s AS (SELECT count(*) AS replicates, avg(l_discount) AS mean, min(l_discount) AS least, max(l_discount) AS most FROM lineitem WHERE l_returnflag = 'R')
+SELECT 'R' AS layer, CAST(replicates AS BIGINT) AS replicates, round(mean, 6) AS mean, least, most, concat('The outcome is partly a function of R by construction: mean coefficient ', format('{:.3f}', mean), ' over ', replicates, ' fits (', format('{:.3f}', least), ' to ', format('{:.3f}', most), '). A correlation with it is no independent evidence.') AS note FROM s""")
+def coupling_note(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("feature"), F.col("l_discount").alias("lambda"))
+    return rounded(disclosures.coupling_note(li, "R"))
+
+
+@query("""WITH x AS (SELECT l_quantity AS q, l_extendedprice AS p, l_discount AS d, l_tax AS t FROM lineitem), r AS (SELECT 'd' AS a, 'p' AS b, corr(d, p) AS r FROM x UNION ALL SELECT 'd', 'q', corr(d, q) FROM x UNION ALL SELECT 'd', 't', corr(d, t) FROM x UNION ALL SELECT 'p', 'q', corr(p, q) FROM x UNION ALL SELECT 'p', 't', corr(p, t) FROM x UNION ALL SELECT 'q', 't', corr(q, t) FROM x),
+b AS (SELECT a, b, r FROM r UNION ALL SELECT b, a, r FROM r), o AS (SELECT a AS layer, arg_min(b, (-abs(r), b)) AS partner, arg_min(r, (-abs(r), b)) AS r FROM b WHERE a IN ('p', 't') AND b NOT IN ('p', 't') GROUP BY a)
+SELECT layer, CASE layer WHEN 'p' THEN 'pearson' ELSE 'vif' END AS stage, partner, round(r, 6) AS r, CASE layer WHEN 'p' THEN concat('pairwise correlation (r = ', format('{:.3f}', r), ' with ', partner, ', which is kept)') ELSE concat('variance inflation (r = ', format('{:.3f}', r), ' with ', partner, ', under the limit of pairs)') END AS reason FROM o""")
+def screening_reasons(spark, d):
+    names = {"d": "l_discount", "p": "l_extendedprice", "q": "l_quantity", "t": "l_tax"}
+    x = table(spark, d, "lineitem").select(*[F.col(c).alias(n) for n, c in names.items()])
+    dropped = spark.createDataFrame([("p", "pearson"), ("t", "vif")], "layer string, stage string")
+    return rounded(disclosures.screening_reasons(dropped, stats.correlations(x, list(names))))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import drainage, grid, zonal
+from ..operators import comparisons, drainage, fitting, grid, rounds, surfaces, trees, zonal
 from .registry import CELLS, cells, query, rounded, table
 
 _N8 = " ".join(f"LEFT JOIN c n{i} ON n{i}.\"row\" = c.\"row\" + {a} AND n{i}.col = c.col + {b}" for i, (a, b) in enumerate([(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]))
@@ -64,6 +66,16 @@ def classed_map(spark, d):
     return rounded(grid.quantile_classes(cells(spark, d)))
 
 
+@query(f"""WITH RECURSIVE {CELLS}, v AS (SELECT CAST(floor(value / 5) AS DOUBLE) AS v, count(*) AS c FROM c GROUP BY 1), g AS (SELECT row_number() OVER (ORDER BY v) AS i, v, c, sum(c) OVER (ORDER BY v) AS n, sum(c * v) OVER (ORDER BY v) AS s, sum(c * v * v) OVER (ORDER BY v) AS q FROM v),
+z AS (SELECT * FROM g UNION ALL SELECT 0, NULL, 0, 0, 0, 0), w AS (SELECT a.i AS a, b.i AS b, (b.q - a.q) - pow(b.s - a.s, 2) / (b.n - a.n) AS e FROM z a JOIN z b ON a.i < b.i),
+d(k, b, e, cuts) AS (SELECT 1, b, e, [0] FROM w WHERE a = 0 UNION ALL SELECT * FROM (SELECT d.k + 1, w.b, min(d.e + w.e), arg_min(list_append(d.cuts, w.a), d.e + w.e) FROM d JOIN w ON w.a = d.b WHERE d.k < 4 GROUP BY d.k, w.b)),
+t AS (SELECT cuts FROM d WHERE k = 4 AND b = (SELECT max(i) FROM g)), e AS (SELECT list_concat([(SELECT min(v) FROM g)], list((SELECT v FROM g WHERE i = x) ORDER BY x), [(SELECT max(v) FROM g)]) AS e FROM (SELECT unnest(cuts) AS x FROM t) WHERE x > 0)
+SELECT CAST(greatest(0, least(len(list_filter(e, lambda x: x <= floor(value / 5))) - 1, 3)) AS BIGINT) AS class, e[class + 1] AS low, e[class + 2] AS high, CAST(count(*) AS BIGINT) AS n FROM c, e GROUP BY ALL""")
+def natural_classes(spark, d):
+    """Four classes of least squares within, over every value."""
+    return grid.classed_map(cells(spark, d).withColumn("value", F.floor(F.col("value") / 5).cast("double")), classes=4, method="natural_breaks").drop("label")
+
+
 @query(f"""WITH {CELLS}, s AS (SELECT * FROM c WHERE ("row" * 31 + col * 17) % 97 = 0) SELECT c."row", c.col, round(min(sqrt(pow(c."row" - s."row", 2) + pow(c.col - s.col, 2))) * 10, 6) AS distance FROM c, s GROUP BY ALL""")
 def distance_transform(spark, d):
     c = cells(spark, d).withColumn("s", (F.col("row") * 31 + F.col("col") * 17) % 97 == 0)
@@ -217,3 +229,61 @@ def line_buffer_mask(spark, d):
     x0, y0 = (n * 2.03).cast("double"), ((n * 7) % 50 + 0.01).cast("double")
     g = table(spark, d, "nation").select(x0.alias("x0"), y0.alias("y0"), (x0 + n % 4).alias("x1"), (y0 + n % 3).alias("y1"))
     return grid.near_segments(cells(spark, d), g, 1.0, 1.5)
+
+
+_ZONES = """z AS (SELECT n_nationkey AS id, n_nationkey % 5 * 10.0 AS x, n_nationkey // 5 * 10.0 AS y, CASE n_nationkey % 3 WHEN 0 THEN 'AE' WHEN 1 THEN 'X' ELSE 'D' END AS zone, CASE WHEN n_nationkey % 2 = 0 THEN '0.2 pct annual chance' END AS subtype FROM nation),
+k AS (SELECT c.*, CASE WHEN zone = 'AE' THEN 2 WHEN zone = 'X' AND subtype IS NOT NULL THEN 1 END AS kind FROM c LEFT JOIN z ON c.col + 0.5 BETWEEN x AND x + 8 AND c."row" + 0.5 BETWEEN y AND y + 8)"""
+_SHARES = """CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round(CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn) END, 6) AS iou, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 6) AS hit_rate, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 6) AS "precision", round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) WHEN tp + fn > 0 AND tp + fp > 0 THEN NULL END, 6) AS f1"""
+
+
+def _counts(p: str, r: str) -> str:
+    return f"CAST(count_if(({p}) AND ({r})) AS DOUBLE) AS tp, CAST(count_if(({p}) AND NOT ({r})) AS DOUBLE) AS fp, CAST(count_if(NOT ({p}) AND ({r})) AS DOUBLE) AS fn, CAST(count_if(NOT ({p}) AND NOT ({r})) AS DOUBLE) AS tn"
+
+
+@query(f"""WITH {CELLS}, {_ZONES}, m AS (SELECT 'sfha_1pct' AS mask, {_counts("value >= 60", "coalesce(kind, 0) = 2")} FROM k UNION ALL SELECT 'zone_x_0_2pct', {_counts("value >= 60", "coalesce(kind, 0) > 0")} FROM k)
+SELECT mask, 'ok' AS status, 60.0::DOUBLE AS threshold, {_SHARES} FROM m""")
+def zone_comparison(spark, d):
+    """A surface against zones that are squares by nation."""
+    n = table(spark, d, "nation")
+    x, y = F.col("n_nationkey") % 5 * 10.0, F.floor(F.col("n_nationkey") / 5) * 10.0
+    ring = F.array(*[F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in ((0, 0), (8, 0), (8, 8), (0, 8))])
+    third = F.col("n_nationkey") % 3
+    zones = n.select(F.when(third == 0, "AE").when(third == 1, "X").otherwise("D").alias("zone"), F.when(F.col("n_nationkey") % 2 == 0, "0.2 pct annual chance").alias("subtype"), ring.alias("ring"))
+    return rounded(comparisons.zone_comparison(cells(spark, d), "value", 60.0, zones, 1.0, 25.0, subtype="subtype"))
+
+
+@query(f"""WITH {CELLS}, m AS (SELECT 'low' AS mask, {_counts("value >= 60", '"row" % 3 = 0')} FROM c UNION ALL SELECT 'major', {_counts("value >= 60", '"row" % 3 = 0 AND col % 2 = 0')} FROM c)
+SELECT mask, 'ok' AS status, 60.0::DOUBLE AS threshold, {_SHARES} FROM m UNION ALL SELECT 'near', 'missing', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL""")
+def category_comparison(spark, d):
+    c = cells(spark, d)
+    low = c.where(F.col("row") % 3 == 0)
+    return rounded(comparisons.category_comparison(c, "value", 60.0, {"low": low, "near": None, "major": low.where(F.col("col") % 2 == 0)}))
+
+
+@query(f"""WITH RECURSIVE {CELLS}, i AS (SELECT "row" AS r, col AS k, value, -5.0 - ("row" * 5 + col * 3) % 17 AS a, -5.0 - ("row" * 5 + col * 3) % 17 - ("row" * 7 + col * 13 + ("row" * col) % 11) % 5 AS b FROM c WHERE col % 10 <> 9), f AS (SELECT r * 1000 + k AS id, r, k FROM i WHERE b - a < -2),
+w(id, r, k) AS (SELECT id, r, k FROM f UNION SELECT w.id, f.r, f.k FROM w JOIN f ON abs(f.r - w.r) + abs(f.k - w.k) = 1), l AS (SELECT r, k, min(id) AS id FROM w GROUP BY ALL), n AS (SELECT id FROM l GROUP BY id HAVING count(*) >= 5),
+m AS (SELECT i.*, l.id IS NOT NULL AND a >= -17 AS flooded FROM i LEFT JOIN (SELECT l.* FROM l SEMI JOIN n USING (id)) l USING (r, k)), t AS (SELECT 'radar_change' AS mask, {_counts("value >= 60", "flooded")} FROM m)
+SELECT mask, 'ok' AS status, 60.0::DOUBLE AS threshold, {_SHARES} FROM t""")
+def change_comparison(spark, d):
+    """A surface against what two images tell, of which one lacks columns."""
+    c = cells(spark, d)
+    a = -5.0 - (F.col("row") * 5 + F.col("col") * 3) % 17
+    before = c.select("row", "col", a.alias("value"))
+    after = c.where("col % 10 <> 9").select("row", "col", (a - (F.col("row") * 7 + F.col("col") * 13 + (F.col("row") * F.col("col")) % 11) % 5).alias("value"))
+    return rounded(comparisons.change_comparison(c, "value", 60.0, before, after))
+
+
+@query(f"""WITH {CELLS} SELECT m AS model, CAST(count(*) AS BIGINT) AS cells, CAST(count(DISTINCT ("row" // 16, col // 16)) AS BIGINT) AS tiles, CAST(count(DISTINCT ("row" // 16, col // 16)) AS BIGINT) AS first_run, CAST(0 AS BIGINT) AS second_run, CAST(CASE WHEN m = 'presence_background' THEN count(DISTINCT ("row" // 16, col // 16)) ELSE 0 END AS BIGINT) AS after_refit, true AS agrees
+FROM c, (VALUES ('presence_background'), ('boosted_leaf_wise')) x(m) GROUP BY m""")
+def model_surfaces(spark, d):
+    """A grid scored by two models; tiles scored again in a second run, and when one model was fitted anew; whether points and surface agree."""
+    c = cells(spark, d).select("row", "col", "value", (F.col("row") * 3 % 50).alias("a"), (F.col("row") * 50 + F.col("col")).alias("id"), ((F.col("value") > 70) | (F.col("col") % 11 == 0)).cast("int").alias("y")).persist()
+    path = f"{rounds.shared_dir(spark)}/surfaces-{uuid.uuid4().hex}"
+    models = {"presence_background": fitting.fit_all(c, "y", {"f": fitting.Fit(("value", "a"))})["f"]}
+    models |= {n: m for (_, n), m in trees.fit_trees(c, "y", ["value", "a"], "id", {"boosted_leaf_wise": trees.replace(trees.RECIPES["boosted_leaf_wise"], trees=50)}).items()}
+    first, second = surfaces.score_surfaces(c, models, path, 16), surfaces.score_surfaces(c, models, path, 16)
+    agrees = {r["model"]: abs(r["direct"] - r["sampled"]) < 1e-9 for r in surfaces.assert_agreement(c, "y", models, path).collect()}
+    sizes = {n: surfaces.surface(spark, path, n, m).count() for n, m in models.items()}
+    anew = models | {"presence_background": fitting.fit_all(c, "y", {"f": fitting.Fit(("value", "a"), beta=4.0, classes="L")})["f"]}
+    third = surfaces.score_surfaces(c, anew, path, 16)
+    return spark.createDataFrame([(n, sizes[n], first[n][1], first[n][0], second[n][0], third[n][0], agrees[n]) for n in models], "model string, cells long, tiles long, first_run long, second_run long, after_refit long, agrees boolean")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from ..functions.projection import STATE_PLANE, UTM_14, _E2, A, US_FOOT
-from ..operators import protocols
+from ..functions.projection import STATE_PLANE, STATE_PLANE_FEET, US_FOOT, UTM_14, _E2, A
+from ..operators import grid, protocols
+from ..sources import shapes
 from .association import _FOLDS, _fold_values
 from .registry import CELLS, cells, query, rounded, table
 
 _STUDY = "p AS (SELECT event_id AS key, value AS x, CAST(user_id AS DOUBLE) AS y, event_id % 3 AS fold, event_type AS kind, CAST(event_id % 9 = 0 OR (event_id % 17 > 13 AND value > 20) AS INT) AS presence, event_id % 17 AS a, user_id % 23 AS b FROM events)"
 _LAYERS = ["a", "b", "x"]
+_FEET, _METRES = grid.Frame(1300000.0, 100000.0, 1000.0, STATE_PLANE_FEET), grid.Frame(581000.0, 4271500.0, 500.0)
 
 
 def _study(spark, d):
@@ -39,6 +43,47 @@ m AS (SELECT key, lat, {A} / sqrt(1 - {e2!r}::DOUBLE * sin(lat) * sin(lat)) AS n
 SELECT key, round({UTM_14.scale} * nn * ({x}) + {UTM_14.x0}, 3) AS x, round({UTM_14.scale} * (arc + nn * tan(lat) * ({y})) + {UTM_14.y0}, 3) AS y FROM m"""
 
 
+def _shapes_sql() -> str:
+    """The same change of coordinates, of suppliers."""
+    return _projection_sql().replace("event_id AS key", "CAST(s_suppkey AS BIGINT) AS key").replace("value * 1000", "s_acctbal * 10").replace("user_id * 500", "s_nationkey * 20000").replace("FROM events", "FROM supplier")
+
+
+@query(_shapes_sql())
+def point_shapes(spark, d):
+    """Suppliers as point shapefiles, one for each nation, read back by index and brought to the grid."""
+    s = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", (1300000 + F.col("s_acctbal") * 10).alias("x"), (F.col("s_nationkey") * 20000).alias("y"))
+    found = shapes.read_points(shapes.packed(s, "s_nationkey", "s_suppkey", "x", "y"), "all", STATE_PLANE_FEET)
+    return found.select(F.col("attributes")["ID"].cast("long").alias("key"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+def _warp_sql() -> str:
+    n, f, r0 = STATE_PLANE.constants
+    e2, e4, e6, ep = _E2, _E2**2, _E2**3, _E2 / (1 - _E2)
+    e, root = math.sqrt(_E2), math.sqrt(1 - _E2)
+    g = (1 - root) / (1 + root)
+    num = lambda v: f"{v!r}::DOUBLE"
+    foot = f"mu + {num(3 * g / 2 - 27 * g**3 / 32)} * sin(2 * mu) + {num(21 * g**2 / 16 - 55 * g**4 / 32)} * sin(4 * mu) + {num(151 * g**3 / 96)} * sin(6 * mu) + {num(1097 * g**4 / 512)} * sin(8 * mu)"
+    up = f"d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - {num(9 * ep)}) * pow(d, 4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - {num(252 * ep)} - 3 * c * c) * pow(d, 6) / 720"
+    along = f"d - (1 + 2 * t + c) * pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + {num(8 * ep)} + 24 * t * t) * pow(d, 5) / 120"
+    return f"""WITH {CELLS}, t0 AS (SELECT r, k, (k + 0.5) * 500 + 581000 AS x, (r + 0.5) * 500 + 4271500 AS y FROM range(0, 40) a(r), range(0, 40) b(k)),
+t1 AS (SELECT *, CAST(y AS DOUBLE) / {UTM_14.scale} / {num(A * (1 - e2 / 4 - 3 * e4 / 64 - 5 * e6 / 256))} AS mu FROM t0), t2 AS (SELECT *, {foot} AS foot FROM t1),
+t3 AS (SELECT *, 1 - {num(e2)} * sin(foot) * sin(foot) AS w, pow(tan(foot), 2) AS t, {num(ep)} * cos(foot) * cos(foot) AS c FROM t2), t4 AS (SELECT *, {A} / sqrt(w) AS nn, {num(A * (1 - e2))} / (w * sqrt(w)) AS rr FROM t3),
+t5 AS (SELECT *, (CAST(x AS DOUBLE) - {UTM_14.x0}) / (nn * {UTM_14.scale}) AS d FROM t4), t6 AS (SELECT r, k, foot - nn * tan(foot) / rr * ({up}) AS lat, radians({UTM_14.longitude}) + ({along}) / cos(foot) AS lon FROM t5),
+t7 AS (SELECT *, {num(f)} * pow(tan(pi() / 4 - lat / 2) / pow((1 - {num(e)} * sin(lat)) / (1 + {num(e)} * sin(lat)), {num(e / 2)}), {num(n)}) AS rho, {num(n)} * (lon - radians({STATE_PLANE.longitude})) AS th FROM t6),
+t8 AS (SELECT r, k, (({STATE_PLANE.x0} + rho * sin(th)) / {num(US_FOOT)} - 1300000) / 1000 - 0.5 AS fx, (({num(r0)} - rho * cos(th)) / {num(US_FOOT)} - 100000) / 1000 - 0.5 AS fy FROM t7)"""
+
+
+@query(_warp_sql() + """ SELECT r AS "row", k AS col, round(sum((1 - abs(c."row" - fy)) * (1 - abs(c.col - fx)) * value) / sum((1 - abs(c."row" - fy)) * (1 - abs(c.col - fx))), 5) AS value FROM t8 JOIN c ON c."row" BETWEEN floor(fy) AND floor(fy) + 1 AND c.col BETWEEN floor(fx) AND floor(fx) + 1 GROUP BY ALL""")
+def reprojected_bilinear(spark, d):
+    """A grid in feet of the state plane on the cells of another in metres of the transverse Mercator zone."""
+    return rounded(grid.warp(cells(spark, d), _FEET, grid.frame_cells(spark, (0, 40), (0, 40)), _METRES), 5)
+
+
+@query(_warp_sql() + """ SELECT r AS "row", k AS col, value FROM t8 JOIN c ON c."row" = CAST(floor(fy + 0.5) AS BIGINT) AND c.col = CAST(floor(fx + 0.5) AS BIGINT)""")
+def reprojected_nearest(spark, d):
+    return grid.warp(cells(spark, d), _FEET, grid.frame_cells(spark, (0, 40), (0, 40)), _METRES, method="nearest")
+
+
 @query(_projection_sql())
 def projected_points(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("key"), (1300000 + F.col("value") * 1000).alias("easting_ft"), (F.col("user_id") * 500).alias("northing_ft"))

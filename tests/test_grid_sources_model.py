@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import pytest
@@ -54,8 +55,35 @@ def test_polygon_and_zonal_mean(spark):
     assert zonal.zonal_mean(put, "zone", "value", 10).first().mean is None
 
 
-def test_natural_breaks():
-    assert grid.natural_breaks([1, 2, 3, 50, 51, 52, 100, 101], 3)[0] == 1
+def squares_within(values, edges):
+    at = np.clip(np.searchsorted(edges[1:-1], values, "left"), 0, len(edges) - 2)
+    return sum(((values[at == k] - values[at == k].mean()) ** 2).sum() for k in set(at.tolist()))
+
+
+def test_natural_breaks_are_the_best(spark):
+    rng = np.random.default_rng(3)
+    values = np.round(np.concatenate([rng.normal(0, 1, 30), rng.normal(9, 2, 20), rng.normal(30, 1, 9)]), 1)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "value double")
+    for classes in (2, 3, 4):
+        edges, over = grid.natural_breaks(df, classes=classes)
+        assert over == 0 and edges[0] == values.min() and edges[-1] == values.max() and len(edges) == classes + 1
+        distinct = np.unique(values)
+        best = min(squares_within(values, [distinct[0], *c, distinct[-1]]) for c in itertools.combinations(distinct[:-1], classes - 1))
+        assert squares_within(values, edges) == pytest.approx(best)
+    # between ranges of values: not better than the best, and not worse than the bound
+    edges, over = grid.natural_breaks(df, classes=3, most=25)
+    best = min(squares_within(values, [distinct[0], *c, distinct[-1]]) for c in itertools.combinations(distinct[:-1], 2))
+    assert best - 1e-9 <= squares_within(values, edges) <= best + over
+    assert grid.natural_breaks(df.limit(0)) == ([], 0.0) and grid.natural_breaks(spark.createDataFrame([(2.0,), (2.0,)], "value double"))[0] == [2.0, 2.0]
+
+
+def test_classed_maps_by_either_method(spark):
+    df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 50, 51, 52, 100, 101]], "value double")
+    rows = grid.classed_map(df, classes=3, method="natural_breaks").orderBy("class").collect()
+    assert [(r.low, r.high) for r in rows] == [(1, 3), (3, 52), (52, 101)] and [r.label for r in rows] == ["Class 1", "Class 2", "Class 3"]
+    assert sum(r.n for r in grid.classed_map(df).collect()) == 8
+    with pytest.raises(ValueError):
+        grid.classed_map(df, method="equal")
 
 
 def test_transforms(spark):

@@ -170,6 +170,49 @@ def test_morans_i_of_halves(spark):
     assert abs(stats.morans_i(mixed, links, "id", "z").first().morans_i) < 0.3
 
 
+def test_permutation_p_is_that_of_plain_permutations(spark):
+    rng = np.random.default_rng(5)
+    clustered = [(i, float(i % 12), float(i // 12), float(i // 12 < 5) + 0.1 * rng.random(), float(rng.random()), "a" if i % 2 else "b") for i in range(120)]
+    df = spark.createDataFrame(clustered, "id int, x double, y double, z double, r double, g string").repartition(3)
+    links = stats.neighbours(df, "id", "x", "y", 4, 1.5)
+    near = links.select("i", "j").collect()
+    for c, column in ((3, "z"), (4, "r")):
+        v = np.array([row[c] for row in clustered])
+        z = v - v.mean()
+        w = np.zeros((120, 120))
+        for r in near:
+            w[r.i, r.j] = 1
+        w /= w.sum(axis=1, keepdims=True)
+        i_of = lambda q: 120 / w.sum() * (q @ w @ q) / (z @ z)
+        over = sum(i_of(np.random.default_rng([7, k]).permutation(z)) >= i_of(z) - 1e-12 for k in range(1, 61))
+        got = stats.permutation_p(df, links, "id", column, permutations=60, seed=7).first()
+        assert got.morans_i == pytest.approx(i_of(z)) and got.p == pytest.approx((over + 1) / 61) and got.n == 120 and got.links == len(near)
+        assert got.verdict == ("clustered" if got.p < 0.05 else "spatially_random") and got.expected == pytest.approx(-1 / 119)
+    by = stats.permutation_p(df, links.join(df.select(F.col("id").alias("i"), "g"), "i"), "id", "z", ["g"], permutations=20)
+    assert {r.g for r in by.collect()} == {"a", "b"}
+    with pytest.raises(ValueError):
+        stats.permutation_p(df, links, "id", "z", most=10)
+
+
+def test_dense_cells_are_divided(spark):
+    rng = np.random.default_rng(2)
+    at = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(0, 0.3, (150, 2)))]
+    p = spark.createDataFrame(at, "i long, x double, y double")
+    whole, parts = ({(r.i, r.j) for r in stats.pairs_within(p, p, 0.5, cell).collect()} for cell in (4096, 7))
+    expected = {(a[0], b[0]) for a in at for b in at if a[0] != b[0] and math.dist(a[1:], b[1:]) <= 0.5}
+    assert whole == parts == expected
+
+
+def test_running_sums_of_a_hot_group(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot" if i % 3 else f"g{i % 40}", float(v), int(i % 7)) for i, v in enumerate(rng.permutation(900))]
+    df = spark.createDataFrame(rows, "g string, v double, n int")
+    for r in running.running_sums(df, "v", {"upto": "n"}, within=["g"], rows=40).collect():
+        assert r.upto == sum(n for g, v, n in rows if g == r.g and v <= r.v)
+    whole = {r.v: r.upto for r in running.running_sums(df, "v", {"upto": "n"}, descending=True, rows=40).collect()}
+    assert whole == {v: sum(n for _, o, n in rows if o >= v) for _, v, _ in rows}
+
+
 def test_nearest_reaches_as_far_as_it_must(spark):
     rng = np.random.default_rng(3)
     at = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(0, 1, (60, 2)))] + [(60, 400.0, 0.0), (61, 400.0, 0.0), (62, None, 1.0), (63, float("nan"), 1.0)]
