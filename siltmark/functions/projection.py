@@ -144,20 +144,31 @@ class Scaled:
 System = Conic | Mercator | Geographic | Scaled
 
 
+def _moved(x: Column, y: Column, source: System, target: System) -> Column:
+    """A struct of x and y in the target. Latitude and longitude are computed once, however often the projection needs them, so that expressions stay small."""
+    lat, lon = source.geographic(x.cast("double"), y.cast("double"))
+
+    def put(g: Column) -> Column:
+        u, v = target.project(g["lat"], g["lon"])
+        return F.struct(u.alias("x"), v.alias("y"))
+
+    return _let(F.struct(lat.alias("lat"), lon.alias("lon")), put)
+
+
 def changed(x: Column, y: Column, source: System, target: System) -> tuple[Column, Column]:
     """Coordinates of one system in another; null where a coordinate is."""
     if source == target:
         return x.cast("double"), y.cast("double")
-    return target.project(*source.geographic(x.cast("double"), y.cast("double")))
+    of = _moved(x, y, source, target)
+    return of["x"], of["y"]
 
 
 def with_changed(df: DataFrame, x: str, y: str, source: System, target: System, into: tuple[str, str] = ("x", "y")) -> DataFrame:
-    """df with the coordinates x and y of one system in another, as the columns of into. Latitudes are columns of their own on the way, so that expressions stay small."""
+    """df with the coordinates x and y of one system in another, as the columns of into."""
     if source == target:
         return df.withColumns({into[0]: F.col(x).cast("double"), into[1]: F.col(y).cast("double")})
-    lat, lon = source.geographic(F.col(x).cast("double"), F.col(y).cast("double"))
-    u, v = target.project(F.col("__lat"), F.col("__lon"))
-    return df.withColumns({"__lat": lat, "__lon": lon}).withColumns({into[0]: u, into[1]: v}).drop("__lat", "__lon")
+    of = df.withColumn("__moved", _moved(F.col(x), F.col(y), source, target))
+    return of.withColumns({into[0]: F.col("__moved.x"), into[1]: F.col("__moved.y")}).drop("__moved")
 
 
 def system_of(text: str) -> System:

@@ -135,27 +135,31 @@ def probability(model, df: DataFrame) -> DataFrame:
 
 
 def permuted(df: DataFrame, column: str, key: str, seed: int) -> DataFrame:
-    """df with one column dealt anew by a hash order: the value of the row after it in its bucket of the hash, so no task sees the whole column."""
+    """df with one column dealt anew by a hash order: the value of the row after it in its bucket of the hash, so no task sees the whole column. There are as many buckets as shuffle partitions, 64 at least."""
     from pyspark.sql import Window
 
     from .sampling import draw
 
     h = draw(F.col(key), seed)
-    w = Window.partitionBy(F.pmod(h, F.lit(64))).orderBy(h, key)
+    buckets = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    w = Window.partitionBy(F.pmod(h, F.lit(buckets))).orderBy(h, key)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return df.withColumn("__v", F.coalesce(F.lead(column).over(w), F.first(column).over(whole))).drop(column).withColumnRenamed("__v", column)
 
 
 def permutation_importance(model, test: DataFrame, label: str, layers: list[str], key: str, seed: int = 42, repeats: int = 10) -> DataFrame:
-    """(layer, drop): the AUC lost where the layer is permuted, on average over repeats."""
+    """(layer, drop): the AUC lost where the layer is permuted, on average over repeats. Every permuted copy of the test rows, and these as they are, are scored in one scan; the test rows are kept meanwhile."""
     from .metrics import auc
 
-    base = auc(probability(model, test), label, "y_score").select(F.col("auc").alias("base"))
-    out = None
-    for i, c in enumerate(layers * repeats):
-        one = auc(probability(model, permuted(test, c, key, seed + i)), label, "y_score").crossJoin(base).select(F.lit(c).alias("layer"), (F.col("base") - F.col("auc")).alias("drop"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("layer").agg(F.avg("drop").alias("drop"))
+    test = test.select(key, label, *layers).persist()
+    dealt = layers * repeats
+    copies = test.withColumn("__copy", F.lit(-1))
+    for i, c in enumerate(dealt):
+        copies = copies.unionByName(permuted(test, c, key, seed + i).withColumn("__copy", F.lit(i)))
+    found = {r["__copy"]: r["auc"] for r in auc(probability(model, copies), label, "y_score", ["__copy"]).collect()}
+    test.unpersist()
+    drops = [(c, None if None in (found.get(-1), found.get(i)) else found[-1] - found[i]) for i, c in enumerate(dealt)]
+    return test.sparkSession.createDataFrame(drops, "layer string, drop double").groupBy("layer").agg(F.avg("drop").alias("drop"))
 
 
 def response_curve(model: Additive, means: DataFrame, layer: str, low: float, high: float, steps: int = 50) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.projection import feet_to_grid
+from ..functions.projection import STATE_PLANE_FEET, UTM_14, with_changed
 from . import metrics, model, stats, trees
 from .arms import TRAIN, _on_test, aicc_table, against_baseline, folds_of, grid_of, run_arms, train_and_test
 from .fitting import Fit, fit_all, scored
@@ -355,8 +355,7 @@ def predictor_table(catalogue: DataFrame, effects: DataFrame, screened: DataFram
 
 def survey_points(rows: DataFrame, easting: str = "easting_ft", northing: str = "northing_ft", bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
     """Adds x and y of the grid to rows in feet of the state plane; rows without coordinates go, and those out of bounds (x0, y0, x1, y1)."""
-    x, y = feet_to_grid(F.col(easting), F.col(northing))
-    out = rows.dropna(subset=[easting, northing]).withColumns({"x": x, "y": y})
+    out = with_changed(rows.dropna(subset=[easting, northing]), easting, northing, STATE_PLANE_FEET, UTM_14)
     return out.where(F.col("x").between(bounds[0], bounds[2]) & F.col("y").between(bounds[1], bounds[3])) if bounds else out
 
 

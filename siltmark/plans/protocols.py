@@ -7,8 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.projection import STATE_PLANE, STATE_PLANE_FEET, US_FOOT, UTM_14, _E2, A
-from ..operators import grid, protocols
-from ..sources import shapes
+from ..operators import comparisons, grid, protocols
+from ..sources import shapes, surveys
 from .association import _FOLDS, _fold_values
 from .registry import CELLS, cells, query, rounded, table
 
@@ -56,6 +56,31 @@ def point_shapes(spark, d):
     return found.select(F.col("attributes")["ID"].cast("long").alias("key"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
+def _combined_sql() -> str:
+    shape, text = _shapes_sql(), _projection_sql()
+    return f"""SELECT 'file_level_HW' AS provenance, CAST(count(*) AS BIGINT) AS n, round(avg(x), 3) AS x, round(avg(y), 3) AS y FROM ({shape}) UNION ALL SELECT CASE WHEN key % 3 = 0 THEN 'point_level_EOW' ELSE 'point_level_HW' END, CAST(count(*) AS BIGINT), round(avg(x), 3), round(avg(y), 3) FROM ({text}) WHERE y < 4290000 GROUP BY ALL"""
+
+
+@query(_combined_sql())
+def combined_points(spark, d):
+    """Marks of text logs and of point files in one table, by provenance."""
+    e = table(spark, d, "events").select(F.col("event_id"), (1300000 + F.col("value") * 1000).alias("easting_ft"), (F.col("user_id") * 500).alias("northing_ft"))
+    text = protocols.survey_points(e).where("y < 4290000").select(F.col("event_id").cast("string").alias("pt_id"), "northing_ft", "easting_ft", F.lit(None).cast("double").alias("elevation_ft"), F.lit("HW").alias("description"), F.when(F.col("event_id") % 3 == 0, "EOW").otherwise("HW").alias("type"), F.lit("e").alias("event"), F.lit("f").alias("source_file"), "x", "y")
+    s = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", (1300000 + F.col("s_acctbal") * 10).alias("x"), (F.col("s_nationkey") * 20000).alias("y"))
+    files = shapes.read_points(shapes.packed(s, "s_nationkey", "s_suppkey", "x", "y"), "all", STATE_PLANE_FEET)
+    both = surveys.combined_points(text, files).withColumns({"x": F.round("x", 3), "y": F.round("y", 3)})
+    return rounded(both.groupBy("provenance").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y")), 3)
+
+
+@query()
+def dated_sources(spark, d):
+    """A model of the distance to the nearest source, with all sources and with those dated early enough."""
+    c = cells(spark, d)
+    rows = c.select("row", "col", ((F.col("value") > 75) | (F.col("col") % 9 == 4) & (F.col("row") % 4 < 3)).cast("int").alias("y"), (F.col("row") % 3 == 0).alias("is_test"))
+    sources = table(spark, d, "events").where("value > 40").select((F.col("user_id") % 50).alias("row"), (F.floor(F.col("event_id") / 9) * 9 % 50).cast("long").alias("col"), (1990 + F.col("event_id") % 40).alias("built"))
+    return rounded(comparisons.dated_sources_check(c, rows, sources, "built", 2007, "y", "is_test"))
+
+
 def _warp_sql() -> str:
     n, f, r0 = STATE_PLANE.constants
     e2, e4, e6, ep = _E2, _E2**2, _E2**3, _E2 / (1 - _E2)

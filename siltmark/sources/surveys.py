@@ -130,5 +130,15 @@ def read_manifest(spark: SparkSession, manifest: list[tuple[str, str, str]]) ->
     return out
 
 
+def combined_points(text: DataFrame, files: DataFrame | None = None, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """One table of survey points in the grid: text rows (with x and y) are marks by point, those of point files by file. provenance tells which, and of which type; points out of bounds go."""
+    of = text.withColumn("provenance", F.when(F.col("type") == "HW", "point_level_HW").when(F.col("type") == "EOW", "point_level_EOW"))
+    columns = [*COLUMNS, "provenance", "x", "y"]
+    out = of.select(*columns)
+    if files is not None:
+        out = out.unionByName(files.select(*columns))
+    return inside(out, bounds) if bounds else out
+
+
 def inside(points: DataFrame, bounds: tuple[float, float, float, float], x: str = "x", y: str = "y") -> DataFrame:
     return points.where(F.col(x).between(bounds[0], bounds[2]) & F.col(y).between(bounds[1], bounds[3]))
