@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.5
 #: Code points before and after a span in which context words count.
 BEFORE, AFTER = 48, 24
+#: Characters of a match at least, of any kind: so many fit into the context.
+LEAST = 4
 #: Spans of a text whose places are summed in one go.
 RUN = 256
 
@@ -146,14 +148,24 @@ def _spans(text: Column, kind: Kind, rank: int) -> Column:
     """All confirmed spans of a kind as array<struct<start, rank, end, kind, score, value>>."""
     pattern = F.lit(kind.pattern)
 
-    def placed(m: Column, g: Column) -> Column:
+    def placed(m: Column, g: Column, tails: Column, heads: Column) -> Column:
         every = F.sequence(F.lit(0), F.size(m) - 1)
         lengths = F.transform(every, lambda i: F.length(F.get(g, i)).cast("long") + F.length(F.get(m, i)))
         # where each match ends, less its length
         start = F.zip_with(_running(lengths, F.lit(0).cast("long"), lambda a, b: a + b), F.transform(m, lambda x: F.length(x)), lambda e, n: e - n)
 
+        def before(i: Column) -> Column:
+            # what lies before, other matches of the kind included: as many as there is room for
+            first = F.greatest(i - BEFORE // LEAST, F.lit(0))
+            pieces = F.zip_with(F.slice(tails, first + 1, i - first), F.slice(m, first + 1, i - first), lambda a, b: F.concat(a, b))
+            return F.right(F.concat(F.array_join(pieces, ""), F.get(tails, i)), F.lit(BEFORE))
+
+        def after(i: Column) -> Column:
+            pieces = F.zip_with(F.slice(heads, i + 2, AFTER // LEAST), F.slice(m, i + 2, AFTER // LEAST), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+            return F.left(F.array_join(pieces, ""), F.lit(AFTER))
+
         def row(value: Column, i: Column) -> Column:
-            near = F.right(F.get(g, i), F.lit(BEFORE)).rlike(kind.context) | F.left(F.get(g, i + 1), F.lit(AFTER)).rlike(kind.context)
+            near = before(i).rlike(kind.context) | after(i).rlike(kind.context)
             score = F.when(near, F.lit(kind.score + kind.bonus)).otherwise(F.lit(kind.score))
             return F.struct(F.lit(0).cast("long").alias("start"), F.lit(rank).alias("rank"), F.length(value).cast("long").alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"), value.alias("value"))
 
@@ -164,7 +176,12 @@ def _spans(text: Column, kind: Kind, rank: int) -> Column:
         return F.filter(spans, lambda x: kind.check(x["value"]) & (x["score"] >= THRESHOLD))
 
     def found(m: Column) -> Column:
-        return F.when(F.size(m) > 0, F.element_at(F.transform(F.array(F.split(text, kind.pattern, -1)), lambda g: placed(m, g)), 1))
+        def ends(g: Column) -> Column:
+            # only the ends of what lies between matches can be context
+            return F.struct(g.alias("g"), F.transform(g, lambda x: F.right(x, F.lit(BEFORE))).alias("tails"), F.transform(g, lambda x: F.left(x, F.lit(AFTER))).alias("heads"))
+
+        bound = F.transform(F.transform(F.array(F.split(text, kind.pattern, -1)), ends), lambda b: placed(m, b["g"], b["tails"], b["heads"]))
+        return F.when(F.size(m) > 0, F.element_at(bound, 1))
 
     all_ = F.element_at(F.transform(F.array(F.regexp_extract_all(text, pattern, F.lit(0))), found), 1)
     if kind.needs:
