@@ -151,7 +151,7 @@ def permutation_importance(model, test: DataFrame, label: str, layers: list[str]
     """(layer, drop): the AUC lost where the layer is permuted, on average over repeats. Every permuted copy of the test rows, and these as they are, are scored in one scan; the test rows are kept meanwhile."""
     from .metrics import auc
 
-    test = test.select(key, label, *layers).persist()
+    test = test.persist()
     dealt = layers * repeats
     copies = test.withColumn("__copy", F.lit(-1))
     for i, c in enumerate(dealt):

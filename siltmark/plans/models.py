@@ -101,7 +101,7 @@ def permutation_importance(spark, d):
     rows = _training(spark, d)
     layers = ["l_quantity", "l_discount", "l_tax"]
     fitted = model.fit_comparator(rows.where("not is_test"), "presence", layers, model.comparators()["logistic_regression"])
-    return rounded(model.permutation_importance(fitted, rows.where("is_test"), "presence", layers, "key"))
+    return rounded(model.permutation_importance(fitted, rows.where("is_test").select("key", "presence", *layers), "presence", layers, "key"))
 
 
 @query()
