@@ -90,14 +90,15 @@ def surface(spark: SparkSession, path: str, name: str, model: Model) -> DataFram
 
 
 def assert_agreement(points: DataFrame, label: str, models: dict[str, Model], path: str, within: float = 1e-9) -> DataFrame:
-    """(model, points, direct, sampled): the AUC of points (row, col, layers and label) scored directly, and by the surface's cell; an error where they differ."""
+    """(model, points, direct, sampled, agrees): the AUC of points (row, col, layers and label) scored directly, and by the surface's cell; an error where they differ. Points of one class have no area, and agree if neither has one."""
     direct = metrics.auc(scored_cells(points, models), label, "score", ["model"]).select("model", F.col("auc").alias("direct"), (F.col("n_pos") + F.col("n_neg")).alias("points"))
     spark, sampled = points.sparkSession, None
     for n, m in models.items():
         part = points.select(*KEY, label).join(surface(spark, path, n, m), KEY).select(label, "score", F.lit(n).alias("model"))
         sampled = part if sampled is None else sampled.unionByName(part)
-    both = settled(direct.join(metrics.auc(sampled, label, "score", ["model"]).select("model", F.col("auc").alias("sampled")), "model", "left").select("model", "points", "direct", "sampled"))
     agrees = F.coalesce(F.abs(F.col("direct") - F.col("sampled")) <= within, F.col("direct").isNull() & F.col("sampled").isNull())
-    if wrong := [r["model"] for r in both.where(~agrees).collect()]:
+    found = metrics.auc(sampled, label, "score", ["model"]).select("model", F.col("auc").alias("sampled"))
+    both = settled(direct.join(found, "model", "left").select("model", "points", "direct", "sampled", agrees.alias("agrees")))
+    if wrong := [r["model"] for r in both.where("not agrees").collect()]:
         raise guards.GuardError(f"surface and points disagree: {sorted(wrong)}")
     return both

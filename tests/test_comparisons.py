@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltmark.operators import comparisons, fitting, guards, surfaces, trees
+from siltmark.operators.model import Additive
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +93,12 @@ def test_surfaces_are_scored_once(spark, cells, tmp_path):
     # new cells of a new tile
     more = known.unionByName(known.withColumn("row", F.col("row") + 40))
     assert surfaces.score_surfaces(more, models, path, 8) == {"additive": (9, 18), "forest": (9, 18)}
+
+
+def test_points_of_one_class_agree_without_areas(spark, cells, tmp_path):
+    path = f"file://{tmp_path}/one"
+    known = cells.where("value is not null").withColumn("y", F.lit(1))
+    models = {"additive": Additive(linear={"value": (1.0, 0.0, 1.0)})}
+    surfaces.score_surfaces(known, models, path, 8)
+    got = surfaces.assert_agreement(known, "y", models, path).collect()
+    assert [(r.direct, r.sampled, r.agrees) for r in got] == [(None, None, True)]
