@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from .rounds import settled
+from .rounds import release, settled
 from .running import average_ranks
 
 
@@ -193,51 +193,126 @@ def points(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
 CELL = 4096
 
 
-def pairs_within(asking: DataFrame, held: DataFrame, reach: float, cell: int = CELL) -> DataFrame:
-    """(i, j, d): each of asking (i, x, y) with the rows of held (i, x, y) of another key within reach.
+def _cell(reach: float) -> tuple[Column, Column]:
+    """The cell of x and y, a hair wider than reach: rounding puts no row within reach two cells away."""
+    size = reach * (1 + 1e-9)
+    return F.floor(F.col("x") / size), F.floor(F.col("y") / size)
 
-    Cells of the size of reach: a row meets the rows of nine cells only. Rows of a cell with over ``cell`` of them are dealt to parts,
-    and those that ask meet each part on its own, so a dense cell isn't one task.
+
+def _met(asking: DataFrame, held: DataFrame, reach: float, cell: int, spread_asking: bool, square: bool = True) -> DataFrame:
+    """asking's columns with those of held within reach, the distance d, and the cell of the meeting as cx, cy, part.
+
+    Within reach is what lies in the circle and, with ``square``, between x - reach and x + reach (y likewise) as these are rounded: the two differ by
+    a rounding only, where a coordinate differs by reach to the last digit.
+    A row meets the rows of nine cells only, and either side is sent to the nine. Where held is, all that a row of asking meets has the same cx, cy
+    and part. Rows of the other side in a cell with over ``cell`` of them are dealt to parts, so a dense cell isn't one task.
     """
-    q = held.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.floor(F.col("x") / reach).alias("cx"), F.floor(F.col("y") / reach).alias("cy"))
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    p = asking.withColumn("o", around).select("i", "x", "y", (F.floor(F.col("x") / reach) + F.col("o.a")).alias("cx"), (F.floor(F.col("y") / reach) + F.col("o.b")).alias("cy"))
-    dense = q.groupBy("cx", "cy").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts")).where("parts > 1")
+    cx, cy = _cell(reach)
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("o")
+    stay, go = (held, asking) if spread_asking else (asking, held)
+    stay = stay.withColumns({"cx": cx, "cy": cy})
+    go = go.select("*", around).withColumns({"cx": cx + F.col("o.a"), "cy": cy + F.col("o.b")}).drop("o")
+    dense = stay.groupBy("cx", "cy").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts")).where("parts > 1")
     parts = F.coalesce("parts", F.lit(1))
-    q = q.join(dense, ["cx", "cy"], "left").withColumn("part", F.pmod(F.xxhash64("j"), parts).cast("int")).drop("parts")
-    p = p.join(dense, ["cx", "cy"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    d = F.sqrt(F.pow(F.col("x") - F.col("xj"), F.lit(2)) + F.pow(F.col("y") - F.col("yj"), F.lit(2)))
-    return p.join(q, ["cx", "cy", "part"]).where("i <> j").select("i", "j", d.alias("d")).where(F.col("d") <= reach)
+    stay = stay.join(dense, ["cx", "cy"], "left").withColumn("part", F.pmod(F.xxhash64(*stay.columns), parts).cast("int")).drop("parts")
+    go = go.join(dense, ["cx", "cy"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    p, q = (go, stay) if spread_asking else (stay, go)
+    dx, dy = F.col("x") - F.col("xj"), F.col("y") - F.col("yj")
+    squares = F.pow(dx, F.lit(2)) + F.pow(dy, F.lit(2))
+    # of squares: a root rounds to reach from beyond it
+    near = squares <= reach * reach
+    if square:
+        near = near & F.col("xj").between(F.col("x") - reach, F.col("x") + reach) & F.col("yj").between(F.col("y") - reach, F.col("y") + reach)
+    return p.join(q.withColumnsRenamed({"x": "xj", "y": "yj"}), ["cx", "cy", "part"]).where(near).withColumn("d", F.sqrt(squares)).drop("xj", "yj")
+
+
+def pairs_within(asking: DataFrame, held: DataFrame, reach: float, cell: int = CELL, square: bool = True) -> DataFrame:
+    """(i, j, d): each of asking (i, x, y) with the rows of held (i, x, y) of another key within reach."""
+    return _met(asking, held.withColumnRenamed("i", "j"), reach, cell, True, square).where("i <> j").select("i", "j", "d")
+
+
+def _start(places: DataFrame, k: int, reach: float) -> float:
+    """reach, halved until a cell holds about k places where it holds more: no more pairs are made than the k nearest need."""
+    cx, cy = _cell(reach)
+    n = places.groupBy(cx.alias("cx"), cy.alias("cy")).agg(F.count("*").cast("double").alias("n"))
+    crowd = n.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+    return reach / 2.0 ** min(40, max(0, math.floor(0.5 * math.log2(max(crowd, 1.0) / k))))
+
+
+def _widened(asking: DataFrame, held: DataFrame, found_in: Callable[[DataFrame, DataFrame, float], DataFrame], done: Column, reach: float, most: float) -> DataFrame:
+    """What found_in(asking, held, reach) gives with reach doubled, up to most, for those (x, y and the like) that aren't done."""
+    out, keys, short = None, asking.columns, asking
+    while True:
+        part = settled(found_in(short, held, reach))
+        final = part if reach >= most else part.where(done)
+        out = final if out is None else out.unionByName(final)
+        if reach >= most:
+            return out
+        left = settled(short.join(part.where(done).select(*[F.col(c).alias(f"__{c}") for c in keys]), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys], "left_anti"))
+        release(short)
+        short = left
+        if short.isEmpty():
+            return out
+        reach = min(2 * reach, most)
 
 
-def _first(pairs: DataFrame, k: int) -> DataFrame:
-    return pairs.withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("n") <= k)
+def _nearest(p: DataFrame, k: int, reach: float, most: float | None) -> DataFrame:
+    """(i, j, d, n): the k nearest others of points (i, x, y) within most, or wherever they are.
+
+    Rows of one place are one: its k + 1 smallest keys are all that can be among any row's nearest, and its k + 1 nearest rows hold the k
+    nearest of each of its own. Places search as near as the crowd allows first, and only those that are short search wider.
+    """
+    first = p.withColumn("r", F.row_number().over(Window.partitionBy("x", "y").orderBy("i"))).where(F.col("r") <= k + 1)
+    places = settled(first.groupBy("x", "y").agg(F.array_sort(F.collect_list("i")).alias("ids")))
+    wide, high, rows = places.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.sum(F.size("ids"))).first()
+    if most is None:
+        most = max(reach, math.hypot(wide or 0.0, high or 0.0) * (1 + 1e-9))
+
+    def found_in(asking: DataFrame, held: DataFrame, reach: float) -> DataFrame:
+        few = asking is not all_ and asking.count() * 4 < n_places
+        met = _met(asking, held, reach, CELL, few)
+        # of places at most k + 1, of their rows likewise
+        at = ["x", "y"] if few else ["cx", "cy", "part", "x", "y"]
+        near = met.withColumn("r", F.row_number().over(Window.partitionBy(*at).orderBy("d", F.col("ids")[0]))).where(F.col("r") <= k + 1)
+        near = near.select(*at, "d", F.explode("ids").alias("j"))
+        near = near.withColumn("r", F.row_number().over(Window.partitionBy(*at).orderBy("d", "j"))).where(F.col("r") <= k + 1)
+        return near.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("d", "j"))).alias("near")).select("x", "y", "near")
+
+    all_, n_places = places.select("x", "y"), places.count()
+    by = _widened(all_, places, found_in, F.size("near") >= min(k + 1, rows or 0), _start(places, k + 1, reach), most)
+    others = F.slice(F.filter("near", lambda e: e["j"] != F.col("i")), 1, k)
+    return p.join(by, ["x", "y"]).select("i", F.posexplode(others).alias("n", "e")).select("i", "e.j", "e.d", (F.col("n") + 1).alias("n"))
 
 
 def neighbours(df: DataFrame, key: str, x: str, y: str, k: int, reach: float) -> DataFrame:
-    """(i, j, d, n): the k nearest other rows within reach, ties to the smaller key; fewer where reach holds fewer."""
-    p = points(df, key, x, y)
-    return _first(pairs_within(p, p, reach), k)
+    """(i, j, d, n): the k nearest other rows within reach, ties to the smaller key; fewer where reach holds fewer. Keys must be distinct."""
+    return _nearest(points(df, key, x, y), k, reach, reach)
 
 
 def nearest(df: DataFrame, key: str, x: str, y: str, k: int, reach: float) -> DataFrame:
-    """(i, j, d, n): the k nearest other rows wherever they are, ties to the smaller key; fewer only where the table has fewer.
+    """(i, j, d, n): the k nearest other rows wherever they are, ties to the smaller key; fewer only where the table has fewer. Keys must be distinct.
 
-    Rows that have fewer than k within reach, and only these, search again within twice the reach.
-    Rows without finite coordinates take no part.
+    The search begins within reach, or nearer where rows are crowded. Rows without finite coordinates take no part.
     """
-    p = points(df, key, x, y)
-    wide, high, n = p.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
-    found, short = _first(pairs_within(p, p, reach), k), p
-    while n and reach < math.hypot(wide, high):
-        found = settled(found, found)
-        enough = found.groupBy("i").agg(F.max("n").alias("m")).where(F.col("m") >= min(k, n - 1)).select("i")
-        short = settled(short.join(enough, "i", "left_anti"), short)
-        if short.isEmpty():
-            break
-        reach *= 2
-        found = found.join(short.select("i"), "i", "left_anti").unionByName(_first(pairs_within(short, p, reach), k))
-    return found
+    return _nearest(points(df, key, x, y), k, reach, None)
+
+
+def nearest_of_others(df: DataFrame, x: str, y: str, group: str, reach: float) -> DataFrame:
+    """(group, d, n): how many rows of a group have their nearest row of another group at distance d, of those that have one within reach."""
+    at = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(group).alias("g"))
+    at = settled(at.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")) & F.col("g").isNotNull()).groupBy("x", "y", "g").agg(F.count("*").alias("n")))
+    # two groups of a place are enough: one of them is another than the asker's
+    places = settled(at.groupBy("x", "y").agg(F.min("g").alias("g0"), F.max("g").alias("g1")))
+
+    def found_in(asking: DataFrame, held: DataFrame, reach: float) -> DataFrame:
+        few = asking is not all_ and asking.count() * 4 < n
+        met = _met(asking, held, reach, CELL, few).where((F.col("g") != F.col("g0")) | (F.col("g") != F.col("g1")))
+        by = ["x", "y", "g"] if few else ["cx", "cy", "part", "x", "y", "g"]
+        return met.groupBy(*by).agg(F.min("d").alias("d")).select("x", "y", "g", "d")
+
+    all_, n = at.select("x", "y", "g"), at.count()
+    by = _widened(all_, places, found_in, F.col("d").isNotNull(), _start(places, 2, reach), reach)
+    return by.join(at, ["x", "y", "g"]).groupBy(F.col("g").alias(group), "d").agg(F.sum("n").alias("n"))
 
 
 def morans_i(df: DataFrame, links: DataFrame, key: str, value: str) -> DataFrame:
@@ -255,7 +330,7 @@ def correlogram(df: DataFrame, key: str, x: str, y: str, value: str, band: float
     mean = F.broadcast(df.agg(F.avg(value).alias("mean"), F.var_pop(value).alias("var")))
     z = df.crossJoin(mean).select(F.col(key).alias("k"), (F.col(value) - F.col("mean")).alias("z"), "var")
     p = points(df, key, x, y)
-    pairs = pairs_within(p, p, reach).where("d > 0").withColumn("band", F.ceil(F.col("d") / band).cast("long"))
+    pairs = pairs_within(p, p, reach, square=False).where("d > 0").withColumn("band", F.ceil(F.col("d") / band).cast("long"))
     both = pairs.join(z.select(F.col("k").alias("i"), F.col("z").alias("zi"), "var"), "i").join(z.select(F.col("k").alias("j"), F.col("z").alias("zj")), "j")
     out = both.groupBy("band").agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.col("zi") * F.col("zj")).alias("c"), F.first("var").alias("var"))
     return out.select("band", "pairs", F.when(F.col("pairs") >= least, F.try_divide(F.col("c"), F.col("var"))).alias("morans_i"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import disclosures, stats, zonal
+from ..operators import disclosures, running, stats, zonal
+from ..operators.rounds import settled
 from .registry import SCORES, query, rounded, scores, table
 
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -177,11 +178,10 @@ def residual_correlogram(spark, d):
 SELECT fold, round(min(d), 6) AS nearest, round(median(d), 6) AS middle, round(max(d), 6) AS farthest, CAST(count_if(d > 0.5) AS BIGINT) AS beyond_buffer FROM n GROUP BY fold""")
 def fold_geometry(spark, d):
     p = _points(spark, d).withColumn("fold", F.col("id") % 5)
-    at = stats.points(p, "id", "x", "y")
-    near = stats.pairs_within(at, at, 4.0)
-    folds = p.select(F.col("id").alias("i"), "fold"), p.select(F.col("id").alias("j"), F.col("fold").alias("fj"))
-    least = near.join(folds[0], "i").join(folds[1], "j").where("fold <> fj").groupBy("i", "fold").agg(F.min("d").alias("d"))
-    return rounded(least.groupBy("fold").agg(F.min("d").alias("nearest"), F.median("d").alias("middle"), F.max("d").alias("farthest"), F.count_if(F.col("d") > 0.5).alias("beyond_buffer")))
+    least = settled(stats.nearest_of_others(p, "x", "y", "fold", 4.0))
+    middle = running.quantiles(least, "d", [0.5], ["fold"], rows="n").select("fold", F.get("quantiles", F.lit(0)).alias("middle"))
+    ends = least.groupBy("fold").agg(F.min("d").alias("nearest"), F.max("d").alias("farthest"), F.sum(F.when(F.col("d") > 0.5, F.col("n")).otherwise(0)).alias("beyond_buffer"))
+    return rounded(ends.join(middle, "fold").select("fold", "nearest", "middle", "farthest", "beyond_buffer"))
 
 
 @query(f"""WITH {_PTS}, t AS (SELECT * FROM p WHERE id % 5 = 0), r AS (SELECT * FROM p WHERE id % 5 <> 0) SELECT r.id FROM r WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.x BETWEEN r.x - 0.5 AND r.x + 0.5 AND t.y BETWEEN r.y - 0.5 AND r.y + 0.5 AND pow(t.x - r.x, 2) + pow(t.y - r.y, 2) <= 0.25)""")

@@ -257,3 +257,38 @@ def test_quantiles_over_many_ranges(spark):
     cuts = sorted(rng.choice(range(60)) for _ in range(75))
     probe = spark.range(-2, 63).select("id", running.count_below(F.array(*[F.lit(c).cast("long") for c in cuts]), F.col("id")).alias("under"), running.count_below(F.array(*[F.lit(c).cast("long") for c in cuts]), F.col("id"), True).alias("upto"))
     assert all((r.under, r.upto) == (sum(c < r.id for c in cuts), sum(c <= r.id for c in cuts)) for r in probe.collect())
+
+
+def test_within_reach_to_the_last_digit(spark):
+    # what SQL finds: x between the rounded bounds, and squares that aren't over reach's
+    at = [(2 * k + s, (k + 50 * s) / 100) for k in range(0, 6600, 60) for s in (0, 1)]
+    at += [(20000 + 2 * k + s, (k + 50 * s) / 100) for k in (1, 2, 3, 4) for s in (0, 1)]
+    p = spark.createDataFrame([(i, x, 0.0) for i, x in at], "i long, x double, y double")
+    want = {(i, j) for i, x in at for j, u in at if i != j and x - 0.5 <= u <= x + 0.5 and (x - u) * (x - u) <= 0.25}
+    roots = {(i, j) for i, x in at for j, u in at if i != j and math.sqrt((x - u) * (x - u)) <= 0.5}
+    assert want != roots
+    assert {(r.i, r.j) for r in stats.pairs_within(p, p, 0.5).collect()} == want
+
+
+def test_neighbours_of_copies_and_crowds(spark):
+    # many rows of one place, a crowd and loners: places search near first, and ties go to the smaller key
+    rng = np.random.default_rng(8)
+    at = [(i, 1.0, 1.0) for i in range(0, 90, 3)] + [(i, float(x), float(y)) for i, (x, y) in zip(range(1, 900, 3), np.round(rng.normal(1, 0.5, (300, 2)), 1), strict=True)] + [(5000, 9.0, 9.0), (5001, 11.9, 9.0), (5002, 40.0, 40.0)]
+    df = spark.createDataFrame(at, "id long, x double, y double")
+    want = {}
+    for i, x, y in at:
+        others = sorted((math.sqrt((x - u) ** 2 + (y - v) ** 2), j) for j, u, v in at if j != i and (x - u) ** 2 + (y - v) ** 2 <= 9)
+        want |= {(i, n + 1): j for n, (_, j) in enumerate(others[:4])}
+    assert {(r.i, r.n): r.j for r in stats.neighbours(df, "id", "x", "y", 4, 3.0).collect()} == want
+    groups = [(i, x, y, i % 5) for i, x, y in at]
+    least = {}
+    for i, x, y, g in groups:
+        d = min((math.sqrt((x - u) ** 2 + (y - v) ** 2) for _, u, v, h in groups if h != g), default=9.0)
+        if d <= 3:
+            least[g, round(d, 9)] = least.get((g, round(d, 9)), 0) + 1
+    found = stats.nearest_of_others(spark.createDataFrame(groups, "id long, x double, y double, g long"), "x", "y", "g", 3.0)
+    assert {(r.g, r.d): r.n for r in found.groupBy("g", F.round("d", 9).alias("d")).agg(F.sum("n").alias("n")).collect()} == least
+    # the same pairs whichever side is sent around
+    p = stats.points(df, "id", "x", "y")
+    sides = [{(r.i, r.j) for r in stats._met(p, p.withColumnRenamed("i", "j"), 0.4, 7, side).collect()} for side in (True, False)]
+    assert sides[0] == sides[1]
