@@ -3,8 +3,9 @@
 Coarse centroids divide the unit vectors into lists. A vector is stored in the list of its
 nearest centroid as the codes of its residual, one byte for each subspace. A query visits
 the lists of its nearest centroids; a table of its products with every code word gives the
-approximate cosine of each vector there (asymmetric: the query isn't quantised). The best
-are reranked by the exact cosine of the original vectors in double precision.
+approximate cosine of each vector there (asymmetric: the query isn't quantised). It is 1 less half the
+squared distance from what the codes stand for, whose length isn't quite 1: without that, rows of a tight
+group are told apart by what their codes miss along the group's own direction. The best are reranked by the exact cosine of the original vectors in double precision.
 
 Equal vectors are indexed once, with their k + 1 smallest ids: others can't be among any
 row's k nearest. Lists near each other form groups of about CHUNK vectors, which a task
@@ -80,9 +81,14 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
     return c
 
 
+def closeness(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Falls with the distance of each x from each c, in double precision."""
+    c = c.astype(np.float64)
+    return x.astype(np.float64) @ c.T - 0.5 * np.einsum("ij,ij->i", c, c)
+
+
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    half = 0.5 * np.einsum("ij,ij->i", c, c)
-    return np.concatenate([np.argmax(p @ c.T - half, axis=1) for p in np.array_split(x, max(1, len(x) // 2048))]) if len(x) else np.zeros(0, np.int64)
+    return np.concatenate([np.argmax(closeness(p, c), axis=1) for p in np.array_split(x, max(1, len(x) // 2048))]) if len(x) else np.zeros(0, np.int64)
 
 
 @dataclass
@@ -106,24 +112,33 @@ class Quantiser:
 
     def table(self, q: np.ndarray) -> np.ndarray:
         """Products of each query with all code words: queries, subspaces, codes."""
-        out = np.zeros((len(q), len(self.parts), CODES), np.float32)
+        out = np.zeros((len(q), len(self.parts), CODES))
         for k, (p, w) in enumerate(zip(self.parts, self.words, strict=True)):
-            out[:, k, : len(w)] = q[:, p] @ w.T
+            out[:, k, : len(w)] = q[:, p].astype(np.float64) @ w.T.astype(np.float64)
         return out
 
-    def product(self, q: np.ndarray, near: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Approximate products of queries with the vectors of lists near and codes, row by row."""
-        out = np.einsum("ij,ij->i", q, self.centroids[near])
+    def meant(self, near: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that lists near and codes stand for."""
+        out = self.centroids[near].astype(np.float64)
         for k, (p, w) in enumerate(zip(self.parts, self.words, strict=True)):
-            out = out + np.einsum("ij,ij->i", q[:, p], w[codes[:, k]])
+            out[:, p] += w[codes[:, k]]
         return out
 
+    def excess(self, near: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What the product with a meant vector is over 1 less half the squared distance, from its length."""
+        m = self.meant(near, codes)
+        return 0.5 * (np.einsum("ij,ij->i", m, m) - 1)
+
+    def product(self, q: np.ndarray, near: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Approximate products of queries with the vectors of lists near and codes, row by row."""
+        return np.einsum("ij,ij->i", q.astype(np.float64), self.meant(near, codes)) - self.excess(near, codes)
+
     def least(self, q: np.ndarray, k: int) -> np.ndarray:
         """Approximate products that a query's k nearest reach: the sample has k as near as this, so no farther vector is among them."""
         if len(self.sample) < k:
-            return np.full(len(q), -np.inf, np.float32)
+            return np.full(len(q), -np.inf)
         parts = (np.partition(p @ self.sample.T, -k, axis=1)[:, -k] for p in np.array_split(q, max(1, len(q) // 128)))
-        return (np.concatenate(list(parts)) - self.short - 1e-6).astype(np.float32)
+        return np.concatenate(list(parts)).astype(np.float64) - self.short - 1e-6
 
 
 def fit(sample: np.ndarray, rows: int, subspaces: int = 16, k: int = 5) -> Quantiser:
@@ -137,8 +152,8 @@ def fit(sample: np.ndarray, rows: int, subspaces: int = 16, k: int = 5) -> Quant
     parts = [slice(int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     q = Quantiser(centroids, [_k_means(rest[:, p], CODES, rng, 6) for p in parts], parts)
     asked = x[rng.choice(len(x), min(len(x), 400), replace=False)]
-    best = np.argsort(-(asked @ x.T), axis=1)[:, 1 : 1 + k]
-    order = np.argsort(-(asked @ centroids.T), axis=1)
+    best = np.argsort(-closeness(asked, x), axis=1)[:, 1 : 1 + k]
+    order = np.argsort(-closeness(asked, centroids), axis=1)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(order.shape[1])[None].repeat(len(order), 0), 1)
     needed = np.sort(np.take_along_axis(place, nearest(x, centroids)[best], 1).ravel()) if best.size else np.zeros(1, int)
@@ -149,7 +164,7 @@ def fit(sample: np.ndarray, rows: int, subspaces: int = 16, k: int = 5) -> Quant
     if best.size:
         near, codes = q.encode(x[best.ravel()])
         asker = np.repeat(asked, best.shape[1], axis=0)
-        q.short = max(0.0, float(np.quantile(np.einsum("ij,ij->i", asker, x[best.ravel()]) - q.product(asker, near, codes), SHORT)))
+        q.short = max(0.0, float(np.quantile(np.einsum("ij,ij->i", asker.astype(np.float64), x[best.ravel()]) - q.product(asker, near, codes), SHORT)))
     return q
 
 
@@ -216,7 +231,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
             for a in range(0, b.num_rows, 1024):
                 part = b.slice(a, 1024)
                 u = unit(_matrix(part.column(1), d)).astype(np.float32)
-                order = np.argsort(-(u @ m.centroids.T), axis=1)
+                order = np.argsort(-closeness(u, m.centroids), axis=1)
                 least = m.least(u, k + 1)
                 row, where, wanted, early = [], [], [], []
                 for i, lists in enumerate(order):
@@ -234,25 +249,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
                             wanted.append(visited)
                             early.append(place == 0)
                 where = np.array(where, np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(where[:, 0]), pa.array(where[:, 1]), pa.array(list(u[row]), pa.list_(pa.float32())), pa.array(wanted, pa.list_(pa.int32())), pa.array(early, pa.bool_()), pa.array(least[row])], ["q", "group", "chunk", "u", "lists", "early", "reach"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(where[:, 0]), pa.array(where[:, 1]), pa.array(list(u[row]), pa.list_(pa.float32())), pa.array(wanted, pa.list_(pa.int32())), pa.array(early, pa.bool_()), pa.array(least[row], pa.float64())], ["q", "group", "chunk", "u", "lists", "early", "reach"])
 
-    visits = queries.select("q", "v").mapInArrow(visit, T.StructType([T.StructField("q", id_type), T.StructField("group", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("u", T.ArrayType(T.FloatType())), T.StructField("lists", T.ArrayType(T.IntegerType())), T.StructField("early", T.BooleanType()), T.StructField("reach", T.FloatType())]))
+    visits = queries.select("q", "v").mapInArrow(visit, T.StructType([T.StructField("q", id_type), T.StructField("group", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("u", T.ArrayType(T.FloatType())), T.StructField("lists", T.ArrayType(T.IntegerType())), T.StructField("early", T.BooleanType()), T.StructField("reach", T.DoubleType())]))
     visits = written(visits, "ann-visits")
 
     def compare(key_, left, right):
         if not left.num_rows or not right.num_rows:
-            return pa.table({"q": left.column("q").slice(0, 0), "rep": right.column("rep").slice(0, 0), "near": pa.array([], pa.float32())})
+            return pa.table({"q": left.column("q").slice(0, 0), "rep": right.column("rep").slice(0, 0), "near": pa.array([], pa.float64())})
         m = model.value
         codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(right.num_rows, -1)
         lists, of = np.unique(np.asarray(right.column("list")), return_inverse=True)
-        centroids = m.centroids[lists]
+        centroids, excess = m.centroids[lists].astype(np.float64), m.excess(lists[of], codes)
         qs, reps, nears = [], [], []
         for a in range(0, left.num_rows, _QUERIES):
             part = left.slice(a, _QUERIES)
             u = np.concatenate([_matrix(c, d) for c in part.column("u").chunks])
             table = m.table(u)
             visited = np.stack([np.isin(lists, x) for x in part.column("lists").to_pylist()])
-            near = np.where(visited, u @ centroids.T, -np.inf).astype(np.float32)[:, of]
+            near = np.where(visited, u.astype(np.float64) @ centroids.T, -np.inf)[:, of] - excess
             for s in range(codes.shape[1]):
                 near += table[:, s, :][:, codes[:, s]]
             best = np.argpartition(-near, min(rerank, len(codes)) - 1, axis=1)[:, :rerank]
@@ -262,9 +277,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
             reps.append(best[over])
             nears.append(value[over])
         take = lambda c, i: c.take(pa.array(np.concatenate(i)))
-        return pa.table({"q": take(left.column("q"), qs), "rep": take(right.column("rep"), reps), "near": pa.array(np.concatenate(nears), pa.float32())})
+        return pa.table({"q": take(left.column("q"), qs), "rep": take(right.column("rep"), reps), "near": pa.array(np.concatenate(nears), pa.float64())})
 
-    near_schema = T.StructType([T.StructField("q", id_type), T.StructField("rep", id_type), T.StructField("near", T.FloatType())])
+    near_schema = T.StructType([T.StructField("q", id_type), T.StructField("rep", id_type), T.StructField("near", T.DoubleType())])
 
     def compared(rows: DataFrame) -> DataFrame:
         return rows.groupBy("group", "chunk").cogroup(index.groupBy("group", "chunk")).applyInArrow(compare, near_schema)
@@ -273,7 +288,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
         return rows.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "rep"))).where(F.col("n") <= rerank).drop("n")
 
     # the group of the nearest list first: what the last of their best reaches, others must reach as well
-    never = F.lit(float("-inf")).cast("float")
+    never = F.lit(float("-inf"))
     first = written(best_of(compared(visits.where("early").select("q", "group", "chunk", "u", "lists", F.col("reach").alias("least")))), "ann-first")
     last = first.groupBy("q").agg(F.when(F.count(F.lit(1)) >= rerank, F.min("near")).otherwise(never).alias("last"))
     rest = compared(visits.where("not early").join(last, "q", "left").select("q", "group", "chunk", "u", "lists", F.greatest("reach", F.coalesce("last", never)).alias("least")))

@@ -233,3 +233,18 @@ def test_one_of_each_with_repeated_and_null_ids(spark):
     got = near.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), str(r.text)[:60]) for r in got if r.text is None or not r.text.startswith(c)) == sorted([("7", a[:60]), ("3", b[:60]), ("None", "None")])
     assert len(got) == 4
+
+
+def test_nearest_within_tight_groups(spark):
+    # rows of a group differ by far less than the group's own direction is long
+    rng = np.random.default_rng(11)
+    c = rng.normal(size=(5, 32))
+    x = c[rng.integers(0, 5, 6000)] + 0.001 * rng.normal(size=(6000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, 6000, 50)
+    s = u[asked] @ u.T
+    s[np.arange(len(asked)), asked] = -9
+    want = {(int(q), int(j)) for q, row in zip(asked, np.argsort(-s, axis=1)[:, :5], strict=True) for j in row}
+    got = {(r.query_id, r.vec_id) for r in neighbours.search(df, F.col("vec_id") % 50 == 0, k=5, rerank=64).collect()}
+    assert len(want & got) >= 0.9 * len(want)
