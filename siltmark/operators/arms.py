@@ -13,21 +13,24 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import aicc
 from . import guards
-from .fitting import Fit, fit_all, likelihoods, scored
+from .fitting import ROWS, Fit, counted, fit_all, likelihoods, scored
 from .model import Additive
 
 TRAIN = "__train"
 
 
 def run_arms(rows: DataFrame, presence: str, fits: dict[str, Fit], sets: dict[str, Column] | None, tests: dict[str, tuple[str, Column | None]], **options) -> tuple[dict[str, Additive], dict[str, float | None]]:
-    """The fitted models, and the AUC of each test: a fit's name and the rows it scores. rows are kept while it runs."""
-    rows = rows.persist()
+    """The fitted models, and the AUC of each test: a fit's name and the rows it scores. Equal rows are counted once for all of it."""
+    layers = sorted({c for f in fits.values() for c in f.layers})
+    inside = {f"__set{k}": F.coalesce(c, F.lit(False)) for k, c in enumerate((sets or {}).values())}
+    asked = {f"__test{k}": F.coalesce(F.lit(True) if where is None else where, F.lit(False)) for k, (_, where) in enumerate(tests.values())}
+    of = counted(rows, {"__y": F.col(f"`{presence}`")} | {c: F.col(f"`{c}`") for c in layers} | inside | asked)
     try:
-        models = fit_all(rows, presence, fits, sets, **options)
-        found = scored(rows, presence, {t: (models[f], fits[f].layers, where) for t, (f, where) in tests.items()})
+        models = fit_all(of, "__y", fits, {s: F.col(c) for s, c in zip(sets or {}, inside, strict=True)}, rows=ROWS, **options)
+        found = scored(of, "__y", {t: (models[f], fits[f].layers, F.col(c)) for (t, (f, _)), c in zip(tests.items(), asked, strict=True)}, rows=ROWS)
         return models, {r["arm"]: r["auc"] for r in found.collect()}
     finally:
-        rows.unpersist()
+        of.unpersist()
 
 
 def train_and_test(train: DataFrame, test: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -57,8 +60,13 @@ def _criteria(spark, done: list[tuple]) -> DataFrame:
 def aicc_table(rows: DataFrame, presence: str, layers: list[str], sets: dict[str, Column], betas: Iterable[float], classes: Iterable[str], iterations: int = 50, **options) -> tuple[DataFrame, dict[tuple, Additive]]:
     """(set, beta, classes, k, n, ll, aicc) of every setting on every row set, and the models. The likelihood is of the raw output, normalised over the set's rows, at its presences."""
     fits = {f"{s}|{b}|{c}": Fit(tuple(layers), s, b, c) for s in sets for b, c in grid_of(betas, classes)}
-    models = fit_all(rows, presence, fits, sets, iterations=iterations, **options)
-    ll = likelihoods(rows, presence, {n: (m, layers, sets[fits[n].rows]) for n, m in models.items()})
+    inside = {s: f"__set{k}" for k, s in enumerate(sets)}
+    of = counted(rows, {"__y": F.col(presence)} | {c: F.col(c) for c in layers} | {inside[s]: F.coalesce(c, F.lit(False)) for s, c in sets.items()})
+    try:
+        models = fit_all(of, "__y", fits, {s: F.col(c) for s, c in inside.items()}, iterations=iterations, rows=ROWS, **options)
+        ll = likelihoods(of, "__y", {n: (m, layers, F.col(inside[fits[n].rows])) for n, m in models.items()}, ROWS)
+    finally:
+        of.unpersist()
     done = []
     for n, m in models.items():
         k = sum(abs(t[0]) > 1e-9 for t in (*m.linear.values(), *m.quadratic.values())) + sum(len(t) for t in m.categorical.values())
@@ -68,11 +76,7 @@ def aicc_table(rows: DataFrame, presence: str, layers: list[str], sets: dict[str
 
 def aicc_grid(rows: DataFrame, presence: str, layers: list[str], betas: Iterable[float] = (0.25, 0.5, 1.0, 2.0, 4.0), classes: Iterable[str] = ("L", "Q", "LQ"), iterations: int = 50) -> DataFrame:
     """(beta, classes, k, n, aicc, delta), best first, fitted on all rows."""
-    rows = rows.persist()
-    try:
-        scored_, _ = aicc_table(rows, presence, layers, {"all": F.lit(True)}, betas, classes, iterations)
-    finally:
-        rows.unpersist()
+    scored_, _ = aicc_table(rows, presence, layers, {"all": F.lit(True)}, betas, classes, iterations)
     least = F.broadcast(scored_.agg(F.min("aicc").alias("least")))
     return scored_.crossJoin(least).select("beta", "classes", "k", "n", "aicc", (F.col("aicc") - F.col("least")).alias("delta")).orderBy("aicc")
 
@@ -89,7 +93,6 @@ def folds_of(rows: DataFrame, fold: str, key: str, folds: int = 1000) -> list[tu
 
 def fold_aucs(rows: DataFrame, fold: str, presence: str, layers: list[str], key: str, folds: int = 1000, **options) -> DataFrame:
     """(fold, n_train, n_test, auc): for each fold a fit on the rows of the others. At most ``folds`` folds."""
-    rows = rows.persist()
     found = folds_of(rows, fold, key, folds)
     total = sum(n for _, n in found)
     inside = {str(v): F.col(fold) == F.lit(v) for v, _ in found}

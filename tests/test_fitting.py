@@ -74,3 +74,20 @@ def test_grid_and_jackknife(spark, rows):
     train, test = rows.where("fold > 0"), rows.where("fold = 0")
     got = {r.arm: r.auc for r in arms.jackknife(train, test, "presence", ["u", "v"]).collect()}
     assert set(got) == {"all", "without_u", "without_v", "only_u", "only_v"} and got["without_u"] == pytest.approx(got["only_v"], abs=1e-6)
+
+
+def test_equal_rows_are_counted(spark):
+    rows = [(i % 3 == 0 or i % 7 == 1, float(i % 5), float(i % 4)) for i in range(2000)]
+    df = spark.createDataFrame([(int(y), a, b) for y, a, b in rows], "y int, a double, b double")
+    of = fitting.counted(df, {c: F.col(c) for c in df.columns})
+    assert of.count() <= 40 and of.agg(F.sum(fitting.ROWS)).first()[0] == 2000
+    fit = {"f": fitting.Fit(("a", "b"))}
+    whole, few = fitting.fit_all(df, "y", fit)["f"], fitting.fit_all(of, "y", fit, rows=fitting.ROWS)["f"]
+    assert whole.fitted["rows"] == few.fitted["rows"] == 2000 and whole.fitted["presences"] == sum(y for y, _, _ in rows)
+    assert whole.linear == few.linear and whole.quadratic == few.quadratic
+    arms = {"f": (whole, ["a", "b"], None)}
+    one, two = fitting.scored(df, "y", arms).first(), fitting.scored(of, "y", arms, rows=fitting.ROWS).first()
+    assert one == two and one.n_pos + one.n_neg == 2000
+    one, two = fitting.likelihoods(df, "y", arms)["f"], fitting.likelihoods(of, "y", arms, fitting.ROWS)["f"]
+    assert one[0] == two[0] and abs(one[1] - two[1]) < 1e-6
+    of.unpersist()
