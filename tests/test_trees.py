@@ -205,3 +205,37 @@ def test_attributions_of_rows(spark):
     summary = trees.attribution_summary(phi).collect()
     assert len(summary) == 12 and all(abs(sum(r["share"] for r in summary if r["model"] == n) - 1) < 1e-9 for n in models)
     assert all(r["direction"] > 0 for r in summary if r["layer"] == "a")
+
+
+def test_scores_walk_rows_between_the_same_thresholds_once(monkeypatch):
+    x, y, w, cuts = counted(200)
+    for name in ("boosted_depth_wise", "boosted_ordered", "random_forest"):
+        m = trees.train(x, y, w, np.zeros(len(y), bool), cuts, ["a", "b", "c"], trees.replace(trees.RECIPES[name], trees=6, patience=0), 2)
+        walked, margins, scorer = [], trees.Ensemble.margins, trees._Scorer(m)
+        monkeypatch.setattr(trees.Ensemble, "margins", lambda self, rows, margins=margins, walked=walked: (walked.append(len(rows)), margins(self, rows))[1])
+        batches = [RNG.uniform(-1, 7, (1000, 3)) for _ in range(4)]
+        got = [scorer(b) for b in batches]
+        assert sum(walked) <= 6**3
+        monkeypatch.setattr(trees.Ensemble, "margins", margins)
+        assert all(np.array_equal(p, m.predict(b)) for p, b in zip(got, batches, strict=True))
+    monkeypatch.setattr(trees, "KNOWN", 3)
+    short = trees._Scorer(m)
+    assert np.array_equal(short(batches[0]), m.predict(batches[0])) and len(short.known) == 3
+    assert np.array_equal(short(batches[1]), m.predict(batches[1])) and len(short.known) == 3
+
+
+def test_encodings_are_compared_on_counted_rows(spark, monkeypatch):
+    from siltmark.operators import protocols
+
+    rows = spark.createDataFrame([(k, float(k % 7), k % 4, int(k % 7 > 3 or k % 4 == 1 and k % 5 > 0)) for k in range(2000)], "key long, a double, c int, y int").withColumn("is_test", F.col("key") % 10 >= 7)
+    small = {n: trees.replace(trees.RECIPES[n], trees=8) for n in ("random_forest", "boosted_leaf_wise")}
+    seen, scores = [], trees.scores
+    monkeypatch.setattr(trees, "scores", lambda df, models, *a, **k: (seen.append((df.count(), models)), scores(df, models, *a, **k))[1])
+    got = {r["model"]: r for r in protocols.encoding_comparison(rows, "key", "y", ["a"], ["c"], "is_test", small).collect()}
+    test = [r for r in rows.collect() if r.is_test]
+    assert seen[0][0] == len({(r.a, r.c, r.y) for r in test})
+    y = np.array([r.y for r in test])
+    for n in small:
+        for kind, x in (("ordinal", [[r.a, r.c] for r in test]), ("nominal", [[r.a, *(float(r.c == v) for v in range(4))] for r in test])):
+            p = seen[0][1][f"{kind}|{n}"].predict(np.array(x, float))
+            assert got[n][kind] == pytest.approx(trees.weighted_auc(y, p, np.ones(len(y))))
