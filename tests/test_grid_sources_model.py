@@ -205,3 +205,19 @@ def test_too_many_codes_are_an_error(spark):
     df = spark.range(model.CODES + 1).select(F.col("id").alias("c"), (F.col("id") % 2).alias("y"))
     with pytest.raises(ValueError):
         model.fit_presence_background(df, "y", ["y", "c"], ["c"])
+
+
+def test_equal_rows_of_permuted_copies_are_scored_once(spark, monkeypatch):
+    from siltmark.operators import metrics
+
+    df = spark.createDataFrame([(i, float(i % 5), float(i % 7), int(i % 5 > 2 or i % 11 == 0)) for i in range(1500)], "key long, a double, b double, y int")
+    fitted = model.fit_comparator(df, "y", ["a", "b"], model.comparators()["logistic_regression"])
+    expected = {}
+    whole = metrics.auc(model.probability(fitted, df), "y", "y_score").first().auc
+    for i, c in enumerate(["a", "b"] * 2):
+        expected.setdefault(c, []).append(whole - metrics.auc(model.probability(fitted, model.permuted(df, c, "key", 42 + i)), "y", "y_score").first().auc)
+    seen, probability = [], model.probability
+    monkeypatch.setattr(model, "probability", lambda m, rows: (seen.append(rows.count()), probability(m, rows))[1])
+    got = {r["layer"]: r["drop"] for r in model.permutation_importance(fitted, df, "y", ["a", "b"], "key", repeats=2).collect()}
+    assert seen[0] <= 5 * 7 * 2
+    assert all(got[c] == pytest.approx(sum(v) / len(v)) for c, v in expected.items())
