@@ -25,13 +25,23 @@ def test_tiles_deal_whole_permutations_and_sum_all_links(spark, grid, near, most
     assert len(sizes) > 4 and sum(sizes) == 120 and max(sizes) < 60
     dealt = {}
 
-    def kept(values, *rest):
-        out = real(values, *rest).localCheckpoint()
-        for r in out.where("part = -1").collect():
+    def asked(packed, *rest):
+        # a row that names all places of a tile, in order, for each tile
+        out = real(packed, *rest)
+        if 0 not in rest[0]:
+            return out
+        whole = spark.createDataFrame([(t, 99 << 40, 0, t, np.arange(n, dtype=np.int32).tobytes()) for t, n in enumerate(sizes)], "tile int, part long, kind int, src int, b binary")
+        none = {c: F.lit(None) for c in packed.columns if c not in whole.columns}
+        return out.unionByName(real(whole.withColumns(none).select(packed.columns), *rest))
+
+    def kept(*a):
+        out = dealing(*a).localCheckpoint()
+        for r in out.where(f"part = {99 << 40}").collect():
             dealt[r.k, r.tile] = np.frombuffer(bytes(r.data))
-        return out
+        return out.where(f"part <> {99 << 40}")
 
-    real = permuting._dealt
+    real, dealing = permuting._linked, permuting._dealt
+    monkeypatch.setattr(permuting, "_linked", asked)
     monkeypatch.setattr(permuting, "_dealt", kept)
     # rounds of 4 permutations
     groups, tops = permuting.permuted_sums(links, places, sizes, 0.5, F.lit("{}"), 9, 3, most, 480)
