@@ -221,3 +221,17 @@ def test_equal_rows_of_permuted_copies_are_scored_once(spark, monkeypatch):
     got = {r["layer"]: r["drop"] for r in model.permutation_importance(fitted, df, "y", ["a", "b"], "key", repeats=2).collect()}
     assert seen[0] <= 5 * 7 * 2
     assert all(got[c] == pytest.approx(sum(v) / len(v)) for c, v in expected.items())
+
+
+def test_permuted_copies_are_dealt_in_rounds(spark, monkeypatch):
+    from siltmark.operators import rounds
+
+    df = spark.createDataFrame([(i, float(i % 5), float(i % 7), int(i % 5 > 2 or i % 11 == 0)) for i in range(1500)], "key long, a double, b double, y int")
+    fitted = model.fit_comparator(df, "y", ["a", "b"], model.comparators()["logistic_regression"])
+    made, settled = [], rounds.settled
+    monkeypatch.setattr(rounds, "settled", lambda *a: (made.append(settled(*a)), made[-1])[1])
+    one = model.permutation_importance(fitted, df, "y", ["a", "b"], "key", repeats=2).collect()
+    assert len(made) == 1
+    got = model.permutation_importance(fitted, df, "y", ["a", "b"], "key", repeats=2, dealt_rows=3000).collect()
+    assert len(made) == 1 + 3
+    assert {r["layer"]: r["drop"] for r in got} == pytest.approx({r["layer"]: r["drop"] for r in one})
