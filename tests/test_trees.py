@@ -239,3 +239,14 @@ def test_encodings_are_compared_on_counted_rows(spark, monkeypatch):
         for kind, x in (("ordinal", [[r.a, r.c] for r in test]), ("nominal", [[r.a, *(float(r.c == v) for v in range(4))] for r in test])):
             p = seen[0][1][f"{kind}|{n}"].predict(np.array(x, float))
             assert got[n][kind] == pytest.approx(trees.weighted_auc(y, p, np.ones(len(y))))
+
+
+def test_all_rows_train_whatever_their_number(spark):
+    n = 260_000
+    df = spark.range(n).select(F.col("id").alias("key"), (F.col("id") * 1.0).alias("a"), (F.pmod(F.xxhash64("id"), F.lit(10)) < F.when(F.col("id") < n / 2, 2).otherwise(7)).cast("int").alias("y"))
+    recipes = {"forest": trees.replace(trees.RECIPES["random_forest"], trees=2, depth=1), "boosted": trees.replace(trees.RECIPES["boosted_depth_wise"], rows=1.0, trees=2)}
+    made = trees.fit_trees(df, "y", ["a"], "key", recipes)
+    forest, boosted = made["all", "forest"], made["all", "boosted"]
+    assert forest.cover[forest.start] == pytest.approx(n, rel=0.01)
+    held = df.where(F.pmod(F.xxhash64("key", F.lit("held")), F.lit(1 << 30)) < int(trees.HELD * (1 << 30))).count()
+    assert set(boosted.cover[boosted.start].tolist()) == {n - held}
