@@ -250,3 +250,14 @@ def test_all_rows_train_whatever_their_number(spark):
     assert forest.cover[forest.start] == pytest.approx(n, rel=0.01)
     held = df.where(F.pmod(F.xxhash64("key", F.lit("held")), F.lit(1 << 30)) < int(trees.HELD * (1 << 30))).count()
     assert set(boosted.cover[boosted.start].tolist()) == {n - held}
+
+
+def test_rows_that_one_model_does_not_tell_apart_are_one():
+    x, y, w, _ = counted(150)
+    held = np.arange(len(y)) % 4 == 0
+    got = trees.merged(np.concatenate([x, x[:50]]), np.concatenate([y, y[:50]]), np.concatenate([w, w[:50]]), np.concatenate([held, held[:50]]))
+    total = {}
+    for row, of, n, h in [*zip(x.tolist(), y, w, held, strict=True), *zip(x[:50].tolist(), y[:50], w[:50], held[:50], strict=True)]:
+        total[*row, of, h] = total.get((*row, of, h), 0) + n
+    assert {(*row, of, h): n for row, of, n, h in zip(got[0].tolist(), got[1], got[2], got[3], strict=True)} == pytest.approx(total) and len(got[1]) == len(total)
+    assert len(trees.merged(x[:0], y[:0], w[:0], held[:0])[0]) == 0
