@@ -95,3 +95,34 @@ def test_no_values_reach_the_driver(spark, grid, monkeypatch):
     out = stats.permutation_p(df, links, "id", "z", permutations=5)
     assert out.collect() and max(most) < 10
     assert "LocalRelation" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_numbers_are_sent_in_two_bytes_with_the_same_sums(grid, monkeypatch):
+    _, df, links = grid
+    sent, packed = [], permuting._packed_values
+
+    def kept(*a):
+        out = packed(*a)
+        sent.append(sum(len(r.z) for r in out.localCheckpoint().collect()))
+        return out
+
+    monkeypatch.setattr(permuting, "_packed_values", kept)
+    for column, width in (("x", 2), ("z", 8)):
+        known = df.select(F.col("id").alias("key"), F.col(column).alias("v"), F.col("y").alias("near"))
+        places, sizes = permuting.placed(known, 120, "near", 50, 20)
+        tops = {}
+        for narrow in (permuting._narrow, lambda places: "float64"):
+            with monkeypatch.context() as m:
+                m.setattr(permuting, "_narrow", narrow)
+                tops[narrow] = {r.k: r.top for r in permuting.permuted_sums(links, places, sizes, 0.5, F.lit("{}"), 7, 3, dealt=480)[1].collect()}
+        one, two = tops.values()
+        assert sent[-2:] == [120 * width, 120 * 8] and one == pytest.approx(two) and len(one) == 8
+
+
+def test_rounds_deal_more_where_there_are_more_points(grid, monkeypatch):
+    _, df, links = grid
+    asked, sums = [], permuting.permuted_sums
+    monkeypatch.setattr(permuting, "DEALT", 480)
+    monkeypatch.setattr(permuting, "permuted_sums", lambda *a, **k: (asked.append(k["dealt"]), sums(*a, **k))[1])
+    stats.permutation_p(df, links, "id", "z", permutations=2, near="y", whole=50, tile=20)
+    assert asked == [permuting.LEAST * 120]
